@@ -87,17 +87,20 @@ def training_order(docs: DataFrame, **schedule) -> DataFrame:
     A document comes up whole where the demand covers at least half of its words, or not at all.
     Adds nothing to the columns. See curriculum() for nulls, ties and empty tables.
     """
-    plan = curriculum(docs, **schedule)
-    passes = plan.select("doc_id", "_crc", F.col("source").alias("_source"), F.col("size").alias("_size"), F.explode("passes").alias("_p"))
-    passes = passes.where(2 * F.col("_p.words") >= F.col("_size")).select("doc_id", "_crc", "_source", F.col("_p.pass").alias("_pass"), F.col("_p.position").alias("_position"))
-    # Repeated rows count as separate documents above; give each its own number so that the join doesn't multiply them.
-    same = Window.partitionBy("doc_id", "_crc", "_source", "_pass").orderBy("_position")
-    passes = passes.withColumn("_copy", F.row_number().over(same))
+    plan = curriculum(docs, **schedule).withColumn("_key", _row_key("_crc"))
+    passes = plan.select("_key", "size", F.explode("passes").alias("_p")).where(2 * F.col("_p.words") >= F.col("size"))
+    passes = passes.select("_key", F.col("_p.position").alias("_position"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = docs.withColumn("_crc", crc).withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_crc", "source").orderBy(F.lit(0))))
-    on = (rows["doc_id"].eqNullSafe(passes["doc_id"])) & (rows["_crc"] == passes["_crc"]) & (rows["_copy"] == passes["_copy"]) & rows["source"].eqNullSafe(passes["_source"])
-    joined = rows.join(passes, on).select(*[rows[c] for c in docs.columns], passes["_position"], passes["_pass"])
-    return joined.repartitionByRange(partitions(docs.sparkSession), "_position", "doc_id").sortWithinPartitions("_position", "doc_id").select(*docs.columns)
+    # One row for each key: repeated rows have their own positions in passes.
+    rows = docs.withColumn("_key", _row_key(crc)).dropDuplicates(["_key"])
+    joined = rows.join(passes, "_key")
+    ordered = joined.repartitionByRange(partitions(docs.sparkSession), "_position", "doc_id").sortWithinPartitions("_position", "doc_id")
+    return ordered.select(*docs.columns)
+
+
+def _row_key(crc: Column | str) -> Column:
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in ("doc_id", "source")]
+    return F.concat_ws("\x01", *parts, (F.col(crc) if isinstance(crc, str) else crc).cast("string"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
