@@ -1,0 +1,29 @@
+"""Connected components of an edge table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from reachbase.llm.cluster import durable
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node that is reachable) for every node of edges (a, b).
+
+    Each round takes the smallest label around a node and then its label's own label, so a
+    chain's length halves; rounds go on until no label changes. Labels and edges stay in Spark;
+    only the count of changes comes to the driver. Edges without a node are ignored.
+    """
+    both = edges.select("a", "b").where("a is not null and b is not null and a <> b")
+    both = durable(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"))
+    while True:
+        around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("_near"))
+        near = labels.join(around, labels["node"] == around["a"]).select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("_new"))
+        own = labels.select(F.col("node").alias("_of"), F.col("component").alias("_jump"))
+        after = durable(near.join(own, near["_new"] == own["_of"], "left").select("node", F.least("_new", "_jump").alias("component"), (F.least("_new", "_jump") < F.col("_old")).alias("_moved")))
+        moved = after.where("_moved").limit(1).count()
+        labels = after.select("node", "component")
+        if not moved:
+            return labels
