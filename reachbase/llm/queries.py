@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachbase.llm import fingerprint, language_id, mixing, near_dedup, quality_rules, secret_scan, sharding, url_filter
+from reachbase.llm import fingerprint, kneser_ney, language_id, mixing, near_dedup, quality_rules, secret_scan, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_with_following(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_fingerprints": op2_fingerprints,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_secret_scans": op4_secret_scans,
     "op6_sharding": op6_sharding,
     "op7_language_id": op7_language_id,
