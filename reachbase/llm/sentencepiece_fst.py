@@ -27,6 +27,8 @@ SPACE = 0x20  # stands for the symbol of a space in pieces and texts
 MARK = "▁".encode()
 #: Words with more bytes are encoded by themselves.
 LONG_WORD = 48
+#: Pairs of pieces and words that a task remembers.
+PAIRS, WORDS = 1 << 20, 1_000_000
 #: Bytes of text whose words are encoded together.
 STEP_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -215,8 +217,25 @@ class Transducer:
                     self.moments[side][i, d] = moment
         self.power = _powers(2 * self.longest + 2)
 
+    def __getstate__(self) -> dict:
+        """Without what a task remembers."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("_pairs", "_words")}
+
     def can_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether merging the two pieces' characters together would still leave a and b."""
+        """Whether merging the two pieces' characters together would still leave a and b; remembered for recent pairs."""
+        if "_pairs" not in self.__dict__:
+            self._pairs = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+        keys, answers = self._pairs
+        pair = a.astype(np.int64) << 32 | b
+        at = (mix(pair.view(np.uint64)) & np.uint64(PAIRS - 1)).astype(np.int64)
+        out = answers[at]
+        new = np.flatnonzero(keys[at] != pair)
+        if len(new):
+            out[new] = self._compare(a[new], b[new])
+            keys[at[new]], answers[at[new]] = pair[new], out[new]
+        return out
+
+    def _compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.ones(len(a), bool)
         rows = np.arange(len(a))
         i = np.zeros(len(a), np.int64)
@@ -360,8 +379,36 @@ class Transducer:
         if not len(begin):
             return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
         hashes = TextBlock(data, first, first + sizes + lead).hashes(begin, end)
-        _, some, which = np.unique(hashes, return_index=True, return_inverse=True)
-        begin, end = begin[some], end[some]
+        unique, some, which = np.unique(hashes, return_index=True, return_inverse=True)
+        flat, place, counts = self._encode_words(data, unique, begin[some], end[some])
+        own = counts[which]
+        ends = np.cumsum(own)
+        ids = flat[np.arange(int(ends[-1])) + np.repeat(place[which] - (ends - own), own)]
+        words_of = np.searchsorted(begin, np.append(first, len(data)))
+        return ids, np.append(0, ends)[words_of]
+
+    def _encode_words(self, data: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words (hashes in order), and where each one's are; remembered for up to WORDS words."""
+        none = np.zeros(0, np.int64)
+        known, known_place, known_count, known_flat = self.__dict__.get("_words", (np.zeros(0, np.uint64), none, none, np.zeros(0, np.int32)))
+        at = np.searchsorted(known, hashes)
+        at[at == len(known)] = 0
+        hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+        fresh = np.flatnonzero(~hit)
+        flat, place, counts = self._lattices(data, begin[fresh], end[fresh])
+        all_flat = np.concatenate([known_flat, flat])
+        all_place, all_count = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+        all_place[hit], all_count[hit] = known_place[at[hit]], known_count[at[hit]]
+        all_place[fresh], all_count[fresh] = place + len(known_flat), counts
+        if len(known) + len(fresh) <= WORDS:
+            merged = np.concatenate([known, hashes[fresh]])
+            order = np.argsort(merged, kind="stable")
+            self._words = merged[order], np.concatenate([known_place, all_place[fresh]])[order], np.concatenate([known_count, counts])[order], all_flat
+        else:
+            self.__dict__.pop("_words", None)
+        return all_flat, all_place, all_count
+
+    def _lattices(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = end - begin
         counts = np.zeros(len(begin), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -381,15 +428,12 @@ class Transducer:
                 found, count = self.paths(words)
                 parts.append((some_rows, found))
                 counts[some_rows] = count
-        flat = np.concatenate([f for _, f in parts])
+        if not parts:
+            return np.zeros(0, np.int32), counts, counts
         place = np.zeros(len(begin), np.int64)
         rows = np.concatenate([r for r, _ in parts])
         place[rows] = np.cumsum(counts[rows]) - counts[rows]
-        own = counts[which]
-        ends = np.cumsum(own)
-        ids = flat[np.arange(int(ends[-1])) + np.repeat(place[which] - (ends - own), own)]
-        words_of = np.searchsorted(np.flatnonzero(start), np.append(first, len(data)))
-        return ids, np.append(0, ends)[words_of]
+        return np.concatenate([f for _, f in parts]), place, counts
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The texts' bytes and the first of each; the leading space goes."""
