@@ -31,6 +31,8 @@ MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.2, 0.5
 MAX_REFERENCE_SYMBOLS = 0.01
 #: Languages whose references a broadcast may hold.
 MAX_BROADCAST_LANGUAGES = 10_000
+#: Ids that a broadcast may hold; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 
 _SIZE = len(CLASSES) + len(LEXICON) + 1
 _SCHEMA = "row_in struct<doc_id: bigint, lang: string>, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, histogram array<long>"
@@ -175,3 +177,14 @@ def judge(docs: DataFrame) -> DataFrame:
     near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     rated = joined.withColumn("class_distance", F.round(class_distance, 6)).withColumn("word_distance", F.round(word_distance, 6)).withColumn("base_failed", failed)
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "class_distance", "word_distance")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """docs' rows that judge() keeps, with their columns; rows with one doc_id go only if all of them are rejected.
+
+    Rows with a null doc_id stay, as nothing tells them apart.
+    """
+    gone = judge(docs).groupBy("doc_id").agg(F.max("kept").alias("_kept")).where("not _kept").select(F.col("doc_id").alias("_gone"))
+    gone = durable(gone)
+    few = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
+    return docs.join(few, docs["doc_id"] == F.col("_gone"), "left_anti")
