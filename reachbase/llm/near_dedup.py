@@ -31,7 +31,7 @@ TOP_REGISTER = 65_535
 #: Standard deviations by which the estimate may fall short before a candidate is dropped.
 MARGIN = 6
 #: Documents that meet in one block of a bucket.
-BLOCK = 64
+BLOCK = 256
 #: Ids that a broadcast may hold; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -167,15 +167,18 @@ def _compare_blocks(percent: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         sides = [(np.array(t.column("doc_id")), np.array(t.column("component")), [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]) for t in (table.filter(pc.equal(table.column("side"), s)) for s in (0, 1))]
-        if not len(sides[1][0]):
+        if not len(sides[1][0]):  # a block meets itself
             sides[1] = sides[0]
         (ids_a, of_a, sets_a), (ids_b, of_b, sets_b) = sides
         out: list[tuple[int, int]] = []
         if len(ids_a) and len(ids_b):
             size_a, size_b = (np.array([len(s) for s in side]) for side in (sets_a, sets_b))
             every = np.concatenate(sets_a + sets_b)
-            values, place = np.unique(every, return_inverse=True)
+            values, place, times = np.unique(every, return_inverse=True, return_counts=True)
             owner = np.repeat(np.arange(len(sets_a) + len(sets_b)), np.concatenate([size_a, size_b]))
+            shared = times > 1  # what one set alone has is common to no two
+            owner, place = owner[shared[place]], (np.cumsum(shared) - 1)[place[shared[place]]]
+            values = values[shared]
             common = np.zeros((len(ids_a), len(ids_b)), np.float32)
             for low in range(0, len(values), 16_384):  # incidence of a slice of the elements
                 here = (place >= low) & (place < low + 16_384)
@@ -227,12 +230,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     part = F.coalesce("component", "node").alias("component")
     rest = inside.where("members > 2 and node <> hub").join(labels, "node", "left").select("band", inside["node"], part)
     mark = F.xxhash64("node", "component")
-    shape = durable(rest.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.shiftright(mark, 8)).alias("s"), F.bit_xor(mark).alias("x")).where("low < high"))
-    shape = shape.groupBy("n", "s", "x").agg(F.min("band").alias("band"))  # buckets with the same members
-    open_rows = rest.join(shape.select("band", "n"), "band")
-    blocks_of = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = open_rows.withColumn("_block", F.pmod(F.xxhash64("node"), blocks_of).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("_other")
+    by_part = rest.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum(F.shiftright(mark, 8)).alias("s"), F.bit_xor(mark).alias("x"))
+    shape = by_part.groupBy("band").agg(F.sum("n").alias("n"), F.min("component").alias("core"), F.min_by("n", "component").alias("n_core"), F.count("*").alias("parts"), F.sum("s").alias("s"), F.bit_xor("x").alias("x")).where("parts > 1")
+    shape = shape.groupBy("n", "n_core", "core", "s", "x").agg(F.min("band").alias("band"))  # buckets with the same members
+    open_rows = rest.join(shape.select("band", "n", "n_core", "core"), "band")
+    # The component that the bucket's smallest ids have in common has its own blocks, which don't meet each other.
+    core_blocks = F.ceil(F.col("n_core") / BLOCK).cast("int")
+    rest_blocks = F.ceil((F.col("n") - F.col("n_core")) / BLOCK).cast("int")
+    in_core = F.col("component") == F.col("core")
+    mine = F.when(in_core, F.pmod(F.xxhash64("node"), core_blocks)).otherwise(core_blocks + F.pmod(F.xxhash64("node"), rest_blocks)).cast("int")
+    placed = open_rows.withColumn("_block", mine)
+    other = F.explode(F.sequence(F.when(in_core, core_blocks).otherwise(0), core_blocks + rest_blocks - 1)).alias("_other")
     met = placed.select("band", "node", "component", "_block", other).select("band", "node", "component", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), (F.col("_block") > F.col("_other")).cast("int").alias("side"))
     elements = full.select("doc_id", "elements")
     grouped = met.join(elements, met["node"] == elements["doc_id"]).select("band", "_i", "_j", "side", "doc_id", "component", "elements")
