@@ -1,0 +1,484 @@
+"""The ten operators on odd rows and against plain versions."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from reachbase.llm import fingerprint, kneser_ney, language_id, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_fst, sharding, url_filter
+from reachbase.llm.queries import PIECE_MODEL, URL_RULES
+from tests.llm.conftest import BASE, LONG, by_id
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+# 1
+
+
+def plain_rule(host, path):
+    fits = [e for _, e in URL_RULES if host and (host == e.split("/")[0] or host.endswith("." + e.split("/")[0])) and path.startswith(e[e.index("/") :])]
+    return max(fits, key=len, default=None)
+
+
+def test_url_filter(spark):
+    urls = ["http://EXAMPLE.net/en/x", "https://a.b.example.net/de/", "http://example.com/de/?q", "x://org/fr/", "x://org/fr", "http://net", "http://net/", "http://my.net?x/", "no scheme", "", None, "http://", "http://example.net./en/", "ftp://u@a.org:80/fr/", "http://notexample.net/en/", "http://a.org/fr//x#y", "http://net/"]
+    pages = spark.createDataFrame([(i, u, "h", "clash") for i, u in enumerate(urls)], "page_id long, url string, html string, verdict string")
+    rules = [url_filter.Rule.parse(*r) for r in URL_RULES]
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge_urls(pages, rules).collect()}
+    joined = {r["page_id"]: tuple(r)[1:] for r in url_filter.match_by_join(pages, rules).collect()}
+    assert got == joined
+    for i, u in enumerate(urls):
+        host, path = url_filter.split_url(u)
+        rule = plain_rule(host, path)
+        verdict = next((v for v, e in URL_RULES if e == rule), "allow")
+        assert got[i] == (host, path, rule, verdict), u
+    assert got[0][0] == "example.net" and got[7][:2] == ("my.net", "") and got[8][:2] == ("", "")
+    assert url_filter.judge_urls(spark.createDataFrame([], pages.schema), rules).count() == 0
+
+
+def test_url_filter_deeper_entries():
+    rules = [url_filter.Rule.parse(*r) for r in (("allow", "a.com/x"), ("block", "a.com/x/y/"), ("block", "b.a.com/"), ("allow", "a.com/x"), ("block", "a.com/x"))]
+    trie = url_filter.Trie(rules)
+    assert str(trie.match("a.com", "/xyz")) == "a.com/x" and trie.match("a.com", "/xyz").verdict == "block"
+    assert str(trie.match("a.com", "/x/y/z")) == "a.com/x/y/" and str(trie.match("c.b.a.com", "/x/y/z")) == "b.a.com/"
+    assert trie.match("a.com", "/") is None and trie.match("", "/x") is None
+
+
+# 2
+
+
+def test_fingerprints(odd_docs, no_docs):
+    rows = sorted(odd_docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    got = fingerprint.edit_with_following(odd_docs).collect()
+    assert len(got) == len(rows)
+    hashes = defaultdict(list)
+    for r in got:
+        hashes[r["doc_id"]].append((r["n_chars"], r["edited_sha256"]))
+    for a, b in zip(rows, rows[1:] + rows[:1]):
+        x, y = a["text"] or "", b["text"] or ""
+        cut = len(x) // 4
+        assert (len(x), hashlib.sha256((x[: len(x) - cut] + y[:cut]).encode()).hexdigest()) in hashes[a["doc_id"]]
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert len({r["fingerprint"] for r in got if r["doc_id"] == 5}) == 1
+    assert fingerprint.edit_with_following(no_docs).count() == 0
+
+
+def test_single_document_follows_itself(odd_docs):
+    one = fingerprint.edit_with_following(odd_docs.where("doc_id = 1")).first()
+    assert one["near_next"] == 1 and one["n_chars"] == 65
+
+
+def test_sketch_estimates():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**64 - 1, 4000, dtype=np.uint64)
+    b = np.concatenate([a[:2000], rng.integers(0, 2**64 - 1, 2000, dtype=np.uint64)])
+    whole, other = np.unique(a)[: fingerprint.K], np.unique(b)[: fingerprint.K]
+    parts = fingerprint.merge(np.unique(a[:1500])[: fingerprint.K], np.unique(a[1500:])[: fingerprint.K])
+    assert np.array_equal(parts, whole)
+    assert abs(fingerprint.resemblance(whole, other) - 1 / 3) < 0.15
+    assert abs(fingerprint.containment(whole, other) - 0.5) < 0.2
+    assert abs(fingerprint.distinct_count(whole) / 4000 - 1) < 0.3
+    assert np.array_equal(fingerprint.decode(fingerprint.encode(whole)), whole)
+
+
+# 3
+
+
+def test_kneser_ney_matches_a_plain_model(spark):
+    rng = random.Random(2)
+    train = [" ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randint(3, 40))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(train)], "doc_id long, text string, lang string")
+    model = kneser_ney.train(docs)
+    tri = Counter(t for d in train for t in zip(["<", "<", *d.split()], ["<", *d.split()], d.split()))
+    bi, uni = Counter(), Counter()
+    for _, b, c in tri:
+        bi[b, c] += 1
+    for _, c in bi:
+        uni[c] += 1
+
+    def disc(counts):
+        n = [sum(v == i for v in counts.values()) for i in (1, 2, 3, 4)]
+        if not (n[0] and n[1] and n[2]):
+            return 0.5, 0.75, 0.9
+        y = n[0] / (n[0] + 2 * n[1])
+        return tuple(min(max(x, 0.05), i + 0.95) for i, x in enumerate((1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2])))
+
+    d3, d2, d1 = disc(tri), disc(bi), disc(uni)
+    cut = lambda n, d: d[min(n, 3) - 1]
+    total = sum(uni.values())
+    unseen = sum(cut(n, d1) for n in uni.values()) / total / (len(uni) + 1)
+
+    def p1(c):
+        return (uni[c] - cut(uni[c], d1)) / total + unseen if uni[c] else unseen
+
+    def p(counts, history, c, d, lower):
+        of = [n for k, n in counts.items() if k[:-1] == history]
+        if not of:
+            return lower
+        n = counts.get((*history, c), 0)
+        return (n - cut(n, d) if n else 0) / sum(of) + sum(cut(x, d) for x in of) / sum(of) * lower
+
+    text = "a b b zebra c a b c"
+    seen = ["<", "<", *text.split()]
+    logs = sum(math.log(p(tri, (x, y), z, d3, p(bi, (y,), z, d2, p1(z)))) for x, y, z in zip(seen, seen[1:], seen[2:]))
+    got = kneser_ney.perplexities(spark.createDataFrame([(1, text, "x")], docs.schema), model).first()
+    assert got["n_words"] == 8 and got["perplexity"] == pytest.approx(math.exp(-logs / 8), rel=1e-4)
+    mass = sum(p(tri, ("a", "b"), c, d3, p(bi, ("b",), c, d2, p1(c))) for c in [*"abcdef", "zebra"])
+    assert mass == pytest.approx(1, abs=1e-9)
+
+
+def test_classifier_on_odd_rows(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (5, 1), (8, 1), (9, 1), (4, 0), (None, 1), (77, 1)], "doc_id long, quality int")
+    got = by_id(kneser_ney.classify(odd_docs, labels))
+    assert len(got) == 10 and got[2]["n_words"] == 0 and got[2]["perplexity"] is None and got[2]["kept"]
+    assert kneser_ney.classify(no_docs, labels).count() == 0
+    nothing = by_id(kneser_ney.classify(odd_docs, labels.where("quality > 5")))
+    assert all(r["kept"] and r["perplexity"] is None for r in nothing.values())
+
+
+def test_classifier_separates_labelled_documents(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = kneser_ney.classify(docs, labels).join(labels, "doc_id").where("n_words >= 10").collect()
+    good, bad = ([r["perplexity"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert np.mean([g < b for g, b in itertools.product(good, bad)]) > 0.85
+    assert np.mean([r["kept"] for r in rows if r["quality"] == 1]) > 0.95
+
+
+# 4
+
+
+def test_secret_spans(odd_docs, no_docs):
+    assert {r["spans"] for r in secret_scan.find_secrets(odd_docs).collect()} == {""}
+    assert secret_scan.find_secrets(no_docs).count() == 0
+
+
+def test_secret_spans_match_patterns_alone(spark):
+    rng = random.Random(5)
+    parts = ["password", "TOKEN", "api_key", "apikey", "secret", "pwd", " = ", ":", "'", '"', "AKIA", "abcdef0123456789" * 2, "ABCDEFGH12345678", "é", "hunter2!", "x" * 9, "\n", " ", "-", "changeme123", "zQ9!kf$1Lp)w7", "ſecret", "toKen"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = by_id(secret_scan.find_secrets(docs))
+    assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""")
+    for i, t in enumerate(texts):
+        found = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
+        found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        base = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found))
+        assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), t
+        assert set(filter(None, base.split(","))) <= set(got[i]["spans"].split(","))
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == tuple(sum(f[1] == k for f in found) for k in range(3))
+
+
+def test_hex_run_over_a_block_border(spark):
+    texts = ["a" * 40, "b" * 10, "c" * 31, "d" * 33]
+    got = by_id(secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)))
+    assert [got[i]["n_hex"] for i in range(4)] == [1, 0, 0, 1]
+
+
+def test_guess_cost():
+    cost = secret_scan.guess_cost
+    assert cost("password") < 1 < cost("password2019") < 4 < cost("zQ9!kf$1Lp)w7")
+    assert cost("qwertyuiop") < 3 and cost("aaaaaaaaaaaa") < 4 and cost("1999-12-31") < 6
+    assert cost("P@ssw0rd") < cost("Xk2pQ9rT") and cost("") == 0
+    assert cost("x" * 1000) > 0
+
+    def plain(v):
+        if not v:
+            return 0.0
+        return min([secret_scan._brute(v[-1]) + plain(v[:-1])] + [plain(v[:i]) + c for i in range(len(v)) if (c := secret_scan._word_cost(v[i:])) is not None])
+
+    for v in ("zxpassvq", "myTokenzq", "xxAdmin7p"):
+        assert cost(v) <= plain(v) + 1e-9
+
+
+def test_masking(spark):
+    docs = spark.createDataFrame([(1, "é token = 12345678 end", 22, "keep"), (2, None, None, None), (3, "fine", 4, "x")], "doc_id long, text string, n_chars int, spans string")
+    got = by_id(secret_scan.mask_secrets(docs))
+    assert got[1]["text"] == "é [assign] end" and got[1]["n_chars"] == 14 and got[1]["spans"] == "keep"
+    assert got[2]["text"] is None and got[3]["text"] == "fine" and got[3]["n_chars"] == 4
+
+
+# 5
+
+
+@pytest.fixture(scope="module")
+def transducer():
+    with open(PIECE_MODEL, "rb") as f:
+        return sentencepiece_fst.Transducer(sentencepiece_fst.Vocabulary.parse(f.read()))
+
+
+def test_ids_equal_the_librarys(spark, odd_docs, no_docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abetn onsridhl  \nAéñ日😀.,-=(_1203") for _ in range(rng.randint(0, 90))) for _ in range(300)] + [LONG, "x" * 300, "=" * 200 + "é" * 100]
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    encoded = sentencepiece_fst.encode_documents(docs, PIECE_MODEL)
+    rows = encoded.collect()
+    plain = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in rows:
+        assert r["ids"] == library.encode(plain[r["doc_id"]]) and r["round_trip"] and r["n_tokens"] == len(r["ids"])
+    decoded = sentencepiece_fst.decode_documents(encoded, PIECE_MODEL).collect()
+    assert all(r["text"] == plain[r["doc_id"]] for r in decoded)
+    assert sentencepiece_fst.encode_documents(no_docs, PIECE_MODEL).count() == 0
+
+
+def test_space_symbol_is_not_told_from_a_space(spark):
+    row = sentencepiece_fst.encode_documents(spark.createDataFrame([(1, "a▁b"), (2, "a b")], "doc_id long, text string").coalesce(1), PIECE_MODEL).collect()
+    assert row[0]["ids"] == row[1]["ids"] and not row[0]["round_trip"] and row[1]["round_trip"]
+
+
+def test_unigram_paths_are_the_cheapest():
+    pieces = [f"<0x{i:02X}>".encode() for i in range(256)] + [b"a", b"b", b"ab", b"ba", b"aba", b" a", b" "]
+    scores = [0.0] * 256 + [-1.0, -1.2, -1.5, -1.1, -2.9, -1.3, -0.7]
+    fst = sentencepiece_fst.Transducer(sentencepiece_fst.Vocabulary(pieces, scores, [6] * 256 + [1] * 7, False, True, False))
+
+    def best(word):
+        found = [(0.0, ())] + [(math.inf, ())] * len(word)
+        for end in range(1, len(word) + 1):
+            for start in range(end):
+                i = fst.ids.get(word[start:end])
+                if i is not None:
+                    found[end] = min(found[end], (found[start][0] - scores[i], (*found[start][1], i)))
+        return found[-1]
+
+    for word in (b"ababa", b"abbaab", b" aab", b"bbbb"):
+        rows = np.frombuffer(word, np.uint8)[None, :]
+        ids, _ = fst.paths(rows)
+        assert -sum(scores[i] for i in ids) == pytest.approx(best(word)[0])
+        assert -sum(scores[i] for i in fst.long_path(word)) == pytest.approx(best(word)[0])
+
+
+# 6
+
+
+def test_sharding(odd_docs, no_docs):
+    rows = sharding.shard_documents(odd_docs, 3).collect()
+    plain = odd_docs.collect()
+    size = lambda t: len((t or "").encode()) + 1
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((r["doc_id"], size(r["text"]), zlib.crc32((r["text"] or "").encode())) for r in plain)
+    for s in range(3):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    ordered = sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["shard"], r["slot"]))
+    assert [r["shard"] for r in ordered] == sorted(r["shard"] for r in rows)
+    assert sharding.shard_documents(no_docs).count() == 0
+
+
+def test_shards_have_near_equal_bytes(spark, sf_dir):
+    got = sharding.shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).groupBy("shard").agg(F.sum("size").alias("b"), F.max("size").alias("m")).collect()
+    goal = sum(r["b"] for r in got) / 8
+    assert len(got) == 8 and all(abs(r["b"] - goal) <= max(x["m"] for x in got) for r in got)
+
+
+# 7
+
+
+def test_bundles_match_plain_binding():
+    book = language_id.Codebook(64)
+    texts = ["aB, c—dé!", "", "12 3", "ABC", "日本 語", " x"]
+    made, some = language_id.bundles(texts, book)
+    assert some.tolist() == [True, False, False, True, True, True]
+    for row, t in zip(made, texts):
+        runs = re.split(" +", re.sub(r"[^\w]|[\d_]", " ", t.lower()).strip())
+        codes = [0] + [ord(c) if c != " " else 0 for c in " ".join(runs)] + [0]
+        if t == "":
+            continue
+        lead, tail = not t[0].isalpha(), not t[-1].isalpha()
+        codes = [0] * lead + codes + [0] * tail if any(c.isalpha() for c in t) else [0, 0, 0]
+        plain = sum((np.roll(book.letter(a).astype(float), 2) * np.roll(book.letter(b).astype(float), 1) * book.letter(c) for a, b, c in zip(codes, codes[1:], codes[2:])), np.zeros(64))
+        assert np.array_equal(row, plain), t
+
+
+def test_language_id(spark, odd_docs, no_docs, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = language_id.predict_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    got = language_id.predict_languages(odd_docs).collect()
+    assert len(got) == 11 and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (2, 3, 6)} == {"und"}
+    assert language_id.predict_languages(no_docs).count() == 0
+    assert {r["lang_pred"] for r in language_id.predict_languages(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# 8
+
+
+def plain_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    rest, left, out = set(names), 1.5 * sum(sizes.values()), {}
+    while rest:
+        total = sum(weight[s] for s in rest)
+        over = {s for s in rest if left * weight[s] / total > 2 * sizes[s]}
+        if not over:
+            return out | {s: left * weight[s] / total for s in rest}
+        for s in over:
+            out[s] = 2 * sizes[s]
+            left -= out[s]
+        rest -= over
+    return out
+
+
+def check_mix(docs):
+    rows = mixing.mixed_documents(docs).collect()
+    plain = docs.collect()
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((r["doc_id"], len(words(r["text"]))) for r in plain)
+    sizes = defaultdict(int)
+    for r in plain:
+        sizes[r["source"]] += len(words(r["text"]))
+    goals = plain_targets(sizes)
+    known = defaultdict(set)
+    for r in plain:
+        known[r["doc_id"]].add(r["source"])
+    taken = defaultdict(int)
+    for r in rows:
+        assert 0 <= r["taken"] <= 2 * r["size"] and (r["position"] is not None) == (r["taken"] > 0)
+        assert any(abs(goals[s] - r["target"]) < 1e-6 and sizes[s] == r["source_size"] for s in known[r["doc_id"]])
+        taken[r["target"], r["source_size"]] += r["taken"]
+    for (target, _), n in taken.items():
+        count = sum(abs(goals[s] - target) < 1e-6 for s in goals if (target, sizes[s]) in taken)
+        assert abs(n - math.floor(target)) <= count
+    return rows
+
+
+def test_mixing(spark, odd_docs, no_docs, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = check_mix(docs)
+    assert sorted(map(tuple, first), key=str) == sorted(map(tuple, mixing.mixed_documents(docs.repartition(7)).collect()), key=str)
+    check_mix(odd_docs)
+    assert mixing.mixed_documents(no_docs).count() == 0 and mixing.training_order(no_docs).count() == 0
+
+
+def test_training_order(odd_docs):
+    got = mixing.training_order(odd_docs)
+    assert got.columns == odd_docs.columns
+    times = Counter(r["doc_id"] for r in got.collect())
+    assert not {2, 3, 6} & set(times) and max(times[i] for i in (1, 4, 7, 8, 9)) <= 2 and times[5] <= 4
+
+
+# 9
+
+
+def plain_components(texts, k, percent):
+    sets = {}
+    for i, t in texts.items():
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+    label = {i: i for i in sets}
+    changed = True
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            changed |= label[a] != label[b]
+            label[a] = label[b] = low
+    return sets, label
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates_match_all_pairs(spark, k, percent):
+    rng = random.Random(k)
+    texts = {}
+    for _ in range(12):
+        base = [rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.randint(1, 120))]
+        for _ in range(rng.randint(1, 9)):
+            copy = list(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                copy[rng.randrange(len(copy))] = rng.choice(["x", "Y", "zz"])
+            texts[rng.randrange(10_000)] = " ".join(copy)
+    texts |= {20_000: "", 20_001: None, 20_002: "  ", 20_003: "One Two", 20_004: "one two", 20_005: LONG, 20_006: LONG + "x"}
+    docs = spark.createDataFrame([(i, t, "e", i) for i, t in texts.items()], "doc_id long, text string, lang string, component_id long").repartition(4)
+    got = by_id(near_dedup.near_duplicates(docs, k, percent))
+    sets, label = plain_components(texts, k, percent)
+    assert len(got) == len(texts)
+    for i in texts:
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), label[i], label[i] == i)
+    left = near_dedup.drop_near_duplicates(docs, k, percent)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {i for i in texts if label[i] == i}
+
+
+def test_buckets_with_open_components_are_compared(spark, monkeypatch):
+    """A chain whose ends meet the hub in buckets but not in resemblance, in blocks of two."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(40):
+        copy = list(base)
+        for j in range(rng.randint(0, 9)):
+            copy[(i * 5 + j * 3) % 200] = f"n{i % 7}-{j}"
+        texts[i] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = by_id(near_dedup.near_duplicates(docs, 3, 85))
+    _, label = plain_components(texts, 3, 85)
+    assert {i: got[i]["component_id"] for i in texts} == label
+
+
+def test_near_duplicates_on_odd_rows(odd_docs, no_docs):
+    got = near_dedup.near_duplicates(odd_docs, 3, 85).collect()
+    assert len(got) == 11 and all(r["kept"] for r in got if r["doc_id"] in (1, 2, 3, 4, 5, 6, 7, 8, None))
+    assert {r["component_id"] for r in got if r["doc_id"] == 9} == {8}
+    assert near_dedup.near_duplicates(no_docs).count() == 0
+
+
+def test_likelihood_estimate():
+    rng = np.random.default_rng(3)
+    a = [rng.integers(0, 2**64 - 1, 900, dtype=np.uint64) for _ in range(20)]
+    b = [np.concatenate([x[:800], rng.integers(0, 2**64 - 1, 100, dtype=np.uint64)]) for x in a]
+    regs = [near_dedup.registers(np.concatenate(s), np.arange(0, 18_001, 900), 320) for s in (a, b)]
+    got = near_dedup.likely_resemblance(*regs, np.full(20, 900.0), np.full(20, 900.0))
+    assert abs(got.mean() - 0.8) < 0.03
+    assert np.array_equal(near_dedup.registers(np.concatenate([a[0], b[0]]), np.array([0, 1800]), 320)[0], np.maximum(regs[0][0], regs[1][0]))
+
+
+# 10
+
+
+def plain_counts(text):
+    w = words(text)
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    grams = Counter(zip(w, w[1:], w[2:]))
+    covered = {i + j for i, g in enumerate(zip(w, w[1:], w[2:])) if grams[g] > 1 for j in range(3)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts(spark, odd_docs, no_docs, sf_dir):
+    for docs in (odd_docs, spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        got = quality_rules.judge(docs).collect()
+        plain = {r["doc_id"]: r["text"] for r in docs.collect()}
+        assert len(got) == docs.count()
+        for r in got:
+            counts = plain_counts(plain[r["doc_id"]])
+            assert tuple(r)[1:6] == counts
+            assert r["base_failed"] == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0])
+            assert not (r["kept"] and r["base_failed"])
+    assert quality_rules.judge(no_docs).count() == 0
+
+
+def test_quality_separates_labelled_documents(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = quality_rules.judge(docs).join(labels, "doc_id").where("not base_failed").collect()
+    assert np.mean([r["kept"] for r in rows if r["quality"] == 1]) > 0.97
+    assert np.mean([r["kept"] for r in rows if r["quality"] == 0]) < 0.2
+
+
+def test_jensen_shannon(spark):
+    p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
+    m = [(a + b) / 2 for a, b in zip(p, q)]
+    plain = math.sqrt(sum(x * math.log2(x / y) for s in (p, q) for x, y in zip(s, m) if x) / 2)
+    got = spark.createDataFrame([(p, q)], "p array<double>, q array<double>").select(quality_rules.jensen_shannon(F.col("p"), F.col("q")).alias("d")).first()["d"]
+    assert got == pytest.approx(plain)
