@@ -19,7 +19,7 @@ from reachbase.llm.cluster import durable
 from reachbase.llm.textblock import blocks, mix
 
 #: Trusted documents that the model is trained on, about; chosen by a hash of their ids.
-MAX_TRAINING_DOCUMENTS = 2_000
+MAX_TRAINING_DOCUMENTS = 1_000
 #: Rows of a model table up to which it is broadcast; a larger one is joined by a shuffle.
 MAX_BROADCAST_NGRAMS = 3_000_000
 #: Quantile of a language's trusted perplexities up to which documents are kept.
@@ -35,10 +35,10 @@ _KEYS = ("uni", "bi", "tri", "after_1", "after_2")
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each word: hashes of the n-grams that end in it and of the one and two words before it.
 
-    lang stands in a document's first row alone. A document without words has one row without hashes.
+    A document without words has one row without hashes.
     """
     for batch in batches:
-        ids, langs = batch.column("doc_id"), batch.column("lang")
+        ids = batch.column("doc_id")
         for part, block in blocks(batch.column("text"), lower=True):
             start, end, bounds = block.words()
             word = block.hashes(start, end)
@@ -53,18 +53,16 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = np.zeros(len(rows), bool)
             none[len(word) :] = True
             columns = [pa.array(np.concatenate([m, np.zeros(len(empty), np.uint64)]).view(np.int64), mask=none) for m in made]
-            later = np.zeros(len(rows), bool)
-            later[: len(word)] = place > 0
-            lang = langs.take(pa.array(rows, mask=later))
+            own = ids.take(pa.array(rows))
             at = 0
             while at < len(rows):
-                yield pa.RecordBatch.from_arrays([c.slice(at, 65_536) for c in (ids.take(pa.array(rows)), lang, *columns)], ["doc_id", "lang", *_KEYS])
+                yield pa.RecordBatch.from_arrays([c.slice(at, 65_536) for c in (own, *columns)], ["doc_id", *_KEYS])
                 at += 65_536
 
 
 def word_rows(docs: DataFrame) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    return texts.mapInArrow(_grams, "doc_id long, lang string, " + ", ".join(f"{k} long" for k in _KEYS))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.mapInArrow(_grams, "doc_id long, " + ", ".join(f"{k} long" for k in _KEYS))
 
 
 class Model(NamedTuple):
@@ -119,6 +117,12 @@ def train(docs: DataFrame) -> Model | None:
     return Model(p_uni, p_bi, p_tri, left_1.select("after_1", F.col("left").alias("left_1")), left_2.select("after_2", F.col("left").alias("left_2")), unseen)
 
 
+def _with_lang(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows by doc_id with the document's lang (of several the last by name)."""
+    langs = docs.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("lang").cast("string")).alias("lang"))
+    return rows.join(langs, F.col("doc_id").eqNullSafe(F.col("_id")))
+
+
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, n_words and perplexity (null without words), one row for each doc_id.
 
@@ -132,8 +136,8 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     uni = F.coalesce("p_uni", F.lit(model.unseen))
     bi = F.coalesce("p_bi", F.coalesce("left_1", F.lit(1.0)) * uni)
     tri = F.coalesce("p_tri", F.coalesce("left_2", F.lit(1.0)) * bi)
-    sums = rows.groupBy("doc_id").agg(F.max("lang").alias("lang"), F.count("uni").alias("n_words"), F.sum(F.when(F.col("uni").isNotNull(), F.log(tri))).alias("_log"))
-    return sums.select("doc_id", "lang", "n_words", F.round(F.exp(-F.col("_log") / F.col("n_words")), 4).alias("perplexity"))
+    sums = rows.groupBy("doc_id").agg(F.count("uni").alias("n_words"), F.sum(F.when(F.col("uni").isNotNull(), F.log(tri))).alias("_log"))
+    return _with_lang(sums, docs).select("doc_id", "lang", "n_words", F.round(F.exp(-F.col("_log") / F.col("n_words")), 4).alias("perplexity"))
 
 
 def trusted_sample(labels: DataFrame, most: int = MAX_TRAINING_DOCUMENTS) -> tuple[DataFrame, Column]:
@@ -157,7 +161,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = durable(trusted.where(training))  # bounded by MAX_TRAINING_DOCUMENTS
     model = train(docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), docs["doc_id"] == F.col("_id"), "left_semi"))
     if model is None:
-        counted = word_rows(docs).groupBy("doc_id").agg(F.max("lang").alias("lang"), F.count("uni").alias("n_words"))
+        counted = _with_lang(word_rows(docs).groupBy("doc_id").agg(F.count("uni").alias("n_words")), docs)
         nothing = F.lit(None).cast("double")
         return counted.select("doc_id", "lang", "n_words", nothing.alias("perplexity"), nothing.alias("limit"), F.lit(True).alias("kept"))
     rated = durable(perplexities(docs, model))
