@@ -82,6 +82,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+def _crc_table() -> str:
+    """The table of CRC-32 from its polynomial, as a SQL list."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return "[" + ", ".join(map(str, out)) + "]"
+
+
+def _quality_sql() -> str:
+    """The rules in long form: a row for each document and bin of its histograms."""
+    classes = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x20\x09-\x0D]", "stop": """[.,:;!?\'\'"()-]""", "symbol": "[#*$%&|<>]", "wide": r"[^\x00-\x7F]"}
+    counts = ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {c}_" for c, p in classes.items())
+    listed = ", ".join(f"('{c}', {c}_)" for c in classes) + ", ('other', length(text) - " + " - ".join(f"{c}_" for c in classes) + ")"
+    words = ", ".join(f"'{w}'" for w in quality_rules.LEXICON)
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT doc_id, lang, text, w, len(w) AS n_words, {counts} FROM d),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+gram AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x, y, z) AS n FROM (SELECT doc_id, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE z IS NOT NULL),
+again AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM gram CROSS JOIN range(3) r(j) WHERE n > 1 GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+size AS (SELECT doc_id, sum(length(x))::bigint AS word_chars FROM word GROUP BY doc_id),
+base AS (
+  SELECT c.doc_id, lang, n_words, coalesce(word_chars, 0) AS word_chars, symbol_ AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) AS chars,
+         n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
+  FROM c LEFT JOIN again USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN size USING (doc_id)),
+histogram AS (
+  SELECT doc_id, 'class' AS kind, v.bin, v.n FROM c, LATERAL (VALUES {listed}) v(bin, n)
+  UNION ALL SELECT doc_id, 'word', bin, count(*) FROM (SELECT doc_id, CASE WHEN y IN ({words}) THEN y ELSE '' END AS bin FROM (SELECT doc_id, translate(x, {_LETTERS}) AS y FROM word)) GROUP BY doc_id, bin),
+bins AS (SELECT DISTINCT kind, bin FROM histogram),
+summed AS (SELECT lang, kind, bin, sum(n) AS n FROM histogram JOIN base USING (doc_id) WHERE NOT base_failed AND n_symbols <= 0.01::double * word_chars GROUP BY ALL),
+reference AS (SELECT lang, kind, bin, n / sum(n) OVER (PARTITION BY lang, kind) AS q FROM summed),
+grid AS (
+  SELECT base.doc_id, bins.kind, coalesce(h.n, 0) / nullif(sum(h.n) OVER (PARTITION BY base.doc_id, bins.kind), 0) AS p, coalesce(r.q, 0) AS q
+  FROM base CROSS JOIN bins LEFT JOIN histogram h ON h.doc_id = base.doc_id AND h.kind = bins.kind AND h.bin = bins.bin
+  LEFT JOIN reference r ON r.lang IS NOT DISTINCT FROM base.lang AND r.kind = bins.kind AND r.bin = bins.bin
+  WHERE EXISTS (SELECT 1 FROM reference x WHERE x.lang IS NOT DISTINCT FROM base.lang)),
+distance AS (
+  SELECT doc_id, kind, round(sqrt(greatest(0.0::double, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)), 6) AS d FROM grid WHERE p IS NOT NULL GROUP BY doc_id, kind),
+rated AS (
+  SELECT base.*, CASE WHEN chars >= {quality_rules.MIN_CHARS} THEN a.d END AS class_distance, CASE WHEN n_words >= {quality_rules.MIN_WORDS} THEN b.d END AS word_distance
+  FROM base LEFT JOIN distance a ON a.doc_id = base.doc_id AND a.kind = 'class' LEFT JOIN distance b ON b.doc_id = base.doc_id AND b.kind = 'word')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(class_distance, 0) <= {quality_rules.MAX_CLASS_DISTANCE}::double AND coalesce(word_distance, 0) <= {quality_rules.MAX_WORD_DISTANCE}::double AS kept, class_distance, word_distance
+FROM rated"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": f"""
 WITH rules(verdict, host, path) AS (
@@ -98,4 +149,60 @@ WITH rules(verdict, host, path) AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN best USING (host, path)
 """,
+    # The texts' bytes come from their hexadecimal form.
+    "op6_sharding": f"""
+WITH raw AS (
+  SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) + 1 AS size FROM documents
+), bytes AS (
+  SELECT doc_id, size, list_transform(regexp_extract_all(h, '..'), lambda p: (strpos('0123456789ABCDEF', p[1]) - 1) * 16 + strpos('0123456789ABCDEF', p[2]) - 1) AS b FROM raw
+), sized AS (
+  SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor({_crc_table()}[(xor(c, x) & 255) + 1], c >> 8)))::bigint AS text_crc32 FROM bytes
+), placed AS (
+  SELECT *, sum(size) OVER () AS total, coalesce(sum(size) OVER w, 0) AS before, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS i
+  FROM sized WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), cut AS (
+  SELECT *, CAST(least(7, ((2 * before + size) * 8) // (2 * total)) AS int) AS shard FROM placed
+)
+SELECT doc_id, CAST(size AS bigint) AS size, text_crc32, 'bytes' AS law, shard, i - min(i) OVER (PARTITION BY shard) AS slot, CAST(NULL AS int) AS grown_shard FROM cut
+""",
+    "op8_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), totals AS (
+  SELECT source, sum(size)::bigint AS source_size FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM totals
+), weighted AS (
+  SELECT *, [5, 2, 1][r % 3 + 1] AS w, [0.5, 0.0, -0.5][r % 3 + 1]::double AS a, 2 * source_size AS cap FROM ranked
+), tried AS (
+  SELECT *, row_number() OVER (ORDER BY cap::double / w, r) AS place,
+    (sum(source_size) OVER () * 1.5::double - coalesce(sum(cap) OVER e, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER e, 0)) AS level
+  FROM weighted WINDOW e AS (ORDER BY cap::double / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), goal AS (
+  SELECT *, least(cap::double, (SELECT arg_min(level, place) FROM tried WHERE level * w <= cap) * w) AS target FROM tried
+), placed AS (
+  SELECT s.doc_id, s.size, g.source_size, g.target, g.a, coalesce(sum(s.size) OVER (PARTITION BY g.r ORDER BY md5(coalesce(s.doc_id::varchar, '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
+), mixed AS (
+  SELECT *, greatest(0, least(size, floor(target)::bigint - before)) AS once, greatest(0, least(size, floor(target)::bigint - before - source_size)) AS twice, before / target AS y FROM placed
+)
+SELECT doc_id, size::bigint AS size, source_size, target, (once + twice)::bigint AS taken, CASE WHEN once > 0 THEN round(2 * y / ((1 - a) + sqrt((1 - a) * (1 - a) + 4 * a * y)), 6) END AS position FROM mixed
+""",
+    "op9_near_dedup": rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM split
+), sizes AS (
+  SELECT d.doc_id, count(s) AS n FROM documents d LEFT JOIN shingles USING (doc_id) GROUP BY d.doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reached AS (
+  SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.seen = l.a
+)
+SELECT doc_id, n AS n_shingles, min(seen) AS component_id, min(seen) = doc_id AS kept FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id, n
+""",
+    "op10_quality_rules": _quality_sql(),
 }
