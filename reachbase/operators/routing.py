@@ -70,7 +70,9 @@ def ridden(labels: DataFrame, stops: DataFrame, windows: DataFrame, cutoffs: Dat
     """
     boards = labels.join(stops, "stop_id").join(windows, "trip_id")
     start = earliest_start(F.col("first_start"), F.col("last_start"), F.col("headway"), F.col("t") + board_slack, F.col("off"))
-    boards = boards.select("query", "trip_id", "pos", start.alias("start")).where("start IS NOT NULL").groupBy("query", "trip_id", "pos").agg(F.min("start").alias("start"))
+    boards = boards.join(cutoffs, "query").select("query", "trip_id", "pos", "off", "cutoff", start.alias("start"))
+    # Whoever boards after the cutoff arrives after it too.
+    boards = boards.where("start IS NOT NULL AND start + off <= cutoff").groupBy("query", "trip_id", "pos").agg(F.min("start").alias("start"))
     rides = boards.select("query", "trip_id").distinct()
     along = Window.partitionBy("query", "trip_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     visits = rides.join(stops, "trip_id").join(boards, ["query", "trip_id", "pos"], "left").withColumn("_run", F.min("start").over(along))
@@ -100,10 +102,17 @@ def earliest_arrivals(seeds: DataFrame, stops: DataFrame, windows: DataFrame, tr
 
 
 def next_departures(asks: DataFrame, connections: DataFrame) -> DataFrame:
-    """ask_id, dest, dep, arr: of asks (ask_id, origin, ready) the first connection (origin, dest, dep, arr) to each destination."""
-    found = asks.join(connections, "origin").where("dep >= ready")
-    best = F.min(F.struct("dep", "arr"))
-    return found.groupBy("ask_id", "dest").agg(best["dep"].alias("dep"), best["arr"].alias("arr"))
+    """ask_id, dest, dep, arr: of asks (ask_id, origin, ready) the first connection (origin, dest, dep, arr) to each destination.
+
+    Asks and connections of an origin and destination are laid on one time axis and walked once
+    backwards, so the rows are asks x destinations and connections, never their product.
+    """
+    each = connections.groupBy("origin", "dest", "dep").agg(F.min("arr").alias("arr"))
+    wanted = asks.join(each.select("origin", "dest").distinct(), "origin").select("origin", "dest", F.col("ready").cast("long").alias("at"), F.lit(1).alias("_ask"), "ask_id", F.lit(None).cast("struct<dep: bigint, arr: bigint>").alias("_next"))
+    offered = each.select("origin", "dest", F.col("dep").cast("long").alias("at"), F.lit(0).alias("_ask"), F.lit(None).cast(dict(asks.dtypes)["ask_id"]).alias("ask_id"), F.struct(F.col("dep").cast("long").alias("dep"), F.col("arr").cast("long").alias("arr")).alias("_next"))
+    later = Window.partitionBy("origin", "dest").orderBy(F.desc("at"), "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    found = wanted.unionByName(offered).withColumn("_next", F.last("_next", ignorenulls=True).over(later)).where("_ask = 1 AND _next IS NOT NULL")
+    return found.select("ask_id", "dest", "_next.dep", "_next.arr")
 
 
 def rail_arrivals(seeds: DataFrame, connections: DataFrame, transfers: DataFrame) -> DataFrame:

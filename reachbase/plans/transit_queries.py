@@ -286,12 +286,12 @@ l{i + 1} AS (SELECT q, stop_id, min(t) AS t FROM (SELECT * FROM l{i} UNION ALL S
 
 
 def _seeds(t, time: int):
-    """One origin for each nation: its first stop."""
-    first = t("supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("stop_id"))
-    return first.select(F.col("s_nationkey").cast("long").alias("query"), "stop_id", F.lit(time).cast("long").alias("t"))
+    """One origin for each region: its first stop."""
+    first = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.min("s_suppkey").alias("stop_id"))
+    return first.select(F.col("n_regionkey").cast("long").alias("query"), "stop_id", F.lit(time).cast("long").alias("t"))
 
 
-_SEEDS = "SELECT CAST(s_nationkey AS bigint) AS q, min(s_suppkey) AS stop_id, CAST({time} AS bigint) AS t FROM supplier GROUP BY s_nationkey"
+_SEEDS = "SELECT CAST(n_regionkey AS bigint) AS q, min(s_suppkey) AS stop_id, CAST({time} AS bigint) AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey"
 _FORWARD = _rounds(3, "{pattern_stop}", "baked", _SEEDS.replace("{time}", "28800"), 28800 + 3000, 20, 0)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import math
 import zipfile
 from collections.abc import Iterator
 
@@ -53,13 +54,13 @@ def read_gtfs(spark: SparkSession, path: str, table: str, tag: str | None = None
                     if f"{table}.txt" not in z.namelist():
                         continue
                     with z.open(f"{table}.txt") as member:
-                        for part in pd.read_csv(member, dtype=str, chunksize=50_000, encoding="utf-8-sig", keep_default_na=False, skip_blank_lines=True):
-                            part = part.rename(columns=str.strip).reindex(columns=names).replace("", None)
+                        for part in pd.read_csv(member, dtype=object, chunksize=50_000, encoding="utf-8-sig", keep_default_na=False, skip_blank_lines=True):
+                            part = part.rename(columns=str.strip).reindex(columns=names)
                             for c, kind in kinds.items():
-                                if kind != "string":
-                                    part[c] = pd.to_numeric(part[c], errors="coerce")
-                                    if kind == "int":
-                                        part[c] = part[c].astype("Int64").astype("Int32")
+                                if kind == "string":
+                                    part[c] = pd.Series([v or None if isinstance(v, str) else None for v in part[c]], index=part.index, dtype=object)
+                                else:
+                                    part[c] = pd.to_numeric(part[c], errors="coerce").astype("Float64" if kind == "double" else "Int32")
                             yield part
 
     out = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, schema)
@@ -150,6 +151,6 @@ def missing_requests(plan: DataFrame, landed: DataFrame, keys: list[str]) -> Dat
 
 def tiles(spark: SparkSession, south: float, west: float, north: float, east: float, step: float) -> DataFrame:
     """A box cut into tiles, by whole-number rows and columns so that no rounding adds up."""
-    rows, cols = (max(1, int(-(-(b - a) // step))) for a, b in ((south, north), (west, east)))
+    rows, cols = (max(1, math.ceil((b - a) / step - 1e-9)) for a, b in ((south, north), (west, east)))
     grid = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
     return grid.select("row", "col", (south + F.col("row") * step).alias("south"), (west + F.col("col") * step).alias("west"), F.least(F.lit(north), south + (F.col("row") + 1) * step).alias("north"), F.least(F.lit(east), west + (F.col("col") + 1) * step).alias("east"))
