@@ -65,17 +65,17 @@ def walked(improved: DataFrame, transfers: DataFrame, cutoffs: DataFrame) -> Dat
 def ridden(labels: DataFrame, stops: DataFrame, windows: DataFrame, cutoffs: DataFrame, board_slack: int, arrive_slack: int) -> DataFrame:
     """The least arrival of one ride more at each stop: query, stop_id, t.
 
-    Only the positions of patterns that a query has reached are joined; every later position
+    Only the positions of patterns that a query has reached are boarded; every later position
     sees the least departure of those before it.
     """
     boards = labels.join(stops, "stop_id").join(windows, "trip_id")
     start = earliest_start(F.col("first_start"), F.col("last_start"), F.col("headway"), F.col("t") + board_slack, F.col("off"))
     boards = boards.join(cutoffs, "query").select("query", "trip_id", "pos", "off", "cutoff", start.alias("start"))
-    # Whoever boards after the cutoff arrives after it too.
-    boards = boards.where("start IS NOT NULL AND start + off <= cutoff").groupBy("query", "trip_id", "pos").agg(F.min("start").alias("start"))
-    rides = boards.select("query", "trip_id").distinct()
-    along = Window.partitionBy("query", "trip_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    visits = rides.join(stops, "trip_id").join(boards, ["query", "trip_id", "pos"], "left").withColumn("_run", F.min("start").over(along))
+    # Whoever boards after the cutoff arrives after it too. A ride holds a place for each stop of its trip at most.
+    boards = boards.where("start IS NOT NULL AND start + off <= cutoff")
+    rides = boards.groupBy("query", "trip_id").agg(F.collect_list(F.struct("pos", "start")).alias("_boards"))
+    before = F.array_min(F.transform(F.filter("_boards", lambda b: b["pos"] < F.col("pos")), lambda b: b["start"]))
+    visits = rides.join(stops, "trip_id").withColumn("_run", before)
     arrive = visits.where("_run IS NOT NULL").select("query", "stop_id", (F.col("_run") + F.col("off") + arrive_slack).alias("t"))
     return arrive.join(cutoffs, "query").where("t <= cutoff").groupBy("query", "stop_id").agg(F.min("t").alias("t"))
 

@@ -299,7 +299,8 @@ def _arrivals(t, rounds: int, checkpoint: bool = True):
     seeds = _seeds(t, 28800)
     cutoffs = seeds.select("query", F.lit(28800 + 3000).alias("cutoff"))
     transfers = graph.cut_lineage(routing.walking_transfers(t("stop"), most=100_000))
-    return routing.earliest_arrivals(seeds, t("pattern_stop"), _baked(t), transfers, cutoffs, rounds, checkpoint=checkpoint)
+    # The rounds read the patterns again and again; the windows behind them run once.
+    return routing.earliest_arrivals(seeds, graph.cut_lineage(t("pattern_stop")), graph.cut_lineage(_baked(t)), transfers, cutoffs, rounds, checkpoint=checkpoint)
 
 
 @query(f"WITH {_NET}, {_FORWARD} SELECT q AS query, stop_id, t FROM l3")

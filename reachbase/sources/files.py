@@ -119,7 +119,7 @@ def decode_entities(text):
     parts = F.split(text, r"(?=&#\d{1,7};)")
     code = lambda p: F.regexp_extract(p, r"^&#(\d{1,7});", 1)
     utf16 = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(parts, lambda p: F.when(code(p) != "", F.concat(utf16(code(p).cast("int")), F.regexp_replace(p, r"^&#\d{1,7};", ""))).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(F.coalesce(code(p).try_cast("int") < 0xD800, F.lit(False)), F.concat(utf16(code(p).cast("int")), F.regexp_replace(p, r"^&#\d{1,7};", ""))).otherwise(p)), "")
 
 
 def read_legacy_csv(spark: SparkSession, path: str, schema: str, encoding: str = "cp949") -> DataFrame:
