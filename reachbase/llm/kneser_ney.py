@@ -1,8 +1,10 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney trigram model in count tables.
 
 The model follows Chen and Goodman, "An Empirical Study of Smoothing Techniques for Language
-Modeling" (1998). N-grams are 64-bit hashes; counts, discounts and probabilities are Spark
-tables keyed by them, and a document's n-grams meet the tables in equi-joins.
+Modeling" (1998). N-grams are 64-bit hashes. A text's log probability is a sum with a term for
+each n-gram and each history that the model knows: what the n-gram adds to the estimate of its
+shorter form, and the weight that its history leaves to that form. Distinct n-grams of each
+document, with their counts, meet those terms in one equi-join.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reachbase.llm.cluster import durable
-from reachbase.llm.textblock import blocks, mix
+from reachbase.llm.cluster import durable, stored
+from reachbase.llm.textblock import TextBlock, blocks, mix
 
-#: Trusted documents that the model is trained on, about; chosen by a hash of their ids.
-MAX_TRAINING_DOCUMENTS = 1_000
-#: Rows of a model table up to which it is broadcast; a larger one is joined by a shuffle.
-MAX_BROADCAST_NGRAMS = 3_000_000
+#: Share of the trusted documents that the model is trained on, chosen by a hash of their ids; the others set the limits.
+TRAINING_SHARE = 0.5
+#: Rows of a table up to which it is broadcast; a larger one is joined by a shuffle.
+MAX_BROADCAST_ROWS = 3_000_000
 #: Quantile of a language's trusted perplexities up to which documents are kept.
 HIGH = 0.995
 #: Documents with fewer words aren't judged.
@@ -32,47 +34,71 @@ _FOLD = np.uint64(0xD6E8FEB86659FD93)
 _KEYS = ("uni", "bi", "tri", "after_1", "after_2")
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each word: hashes of the n-grams that end in it and of the one and two words before it.
+def _grams(block: TextBlock) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Each word's document, and hashes of the n-grams that end in it and of the one and two words before it."""
+    start, end, bounds = block.words()
+    word = block.hashes(start, end)
+    counts = np.diff(bounds)
+    place = np.arange(len(word)) - np.repeat(bounds[:-1], counts)
+    one = np.where(place > 0, np.roll(word, 1), _START)
+    two = mix(np.where(place > 1, np.roll(word, 2), _START) * _FOLD + one)
+    made = (word, mix(one * _FOLD + word), mix(two * _FOLD + word), one, two)
+    return np.repeat(np.arange(len(block)), counts), dict(zip(_KEYS, made, strict=True))
 
-    A document without words has one row without hashes.
-    """
+
+def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), 65_536):
+        yield pa.RecordBatch.from_arrays([c.slice(at, 65_536) for c in columns], names)
+
+
+def _each_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of the texts."""
     for batch in batches:
-        ids = batch.column("doc_id")
-        for part, block in blocks(batch.column("text"), lower=True):
-            start, end, bounds = block.words()
-            word = block.hashes(start, end)
-            counts = np.diff(bounds)
-            doc = np.repeat(np.arange(len(block)), counts)
-            place = np.arange(len(word)) - np.repeat(bounds[:-1], counts)
-            one = np.where(place > 0, np.roll(word, 1), _START)
-            two = mix(np.where(place > 1, np.roll(word, 2), _START) * _FOLD + one)
-            made = (word, mix(one * _FOLD + word), mix(two * _FOLD + word), one, two)
-            empty = np.flatnonzero(counts == 0)
-            rows = part.start + np.concatenate([doc, empty])
-            none = np.zeros(len(rows), bool)
-            none[len(word) :] = True
-            columns = [pa.array(np.concatenate([m, np.zeros(len(empty), np.uint64)]).view(np.int64), mask=none) for m in made]
-            own = ids.take(pa.array(rows))
-            at = 0
-            while at < len(rows):
-                yield pa.RecordBatch.from_arrays([c.slice(at, 65_536) for c in (own, *columns)], ["doc_id", *_KEYS])
-                at += 65_536
-
-
-def word_rows(docs: DataFrame) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(_grams, "doc_id long, " + ", ".join(f"{k} long" for k in _KEYS))
+        for _, block in blocks(batch.column("text"), lower=True):
+            _, grams = _grams(block)
+            yield from _sliced([pa.array(grams[k].view(np.int64)) for k in _KEYS], list(_KEYS))
+
+
+def _each_key(*kinds: tuple[str, bool]):
+    """For mapInArrow: a row for each document and distinct key, with how often it is an n-gram (n) and a history (h)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for part, block in blocks(batch.column("text"), lower=True):
+                doc, grams = _grams(block)
+                if not len(doc):
+                    continue
+                key = np.concatenate([grams[k] for k, _ in kinds])
+                gram = np.repeat([not history for _, history in kinds], len(doc))
+                doc = np.tile(doc, len(kinds))
+                order = np.lexsort((key, doc))
+                key, doc, gram = key[order], doc[order], gram[order].astype(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
+                n, both = np.add.reduceat(gram, first), np.diff(np.append(first, len(key)))
+                found = [ids.take(pa.array(part.start + doc[first])), pa.array(key[first].view(np.int64)), pa.array(n.astype(np.int32)), pa.array((both - n).astype(np.int32))]
+                yield from _sliced(found, ["doc_id", "key", "n", "h"])
+
+    return rows
+
+
+def _keys(docs: DataFrame, *kinds: tuple[str, bool]) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_each_key(*kinds), "doc_id long, key long, n int, h int")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """The table, broadcast if it has up to MAX_BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
 
 
 class Model(NamedTuple):
-    """Probabilities of seen n-grams by their hashes, and the weight that a seen history leaves to the shorter one."""
+    """Terms of a log probability by n-gram hash: ``gain`` where the n-gram stands, ``left`` where it is a history.
+
+    words has one row for each word; grams may have two rows for a bigram, whose terms add up.
+    """
 
-    uni: DataFrame
-    bi: DataFrame
-    tri: DataFrame
-    left_1: DataFrame
-    left_2: DataFrame
+    words: DataFrame
+    grams: DataFrame
     unseen: float
 
 
@@ -100,9 +126,9 @@ def _histories(counts: DataFrame, history: str, d: tuple[float, float, float]) -
 
 def train(docs: DataFrame) -> Model | None:
     """The model of docs' texts. Trigrams are counted; bigrams and words by the words they continue."""
-    rows = word_rows(docs).where("uni is not null")
-    tri = durable(rows.groupBy("tri", "after_2", "bi", "after_1", "uni").agg(F.count("*").alias("n")))
-    bi = durable(tri.groupBy("bi", "after_1", "uni").agg(F.count("*").alias("n")))
+    words = docs.select("text").mapInArrow(_each_word, ", ".join(f"{k} long" for k in _KEYS))
+    tri = stored(words.groupBy("tri", "after_2", "bi", "after_1", "uni").agg(F.count("*").alias("n")))
+    bi = stored(tri.groupBy("bi", "after_1", "uni").agg(F.count("*").alias("n")))
     uni = durable(bi.groupBy("uni").agg(F.count("*").alias("n")))
     totals = uni.agg(F.count("*").alias("words"), F.sum("n").alias("total")).first()
     if not totals["words"]:
@@ -111,64 +137,73 @@ def train(docs: DataFrame) -> Model | None:
     freed = uni.agg(F.sum(F.col("n") - _less(d1)).alias("freed")).first()["freed"] / totals["total"]
     unseen = freed / (totals["words"] + 1)
     p_uni = durable(uni.select("uni", (_less(d1) / totals["total"] + unseen).alias("p_uni")))
-    left_1, left_2 = durable(_histories(bi, "after_1", d2)), durable(_histories(tri, "after_2", d3))
-    p_bi = durable(bi.join(left_1, "after_1").join(p_uni, "uni").select("bi", (_less(d2) / F.col("followed") + F.col("left") * F.col("p_uni")).alias("p_bi")))
-    p_tri = durable(tri.join(left_2, "after_2").join(p_bi, "bi").select("tri", (_less(d3) / F.col("followed") + F.col("left") * F.col("p_bi")).alias("p_tri")))
-    return Model(p_uni, p_bi, p_tri, left_1.select("after_1", F.col("left").alias("left_1")), left_2.select("after_2", F.col("left").alias("left_2")), unseen)
-
-
-def _with_lang(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows by doc_id with the document's lang (of several the last by name)."""
-    langs = docs.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("lang").cast("string")).alias("lang"))
-    return rows.join(langs, F.col("doc_id").eqNullSafe(F.col("_id")))
-
-
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, n_words and perplexity (null without words), one row for each doc_id.
-
-    A model table up to MAX_BROADCAST_NGRAMS rows is broadcast; a larger one is met by a
-    shuffled join on the n-gram. The sums start within each task, so a document's words come
-    together as one row for each task.
+    left_1, left_2 = durable(_histories(bi, "after_1", d2)), _histories(tri, "after_2", d3)
+    own = _less(d2) / F.col("followed")
+    joined = bi.join(_small(left_1), "after_1").join(_small(p_uni), "uni")
+    p_bi = stored(joined.select("bi", (own + F.col("left") * F.col("p_uni")).alias("p_bi"), (F.col("left") * F.col("p_uni")).alias("_shorter")))
+    shorter = F.col("left") * F.col("p_bi")
+    p_tri = tri.select("tri", "after_2", "bi", "n").join(left_2, "after_2").join(p_bi, "bi").select("tri", (_less(d3) / F.col("followed") + shorter).alias("p_tri"), shorter.alias("_shorter"))
+    terms = [
+        p_uni.select(F.col("uni").alias("key"), F.log(F.col("p_uni") / unseen).alias("gain"), F.lit(0.0).alias("left")),
+        left_1.select("after_1", F.lit(0.0), F.log("left")),
+        p_bi.select(F.col("bi").alias("key"), F.log(F.col("p_bi") / F.col("_shorter")).alias("gain"), F.lit(0.0).alias("left")),
+        left_2.select("after_2", F.lit(0.0), F.log("left")),
+        p_tri.select("tri", F.log(F.col("p_tri") / F.col("_shorter")), F.lit(0.0)),
+    ]
+    of_words = durable(terms[0].union(terms[1]).groupBy("key").agg(F.sum("gain").alias("gain"), F.sum("left").alias("left")))
+    return Model(of_words, terms[2].union(terms[3]).union(terms[4]), unseen)
+
+
+def perplexities(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang (of several the last by name), n_words and perplexity (null without words or model), one row for each doc_id.
+
+    The words' table is broadcast up to MAX_BROADCAST_ROWS rows; the longer n-grams meet theirs in
+    a shuffled join. A key that many documents share has one row for each of them, which a skewed
+    join's splits spread.
     """
-    rows = word_rows(docs)
-    for table, key in ((model.tri, "tri"), (model.bi, "bi"), (model.uni, "uni"), (model.left_1, "after_1"), (model.left_2, "after_2")):
-        rows = rows.join(F.broadcast(table) if table.count() <= MAX_BROADCAST_NGRAMS else table, key, "left")
-    uni = F.coalesce("p_uni", F.lit(model.unseen))
-    bi = F.coalesce("p_bi", F.coalesce("left_1", F.lit(1.0)) * uni)
-    tri = F.coalesce("p_tri", F.coalesce("left_2", F.lit(1.0)) * bi)
-    sums = rows.groupBy("doc_id").agg(F.count("uni").alias("n_words"), F.sum(F.when(F.col("uni").isNotNull(), F.log(tri))).alias("_log"))
-    return _with_lang(sums, docs).select("doc_id", "lang", "n_words", F.round(F.exp(-F.col("_log") / F.col("n_words")), 4).alias("perplexity"))
-
-
-def trusted_sample(labels: DataFrame, most: int = MAX_TRAINING_DOCUMENTS) -> tuple[DataFrame, Column]:
-    """Trusted labels (quality 1), and which of them, about ``most``, train the model."""
+    none = F.lit(None).cast("string").alias("lang")
+    parts = [docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("_log"))]
+    words = _keys(docs, ("uni", False), ("after_1", True))
+    if model is None:
+        parts.append(words.select("doc_id", none, F.col("n").cast("long"), F.lit(0.0)))
+    else:
+        known = F.col("n") * F.coalesce("gain", F.lit(0.0)) + F.col("h") * F.coalesce("left", F.lit(0.0))
+        parts.append(words.join(_small(model.words), "key", "left").select("doc_id", none, F.col("n").cast("long"), known + F.col("n") * F.log(F.lit(model.unseen))))
+        grams = _keys(docs, ("bi", False), ("after_2", True), ("tri", False))
+        parts.append(grams.join(model.grams, "key").select("doc_id", none, F.lit(0).cast("long"), known))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.union(part)
+    sums = rows.groupBy("doc_id").agg(F.max("lang").alias("lang"), F.sum("n_words").alias("n_words"), F.sum("_log").alias("_log"))
+    mean = F.when(F.col("n_words") > 0, F.col("_log") / F.col("n_words")) if model else F.lit(None).cast("double")
+    return sums.select("doc_id", "lang", "n_words", F.round(F.exp(-mean), 4).alias("perplexity"))
+
+
+def trusted_documents(labels: DataFrame) -> tuple[DataFrame, Column]:
+    """doc_id of trusted labels (quality 1), and whether it belongs to the TRAINING_SHARE that trains the model."""
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    share = min(0.5, most / max(1, trusted.count()))
-    return trusted, F.pmod(F.crc32(F.concat(F.lit("train"), F.col("doc_id").cast("string")).cast("binary")), F.lit(1_000_003)) < int(share * 1_000_003)
+    draw = F.pmod(F.crc32(F.concat(F.lit("train"), F.col("doc_id").cast("string")).cast("binary")), F.lit(1_000_003))
+    return trusted, draw < int(TRAINING_SHARE * 1_000_003)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_words, perplexity, limit and kept for each doc_id of docs.
 
-    The model learns from a bounded sample of the trusted documents (labels with quality 1; at
-    most half of them). The others' perplexities give each language its limit, their quantile
-    HIGH. A document is kept up to its language's limit (that of all languages where the
+    The model learns from TRAINING_SHARE of the trusted documents (labels with quality 1), so its
+    counts grow with the labels. The others' perplexities give each language its limit, their
+    quantile HIGH. A document is kept up to its language's limit (that of all languages where the
     language has no trusted document), or if it has under MIN_WORDS words, or if nothing is
     trusted at all. docs: doc_id, text, lang. Null texts count as empty; a null lang is one more
     language; rows with one doc_id count as one document; an empty table gives an empty result.
     """
-    trusted, training = trusted_sample(labels)
-    chosen = durable(trusted.where(training))  # bounded by MAX_TRAINING_DOCUMENTS
-    model = train(docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), docs["doc_id"] == F.col("_id"), "left_semi"))
-    if model is None:
-        counted = _with_lang(word_rows(docs).groupBy("doc_id").agg(F.count("uni").alias("n_words")), docs)
-        nothing = F.lit(None).cast("double")
-        return counted.select("doc_id", "lang", "n_words", nothing.alias("perplexity"), nothing.alias("limit"), F.lit(True).alias("kept"))
+    trusted, training = trusted_documents(labels)
+    chosen = durable(trusted.where(training))
+    model = train(docs.join(_small(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id").cast("long") == F.col("_id"), "left_semi"))
     rated = durable(perplexities(docs, model))
     held = rated.where(f"n_words >= {MIN_WORDS}").join(trusted.where(~training), "doc_id", "left_semi")
     limit = F.percentile_approx("perplexity", HIGH, 1_000_000).alias("limit")
     by_lang = held.groupBy(F.col("lang").alias("_lang")).agg(limit)
     overall = held.agg(limit).first()["limit"]
-    joined = rated.join(by_lang, rated["lang"].eqNullSafe(by_lang["_lang"]), "left").withColumn("limit", F.coalesce("limit", F.lit(overall)))
+    joined = rated.join(by_lang, rated["lang"].eqNullSafe(by_lang["_lang"]), "left").withColumn("limit", F.coalesce("limit", F.lit(overall).cast("double")))
     kept = F.coalesce((F.col("n_words") < MIN_WORDS) | (F.col("perplexity") <= F.col("limit")), F.lit(True))
     return joined.select("doc_id", rated["lang"], "n_words", "perplexity", "limit", kept.alias("kept"))
