@@ -68,3 +68,14 @@ def verdicts(samples: DataFrame) -> DataFrame:
     one = samples.groupBy("od_id", "band").agg(F.min("minutes").alias("low"), F.max("minutes").alias("high"), F.max("ext").alias("ext"))
     verdict = F.when(F.col("ext") < F.col("low"), "network missing").when(F.col("ext") > F.col("high"), "optimistic").otherwise("luck")
     return one.groupBy("band", verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+def effective_speeds(rows: DataFrame, by: list[str]) -> DataFrame:
+    """n and the middle km/h of legs (ours_m, ours_sec) above 300 m."""
+    legs = rows.where("ours_m > 300 AND ours_sec > 0").withColumn("_v", F.col("ours_m") / F.col("ours_sec") * 3.6)
+    return legs.groupBy(*by).agg(F.count("*").alias("n"), F.round(at_share("_v", 0.5), 3).alias("kmh"))
+
+
+def worst(rows: DataFrame, error: str, ties: list[str], limit: int = 12) -> DataFrame:
+    """The rows that are furthest off."""
+    return rows.orderBy(F.abs(F.col(error)).desc(), *ties).limit(limit)

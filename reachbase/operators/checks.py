@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reachbase.operators.ordered import implied_speeds
+
 
 def _finding(rows: DataFrame, severity: str, rule: str, key: str) -> DataFrame:
     return rows.select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
@@ -54,3 +56,17 @@ def leg_matches(asks: DataFrame, stop_times: DataFrame) -> DataFrame:
     best = F.min(F.struct((off > 1).alias("far"), off.alias("off"), F.col("_b.sec").alias("sec"), "trip_id"))
     chosen = first.groupBy("ask_id", "want").agg(best.alias("_c")).where(F.col("_c.off") <= F.greatest(F.lit(2), F.floor(F.col("want") / 2)))
     return chosen.select("ask_id", "want", F.col("_c.trip_id").alias("trip_id"), F.col("_c.off").alias("off_by"), F.col("_c.sec").alias("sec"))
+
+
+def plausibility(stops: DataFrame, stop_times: DataFrame, windows: DataFrame) -> DataFrame:
+    """Warnings: hops (trip_id, pos, stop_id, off) out of 3 to 90 km/h or far without time, headways over four hours, unused stops."""
+    hops = implied_speeds(stop_times.join(stops.select("stop_id", "lat", "lon"), "stop_id")).where("finding IS NOT NULL")
+    odd = hops.select(F.lit("warning").alias("severity"), F.col("finding").alias("rule"), F.col("trip_id").cast("string").alias("key"))
+    rare = _finding(windows.where("headway > 14400"), "warning", "headway over four hours", "trip_id")
+    return odd.unionByName(rare).unionByName(_finding(stops.join(stop_times, "stop_id", "left_anti"), "warning", "unused stop", "stop_id"))
+
+
+def axis_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """idx, name and other of two axes (idx, name) where they differ or one side has none."""
+    both = left.select("idx", "name").join(right.select("idx", F.col("name").alias("other")), "idx", "full")
+    return both.where(~F.col("name").eqNullSafe(F.col("other")))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachbase.functions.exprs import haversine
+from reachbase.functions.medians import upper_middle
 
 #: Longest chain of stations that a line's group is traced in at once.
 MAX_LINE_EDGES = 100_000
@@ -197,3 +198,23 @@ def unwound(labels: DataFrame, query: object, node: object) -> list:
         path.append((at, rows[at]["t"]))
         at = rows[at]["parent"]
     return path[::-1]
+
+
+def inferred_lines(edges: DataFrame, lines: DataFrame) -> DataFrame:
+    """a, b, line of edges (a, b) whose ends share exactly one line by lines (node, line)."""
+    known = lines.select("node", "line").distinct()
+    of_a, of_b = known.withColumnRenamed("node", "a"), known.withColumnRenamed("node", "b")
+    shared = edges.select("a", "b").distinct().join(of_a, "a").join(of_b, ["b", "line"])
+    return shared.groupBy("a", "b").agg(F.count("*").alias("_n"), F.min("line").alias("line")).where("_n = 1").drop("_n")
+
+
+def pattern_scale(stops: DataFrame) -> DataFrame:
+    """pattern_id, scale of patterns (pattern_id, dir, node): the upper middle of how many patterns of its direction share each of its nodes."""
+    visits = stops.select("pattern_id", "dir", "node").distinct()
+    shared = visits.groupBy("node", "dir").agg(F.count("*").alias("_n"))
+    return visits.join(shared, ["node", "dir"]).groupBy("pattern_id").agg(upper_middle("_n").alias("scale"))
+
+
+def interchanges(stops: DataFrame, limit: int = 12) -> DataFrame:
+    """The stops (stop_id, route_id) that most routes share."""
+    return stops.groupBy("stop_id").agg(F.count_distinct("route_id").alias("routes")).orderBy(F.desc("routes"), "stop_id").limit(limit)

@@ -144,6 +144,14 @@ def xml_items(raw: DataFrame, column: str, item: str, tags: list[str]) -> DataFr
     return each.select(*[unescape_xml(F.trim(F.regexp_extract("_x", rf"(?s)<{t}>(.*?)</{t}>", 1))).alias(t) for t in tags])
 
 
+def request_plan(*dimensions: DataFrame) -> DataFrame:
+    """Every combination of short lists (regions, months, endpoints), one request each."""
+    plan = dimensions[0].distinct()
+    for d in dimensions[1:]:
+        plan = plan.crossJoin(F.broadcast(d.distinct()))
+    return plan
+
+
 def missing_requests(plan: DataFrame, landed: DataFrame, keys: list[str]) -> DataFrame:
     """The requests of a plan that haven't landed completely yet; landed holds one row for each complete key."""
     return plan.join(landed.select(*keys).distinct(), keys, "left_anti")
