@@ -86,19 +86,21 @@ def _keys(docs: DataFrame, *kinds: tuple[str, bool]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_each_key(*kinds), "doc_id long, key long, n int, h int")
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """The table, broadcast if it has up to MAX_BROADCAST_ROWS rows."""
-    return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
+def _small(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """The table, broadcast if it has up to MAX_BROADCAST_ROWS rows (counted unless a bound is given)."""
+    return F.broadcast(table) if (table.count() if rows is None else rows) <= MAX_BROADCAST_ROWS else table
 
 
 class Model(NamedTuple):
     """Terms of a log probability by n-gram hash: ``gain`` where the n-gram stands, ``left`` where it is a history.
 
-    words has one row for each word; grams may have two rows for a bigram, whose terms add up.
+    words has one row for each word; grams may have two rows for a bigram, whose terms add up,
+    and has n_grams rows at most.
     """
 
     words: DataFrame
     grams: DataFrame
+    n_grams: int
     unseen: float
 
 
@@ -151,14 +153,14 @@ def train(docs: DataFrame) -> Model | None:
         p_tri.select("tri", F.log(F.col("p_tri") / F.col("_shorter")), F.lit(0.0)),
     ]
     of_words = durable(terms[0].union(terms[1]).groupBy("key").agg(F.sum("gain").alias("gain"), F.sum("left").alias("left")))
-    return Model(of_words, terms[2].union(terms[3]).union(terms[4]), unseen)
+    return Model(of_words, terms[2].union(terms[3]).union(terms[4]), tri.count() + 2 * bi.count() + 1, unseen)
 
 
 def perplexities(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang (of several the last by name), n_words and perplexity (null without words or model), one row for each doc_id.
 
-    The words' table is broadcast up to MAX_BROADCAST_ROWS rows; the longer n-grams meet theirs in
-    a shuffled join. A key that many documents share has one row for each of them, which a skewed
+    Each table of terms is broadcast up to MAX_BROADCAST_ROWS rows; a larger one is met in a
+    shuffled join. A key that many documents share has one row for each of them, which a skewed
     join's splits spread.
     """
     none = F.lit(None).cast("string").alias("lang")
@@ -170,7 +172,7 @@ def perplexities(docs: DataFrame, model: Model | None) -> DataFrame:
         known = F.col("n") * F.coalesce("gain", F.lit(0.0)) + F.col("h") * F.coalesce("left", F.lit(0.0))
         parts.append(words.join(_small(model.words), "key", "left").select("doc_id", none, F.col("n").cast("long"), known + F.col("n") * F.log(F.lit(model.unseen))))
         grams = _keys(docs, ("bi", False), ("after_2", True), ("tri", False))
-        parts.append(grams.join(model.grams, "key").select("doc_id", none, F.lit(0).cast("long"), known))
+        parts.append(grams.join(_small(model.grams, model.n_grams), "key").select("doc_id", none, F.lit(0).cast("long"), known))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.union(part)

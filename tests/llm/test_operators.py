@@ -138,6 +138,20 @@ def test_kneser_ney_matches_a_plain_model(spark):
     assert mass == pytest.approx(1, abs=1e-9)
 
 
+def test_shuffled_terms_equal_broadcast_terms(spark, odd_docs, monkeypatch):
+    labels = spark.createDataFrame([(i, 1) for i in range(12)], "doc_id long, quality int")
+    small = by_id(kneser_ney.classify(odd_docs, labels))
+    monkeypatch.setattr(kneser_ney, "MAX_BROADCAST_ROWS", 0)
+    assert by_id(kneser_ney.classify(odd_docs, labels)) == small and any(r["perplexity"] for r in small.values())
+
+
+def test_training_documents_grow_with_the_labels(spark):
+    for n in (1_000, 20_000):
+        labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
+        trusted, training = kneser_ney.trusted_documents(labels)
+        assert trusted.where(training).count() == pytest.approx(n / 2, rel=0.1)
+
+
 def test_classifier_on_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 1), (5, 1), (8, 1), (9, 1), (4, 0), (None, 1), (77, 1)], "doc_id long, quality int")
     got = by_id(kneser_ney.classify(odd_docs, labels))
