@@ -192,6 +192,18 @@ def _compare_blocks(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _open_buckets(rest: DataFrame) -> DataFrame:
+    """The bands of rest (band, node, component) that hold several components, one for all with the same members.
+
+    Returns band, n (rows), core (the smallest component), n_core (its rows), and further columns.
+    Sums of hashes are decimals: 64-bit ones overflow in buckets of some ten thousand members.
+    """
+    mark = F.xxhash64("node", "component")
+    by_part = rest.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("s"), F.bit_xor(mark).alias("x"))
+    shape = by_part.groupBy("band").agg(F.sum("n").alias("n"), F.min("component").alias("core"), F.min_by("n", "component").alias("n_core"), F.count("*").alias("parts"), F.sum("s").alias("s"), F.bit_xor("x").alias("x")).where("parts > 1")
+    return shape.groupBy("n", "n_core", "core", "s", "x").agg(F.min("band").alias("band"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Groups documents whose sets of k-word shingles have a resemblance of percent / 100 or more.
 
@@ -229,10 +241,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # What the hubs left apart. A hub has met all others of its bucket.
     part = F.coalesce("component", "node").alias("component")
     rest = inside.where("members > 2 and node <> hub").join(labels, "node", "left").select("band", inside["node"], part)
-    mark = F.xxhash64("node", "component")
-    by_part = rest.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum(F.shiftright(mark, 8)).alias("s"), F.bit_xor(mark).alias("x"))
-    shape = by_part.groupBy("band").agg(F.sum("n").alias("n"), F.min("component").alias("core"), F.min_by("n", "component").alias("n_core"), F.count("*").alias("parts"), F.sum("s").alias("s"), F.bit_xor("x").alias("x")).where("parts > 1")
-    shape = shape.groupBy("n", "n_core", "core", "s", "x").agg(F.min("band").alias("band"))  # buckets with the same members
+    shape = _open_buckets(rest)
     open_rows = rest.join(shape.select("band", "n", "n_core", "core"), "band")
     # The component that the bucket's smallest ids have in common has its own blocks, which don't meet each other.
     core_blocks = F.ceil(F.col("n_core") / BLOCK).cast("int")

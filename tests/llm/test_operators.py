@@ -442,6 +442,15 @@ def test_buckets_with_open_components_are_compared(spark, monkeypatch):
     assert {i: got[i]["component_id"] for i in texts} == label
 
 
+def test_hashes_of_a_large_bucket_add_up(spark):
+    """Two bands with the same two million nodes, of which all but one are in one component, and a closed band."""
+    n = 2_000_000
+    nodes = spark.range(n).select(F.col("id").alias("node"), (F.col("id") > 0).cast("long").alias("component"))
+    rest = nodes.select(F.explode(F.array(F.lit(7).cast("long"), F.lit(8).cast("long"))).alias("band"), "node", "component")
+    rest = rest.union(nodes.select(F.lit(9).cast("long"), "node", F.lit(0).cast("long")))
+    assert [(r["band"], r["n"], r["core"], r["n_core"]) for r in near_dedup._open_buckets(rest).collect()] == [(7, n, 0, 1)]
+
+
 def test_near_duplicates_on_odd_rows(odd_docs, no_docs):
     got = near_dedup.near_duplicates(odd_docs, 3, 85).collect()
     assert len(got) == 11 and all(r["kept"] for r in got if r["doc_id"] in (1, 2, 3, 4, 5, 6, 7, 8, None))
