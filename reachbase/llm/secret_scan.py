@@ -26,7 +26,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
 #: Words that announce a credential, and its value: anything up to a space, quote, comma or semicolon.
-CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pass|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?id|credentials?|authorization|bearer)["']?\x20*(?::=|=>|[:=])\x20*["']?(?:(?:basic|bearer)\x20+)?([^\s"'`,;<>|]{8,200})""", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pass|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?id|credentials?|authorization|bearer)["']?\x20*(?::=|=>|[:=])\x20*["']?(?:(?:basic|bearer)\x20+)?([^\s"'`,;<>|]{8,})""", re.IGNORECASE | re.ASCII)
 _HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"client", b"credential", b"authorization", b"bearer")
 #: Guesses, as a decimal logarithm, from which a value counts as a secret.
 MIN_COST = 12.0
@@ -101,6 +101,16 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _costly(value: str) -> bool:
+    """Whether the guess cost reaches MIN_COST; of a long value only the pieces that it takes are judged."""
+    cost = 0.0
+    for i in range(0, len(value), MAX_SPAN):
+        cost += guess_cost(value[i : i + MAX_SPAN])
+        if cost >= MIN_COST:
+            return True
+    return False
+
+
 def scan(text: str) -> list[Span]:
     """All spans of a text, by start and kind, in code points. Method spans touch no base span."""
     base = [Span("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -108,7 +118,7 @@ def scan(text: str) -> list[Span]:
     base += [Span("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     more = []
     for m in CONTEXT.finditer(text):
-        if all(m.end() <= s.start or m.start() >= s.end for s in base) and guess_cost(m[1]) >= MIN_COST:
+        if all(m.end() <= s.start or m.start() >= s.end for s in base) and _costly(m[1]):
             more.append(Span("guess", m.start(), m.end()))
     return sorted(base + more, key=lambda s: (s.start, KINDS.index(s.kind)))
 

@@ -216,6 +216,16 @@ def test_guess_cost():
         assert cost(v) <= plain(v) + 1e-9
 
 
+def test_long_values_are_masked_whole():
+    rng = random.Random(4)
+    for size in (200, 201, 600, 100_000):
+        value = "".join(rng.choice("abcXYZ0189-_.") for _ in range(size))
+        for lead in ("Authorization: Bearer ", "pwd=", "private_key: "):
+            text = f"é {lead}{value} end"
+            spans = secret_scan.scan(text)
+            assert spans == [("guess", 2, 2 + len(lead) + size)] and secret_scan.mask(text, spans) == "é [guess] end"
+
+
 def test_masking(spark):
     docs = spark.createDataFrame([(1, "é token = 12345678 end", 22, "keep"), (2, None, None, None), (3, "fine", 4, "x")], "doc_id long, text string, n_chars int, spans string")
     got = by_id(secret_scan.mask_secrets(docs))
