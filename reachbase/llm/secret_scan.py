@@ -112,13 +112,13 @@ def _costly(value: str) -> bool:
 
 
 def scan(text: str) -> list[Span]:
-    """All spans of a text, by start and kind, in code points. Method spans touch no base span."""
+    """All spans of a text, by start and kind, in code points. Method spans are those whose value no base span covers whole; they may overlap base spans."""
     base = [Span("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     base += [Span("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     base += [Span("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     more = []
     for m in CONTEXT.finditer(text):
-        if all(m.end() <= s.start or m.start() >= s.end for s in base) and _costly(m[1]):
+        if not any(s.start <= m.start(1) and m.end(1) <= s.end for s in base) and _costly(m[1]):
             more.append(Span("guess", m.start(), m.end()))
     return sorted(base + more, key=lambda s: (s.start, KINDS.index(s.kind)))
 
@@ -162,8 +162,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """The spans of every whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess.
 
     spans lists kind:start:end by start and kind, in code points, the end exclusive; base_sha256
-    hashes those that the patterns found alone. ``guess`` spans are further values in a
-    credential's place with a guess cost of MIN_COST or more. A null or empty text has none.
+    hashes those that the patterns found alone. ``guess`` spans are values in a credential's place
+    with a guess cost of MIN_COST or more that no other span covers whole. A null or empty text has none.
     Repeated rows get a row each; extra columns are ignored; an empty table gives none.
     """
     kind = dict(docs.dtypes)["doc_id"]
