@@ -41,10 +41,16 @@ placeholder demo local host server database service account name email http http
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
 # Rows of a keyboard, the alphabet and the digits.
-_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789", "qazwsxedcrfvtgbyhnujmik")
-_NEXT = {(a, b) for row in _ROWS for a, b in zip(row, row[1:], strict=False)}
-_NEXT |= {(b, a) for a, b in _NEXT}
+_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789", "qazwsxedcrfvtgbyhnujmik", "1q2w3e4r5t6y7u8i9o0p")
+#: The rows, forwards and backwards, in which one key follows another.
+_STEPS: dict[tuple[str, str], list[int]] = {}
+for _i, _row in enumerate([way for row in _ROWS for way in (row, row[::-1])]):
+    for _pair in zip(_row, _row[1:], strict=False):
+        _STEPS.setdefault(_pair, []).append(_i)
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:(?:19|20)?\d\d)")
+# Classes of characters in the shapes that people give values: words (also capital or camel case) and numbers, joined by
+# separators, between symbols. Any other order of classes is one of all characters of these classes.
+_PLAIN = re.compile(r"[s-]*d*(?:UU+|U?l*)(?:Ull+)*d*(?:-(?:d+|UU+|U?l+)(?:Ull+)*d*)*[s-]*")
 _LEET = str.maketrans("013457@$!", "oleastasi")
 
 
@@ -58,14 +64,30 @@ def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33)
 
 
+def _shape(value: str) -> str:
+    return "".join("d" if c.isdigit() else "U" if c.isupper() else "l" if c.isalpha() else "-" if c in "-_./:@" else "s" for c in value)
+
+
+def _run_cost(value: str, shape: str) -> float:
+    """The cost of trying out a span: each character from its own class in a plain shape, else from all classes of the span."""
+    if _PLAIN.fullmatch(shape):
+        return sum(map(_brute, value))
+    sizes = {("d", 10) if c.isdigit() else (k, 26) if c.isascii() and c.isalpha() else ("s", 33) for c, k in zip(value, shape, strict=True)}
+    return len(value) * math.log10(sum(n for _, n in sizes))
+
+
+def _capitals_cost(piece: str) -> float:
+    capitals = sum(c.isupper() for c in piece)
+    return 0 if not capitals else 0.3 if capitals in (1, len(piece)) and piece[0].isupper() else 0.3 * capitals
+
+
 def _word_cost(piece: str) -> float | None:
     low = piece.lower()
     plain = low if low in _RANK else low.translate(_LEET)
     if plain not in _RANK:
         return None
     changed = sum(a != b for a, b in zip(low, plain, strict=True))
-    capitals = sum(c.isupper() for c in piece)
-    return math.log10(_RANK[plain] + 1) + (0 if not capitals else 0.3 if capitals in (1, len(piece)) and (piece[0].isupper()) else 0.3 * capitals) + 0.3 * changed
+    return math.log10(_RANK[plain] + 1) + _capitals_cost(piece) + 0.3 * changed
 
 
 @lru_cache(65_536)
@@ -74,10 +96,15 @@ def guess_cost(value: str) -> float:
     if len(value) > MAX_SPAN:
         return sum(guess_cost(value[i : i + MAX_SPAN]) for i in range(0, len(value), MAX_SPAN))
     n = len(value)
+    shape = _shape(value)
+    plain = _PLAIN.fullmatch(shape) is not None
     best = [0.0] + [math.inf] * n
+    known = [0.0] + [math.inf] * n  # without a span before i that must be tried out
     walk = [0] * (n + 1)  # length of the keyboard walk that ends before i
+    along: dict[int, int] = {}
     for i in range(1, n + 1):
-        walk[i] = walk[i - 1] + 1 if i > 1 and (value[i - 2].lower(), value[i - 1].lower()) in _NEXT else 1
+        along = {row: along.get(row, 1) + 1 for row in _STEPS.get((value[i - 2].lower(), value[i - 1].lower()), ())} if i > 1 else {}
+        walk[i] = max(along.values(), default=1)
     pieces: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start and cost
     for start in range(n):
         for end in range(start + 2, min(n, start + _LONGEST) + 1):
@@ -93,11 +120,17 @@ def guess_cost(value: str) -> float:
                 own = guess_cost(value[start : start + unit]) if unit < n else math.inf
                 pieces[start + unit * times].append((start, own + math.log10(times)))
     for end in range(1, n + 1):
-        best[end] = best[end - 1] + _brute(value[end - 1])
         for length in range(3, walk[end] + 1):
-            best[end] = min(best[end], best[end - length] + math.log10(50 * length))
+            known[end] = min(known[end], best[end - length] + math.log10(50 * length) + _capitals_cost(value[end - length : end]))
         for start, cost in pieces[end]:
-            best[end] = min(best[end], best[start] + cost)
+            known[end] = min(known[end], best[start] + cost)
+        best[end] = known[end]
+        if plain:
+            best[end] = min(best[end], best[end - 1] + _brute(value[end - 1]))
+        else:  # such a span reaches from a known one to a known one
+            for start in range(end):
+                if known[start] < best[end]:
+                    best[end] = min(best[end], known[start] + _run_cost(value[start:end], shape[start:end]))
     return best[n]
 
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -238,6 +239,17 @@ def test_values_longer_than_their_base_span():
         assert secret_scan._joined(found) == spans and secret_scan.mask(text, found) == masked
 
 
+def test_random_values_of_eight_characters():
+    rng = random.Random(8)
+    for alphabet, share in ((string.ascii_letters + string.digits, 0.9), (string.ascii_letters + string.digits + "!#$%&*+?", 0.93)):
+        values = ["".join(rng.choice(alphabet) for _ in range(8)) for _ in range(500)]
+        assert np.mean([secret_scan.scan(f"pwd: {v}") == [("guess", 0, 13)] for v in values]) > share
+    for v in ("xK9#mQ2$", "Xk2pQ9rT", "Zq7!vRt4"):
+        assert secret_scan.scan(f"pwd: {v}") == [("guess", 0, 13)]
+    for v in ("password", "P@ssw0rd", "Welcome1", "whatever", "Required", "REQUIRED", "section5", "userName", "some_var", "file.txt", "sécurité", "(section", "20240115", "15.01.24", "12:30:45", "10.0.0.1", "qwertyui", "QWERTYUI", "1q2w3e4r", "1qaz2wsx", "12345678", "aB1aB1aB"):
+        assert not secret_scan.scan(f"pwd: {v}"), v
+
+
 def test_masking(spark):
     docs = spark.createDataFrame([(1, "é token = 12345678 end", 22, "keep"), (2, None, None, None), (3, "fine", 4, "x")], "doc_id long, text string, n_chars int, spans string")
     got = by_id(secret_scan.mask_secrets(docs))
