@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one block holds, unless a single text is longer.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Odd, so that it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -95,9 +95,15 @@ class TextBlock:
         if self._prefix is None:
             n = len(self.data)
             self._prefix = np.zeros(n + 1, U64)
-            np.cumsum(_BYTE_VALUES[self.data] * _power(_BASE, n)[:n], out=self._prefix[1:])
+            values = self._prefix[1:]
+            np.take(_BYTE_VALUES, self.data, out=values)
+            values *= _power(_BASE, n)[:n]
+            np.cumsum(values, out=values)
         inverse = _power(_BASE_INV, len(self.data))
-        return mix((self._prefix[end] - self._prefix[start]) * inverse[start] + (end - start).astype(U64))
+        out = self._prefix[end] - self._prefix[start]
+        out *= inverse[start]
+        out += (end - start).astype(U64)
+        return mix(out)
 
     def code_points(self) -> np.ndarray:
         """Prefix counts of code points: those in [a, b) are out[b] - out[a]."""

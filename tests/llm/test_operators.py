@@ -6,15 +6,18 @@ import math
 import random
 import re
 import string
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from reachbase.llm import fingerprint, kneser_ney, language_id, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_fst, sharding, url_filter
 from reachbase.llm.queries import PIECE_MODEL, URL_RULES
+from reachbase.llm.textblock import blocks
 from tests.llm.conftest import BASE, LONG, by_id
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -288,6 +291,89 @@ def test_space_symbol_is_not_told_from_a_space(spark):
     assert row[0]["ids"] == row[1]["ids"] and not row[0]["round_trip"] and row[1]["round_trip"]
 
 
+def _message(fields):
+    """A protocol buffer message of (number, int, float or bytes)."""
+
+    def varint(x):
+        out = []
+        while x > 127:
+            out.append(x & 127 | 128)
+            x >>= 7
+        return bytes([*out, x])
+
+    return b"".join(varint(n << 3) + varint(x) if isinstance(x, int) else varint(n << 3 | 2) + varint(len(x)) + x for n, x in fields)
+
+
+def _double_array(entries):
+    """A character map's bytes for a few entries: each node's children stand at its base, exclusive-or their labels."""
+    texts, trie = b"", {}
+    for key, value in entries.items():
+        node = trie
+        for b in key:
+            node = node.setdefault(b, {})
+        node[0] = len(texts)
+        texts += value + b"\0"
+    units, used, bases = [0] * 4096, {0}, set()
+
+    def place(node, at, label):
+        base = next(b for b in range(1, 4096) if b not in bases and not any(b ^ x in used for x in node))
+        bases.add(base)
+        used.update(base ^ x for x in node)
+        units[at] = (at ^ base) << 10 | (256 if 0 in node else 0) | label
+        for x, child in node.items():
+            if x == 0:
+                units[base] = child | 1 << 31
+            else:
+                place(child, base ^ x, x)
+
+    place(trie, 0, 0)
+    return struct.pack("<I4096I", 4 * 4096, *units) + texts
+
+
+@pytest.mark.parametrize(("kind", "collapse"), [(2, 1), (1, 1), (1, 0)])
+def test_compiled_normalisers_and_both_kinds_of_models(kind, collapse):
+    """The model with a character map, as BPE and as unigram model with scores that suit it, against the library."""
+    import sentencepiece
+
+    with open(PIECE_MODEL, "rb") as f:
+        own = list(sentencepiece_fst._fields(f.read()))
+    entries = {"ﬁ".encode(): b"fi", "①".encode(): b"1", b"\t": b" ", b"\n": b" ", "e\u0301".encode(): "é".encode(), b"e": b"e", "\u200b".encode(): b"", b"abc": b"xyz", b"ab": b" q "}
+    rng = random.Random(3)
+    changed = []
+    for n, x in own:
+        if n == 1:
+            piece = dict(sentencepiece_fst._fields(x))
+            score = struct.pack("<f", -round(rng.uniform(5, 15), 3)) if kind == 1 else piece.get(2, struct.pack("<f", 0))
+            x = _message([(1, piece[1])]) + b"\x15" + score + _message([(3, piece.get(3, 1))])
+        if n == 2:
+            x = b"".join(_message([f]) for f in [(3, kind), (35, 1)])
+        if n == 3:
+            x = _message([(1, b"own"), (2, _double_array(entries)), (3, 1), (4, collapse), (5, 1)])
+        if n in (1, 2, 3):
+            changed.append((n, x))
+    model = _message(changed)
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    vocabulary = sentencepiece_fst.Vocabulary.parse(model)
+    assert vocabulary.characters == entries and vocabulary.bpe == (kind == 2) and vocabulary.collapse_spaces == bool(collapse)
+    fst = sentencepiece_fst.Transducer(vocabulary)
+    texts = ["".join(rng.choice(["ﬁ", "①", "e\u0301", "e", "abc", "ab", " ", "  ", "\t", "\n", "the ", "x", "日", "😀", "\u200b", "tion", ","]) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", " ", "\u200b", "x" * 99 + "日" * 50]
+    for part, block in blocks(pa.array(texts)):
+        ids, bounds = fst.encode(block)
+        for i, text in enumerate(texts[part]):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(text), text
+
+
+def test_a_task_forgets_what_its_tables_cannot_hold(transducer, monkeypatch):
+    monkeypatch.setattr(sentencepiece_fst, "MEMO_WORDS", 4)
+    monkeypatch.setattr(sentencepiece_fst, "STEP_BYTES", 50)
+    transducer.__dict__.pop("_words", None)
+    texts = ["one two three four five six seven eight nine ten one two three " * 3] * 5
+    found = [transducer.encode(block)[0].tolist() for _, block in blocks(pa.array(texts), block_bytes=1)]
+    assert all(x == found[0] for x in found) and sum(len(x) for x in transducer._words[2]) == 4 * sentencepiece_fst.MEMO_PIECES
+    transducer.__dict__.pop("_words", None)
+    assert transducer.decode(np.array(found[0]), np.array([0, len(found[0])]))[0].tobytes().decode() == texts[0]
+
+
 def test_unigram_paths_are_the_cheapest():
     pieces = [f"<0x{i:02X}>".encode() for i in range(256)] + [b"a", b"b", b"ab", b"ba", b"aba", b" a", b" "]
     scores = [0.0] * 256 + [-1.0, -1.2, -1.5, -1.1, -2.9, -1.3, -0.7]
@@ -304,7 +390,7 @@ def test_unigram_paths_are_the_cheapest():
 
     for word in (b"ababa", b"abbaab", b" aab", b"bbbb"):
         rows = np.frombuffer(word, np.uint8)[None, :]
-        ids, _ = fst.paths(rows)
+        ids, _ = fst.paths(rows, np.array([len(word)]))
         assert -sum(scores[i] for i in ids) == pytest.approx(best(word)[0])
         assert -sum(scores[i] for i in fst.long_path(word)) == pytest.approx(best(word)[0])
 
