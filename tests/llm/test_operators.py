@@ -503,6 +503,24 @@ def test_training_order(odd_docs):
     assert not {2, 3, 6} & set(times) and max(times[i] for i in (1, 4, 7, 8, 9)) <= 2 and times[5] <= 4
 
 
+def test_training_order_keeps_every_row(spark):
+    """Two texts with one CRC-32 and no ids, rows that differ in one more column, equal rows, and clashing names."""
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    rows = [(None, "plumless", "a", "k", 1), (None, "buckeroo", "a", "k", 1), (1, "one two", "a", "k", 1), (1, "one two", "a", None, 1), (1, "one two", "a", None, None), (2, "three", "a", "k", 2), (2, "three", "a", "k", 2), (3, None, "a", "k", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key string, _position int").repartition(3)
+    got = mixing.training_order(docs, share=2.0)
+    assert got.columns == docs.columns
+    assert Counter(map(tuple, got.collect())) == Counter(r for r in rows * 2 if r[1])
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(6)
+    sizes = {f"s{i}": rng.choice([0, 1, 5, 1000, 10**6]) for i in range(500)} | {None: 77}
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+    goals = plain_targets(sizes)
+    assert len(got) == 501 and all(r["target"] == pytest.approx(goals[r["source"]]) and r["source_size"] == sizes[r["source"]] for r in got)
+
+
 # 9
 
 
