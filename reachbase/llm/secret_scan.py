@@ -2,7 +2,8 @@
 
 The guess cost of a value is the decimal logarithm of the guesses that an attacker needs who
 knows how people choose: the cheapest split into known words, dates, repeats, keyboard walks and
-spans that must be tried out. Only a value that costs much is worth calling a secret.
+spans that must be tried out. Only a value that costs much is worth calling a secret. Words are
+ranked by how often the corpus has them.
 """
 
 from __future__ import annotations
@@ -10,14 +11,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from reachbase.llm.textblock import TextBlock, blocks
 
@@ -30,16 +31,18 @@ CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pass|pwd|secret|token|api
 _HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"client", b"credential", b"authorization", b"bearer")
 #: Guesses, as a decimal logarithm, from which a value counts as a secret.
 MIN_COST = 12.0
-#: Values longer than this are judged by pieces of this length.
-MAX_SPAN = 64
+#: Characters of a unit that people repeat. A longer one counts each time.
+MAX_UNIT = 32
+#: Words of the corpus that are known besides the list below: the most frequent ones of WORD_LENGTHS letters. That bounds the broadcast.
+MAX_WORDS, WORD_LENGTHS = 50_000, (4, 20)
+#: Values whose costs a task remembers.
+MEMO_VALUES = 65_536
 
 # Words that people use in place of secrets, most frequent first.
 WORDS = """password secret token example changeme test admin user root default welcome letmein qwerty
 dragon master login guest hello monkey shadow sunshine princess football baseball iloveyou trustno
 access key api pass your my the here insert value string none null true false todo xxx sample dummy
 placeholder demo local host server database service account name email http https www com""".split()
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 # Rows of a keyboard, the alphabet and the digits.
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789", "qazwsxedcrfvtgbyhnujmik", "1q2w3e4r5t6y7u8i9o0p")
 #: The rows, forwards and backwards, in which one key follows another.
@@ -47,7 +50,8 @@ _STEPS: dict[tuple[str, str], list[int]] = {}
 for _i, _row in enumerate([way for row in _ROWS for way in (row, row[::-1])]):
     for _pair in zip(_row, _row[1:], strict=False):
         _STEPS.setdefault(_pair, []).append(_i)
-_DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:(?:19|20)?\d\d)")
+_MONTH, _DAY, _YEAR = "(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])", r"(?:19|20)\d\d"
+_DATES = [re.compile(x, re.ASCII) for x in (_YEAR, f"{_YEAR}[-/.]?{_MONTH}", f"{_YEAR}[-/.]?{_MONTH}[-/.]?{_DAY}", f"{_DAY}[-/.]?{_MONTH}[-/.]?{_YEAR}", rf"{_DAY}[-/.]?{_MONTH}[-/.]?\d\d")]
 # Classes of characters in the shapes that people give values: words (also capital or camel case) and numbers, joined by
 # separators, between symbols. Any other order of classes is one of all characters of these classes.
 _PLAIN = re.compile(r"[s-]*d*(?:UU+|U?l*)(?:Ull+)*d*(?:-(?:d+|UU+|U?l+)(?:Ull+)*d*)*[s-]*")
@@ -68,12 +72,14 @@ def _shape(value: str) -> str:
     return "".join("d" if c.isdigit() else "U" if c.isupper() else "l" if c.isalpha() else "-" if c in "-_./:@" else "s" for c in value)
 
 
-def _run_cost(value: str, shape: str) -> float:
-    """The cost of trying out a span: each character from its own class in a plain shape, else from all classes of the span."""
-    if _PLAIN.fullmatch(shape):
-        return sum(map(_brute, value))
-    sizes = {("d", 10) if c.isdigit() else (k, 26) if c.isascii() and c.isalpha() else ("s", 33) for c, k in zip(value, shape, strict=True)}
-    return len(value) * math.log10(sum(n for _, n in sizes))
+def _classes(value: str, shape: str) -> list[int]:
+    """Each character's class as a bit: digits, small letters, capitals, anything else."""
+    return [1 if c.isdigit() else 2 if c.isascii() and k == "l" else 4 if c.isascii() and k == "U" else 8 for c, k in zip(value, shape, strict=True)]
+
+
+#: What a character costs that is tried out from all characters of some classes.
+_TRIED = [math.log10(max(1, sum(n for bit, n in ((1, 10), (2, 26), (4, 26), (8, 33)) if classes & bit))) for classes in range(16)]
+_LONGEST_WALK = max(map(len, _ROWS))
 
 
 def _capitals_cost(piece: str) -> float:
@@ -81,77 +87,149 @@ def _capitals_cost(piece: str) -> float:
     return 0 if not capitals else 0.3 if capitals in (1, len(piece)) and piece[0].isupper() else 0.3 * capitals
 
 
-def _word_cost(piece: str) -> float | None:
-    low = piece.lower()
-    plain = low if low in _RANK else low.translate(_LEET)
-    if plain not in _RANK:
-        return None
-    changed = sum(a != b for a, b in zip(low, plain, strict=True))
-    return math.log10(_RANK[plain] + 1) + _capitals_cost(piece) + 0.3 * changed
-
-
-@lru_cache(65_536)
-def guess_cost(value: str) -> float:
-    """The least cost over all splits of a value, by dynamic programming over its ends."""
-    if len(value) > MAX_SPAN:
-        return sum(guess_cost(value[i : i + MAX_SPAN]) for i in range(0, len(value), MAX_SPAN))
-    n = len(value)
-    shape = _shape(value)
-    plain = _PLAIN.fullmatch(shape) is not None
-    best = [0.0] + [math.inf] * n
-    known = [0.0] + [math.inf] * n  # without a span before i that must be tried out
-    walk = [0] * (n + 1)  # length of the keyboard walk that ends before i
-    along: dict[int, int] = {}
-    for i in range(1, n + 1):
-        along = {row: along.get(row, 1) + 1 for row in _STEPS.get((value[i - 2].lower(), value[i - 1].lower()), ())} if i > 1 else {}
-        walk[i] = max(along.values(), default=1)
-    pieces: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start and cost
-    for start in range(n):
-        for end in range(start + 2, min(n, start + _LONGEST) + 1):
-            if (cost := _word_cost(value[start:end])) is not None:
-                pieces[end].append((start, cost))
-        if m := _DATE.match(value, start):
-            pieces[m.end()].append((start, math.log10(200) if m.end() - start <= 4 else math.log10(365 * 200)))
-        for unit in range(1, (n - start) // 2 + 1):
-            times = 1
-            while value.startswith(value[start : start + unit], start + times * unit):
-                times += 1
-            if times > 1 and (unit > 1 or times > 2):
-                own = guess_cost(value[start : start + unit]) if unit < n else math.inf
-                pieces[start + unit * times].append((start, own + math.log10(times)))
-    for end in range(1, n + 1):
-        for length in range(3, walk[end] + 1):
-            known[end] = min(known[end], best[end - length] + math.log10(50 * length) + _capitals_cost(value[end - length : end]))
-        for start, cost in pieces[end]:
-            known[end] = min(known[end], best[start] + cost)
-        best[end] = known[end]
-        if plain:
-            best[end] = min(best[end], best[end - 1] + _brute(value[end - 1]))
-        else:  # such a span reaches from a known one to a known one
-            for start in range(end):
-                if known[start] < best[end]:
-                    best[end] = min(best[end], known[start] + _run_cost(value[start:end], shape[start:end]))
-    return best[n]
-
-
-def _costly(value: str) -> bool:
-    """Whether the guess cost reaches MIN_COST; of a long value only the pieces that it takes are judged."""
-    cost = 0.0
-    for i in range(0, len(value), MAX_SPAN):
-        cost += guess_cost(value[i : i + MAX_SPAN])
-        if cost >= MIN_COST:
-            return True
-    return False
-
-
-def scan(text: str) -> list[Span]:
+def _repetitions(value: str) -> Iterator[tuple[int, int, int]]:
+    """The longest stretches in which a unit of up to MAX_UNIT characters follows itself: start, end and the unit's length."""
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for unit in range(1, min(MAX_UNIT, len(value) // 2) + 1):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], codes[unit:] == codes[:-unit], [0]]).astype(np.int8)))
+        for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if stop - start >= (unit if unit > 1 else 2):
+                yield start, stop + unit, unit
+
+
+class _Repeats:
+    """Arcs over a stretch of repeated units: any number of them from any place.
+
+    An arc's cost is the unit's and the logarithm of how often it stands there. Of two places to
+    start from, the later one loses against the earlier as the arcs grow, so one that is worse
+    once never comes back, and few are kept.
+    """
+
+    def __init__(self, start: int, end: int, unit: int):
+        self.start, self.end, self.unit = start, end, unit
+        self.least = 2 * unit if unit > 1 else 3
+        self.open: dict[int, list[int]] = {}
+        self.costs: dict[int, float] = {}
+
+    def into(self, end: int, best: list[float], value: str, cost: Callable[[str], float]) -> float:
+        """The least cost of an arc that ends here, to which all shorter ends have been asked for before."""
+        start, place = end - self.least, end % self.unit
+        if start < self.start:
+            return math.inf
+        if place not in self.costs:
+            self.costs[place] = cost(value[start : start + self.unit])
+        known, least = [], math.inf
+        for s in [*self.open.get(place, ()), start]:
+            if (own := best[s] + math.log10((end - s) // self.unit)) < least:
+                known.append(s)
+                least = own
+        self.open[place] = known
+        return least + self.costs[place]
+
+
+class Guesser:
+    """Guess costs by dynamic programming over a value's ends, with words by rank."""
+
+    def __init__(self, words: Sequence[str] = WORDS):
+        self.rank = {}
+        for i, w in enumerate(words):
+            self.rank.setdefault(w, i + 1)
+        self.longest = max(map(len, self.rank), default=0)
+        self._costs: dict[str, float] = {}
+
+    def word_cost(self, piece: str) -> float | None:
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in piece)
+        plain = low if low in self.rank else low.translate(_LEET)
+        if plain not in self.rank:
+            return None
+        changed = sum(a != b for a, b in zip(low, plain, strict=True))
+        return math.log10(self.rank[plain] + 1) + _capitals_cost(piece) + 0.3 * changed
+
+    def cost(self, value: str) -> float:
+        """The least cost over all splits of a value; 0 for an empty one."""
+        if value not in self._costs:
+            if len(self._costs) >= MEMO_VALUES:
+                self._costs.clear()
+            self._costs[value] = self._least(value, math.inf)
+        return self._costs[value]
+
+    def reaches(self, value: str, goal: float) -> bool:
+        """Whether cost(value) is goal or more. A long value is read only until no split can stay below."""
+        return self._least(value, goal) >= goal
+
+    def _least(self, value: str, goal: float) -> float:
+        n = len(value)
+        shape = _shape(value)
+        plain = _PLAIN.fullmatch(shape) is not None
+        classes = _classes(value, shape)
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        leet = low.translate(_LEET)
+        repeats = sorted((_Repeats(*x) for x in _repetitions(value)), key=lambda r: r.start)
+        active: list[_Repeats] = []
+        best = [0.0] + [math.inf] * n
+        pieces: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # dates by end: start and cost
+        tried = [math.inf] * 16  # by classes: the cost of a split that ends in a span that is tried out
+        along: dict[int, int] = {}
+        reach = max(self.longest, _LONGEST_WALK, 10)
+        last_known = 0.0  # the least cost of a split that ends here with something known
+        for end in range(1, n + 1):
+            for date in _DATES:
+                if m := date.match(value, end - 1):
+                    pieces[m.end()].append((end - 1, math.log10(200) if m.end() - end < 4 else math.log10(365 * 200)))
+            known = math.inf
+            for start in range(max(0, end - self.longest), end - 1):
+                if (low[start:end] in self.rank or leet[start:end] in self.rank) and (own := self.word_cost(value[start:end])) is not None:
+                    known = min(known, best[start] + own)
+            steps = _STEPS.get((low[end - 2], low[end - 1]), ()) if end > 1 else ()
+            along = {row: along.get(row, 1) + 1 for row in steps}
+            for length in range(3, max(along.values(), default=1) + 1):
+                known = min(known, best[end - length] + math.log10(50 * length) + _capitals_cost(value[end - length : end]))
+            for start, own in pieces[end]:
+                known = min(known, best[start] + own)
+            while repeats and repeats[0].start < end:
+                active.append(repeats.pop(0))
+            active = [r for r in active if r.end >= end]
+            for r in active:
+                known = min(known, r.into(end, best, value, self.cost))
+            if plain:  # each character from its own class
+                best[end] = min(known, best[end - 1] + _brute(value[end - 1]))
+            else:  # all characters of a span from all of its classes; it follows what is known
+                own = classes[end - 1]
+                for s in range(16):
+                    tried[s] = min(tried[s], last_known) + _TRIED[s] if s & own else math.inf
+                best[end] = min(known, *tried)
+            last_known = known
+            if best[end] >= goal and not any(r.end > end for r in active) and min(best[max(0, end - reach) : end + 1]) >= goal:
+                return goal
+        return best[n]
+
+
+#: Knows the list alone.
+LISTED = Guesser()
+
+
+def corpus_words(docs: DataFrame, most: int = MAX_WORDS) -> list[str]:
+    """The listed words, then up to ``most`` words of all texts by how often they stand there, ties by name.
+
+    Words have WORD_LENGTHS ASCII letters, small but for the first, and stand neither beside
+    letters, digits and underscores nor behind an equals sign or a colon, where values are. Counted
+    in Spark over whole texts; only the first ``most`` come to the driver.
+    """
+    low, high = WORD_LENGTHS
+    found = F.regexp_extract_all("text", F.lit(rf"(?<![A-Za-z0-9_=:])([A-Z]?[a-z]{{{low - 1},{high - 1}}})(?![A-Za-z0-9_])"), 1)
+    counts = docs.select(F.explode(found).alias("word")).where(F.length("word") >= low).groupBy(F.lower("word").alias("word")).count().where("count > 1")
+    top = counts.orderBy(F.desc("count"), "word").limit(most).collect()
+    return [*WORDS, *(r["word"] for r in top)]
+
+
+def scan(text: str, guesser: Guesser = LISTED) -> list[Span]:
     """All spans of a text, by start and kind, in code points. Method spans are those whose value no base span covers whole; they may overlap base spans."""
     base = [Span("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     base += [Span("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     base += [Span("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     more = []
     for m in CONTEXT.finditer(text):
-        if not any(s.start <= m.start(1) and m.end(1) <= s.end for s in base) and _costly(m[1]):
+        if not any(s.start <= m.start(1) and m.end(1) <= s.end for s in base) and guesser.reaches(m[1], MIN_COST):
             more.append(Span("guess", m.start(), m.end()))
     return sorted(base + more, key=lambda s: (s.start, KINDS.index(s.kind)))
 
@@ -185,10 +263,10 @@ def _suspects(block: TextBlock) -> np.ndarray:
     return out
 
 
-def _spans(block: TextBlock) -> Iterator[tuple[str | None, list[Span]]]:
+def _spans(block: TextBlock, guesser: Guesser) -> Iterator[tuple[str | None, list[Span]]]:
     for i, suspect in enumerate(_suspects(block)):
         text = block.data[block.doc_start[i] : block.doc_end[i]].tobytes().decode() if suspect else None
-        yield text, scan(text) if suspect else []
+        yield text, scan(text, guesser) if suspect else []
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -196,15 +274,18 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     spans lists kind:start:end by start and kind, in code points, the end exclusive; base_sha256
     hashes those that the patterns found alone. ``guess`` spans are values in a credential's place
-    with a guess cost of MIN_COST or more that no other span covers whole. A null or empty text has none.
-    Repeated rows get a row each; extra columns are ignored; an empty table gives none.
+    with a guess cost of MIN_COST or more that no other span covers whole, at any length; known
+    words are the list and the corpus's own (corpus_words). A null or empty text has none. Repeated
+    rows get a row each; extra columns are ignored; an empty table gives none.
     """
     kind = dict(docs.dtypes)["doc_id"]
+    words = docs.sparkSession.sparkContext.broadcast(corpus_words(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesser = Guesser(words.value)
         for batch in batches:
             for part, block in blocks(batch.column("text")):
-                found = [spans for _, spans in _spans(block)]
+                found = [spans for _, spans in _spans(block, guesser)]
                 counts = [pa.array([sum(s.kind == k for s in spans) for spans in found], pa.int64()) for k in KINDS]
                 base = [hashlib.sha256(_joined([s for s in spans if s.kind != "guess"]).encode()).hexdigest() for spans in found]
                 columns = [batch.column("doc_id").slice(part.start, part.stop - part.start), *counts[:3], pa.array(base, pa.string()), pa.array([_joined(s) for s in found], pa.string()), counts[3]]
@@ -224,15 +305,22 @@ def mask(text: str, spans: list[Span]) -> str:
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """docs with the secrets in text masked; n_chars, if there is such a column, follows. No row is dropped."""
+    """docs with the secrets in text masked; n_chars, if there is such a column, follows. No row is dropped.
+
+    Spans are those of find_secrets; of overlapping ones nothing stays. Null and empty texts, and
+    texts without a secret, are as they were, n_chars too. Repeated rows stay; all other columns,
+    whatever their names, are passed on; an empty table gives an empty one.
+    """
     names = docs.columns
+    words = docs.sparkSession.sparkContext.broadcast(corpus_words(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesser = Guesser(words.value)
         for batch in batches:
             place = names.index("text")
             texts, changed = batch.column(place), {}
             for part, block in blocks(texts):
-                for i, (text, spans) in enumerate(_spans(block)):
+                for i, (text, spans) in enumerate(_spans(block, guesser)):
                     if spans:
                         changed[part.start + i] = mask(text, spans)
             columns = list(batch.columns)

@@ -204,20 +204,66 @@ def test_hex_run_over_a_block_border(spark):
     assert [got[i]["n_hex"] for i in range(4)] == [1, 0, 0, 1]
 
 
+def plain_guess_cost(v, guesser):
+    """All splits into arcs, each tried on its own, by the rules alone."""
+    shape = secret_scan._shape(v)
+    whole = secret_scan._PLAIN.fullmatch(shape) is not None
+    rows = [way for row in secret_scan._ROWS for way in (row, row[::-1])]
+
+    def arcs(piece):
+        if (own := guesser.word_cost(piece)) is not None:
+            yield own
+        if any(d.fullmatch(piece) for d in secret_scan._DATES):
+            yield math.log10(200) if len(piece) <= 4 else math.log10(365 * 200)
+        if len(piece) > 2 and any(piece.lower() in row for row in rows):
+            yield math.log10(50 * len(piece)) + secret_scan._capitals_cost(piece)
+        for unit in range(1, len(piece) // 2 + 1):
+            times = len(piece) // unit
+            if piece == piece[:unit] * times and (unit > 1 or times > 2):
+                yield plain_guess_cost(piece[:unit], guesser) + math.log10(times)
+
+    def tried(piece):
+        groups = {"d" if c.isdigit() else k + "s"[: not c.isascii()] if k in "lU" and c.isascii() else "s" for c, k in zip(piece, secret_scan._shape(piece))}
+        return len(piece) * math.log10(sum({"d": 10, "l": 26, "U": 26, "s": 33}[g] for g in groups))
+
+    known, best = [0.0] + [math.inf] * len(v), [0.0] + [math.inf] * len(v)
+    for end in range(1, len(v) + 1):
+        known[end] = min((best[s] + c for s in range(end) for c in arcs(v[s:end])), default=math.inf)
+        spans = [best[end - 1] + secret_scan._brute(v[end - 1])] if whole else [known[s] + tried(v[s:end]) for s in range(end)]
+        best[end] = min([known[end], *spans])
+    return best[-1]
+
+
 def test_guess_cost():
-    cost = secret_scan.guess_cost
+    cost = secret_scan.LISTED.cost
     assert cost("password") < 1 < cost("password2019") < 4 < cost("zQ9!kf$1Lp)w7")
     assert cost("qwertyuiop") < 3 and cost("aaaaaaaaaaaa") < 4 and cost("1999-12-31") < 6
     assert cost("P@ssw0rd") < cost("Xk2pQ9rT") and cost("") == 0
-    assert cost("x" * 1000) > 0
-
-    def plain(v):
-        if not v:
-            return 0.0
-        return min([secret_scan._brute(v[-1]) + plain(v[:-1])] + [plain(v[:i]) + c for i in range(len(v)) if (c := secret_scan._word_cost(v[i:])) is not None])
-
-    for v in ("zxpassvq", "myTokenzq", "xxAdmin7p"):
-        assert cost(v) <= plain(v) + 1e-9
+    assert cost("x" * 1000) < 6 and cost("abc123" * 300) < 8
+
+
+def test_guess_cost_is_the_least_of_all_splits():
+    rng = random.Random(12)
+    guesser = secret_scan.Guesser([*secret_scan.WORDS, "river", "stone"])
+    parts = ["qwe", "asdf", "1219", "1999", "12", "31", "aaa", "admin", "Admin", "P4ss", "pass", "river", "zz", "ab", "abab", "x", "Q", "7", "!", "-", "é", "ß", "2024-05-06", "010199"]
+    values = ["qwe1219aaaadmin", "Zadminaaaadmina1", "qwertyqwertyqwerty", "aaaa", "abcabcabcabc", "20240506", "İpassword"]
+    values += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(600)]
+    values += ["".join(rng.choice("aabA1-é") for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    for v in values:
+        least = plain_guess_cost(v, guesser)
+        assert guesser.cost(v) == pytest.approx(least), v
+        for goal in (4.0, 8.0, 12.0):
+            assert abs(least - goal) < 1e-9 or guesser.reaches(v, goal) == (least >= goal), v
+
+
+def test_words_of_the_corpus_are_cheap(spark):
+    docs = spark.createDataFrame([(i, "the wandering tortoise " * 3 + f"pwd: wanderingTortoise{i} ok pwd: Vq8#wanderingzK2p") for i in range(5)] + [(9, None)], "doc_id long, text string")
+    words = secret_scan.corpus_words(docs)
+    assert words[: len(secret_scan.WORDS)] == secret_scan.WORDS and words[len(secret_scan.WORDS) :] == ["tortoise", "wandering"]
+    assert secret_scan.corpus_words(docs, 1)[-1] == "tortoise"
+    got = by_id(secret_scan.find_secrets(docs))
+    assert all(got[i]["n_guess"] == 1 for i in range(5)) and got[9]["n_guess"] == 0
+    assert secret_scan.scan("pwd: wanderingTortoise1")
 
 
 def test_long_values_are_masked_whole():
