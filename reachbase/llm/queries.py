@@ -95,10 +95,13 @@ def _crc_table() -> str:
 
 def _quality_sql() -> str:
     """The rules in long form: a row for each document and bin of its histograms."""
+    q = quality_rules
     classes = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x20\x09-\x0D]", "stop": """[.,:;!?\'\'"()-]""", "symbol": "[#*$%&|<>]", "wide": r"[^\x00-\x7F]"}
     counts = ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {c}_" for c, p in classes.items())
     listed = ", ".join(f"('{c}', {c}_)" for c in classes) + ", ('other', length(text) - " + " - ".join(f"{c}_" for c in classes) + ")"
-    words = ", ".join(f"'{w}'" for w in quality_rules.LEXICON)
+    middle, upper = (f"quantile_disc(word_distance, {x})" for x in (0.5, 0.75))
+    limit = f"round({middle} + {q.WORD_SPREADS} * ({upper} - {middle}), 6)"
+    length = " + ".join(f"(n_words >= {n})::int" for n in q.LENGTHS)
     return rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 c AS (SELECT doc_id, lang, text, w, len(w) AS n_words, {counts} FROM d),
@@ -108,29 +111,37 @@ again AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM gram CROSS
 line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 size AS (SELECT doc_id, sum(length(x))::bigint AS word_chars FROM word GROUP BY doc_id),
-base AS (
+counted AS (
   SELECT c.doc_id, lang, n_words, coalesce(word_chars, 0) AS word_chars, symbol_ AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) AS chars,
-         n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
+         n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed, {length} AS of_length
   FROM c LEFT JOIN again USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN size USING (doc_id)),
+base AS (SELECT *, NOT base_failed AND n_symbols <= {q.MAX_REFERENCE_SYMBOLS}::double * word_chars AS sound FROM counted),
+lower_word AS (SELECT base.doc_id, lang, sound, translate(x, {_LETTERS}) AS y, count(*) AS n FROM word JOIN base USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT lang, y, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, y) AS place FROM lower_word WHERE sound GROUP BY lang, y),
+common AS (SELECT lang, y FROM ranked WHERE place <= {q.COMMON_WORDS}),
 histogram AS (
   SELECT doc_id, 'class' AS kind, v.bin, v.n FROM c, LATERAL (VALUES {listed}) v(bin, n)
-  UNION ALL SELECT doc_id, 'word', bin, count(*) FROM (SELECT doc_id, CASE WHEN y IN ({words}) THEN y ELSE '' END AS bin FROM (SELECT doc_id, translate(x, {_LETTERS}) AS y FROM word)) GROUP BY doc_id, bin),
-bins AS (SELECT DISTINCT kind, bin FROM histogram),
-summed AS (SELECT lang, kind, bin, sum(n) AS n FROM histogram JOIN base USING (doc_id) WHERE NOT base_failed AND n_symbols <= 0.01::double * word_chars GROUP BY ALL),
+  UNION ALL SELECT doc_id, 'word', coalesce(k.y, ''), sum(w.n) FROM lower_word w LEFT JOIN common k ON k.lang IS NOT DISTINCT FROM w.lang AND k.y = w.y GROUP BY ALL),
+summed AS (SELECT lang, kind, bin, sum(n) AS n FROM histogram JOIN base USING (doc_id) WHERE sound GROUP BY ALL),
+bins AS (SELECT lang, kind, bin FROM summed UNION SELECT lang, 'word', '' FROM summed),
 reference AS (SELECT lang, kind, bin, n / sum(n) OVER (PARTITION BY lang, kind) AS q FROM summed),
 grid AS (
   SELECT base.doc_id, bins.kind, coalesce(h.n, 0) / nullif(sum(h.n) OVER (PARTITION BY base.doc_id, bins.kind), 0) AS p, coalesce(r.q, 0) AS q
-  FROM base CROSS JOIN bins LEFT JOIN histogram h ON h.doc_id = base.doc_id AND h.kind = bins.kind AND h.bin = bins.bin
-  LEFT JOIN reference r ON r.lang IS NOT DISTINCT FROM base.lang AND r.kind = bins.kind AND r.bin = bins.bin
-  WHERE EXISTS (SELECT 1 FROM reference x WHERE x.lang IS NOT DISTINCT FROM base.lang)),
+  FROM base JOIN bins ON bins.lang IS NOT DISTINCT FROM base.lang LEFT JOIN histogram h ON h.doc_id = base.doc_id AND h.kind = bins.kind AND h.bin = bins.bin
+  LEFT JOIN reference r ON r.lang IS NOT DISTINCT FROM base.lang AND r.kind = bins.kind AND r.bin = bins.bin),
 distance AS (
   SELECT doc_id, kind, round(sqrt(greatest(0.0::double, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)), 6) AS d FROM grid WHERE p IS NOT NULL GROUP BY doc_id, kind),
 rated AS (
-  SELECT base.*, CASE WHEN chars >= {quality_rules.MIN_CHARS} THEN a.d END AS class_distance, CASE WHEN n_words >= {quality_rules.MIN_WORDS} THEN b.d END AS word_distance
-  FROM base LEFT JOIN distance a ON a.doc_id = base.doc_id AND a.kind = 'class' LEFT JOIN distance b ON b.doc_id = base.doc_id AND b.kind = 'word')
+  SELECT base.*, CASE WHEN chars >= {q.MIN_CHARS} THEN a.d END AS class_distance, CASE WHEN n_words >= {q.MIN_WORDS} THEN b.d END AS word_distance
+  FROM base LEFT JOIN distance a ON a.doc_id = base.doc_id AND a.kind = 'class' LEFT JOIN distance b ON b.doc_id = base.doc_id AND b.kind = 'word'),
+of_lengths AS (SELECT lang, of_length, {limit} AS word_limit FROM rated WHERE sound AND word_distance IS NOT NULL GROUP BY lang, of_length HAVING count(*) >= {q.MIN_REFERENCES}),
+of_langs AS (SELECT lang, {limit} AS word_limit FROM rated WHERE sound AND word_distance IS NOT NULL GROUP BY lang HAVING count(*) >= {q.MIN_REFERENCES}),
+limited AS (
+  SELECT r.*, coalesce(a.word_limit, b.word_limit) AS word_limit
+  FROM rated r LEFT JOIN of_lengths a ON a.lang IS NOT DISTINCT FROM r.lang AND a.of_length = r.of_length LEFT JOIN of_langs b ON b.lang IS NOT DISTINCT FROM r.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(class_distance, 0) <= {quality_rules.MAX_CLASS_DISTANCE}::double AND coalesce(word_distance, 0) <= {quality_rules.MAX_WORD_DISTANCE}::double AS kept, class_distance, word_distance
-FROM rated"""
+       NOT base_failed AND coalesce(class_distance <= {q.MAX_CLASS_DISTANCE}::double, true) AND coalesce(word_distance <= word_limit, true) AS kept, class_distance, word_distance, word_limit
+FROM limited"""
 
 
 ORACLE_SQL: dict[str, str] = {

@@ -683,9 +683,41 @@ def test_quality_separates_labelled_documents(spark, sf_dir):
     assert np.mean([r["kept"] for r in rows if r["quality"] == 0]) < 0.2
 
 
-def test_jensen_shannon(spark):
-    p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
+def test_jensen_shannon():
+    counts, q = np.array([[2, 2, 0], [0, 0, 0], [1, 1, 2]]), np.array([0.25, 0.25, 0.5])
+    p = [0.5, 0.5, 0.0]
     m = [(a + b) / 2 for a, b in zip(p, q)]
     plain = math.sqrt(sum(x * math.log2(x / y) for s in (p, q) for x, y in zip(s, m) if x) / 2)
-    got = spark.createDataFrame([(p, q)], "p array<double>, q array<double>").select(quality_rules.jensen_shannon(F.col("p"), F.col("q")).alias("d")).first()["d"]
-    assert got == pytest.approx(plain)
+    got = quality_rules._distances(counts, q)
+    assert got[0] == pytest.approx(plain) and got[2] == 0 and 0 < got[1] < 1
+
+
+def _prose(rng, common, rare, n):
+    return " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(rare) + rng.choice("aeiou") for _ in range(n))
+
+
+def test_common_words_are_learned_and_decide(spark):
+    """Of languages that no list knows: a text without common words, and one in the other language, go by their words alone."""
+    rng = random.Random(10)
+    rare = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    common = {"xx": ["lo", "mi", "na", "ta", "ve"], "yy": ["ob", "ek", "ul", "im", "at"]}
+    rows = [(i, _prose(rng, common[x], rare, rng.randint(60, 400)), x) for i, x in enumerate(["xx", "yy"] * 150)]
+    rows += [(1000, _prose(rng, rare, rare, 300), "xx"), (1001, _prose(rng, common["yy"], rare, 300), "xx"), (1002, "lo mi na " + "ta " * 10, "xx"), (1003, _prose(rng, common["xx"], rare, 300), None), (None, _prose(rng, rare, rare, 300), "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    refs = {r["_lang"]: r for r in quality_rules.references(docs).collect()}
+    assert set(refs["xx"]["_common"][:5]) == set(common["xx"]) and len(refs["yy"]["_common"]) == quality_rules.COMMON_WORDS
+    assert sum(refs["xx"]["_shares"]) == pytest.approx(1) and sum(refs["xx"]["_classes"]) == pytest.approx(1)
+    got = by_id(quality_rules.judge(docs))
+    assert all(got[i]["kept"] for i in range(300) if got[i]["word_distance"] <= got[i]["word_limit"]) and sum(got[i]["kept"] for i in range(300)) >= 296
+    for i in (1000, 1001, None):
+        assert not got[i]["kept"] and not got[i]["base_failed"] and got[i]["class_distance"] <= quality_rules.MAX_CLASS_DISTANCE and got[i]["word_distance"] > got[i]["word_limit"]
+    assert got[1003]["kept"] and got[1003]["word_limit"] is None  # too few documents without a language
+
+
+def test_each_row_is_judged_by_itself(spark):
+    good = " ".join(f"{w} word{i}" for i, w in enumerate("the of and to in a is that it for " .split() * 6))
+    rows = [(1, good, "en", "x"), (1, "short", "en", "y"), (None, good + " more", "en", "z"), (None, None, "en", "z"), (2, good, None, "z"), (2, good, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _row string")
+    left = quality_rules.keep(docs)
+    assert left.columns == docs.columns
+    assert Counter(map(tuple, left.collect())) == Counter(r for r in rows if r[1] and len(r[1]) > 9)
