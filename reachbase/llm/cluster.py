@@ -25,6 +25,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Bytes of texts that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def by_small_batches(docs: DataFrame) -> DataFrame:
+    """docs, in a session whose Arrow batches hold about BATCH_BYTES, unless its user has set their size.
+
+    Ten thousand whole texts, Spark's default batch, take much of an executor's memory twice.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return docs
+
+
 def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:

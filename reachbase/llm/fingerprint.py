@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachbase.llm.cluster import partitions
+from reachbase.llm.cluster import by_small_batches, partitions
 from reachbase.llm.textblock import TextBlock, blocks
 
 #: Hashes that a sketch keeps, and words of a shingle.
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
                 ids = batch.column("doc_id").slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([ids, pa.array([encode(s) for s in made], pa.string()), pa.array([distinct_count(s, k) for s in made], pa.float64())], ["doc_id", "fingerprint", "n_distinct"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string, n_distinct double")
+    return by_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string, n_distinct double")
 
 
 def _runs(docs: DataFrame) -> tuple[list, bool]:
@@ -150,7 +150,7 @@ def edit_with_following(docs: DataFrame, k: int = K, words: int = WORDS) -> Data
                 yield _compared(rows, k, words)
                 held = [rows[-1].copied()] if n else held
 
-    out = _dealt_in_runs(docs).mapInArrow(run, schema)
+    out = _dealt_in_runs(by_small_batches(docs)).mapInArrow(run, schema)
     return out
 
 

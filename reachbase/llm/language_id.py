@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reachbase.llm.cluster import by_small_batches
 from reachbase.llm.textblock import blocks
 
 DIMENSIONS, SEED = 1024, 4711
@@ -137,7 +138,7 @@ def learn(labelled: DataFrame, max_documents: int = MAX_TRAINING_DOCUMENTS) -> d
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(total)), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(np.round(total * 2**30).astype(np.int64))], ["lang", "dimension", "value"])
 
-    parts = chosen.mapInArrow(run, "lang string, dimension int, value long")
+    parts = by_small_batches(chosen).mapInArrow(run, "lang string, dimension int, value long")
     summed = parts.groupBy("lang", "dimension").agg(F.sum("value").alias("value"))
     out: dict[str, np.ndarray] = {}
     for r in summed.toLocalIterator():
@@ -169,7 +170,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(part.start, part.stop - part.start), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return by_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachbase.llm.cluster import durable
+from reachbase.llm.cluster import by_small_batches, durable
 from reachbase.llm.graph import components
 from reachbase.llm.textblock import TextBlock, blocks, mix
 
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     empty table gives an empty result.
     """
     banding = Banding.at(percent)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = by_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = durable(texts.mapInArrow(_sketch(k, banding), "doc_id long, n_shingles long, set_1 long, set_2 long, bands array<long>"))
     sets = durable(sketched.where("n_shingles > 0").groupBy("set_1", "set_2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
     banded = sets.where("node is not null").select("node", F.explode("bands").alias("band")).groupBy("band", "node").agg(F.lit(1).alias("_")).drop("_")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachbase.llm.cluster import durable
+from reachbase.llm.cluster import by_small_batches, durable
 from reachbase.llm.textblock import TextBlock, blocks, mix, windows
 
 #: Classes of code points: all above 127 make one.
@@ -159,7 +159,7 @@ def references(docs: DataFrame) -> DataFrame:
 
     Words are counted over all documents; ties go to the first by code point.
     """
-    counts = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_count_batches, "lang string, kind int, name string, n long")
+    counts = by_small_batches(docs).select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_count_batches, "lang string, kind int, name string, n long")
     summed = durable(counts.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n")))
     # The filter on the rank keeps a few rows of each task before they move.
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "name")
@@ -237,7 +237,7 @@ def _small(table: DataFrame) -> DataFrame:
 def _rated(docs: DataFrame, refs: DataFrame, kept: list[str]) -> DataFrame:
     """_row (the columns of docs named in kept), counts and distances of every row; refs hold a row for each language."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = by_small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     joined = rows.join(refs, F.col("_row.lang").cast("string").eqNullSafe(F.col("_lang")), "left")
     fields = ", ".join(f"`{c}`: {kinds[c]}" for c in kept)
     schema = f"_row struct<{fields}>, {', '.join(f'{c} long' for c in _COUNTS)}, class_distance double, word_distance double"

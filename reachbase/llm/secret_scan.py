@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reachbase.llm.cluster import by_small_batches
 from reachbase.llm.textblock import TextBlock, blocks
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -291,7 +292,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 columns = [batch.column("doc_id").slice(part.start, part.stop - part.start), *counts[:3], pa.array(base, pa.string()), pa.array([_joined(s) for s in found], pa.string()), counts[3]]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
+    return by_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
 def mask(text: str, spans: list[Span]) -> str:
@@ -335,4 +336,4 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
                     columns[names.index("n_chars")] = pc.if_else(pa.array(flags), lengths, counts)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_small_batches(docs).mapInArrow(run, docs.schema)

@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from reachbase.llm.cluster import by_small_batches
 from reachbase.llm.textblock import TextBlock, blocks, mix
 
 SPACE = 0x20  # stands for the symbol of a space in pieces and texts
@@ -585,7 +586,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
+    return by_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode_documents(rows: DataFrame, model_path: str) -> DataFrame:
@@ -610,4 +611,4 @@ def decode_documents(rows: DataFrame, model_path: str) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array([None if none else t for none, t in zip(column.is_null().to_pylist(), texts, strict=True)], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return by_small_batches(rows).select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
