@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachbase.llm.cluster import by_small_batches
+from reachbase.llm.cluster import by_small_batches, durable
 from reachbase.llm.textblock import TextBlock, blocks
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -214,12 +214,20 @@ def corpus_words(docs: DataFrame, most: int = MAX_WORDS) -> list[str]:
 
     Words have WORD_LENGTHS ASCII letters, small but for the first, and stand neither beside
     letters, digits and underscores nor behind an equals sign or a colon, where values are. Counted
-    in Spark over whole texts; only the first ``most`` come to the driver.
+    in Spark over whole texts. How many words there are of each order of frequency tells which
+    can be among the first ``most``; only these, hardly more, are sorted and come to the driver.
     """
     low, high = WORD_LENGTHS
     found = F.regexp_extract_all("text", F.lit(rf"(?<![A-Za-z0-9_=:])([A-Z]?[a-z]{{{low - 1},{high - 1}}})(?![A-Za-z0-9_])"), 1)
-    counts = docs.select(F.explode(found).alias("word")).where(F.length("word") >= low).groupBy(F.lower("word").alias("word")).count().where("count > 1")
-    top = counts.orderBy(F.desc("count"), "word").limit(most).collect()
+    counts = durable(docs.select(F.explode(found).alias("word")).where(F.length("word") >= low).groupBy(F.lower("word").alias("word")).count().where("count > 1"))
+    level = F.floor(F.log2("count") * 4)
+    sizes = sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
+    reached, least = 0, 0
+    for least, n in sizes:
+        reached += n
+        if reached >= most:
+            break
+    top = counts.where(level >= least).orderBy(F.desc("count"), "word").limit(most).collect()
     return [*WORDS, *(r["word"] for r in top)]
 
 
