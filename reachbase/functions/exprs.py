@@ -269,3 +269,146 @@ def road_address(road: Column | str, main: Column | str, sub: Column | str) -> C
     digits = lambda c: F.ltrim(F.trim(_c(c)), F.lit("0"))
     number = F.concat(digits(main), F.when(F.coalesce(digits(sub), F.lit("")) != "", F.concat(F.lit("-"), digits(sub))).otherwise(""))
     return F.trim(F.concat_ws(" ", _c(road), number))
+
+
+# Codes of the kinds of city bus routes.
+ROUTE_TYPES = {"1": "공항버스", "2": "마을버스", "3": "간선버스", "4": "지선버스", "5": "순환버스", "6": "광역버스", "7": "인천버스", "8": "경기버스"}
+# Display names of lines by their codes.
+LINE_NAMES = {
+    "K": "경의중앙", "B": "수인분당", "G": "경춘", "A": "공항철도", "S": "신분당", "I": "인천1", "I2": "인천2", "U": "의정부",
+    "W": "우이신설", "E": "용인에버라인", "KK": "경강", "KP": "김포골드", "SH": "서해",
+}
+# Provinces by the first two digits of a district's code.
+PROVINCES = {"11": "서울", "28": "인천", "41": "경기"}
+# Colours of a drawing by minutes, each from its number on.
+DRAWN = ((0, "#1a4d8f"), (10, "#2b6cb0"), (20, "#4a90c4"), (30, "#7fb3d5"), (45, "#aecfe4"), (60, "#d3e3f0"))
+
+
+def _mapped(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def repaired(text: Column | str, names: dict[str, str]) -> Column:
+    """The name, or what a table of known misspellings puts in its place."""
+    return F.coalesce(_mapped(names, _c(text)), _c(text)) if names else _c(text)
+
+
+def alternatives(text: Column | str) -> Column:
+    """The names between slashes, trimmed, without empty ones; an empty array for null."""
+    parts = F.transform(F.split(F.coalesce(_c(text), F.lit("")), "/"), lambda p: F.trim(p))
+    return F.filter(parts, lambda p: p != "")
+
+
+def first_word(text: Column | str) -> Column:
+    return F.substring_index(_c(text), " ", 1)
+
+
+def longest_prefix(text: Column | str, codes: dict[str, str]) -> Column:
+    """The code of the longest listed name that the trimmed text starts with; null without one."""
+    out = F.lit(None).cast("string")
+    for name, code in sorted(codes.items(), key=lambda x: len(x[0])):
+        out = F.when(F.startswith(F.trim(_c(text)), F.lit(name)), code).otherwise(out)
+    return out
+
+
+def route_type_name(code: Column | str) -> Column:
+    return F.coalesce(_mapped(ROUTE_TYPES, _c(code).cast("string")), F.lit("일반버스"))
+
+
+def province(code: Column | str) -> Column:
+    """The province of a district's code by its first two digits; null for an unknown one."""
+    return _mapped(PROVINCES, F.substring(_c(code).cast("string"), 1, 2))
+
+
+def line_name(code: Column | str) -> Column:
+    """A line's display name: the listed one, number and 호선, or the code itself."""
+    c = _c(code).cast("string")
+    return F.coalesce(_mapped(LINE_NAMES, c), F.when(F.regexp_like(c, F.lit("^[0-9]+$")), F.concat(c, F.lit("호선"))), c)
+
+
+def _digits(text: Column) -> Column:
+    return F.substring(F.lpad(F.regexp_replace(text, "[^0-9]", ""), 4, "0"), 1, 4)
+
+
+def clock_text(text: Column | str) -> Column:
+    """The digits of HHmm as HH:MM:00."""
+    d = _digits(_c(text))
+    return F.concat(F.substring(d, 1, 2), F.lit(":"), F.substring(d, 3, 2), F.lit(":00"))
+
+
+def clock_after(text: Column | str, first: Column | str) -> Column:
+    """HHmm as HH:MM:00; not later than the first one, it belongs to the next day: 24 hours more."""
+    a, b = _digits(_c(text)), _digits(_c(first))
+    minutes = [F.substring(x, 1, 2).cast("int") * 60 + F.substring(x, 3, 2).cast("int") for x in (a, b)]
+    hours = F.substring(a, 1, 2).cast("int") + F.when(minutes[0] <= minutes[1], 24).otherwise(0)
+    return F.concat(F.lpad(hours.cast("string"), 2, "0"), F.lit(":"), F.substring(a, 3, 2), F.lit(":00"))
+
+
+def minutes_of(text: Column | str) -> Column:
+    """Minutes of HH:MM or HH:MM:SS; null if it isn't of that form."""
+    parts = F.split(_c(text), ":")
+    return F.try_element_at(parts, F.lit(1)).try_cast("int") * 60 + F.try_element_at(parts, F.lit(2)).try_cast("int")
+
+
+def minutes_clock(minutes: Column | str) -> Column:
+    m = _c(minutes).cast("int")
+    return F.format_string("%02d:%02d:00", F.floor(m / 60).cast("int"), m % 60)
+
+
+def day_fraction_seconds(text: Column | str) -> Column:
+    """Seconds of a spreadsheet's fraction of a day, half to even; null for an empty or other text."""
+    return F.bround(F.trim(_c(text)).try_cast("double") * 86_400).cast("int")
+
+
+def station_short(name: Column | str) -> Column:
+    """Without a last 역, but for the one station whose name needs it."""
+    n = F.trim(_c(name))
+    return F.when(n != "서울역", F.regexp_replace(n, "역$", "")).otherwise(n)
+
+
+def drawn_colour(minutes: Column | str) -> Column:
+    """The colour of the last step that the minutes reach."""
+    out = F.lit(None).cast("string")
+    for at, colour in DRAWN:
+        out = F.when(_c(minutes) >= at, colour).otherwise(out)
+    return out
+
+
+def offset_text(value: Column | str, places: int = 1) -> Column:
+    """A number with its sign, as reports print errors."""
+    return F.format_string(f"%+.{places}f", _c(value).cast("double"))
+
+
+def state_text(state: Column) -> Column:
+    """A search's state (a struct) as a query string; what is at its default isn't in it."""
+    part = lambda key, value: F.concat(F.lit(f"{key}="), F.url_encode(value.cast("string")))
+    parts = [
+        part("o", state["origin"]), part("d", F.when(state["arrive"], "a").otherwise("d")), part("t", state["slot"]), part("b", state["budget"]), part("w", state["walk_cap"]),
+        part("r", state["room"]), part("n", F.when(state["tenure"] == "WOLSE", "w").otherwise("j")),
+        F.when(state["cap"] > 0, part("c", state["cap"])), F.when(F.size(state["amenities"]) > 0, part("am", F.array_join(state["amenities"], ","))), F.when(state["flat_only"], F.lit("fl=1")),
+    ]
+    return F.concat_ws("&", *parts)
+
+
+def state_of(text: Column | str) -> Column:
+    """The state that a query string holds; what is missing, out of its range or unknown is null."""
+    fields = F.str_to_map(F.regexp_replace(_c(text), "^#", ""), F.lit("&"), F.lit("="))
+    get = lambda key: F.url_decode(F.try_element_at(fields, F.lit(key)))
+
+    def number(key: str, low: int, high: int) -> Column:
+        v = get(key).try_cast("double")
+        return F.when(v.between(low, high), v).cast("int")
+
+    known = F.filter(F.split(get("am"), ","), lambda c: F.regexp_like(c, F.lit("^[A-Z]{2}[0-9]$")))
+    return F.struct(
+        F.nullif(get("o"), F.lit("")).alias("origin"),
+        F.when(get("d") == "a", True).when(get("d") == "d", False).alias("arrive"),
+        number("t", 0, 200).alias("slot"),
+        number("b", 10, 120).alias("budget"),
+        number("w", 0, 15).alias("walk_cap"),
+        F.when(get("r").isin("ONE", "TWO", "THREE"), get("r")).alias("room"),
+        F.when(get("n") == "w", "WOLSE").when(get("n") == "j", "JEONSE").alias("tenure"),
+        number("c", 0, 100_000).alias("cap"),
+        known.alias("amenities"),
+        F.when(get("fl").isNotNull(), get("fl") == "1").alias("flat_only"),
+    )

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachbase.functions.medians import at_share, upper_middle
 from reachbase.operators.graph import cut_lineage
+from reachbase.operators.ranges import places
+
 
+def bias_report(rows: DataFrame, by: list[str], error: str = "error", outside: str = "ext_sec", least: int = 3) -> DataFrame:
+    """n, bias, relative (mean percent of the outside value), median, mae and within (share up to 180).
 
-def bias_report(rows: DataFrame, error: str = "error", by: str = "type", least: int = 3) -> DataFrame:
-    """n, bias, median, mae and within (share up to 180) over all rows (a null group) and by group."""
-    e = F.col(error)
-    sets = rows.withColumn("_e", e).groupingSets([[], [F.col(by)]], F.col(by))
-    out = sets.agg(F.count("*").alias("n"), F.avg("_e").alias("bias"), upper_middle("_e").alias("median"), F.avg(F.abs("_e")).alias("mae"), F.avg((F.abs("_e") <= 180).cast("double")).alias("within"), F.grouping(by).cast("int").alias("overall"))
-    return out.where(F.col("n") >= least).select(by, "overall", "n", *[F.round(c, 4).alias(c) for c in ("bias", "mae", "within")], "median")
+    Over all rows, and by each column of ``by`` alone; ``part`` says which (null: all rows) and
+    ``value`` which group. Groups of fewer than ``least`` rows go.
+    """
+    rel = F.col(error) * 100.0 / F.nullif(F.col(outside), F.lit(0))
+    names = F.array(F.struct(F.lit(None).cast("string").alias("part"), F.lit(None).cast("string").alias("value")), *[F.struct(F.lit(c).alias("part"), F.col(c).cast("string").alias("value")) for c in by])
+    each = rows.select(F.col(error).alias("_e"), rel.alias("_rel"), F.inline(names))
+    out = each.groupBy("part", "value").agg(F.count("*").alias("n"), F.avg("_e").alias("bias"), F.avg("_rel").alias("relative"), upper_middle("_e").alias("median"), F.avg(F.abs("_e")).alias("mae"), F.avg((F.abs("_e") <= 180).cast("double")).alias("within"))
+    return out.where(F.col("n") >= least).select("part", "value", "n", *[F.round(c, 4).alias(c) for c in ("bias", "relative", "mae", "within")], "median")
 
 
 def ols3(rows: DataFrame, y: str, a: str, b: str) -> DataFrame:
@@ -35,19 +43,23 @@ def ols3(rows: DataFrame, y: str, a: str, b: str) -> DataFrame:
 def split_holdout(rows: DataFrame, key: str = "od_id") -> DataFrame:
     """Adds train: whether the key's place among all sorted keys, from 0, is even.
 
-    Keys are numbered within ranges; the ranges' counts, one row each, give where each starts.
     """
-    ranged = cut_lineage(rows.select(key).distinct().repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
-    starts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = starts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    place = ranged.join(starts, "_part").withColumn("_place", F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
-    return rows.join(place.select(key, "_place"), key).withColumn("train", F.col("_place") % 2 == 0).drop("_place")
+    place = places(rows.select(key).distinct(), [key], name="_place")
+    return rows.join(place, key).withColumn("train", F.col("_place") % 2 == 0).drop("_place")
 
 
-def grid_search(rows: DataFrame, candidates: DataFrame, error: Column) -> DataFrame:
-    """candidates (value) with the mean absolute error over all rows; the grid is a few hundred values."""
-    tried = rows.crossJoin(F.broadcast(candidates)).groupBy("value").agg(F.avg(F.abs(error)).alias("mae"))
-    return tried.select("value", F.round("mae", 6).alias("mae"))
+def grid_search(rows: DataFrame, candidates: list[float], by: list[str], error: Callable[[Column], Column]) -> DataFrame:
+    """value, mae, bias and within (share up to 180) of each candidate over all rows.
+
+    error gives a row's error for a candidate, from the columns ``by`` alone: rows that are equal
+    in these are counted first, and only their counts meet the grid, a fixed one of a few hundred
+    values, in the task that has them.
+    """
+    counted = rows.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("value", F.explode(F.array(*[F.lit(c) for c in candidates])))
+    tried = counted.withColumn("_e", error(F.col("value")))
+    n = F.sum("_n")
+    out = tried.groupBy("value").agg((F.sum(F.col("_n") * F.abs("_e")) / n).alias("mae"), (F.sum(F.col("_n") * F.col("_e")) / n).alias("bias"), (F.sum(F.when(F.abs("_e") <= 180, F.col("_n")).otherwise(0)) / n).alias("within"))
+    return out.select("value", *[F.round(c, 6).alias(c) for c in ("mae", "bias", "within")])
 
 
 def best_of(grid: DataFrame) -> DataFrame:
@@ -56,6 +68,42 @@ def best_of(grid: DataFrame) -> DataFrame:
     return grid.agg(best["value"].alias("value"), best["mae"].alias("mae"))
 
 
+#: Metres between stops from which a segment is long, and by how much a fit must move to count: seconds, and a factor.
+LONG_M, DEAD_SECONDS, DEAD_FACTOR = 1500.0, 2, 0.05
+#: Rows that a fit needs on either side, and long ones that the factor needs.
+MIN_SIDE, MIN_LONG = 50, 20
+
+
+def refit(rows: DataFrame, dwell: int, factor: float) -> DataFrame:
+    """One row: dwell and factor fitted on half of the journeys, and bias, mae and within on the other half.
+
+    rows: od_id, stops, ours_sec (with the given dwell and factor), ext_sec, ext_m. First the
+    factor of long segments, where few stops leave speed alone to tell, then the dwell; each by
+    the least mean error on a grid, ties to the smaller. What moved less than the dead-band
+    stays. With too few rows on either side nothing is fitted (fitted is false).
+    """
+    hops = F.col("stops") - 1
+    long = F.col("ext_m") / F.greatest(F.lit(1), hops) >= LONG_M
+    ride = F.greatest(F.lit(1.0), F.col("ours_sec") - hops * dwell) * F.when(long, factor).otherwise(1.0)
+    split = cut_lineage(split_holdout(rows).select("train", hops.alias("hops"), long.alias("long"), ride.alias("ride"), F.col("ext_sec").alias("ext")))
+    sizes = split.agg(F.count_if("train").alias("train"), F.count_if(~F.col("train")).alias("test"), F.count_if(F.col("train") & F.col("long")).alias("long")).first()
+    fitted = min(sizes["train"], sizes["test"]) >= MIN_SIDE
+    best_factor, best_dwell = factor, dwell
+    by = ["hops", "long", "ride", "ext"]
+    if fitted and sizes["long"] >= MIN_LONG:
+        grid = [round(0.40 + 0.05 * i, 2) for i in range(53)]
+        best_factor = best_of(grid_search(split.where("train AND long"), grid, by, lambda f: F.col("ride") / f + F.col("hops") * dwell - F.col("ext"))).first()["value"]
+    slowed = F.col("ride") / F.when(F.col("long"), best_factor).otherwise(1.0)
+    if fitted:
+        best_dwell = best_of(grid_search(split.where("train"), list(range(181)), by, lambda b: slowed + F.col("hops") * b - F.col("ext"))).first()["value"]
+        best_dwell = dwell if abs(best_dwell - dwell) < DEAD_SECONDS else best_dwell
+        best_factor = factor if abs(best_factor - factor) < DEAD_FACTOR else best_factor
+    slowed = F.col("ride") / F.when(F.col("long"), best_factor).otherwise(1.0)
+    e = slowed + F.col("hops") * best_dwell - F.col("ext")
+    held = split.where("NOT train").agg(F.round(F.avg(e), 4).alias("bias"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.avg((F.abs(e) <= 180).cast("double")), 4).alias("within"))
+    return held.select(F.lit(fitted).alias("fitted"), F.lit(int(best_dwell)).alias("dwell"), F.lit(float(best_factor)).alias("factor"), "bias", "mae", "within")
+
+
 def detour_ratio(rows: DataFrame, by: list[str], least: int = 30, default: float = 1.07) -> DataFrame:
     """The middle of outside over own metres for legs above 300 m, to three decimals; default where they are few."""
     legs = rows.where("ours_m > 300").withColumn("_r", F.col("ext_m") / F.col("ours_m"))

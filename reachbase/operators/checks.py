@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reachbase.operators.graph import cut_lineage
 from reachbase.operators.ordered import implied_speeds
+from reachbase.operators.ranges import places
 
 
 def _finding(rows: DataFrame, severity: str, rule: str, key: str) -> DataFrame:
@@ -36,6 +40,43 @@ def timetable_errors(stops: DataFrame, trips: DataFrame, stop_times: DataFrame,
     return whole
 
 
+def route_findings(routes: DataFrame, trips: DataFrame, services: DataFrame) -> DataFrame:
+    """Doubled ids, unknown references and odd codes of routes (route_id, route_type) and trips (trip_id, route_id, service, direction).
+
+    Services are those of the calendar; without any, none is unknown. A missing direction is fine.
+    """
+    any_service = services.limit(1).select(F.lit(True).alias("_any"))
+    unknown = trips.join(services, "service", "left_anti").join(any_service, F.lit(True), "left_semi")
+    out = [
+        _finding(trips.groupBy("trip_id").count().where("count > 1"), "error", "doubled trip", "trip_id"),
+        _finding(routes.groupBy("route_id").count().where("count > 1"), "error", "doubled route", "route_id"),
+        _finding(trips.join(routes, "route_id", "left_anti").select("route_id").distinct(), "error", "unknown route", "route_id"),
+        _finding(unknown.select("service").distinct(), "error", "unknown service", "service"),
+        _finding(routes.where("route_type IS NULL OR route_type NOT BETWEEN 0 AND 12").select("route_id").distinct(), "error", "odd route type", "route_id"),
+        _finding(trips.where("direction IS NOT NULL AND direction NOT IN (0, 1)").select("trip_id").distinct(), "error", "odd direction", "trip_id"),
+    ]
+    return reduce(DataFrame.unionByName, out)
+
+
+def missing_files(present: list[str], needed: tuple[str, ...] = ("agency.txt", "stops.txt", "routes.txt", "trips.txt", "stop_times.txt", "calendar.txt", "frequencies.txt")) -> list[str]:
+    """The required files of a feed that aren't there."""
+    return [name for name in needed if name not in set(present)]
+
+
+def file_order_findings(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rule, trip_id, n of rows (trip_id, sequence) in the order of their file: trips in several pieces, and sequences that don't grow.
+
+    Rows are numbered by ranges, and each meets the row before it by number.
+    """
+    placed = cut_lineage(places(rows, order, name="_line").select("trip_id", "sequence", "_line"))
+    before = placed.select((F.col("_line") + 1).alias("_line"), F.col("trip_id").alias("_before"))
+    starts = placed.join(before, "_line", "left").where(~F.col("_before").eqNullSafe(F.col("trip_id")))
+    scattered = starts.groupBy("trip_id").agg(F.count("*").alias("n")).where("n > 1")
+    was = F.lag("sequence").over(Window.partitionBy("trip_id").orderBy("_line"))
+    back = placed.withColumn("_was", was).where("sequence <= _was").groupBy("trip_id").agg(F.count("*").alias("n"))
+    return scattered.select(F.lit("scattered").alias("rule"), "trip_id", "n").unionByName(back.select(F.lit("sequence").alias("rule"), "trip_id", "n"))
+
+
 def error_signatures(messages: DataFrame, column: str, limit: int = 8) -> DataFrame:
     """The most frequent shapes of messages: digits give way to dots, 60 characters, ties by text."""
     shape = F.substring(F.regexp_replace(F.col(column), r"[0-9]+", "…"), 1, 60)

@@ -54,14 +54,3 @@ def costs_within(starts: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
         both = cut_lineage(best.join(offer, ["start", "node"], "full").select("start", "node", F.least("cost", "_offer").alias("cost"), (F.col("cost").isNull() | (F.col("_offer") < F.col("cost"))).alias("_new")))
         best, frontier = both.select("start", "node", "cost"), both.where("_new").select("start", "node", "cost")
     return best
-
-
-def clusters_by_name(nodes: DataFrame, radius: float) -> DataFrame:
-    """Nodes (id, name, lat, lon) with one name linked up to radius metres apart: id, cluster (smallest id)."""
-    from reachbase.functions.exprs import haversine
-
-    a, b = (nodes.select("name", F.col("id").alias(s), F.col("lat").alias(f"{s}_lat"), F.col("lon").alias(f"{s}_lon")) for s in "ab")
-    meters = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    links = a.join(b, "name").where((F.col("a") < F.col("b")) & (meters <= radius)).select("a", "b")
-    found = connected(links)
-    return nodes.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster"))

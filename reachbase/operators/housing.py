@@ -50,15 +50,23 @@ def room_trend(deals: DataFrame) -> DataFrame:
     return rows.groupBy("sgg", "umd", "room").agg(F.transform(ordered, lambda x: x["rent"]).alias("trend"))
 
 
-def building_summary(deals: DataFrame) -> DataFrame:
-    """One row for each building: its latest contract's place, medians, area range and count."""
-    latest = F.max(F.struct(F.col("ym"), F.col("ord"), F.col("umd")))
-    return deals.groupBy("seq").agg(
+def building_summary(deals: DataFrame, ordinal: list[str]) -> DataFrame:
+    """One row for each building: its latest contract's place, prices, area range and count.
+
+    Of contracts in the latest month the first by ordinal gives the place. Sales (trade SALE)
+    aren't long leases. A rent is compared at the base deposit: deposit and rent aren't medians
+    of their own, which need not belong together. Null prices where there is no such contract.
+    """
+    latest = F.min(F.struct((-F.col("ym")).alias("_ym"), *ordinal, "umd"))
+    sold = "trade = 'SALE' AND amount > 0"
+    rent = base_rent(where="monthly > 0")
+    return deals.withColumn("equivalent", monthly_equivalent()).groupBy("seq").agg(
         latest["umd"].alias("umd"),
         F.max("ym").alias("ym"),
-        upper_middle("amount", "monthly = 0 AND amount > 0").alias("jeonse"),
-        upper_middle("amount", "monthly > 0 AND amount > 0").alias("deposit"),
-        upper_middle("monthly", "monthly > 0").alias("monthly"),
+        upper_middle("amount", sold).alias("sale"),
+        upper_middle("amount", "trade <> 'SALE' AND monthly = 0 AND amount > 0").alias("jeonse"),
+        F.when(rent.isNotNull(), BASE_DEPOSIT).alias("deposit"),
+        rent.alias("monthly"),
         F.min(F.when(F.col("area") > 0, F.col("area"))).alias("area_min"),
         F.max(F.when(F.col("area") > 0, F.col("area"))).alias("area_max"),
         F.count("*").alias("deals"),

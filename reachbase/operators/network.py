@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from reachbase.functions.exprs import haversine
 from reachbase.functions.medians import upper_middle
+from reachbase.operators.ranges import places, running_sums
 
 #: Longest chain of stations that a line's group is traced in at once.
 MAX_LINE_EDGES = 100_000
@@ -153,11 +154,7 @@ def csr_offsets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     degree = nodes.join(edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")), "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
     from reachbase.operators.graph import cut_lineage
 
-    ranged = cut_lineage(degree.repartitionByRange("node").withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_part").agg(F.sum("degree").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_part").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(starts, "_part").select("node", "degree", (F.col("_start") + F.coalesce(F.sum("degree").over(inside), F.lit(0))).alias("first"))
+    return running_sums(degree, ["node"], {"first": "degree"}).select("node", "degree", "first")
 
 
 def least_recent(pool: DataFrame, seen: DataFrame, limit: int) -> DataFrame:
@@ -168,9 +165,9 @@ def least_recent(pool: DataFrame, seen: DataFrame, limit: int) -> DataFrame:
 
 def turn_quota(rows: DataFrame, kind: str, order: str, quota: int, cursor: int) -> DataFrame:
     """The next ``quota`` rows of each kind from its cursor on, around its end."""
-    w = Window.partitionBy(kind)
-    placed = rows.withColumn("_p", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
-    return placed.where(F.pmod(F.col("_p") - cursor, F.col("_n")) < quota).drop("_p", "_n")
+    sizes = rows.groupBy(F.col(kind).alias("_kind")).agg(F.count("*").alias("_n"))
+    placed = places(rows, [order], kind, "_p").join(sizes, F.col(kind) == F.col("_kind"))
+    return placed.where(F.pmod(F.col("_p") - cursor, F.col("_n")) < quota).select(*rows.columns)
 
 
 def thinned(features: DataFrame, width: float, height: float, most: int) -> DataFrame:

@@ -9,12 +9,22 @@ from reachbase.functions.exprs import PERIODS, haversine
 
 
 def running_seconds(segments: DataFrame, dwell: int) -> DataFrame:
-    """Adds ``at``: whole seconds of all segments (trip_id, pos, meters, kmh) up to the stop, each cut to seconds first."""
+    """Adds ``at``: whole seconds of all segments (trip_id, pos, meters, kmh, pass_through) up to the stop, each cut to seconds first.
+
+    Nobody dwells at a point that is only passed through, nor at the first stop.
+    """
     order = Window.partitionBy("trip_id").orderBy("pos")
-    own = F.when(F.col("pos") == 1, 0).otherwise(F.floor(F.col("meters") / (F.col("kmh") / 3.6)) + dwell)
+    stay = F.when(F.coalesce("pass_through", F.lit(False)), 0).otherwise(dwell)
+    own = F.when(F.col("pos") == 1, 0).otherwise(F.floor(F.col("meters") / (F.col("kmh") / 3.6)) + stay)
     return segments.withColumn("at", F.sum(own).over(order).cast("long"))
 
 
+def served_stops(timed: DataFrame) -> DataFrame:
+    """The rows without points that are passed through, with their ``place`` from 1 in what is left."""
+    order = Window.partitionBy("trip_id").orderBy("pos")
+    return timed.where(~F.coalesce("pass_through", F.lit(False))).withColumn("place", F.row_number().over(order))
+
+
 def implied_speeds(stops: DataFrame) -> DataFrame:
     """Speed of each hop of (trip_id, pos, off, lat, lon), and whether it is out of 3 to 90 km/h or stands still too far."""
     order = Window.partitionBy("trip_id").orderBy("pos")

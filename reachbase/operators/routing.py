@@ -84,20 +84,24 @@ def earliest_arrivals(seeds: DataFrame, stops: DataFrame, windows: DataFrame, tr
     """query, stop_id, t after up to ``rounds`` rides from the seeds (query, stop_id, t), t up to each query's cutoff.
 
     windows: baked, last departure included. With mirror, the tables are mirrored ones, times
-    are negative and the slack stands at alighting. It ends early when no ride improves
-    anything. Queries are independent; all steps are keyed by query first.
+    are negative and the slack stands at alighting. A round boards only where the round before
+    improved a label: what was boarded earlier has been ridden. It ends early when no ride
+    improves anything. Queries are independent; all steps are keyed by query first.
     """
     board, arrive = (0, BOARD_SLACK) if mirror else (BOARD_SLACK, 0)
     settle = cut_lineage if checkpoint else lambda df: df
     start = _least(seeds.select("query", "stop_id", "t"))
-    labels = settle(_least(start, walked(start, transfers, cutoffs)))
+    labels = fresh = settle(_least(start, walked(start, transfers, cutoffs)))
     for _ in range(rounds):
-        ride = ridden(labels, stops, windows, cutoffs, board, arrive)
+        ride = ridden(fresh, stops, windows, cutoffs, board, arrive)
         known = labels.withColumnRenamed("t", "_t")
         improved = settle(ride.join(known, ["query", "stop_id"], "left").where("_t IS NULL OR t < _t").select("query", "stop_id", "t"))
         if checkpoint and not improved.limit(1).count():
             break
-        labels = settle(_least(labels, improved, walked(improved, transfers, cutoffs)))
+        offer = _least(improved, walked(improved, transfers, cutoffs)).withColumnRenamed("t", "_offer")
+        both = labels.join(offer, ["query", "stop_id"], "full")
+        settled = settle(both.select("query", "stop_id", F.least("t", "_offer").alias("t"), (F.col("t").isNull() | (F.col("_offer") < F.col("t"))).alias("_new")))
+        labels, fresh = settled.select("query", "stop_id", "t"), settled.where("_new").select("query", "stop_id", "t")
     return labels
 
 
@@ -116,11 +120,18 @@ def next_departures(asks: DataFrame, connections: DataFrame) -> DataFrame:
 
 
 def rail_arrivals(seeds: DataFrame, connections: DataFrame, transfers: DataFrame) -> DataFrame:
-    """query, node, t: the least time at every node, riding connections and walking transfers until nothing improves."""
+    """query, node, t: the least time at every node, riding connections and walking transfers until nothing improves.
+
+    The departures between two nodes stand in one row (a day's, some hundreds), so a frontier
+    row meets each destination once. A later train may arrive before an earlier one.
+    """
     best = cut_lineage(seeds.groupBy("query", "node").agg(F.min("t").alias("t")))
+    each = connections.groupBy("origin", "dest", "dep").agg(F.min("arr").alias("arr"))
+    day = cut_lineage(each.groupBy("origin", "dest").agg(F.array_sort(F.collect_list(F.struct("dep", "arr"))).alias("_day")))
     frontier = best
     while frontier.limit(1).count():
-        ride = frontier.join(connections, F.col("node") == F.col("origin")).where("dep >= t").groupBy("query", "dest").agg(F.min("arr").alias("t")).withColumnRenamed("dest", "node")
+        least = F.array_min(F.transform(F.filter("_day", lambda x: x["dep"] >= F.col("t")), lambda x: x["arr"]))
+        ride = frontier.join(day, F.col("node") == F.col("origin")).select("query", F.col("dest").alias("node"), least.alias("t")).where("t IS NOT NULL")
         walk = frontier.join(transfers, F.col("node") == F.col("from_node")).select("query", F.col("to_node").alias("node"), (F.col("t") + F.col("sec")).alias("t"))
         offer = ride.unionByName(walk).groupBy("query", "node").agg(F.min("t").alias("_offer"))
         both = cut_lineage(best.join(offer, ["query", "node"], "full").select("query", "node", F.least("t", "_offer").alias("t"), (F.col("t").isNull() | (F.col("_offer") < F.col("t"))).alias("_new")))

@@ -2,34 +2,34 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachbase.functions.exprs import haversine
+from reachbase.operators.graph import connected, cut_lineage
 
 METERS_PER_DEGREE = 111_195.0
 
 
-def _cells(lat: str, lon: str, radius: float, widest_lat: float) -> tuple[Column, Column]:
-    """Grid cells at least radius wide up to the given latitude."""
-    size_lat = radius / METERS_PER_DEGREE
-    size_lon = size_lat / math.cos(math.radians(widest_lat))
-    return F.floor(F.col(lat) / size_lat), F.floor(F.col(lon) / size_lon)
+def _lon_cell(row: Column, lon: str, size: float) -> Column:
+    """The cell of a longitude in a row of cells, at least the radius wide up to the latitudes of the rows beside it."""
+    highest = F.least(F.lit(89.99), (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * size)
+    return F.floor(F.col(lon) * F.cos(F.radians(highest)) / size)
 
 
-def within(left: DataFrame, right: DataFrame, radius: float, widest_lat: float = 60.0) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, radius: float, same: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of left (a, a_lat, a_lon) and right (b, b_lat, b_lon) up to radius metres apart: a, b, meters.
 
-    Each right row stands in nine cells, so the join is an equi-join and never misses a pair up
-    to the given latitude. Cells are as wide as the radius; a pair is found once.
+    Cells are as high as the radius, and in each row as wide as its latitude needs. Each right
+    row stands in nine cells, so the join is an equi-join; a pair is found once. Pairs may also
+    have to agree in the columns of ``same``. Not across the 180th meridian.
     """
-    y, x = _cells("a_lat", "a_lon", radius, widest_lat)
-    v, u = _cells("b_lat", "b_lon", radius, widest_lat)
-    around = [F.struct((v + i).alias("y"), (u + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    near = right.withColumn("_cell", F.explode(F.array(*around))).select("b", "b_lat", "b_lon", F.col("_cell.y").alias("_y"), F.col("_cell.x").alias("_x"))
-    joined = left.where("a_lat IS NOT NULL").withColumns({"_y": y, "_x": x}).join(near, ["_y", "_x"])
+    size = radius / METERS_PER_DEGREE
+    y = F.floor(F.col("a_lat") / size)
+    row = F.floor(F.col("b_lat") / size) + F.col("_i")
+    around = right.withColumn("_i", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("_y", row)
+    near = around.withColumn("_x", F.explode(F.array(*[_lon_cell(F.col("_y"), "b_lon", size) + j for j in (-1, 0, 1)]))).select("b", "b_lat", "b_lon", *same, "_y", "_x")
+    joined = left.where("a_lat IS NOT NULL").withColumn("_y", y).withColumn("_x", _lon_cell(F.col("_y"), "a_lon", size)).join(near, ["_y", "_x", *same])
     meters = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     return joined.withColumn("meters", meters).where(F.col("meters") <= radius).select("a", "b", "meters")
 
@@ -46,22 +46,15 @@ def nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return within(left, right, radius).groupBy("a").agg(best["b"].alias("b"), best["meters"].alias("meters"))
 
 
-def nearest_any(left: DataFrame, right: DataFrame, max_right: int = 100_000) -> DataFrame:
-    """The nearest b of each a at any distance: right is a small dimension, whose size is checked.
-
-    A larger right side goes through rings of growing radius, each for the rows still without one.
-    """
-    if right.count() <= max_right:
-        meters = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-        best = F.min(F.struct(meters.alias("meters"), "b"))
-        return left.join(F.broadcast(right), F.lit(True)).groupBy("a").agg(best["b"].alias("b"), best["meters"].alias("meters"))
-    done, rest, radius = None, left, 500.0
+def nearest_any(left: DataFrame, right: DataFrame, first: float = 500.0) -> DataFrame:
+    """The nearest b of each a at any distance, by rings of growing radius, each for the rows still without one."""
+    done, rest, radius = None, cut_lineage(left), first
     while radius < 2.1e7 and rest.limit(1).count():
-        found = nearest(rest, right, radius)
+        found = cut_lineage(nearest(rest, right, radius))
         done = found if done is None else done.union(found)
-        rest = rest.join(found, "a", "left_anti")
-        radius *= 8
-    return done
+        rest = cut_lineage(rest.join(found.select("a"), "a", "left_anti"))
+        radius *= 4
+    return done if done is not None else nearest(left, right, first)
 
 
 def count_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
@@ -72,3 +65,13 @@ def count_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
 def points(df: DataFrame, key: str, side: str) -> DataFrame:
     return df.select(F.col(key).alias(side), F.col("lat").alias(f"{side}_lat"), F.col("lon").alias(f"{side}_lon"))
+
+
+def clusters_by_name(nodes: DataFrame, radius: float) -> DataFrame:
+    """Nodes (id, name, lat, lon) with one name linked up to radius metres apart: id, cluster (smallest id).
+
+    Nodes meet by cell and name, so a name that many of them have isn't one task.
+    """
+    a, b = (nodes.where("name IS NOT NULL").select("name", F.col("id").alias(s), F.col("lat").alias(f"{s}_lat"), F.col("lon").alias(f"{s}_lon")) for s in "ab")
+    found = connected(within(a, b, radius, same=("name",)).where("a < b").select("a", "b"))
+    return nodes.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster"))

@@ -40,12 +40,14 @@ def price_trend_array(t):
 
 
 @query(f"""
-SELECT seq, arg_max(umd, ym * 10000000000000 + ord * 1000000 + umd) AS umd, max(ym) AS ym, {_upper('amount', 'monthly = 0 AND amount > 0')} AS jeonse,
-       {_upper('amount', 'monthly > 0 AND amount > 0')} AS deposit, {_upper('monthly', 'monthly > 0')} AS monthly,
-       min(area) AS area_min, max(area) AS area_max, count(*) AS deals
-FROM {{deal}} GROUP BY seq""")
+WITH d AS (
+  SELECT *, monthly + amount * CAST(0.055 AS double) / 12 AS equivalent, row_number() OVER (PARTITION BY seq ORDER BY ym DESC, ord, line_no, umd) AS place FROM {{deal}})
+SELECT seq, max(umd) FILTER (WHERE place = 1) AS umd, max(ym) AS ym, {_upper('amount', "trade = 'SALE' AND amount > 0")} AS sale,
+       {_upper('amount', "trade <> 'SALE' AND monthly = 0 AND amount > 0")} AS jeonse, CAST(CASE WHEN max(monthly) > 0 THEN 1000 END AS int) AS deposit, {_RENT} AS monthly,
+       min(area) FILTER (WHERE area > 0) AS area_min, max(area) FILTER (WHERE area > 0) AS area_max, count(*) AS deals
+FROM d GROUP BY seq""")
 def building_summary(t):
-    return housing.building_summary(t("deal"))
+    return housing.building_summary(t("deal"), ["ord", "line_no"])
 
 
 @query(f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reachbase.functions import exprs
+from reachbase.functions.medians import upper_middle
 from reachbase.operators import housing, reach
 from reachbase.plans.housing_queries import _RENT, _ROOMS, _upper
 from reachbase.plans.registry import query
@@ -18,7 +19,9 @@ near AS (SELECT origin, dong_id, min(minutes) AS minutes FROM {{reach}} WHERE mi
 
 
 def _prices(t):
-    return housing.area_rooms(t("deal")).select(F.col("umd").alias("dong_id"), "room", "jeonse", "rent", F.col("deals").alias("n"))
+    rooms = housing.with_rooms(t("deal")).groupBy(F.col("umd").alias("dong_id"), "room")
+    rent = housing.base_rent(where="monthly > 0")
+    return rooms.agg(upper_middle("amount", "monthly = 0 AND amount > 0").alias("jeonse"), F.when(rent.isNotNull(), housing.BASE_DEPOSIT).alias("deposit"), rent.alias("rent"), F.count("*").alias("n"))
 
 
 def _near(t):
@@ -32,14 +35,43 @@ def reach_threshold(t):
 
 @query(f"WITH {_PRICES} SELECT origin, dong_id, minutes, jeonse AS price, n FROM near JOIN prices USING (dong_id) WHERE room = 'ONE' AND n >= 10 AND jeonse <= {PRICE_CAP}")
 def dong_search(t):
-    found = reach.affordable(_near(t).drop("origin"), _prices(t), "ONE", "JEONSE", PRICE_CAP)
-    return _near(t).join(found.drop("minutes").distinct(), "dong_id").select("origin", "dong_id", "minutes", "price", "n")
+    return reach.affordable(_near(t), _prices(t), "ONE", "JEONSE", PRICE_CAP, BUDGET).select("origin", "dong_id", "minutes", "price", "n")
+
+
+@query(f"""
+WITH {_PRICES}, flat AS (SELECT stop_id AS dong_id FROM {{elevation}} WHERE metres <= 10)
+SELECT origin, dong_id, minutes, rent AS price, 1000 AS deposit, n FROM near JOIN prices USING (dong_id) JOIN flat USING (dong_id) WHERE room = 'TWO' AND n >= 10 AND rent > 0 AND minutes <= 60""")
+def dong_search_flat(t):
+    climbs = t("elevation").select(F.col("stop_id").alias("dong_id"), F.col("metres").alias("climb"))
+    return reach.affordable(_near(t), _prices(t), "TWO", "WOLSE", 0, BUDGET, climbs).select("origin", "dong_id", "minutes", "price", "deposit", "n")
+
+
+@query(f"""
+WITH {_PRICES}, own AS (SELECT seq, umd AS dong_id, room, count(*) AS n, {_RENT} AS m FROM rooms GROUP BY seq, umd, room)
+SELECT origin, seq, dong_id, minutes, m AS price, own.n FROM near JOIN own USING (dong_id) WHERE room = 'ONE' AND m <= 120""")
+def rental_search(t):
+    own = housing.with_rooms(t("deal")).groupBy("seq", F.col("umd").alias("dong_id"), "room").agg(F.count("*").alias("n"), housing.base_rent(where="monthly > 0").alias("m"), F.lit(None).cast("int").alias("j"))
+    return reach.affordable_buildings(_near(t), own, "ONE", "WOLSE", 120, BUDGET).select("origin", "seq", "dong_id", "minutes", "price", "n")
+
+
+@query(f"""
+WITH {_ROOMS}, by_month AS (SELECT umd, room, ym // 100 AS y, {_RENT} AS v FROM rooms GROUP BY umd, room, ym // 100),
+c AS (SELECT umd AS dong_id, room, list(v ORDER BY y) AS trend, count(v) AS known, min(v) AS low, max(v) AS high FROM by_month GROUP BY umd, room),
+p AS (SELECT umd AS dong_id, room, count(*) AS n, {_RENT} AS rent FROM rooms GROUP BY umd, room)
+SELECT dong_id, room, n, n < 10 AS few, CASE WHEN rent > 0 AND known >= 3 THEN array_to_string(list_filter(trend, lambda x: x IS NOT NULL), ',') END AS trend, CASE WHEN rent > 0 AND known >= 3 THEN low END AS low, CASE WHEN rent > 0 AND known >= 3 THEN high END AS high
+FROM c JOIN p USING (dong_id, room)""")
+def detail_cards(t):
+    years = housing.with_rooms(t("deal")).groupBy(F.col("umd").alias("dong_id"), "room", F.floor(F.col("ym") / 100).alias("y")).agg(housing.base_rent(where="monthly > 0").alias("v"))
+    trend = years.groupBy("dong_id", "room").agg(F.array_sort(F.collect_list(F.struct("y", "v"))).alias("_t")).select("dong_id", "room", F.transform("_t", lambda x: x["v"]).alias("trend"))
+    cards = reach.detail_card(_prices(t).join(trend, ["dong_id", "room"]))
+    return cards.withColumn("trend", F.array_join("trend", ","))
 
 
 @query(f"WITH {_PRICES}, b AS (SELECT dong_id, min(minutes) AS minutes FROM near GROUP BY dong_id) SELECT dong_id, minutes, jeonse AS price, n FROM b JOIN prices USING (dong_id) WHERE room = 'ONE' AND n >= 10 AND jeonse <= {PRICE_CAP} ORDER BY price, minutes, dong_id LIMIT 5")
 def dong_rank_top5(t):
     best = _near(t).groupBy("dong_id").agg(F.min("minutes").alias("minutes"))
-    return reach.first_five(reach.affordable(best, _prices(t), "ONE", "JEONSE", PRICE_CAP), [F.col("price"), F.col("minutes")])
+    found = reach.affordable(best, _prices(t), "ONE", "JEONSE", PRICE_CAP, BUDGET).select("dong_id", "minutes", "price", "n")
+    return reach.first_five(found, [F.col("price"), F.col("minutes")])
 
 
 @query("""
@@ -171,3 +203,66 @@ def core_bounds(t):
 def climb_words(t):
     rounded = exprs.java_round(F.col("metres"))
     return t("elevation").select("stop_id", rounded.alias("metres"), exprs.climb_word(rounded).alias("word"))
+
+
+@query(f"""
+WITH {_RASTER}, homes AS (SELECT c_custkey AS id, CAST((c_custkey * 31) % 4200 AS double) AS y, CAST((c_custkey * 17) % 4300 AS double) AS x FROM {{customer}})
+SELECT id, value AS minutes FROM homes JOIN field ON field.row = floor(y / 200) AND field.col = floor(x / 200) WHERE value <= 45""")
+def complexes_on_field(t):
+    k = F.col("c_custkey")
+    pts = t("customer").select(k.alias("id"), (k * 31 % 4200).cast("double").alias("y"), (k * 17 % 4300).cast("double").alias("x"))
+    return reach.on_field(pts, _field(t), 200.0, 45).select("id", "minutes")
+
+
+_BOX = """
+pts AS (SELECT place_id, lat, lon, CAST(place_id % 80 AS int) AS minutes FROM {place}), inside AS (SELECT * FROM pts WHERE minutes <= 60),
+b AS (SELECT min(lat) AS la, max(lat) AS lb, min(lon) AS oa, max(lon) AS ob, 111320.0::double AS ky, 111320.0::double * cos(radians((min(lat) + max(lat)) / 2)) AS kx FROM inside),
+e AS (SELECT *, la - 990.0::double / ky AS y0, oa - 990.0::double / kx AS x0, (lb + 990.0::double / ky - (la - 990.0::double / ky)) * ky AS h, (ob + 990.0::double / kx - (oa - 990.0::double / kx)) * kx AS w FROM b),
+z AS (SELECT min(i) AS i FROM range(9) r(i) CROSS JOIN e WHERE ceil(h / (25 * pow(1.5, i))) * ceil(w / (25 * pow(1.5, i))) <= 16000),
+g AS (SELECT *, 25 * pow(1.5, i) AS cell, ceil(h / (25 * pow(1.5, i))) + 1 AS nr, ceil(w / (25 * pow(1.5, i))) + 1 AS nc FROM e CROSS JOIN z),
+p AS (SELECT minutes, (lat - y0) * ky AS y, (lon - x0) * kx AS x, least((60 - minutes) * 66.0::double, 990.0::double) AS r, cell, nr, nc FROM inside CROSS JOIN g WHERE minutes < 60),
+s AS (SELECT p.*, CAST(floor(y / cell + 0.5) AS int) AS mr, CAST(floor(x / cell + 0.5) AS int) AS mc, CAST(ceil(r / cell) + 1 AS int) AS sp FROM p),
+i AS (SELECT *, unnest(range(greatest(0, mr - sp), least(nr - 1, mr + sp)::int + 1)) AS row FROM s), j AS (SELECT *, unnest(range(greatest(0, mc - sp), least(nc - 1, mc + sp)::int + 1)) AS col FROM i),
+d AS (SELECT *, sqrt(pow(row * cell - y, 2) + pow(col * cell - x, 2)) AS d FROM j),
+cov AS (SELECT row, col, min(minutes + d / 66.0::double) AS v FROM d WHERE d <= r AND minutes + d / 66.0::double <= 60 GROUP BY row, col),
+fld AS (SELECT CAST(a.row AS int) AS row, CAST(b.col AS int) AS col, round(coalesce(v, 84.0::double), 6) AS minutes FROM (SELECT unnest(range(nr::int)) AS row FROM g) a CROSS JOIN (SELECT unnest(range(nc::int)) AS col FROM g) b LEFT JOIN cov ON cov.row = a.row AND cov.col = b.col)"""
+
+
+def _grid(t):
+    pts = t("place").withColumn("minutes", (F.col("place_id") % 80).cast("int"))
+    return reach.field_grid(pts, 60, cell_m=25.0, most_cells=16_000)
+
+
+@query(f"WITH {_BOX} SELECT row, col, minutes FROM fld")
+def field_with_growing_cells(t):
+    return _grid(t)
+
+
+@query(f"WITH {_BOX} SELECT row, col, CAST(least(60, floor(minutes / 15) * 15) AS int) AS band FROM fld WHERE minutes < 84")
+def band_of_cells(t):
+    return reach.banded(_grid(t), 60)
+
+
+@query(f"""
+WITH {_RASTER}, p0 AS (SELECT row, col, value FROM field),
+""" + ",\n".join(f"""m{i} AS (SELECT a.row, a.col, a.value, count(*) AS n, sum(b.value * CASE WHEN a.row = b.row AND a.col = b.col THEN 4.0::double WHEN a.row = b.row OR a.col = b.col THEN 1.0::double ELSE 0.5::double END) / 10 AS mean FROM p{i} a JOIN p{i} b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL),
+p{i + 1} AS (SELECT row, col, round(CASE WHEN n = 9 THEN mean ELSE value END, 4) AS value FROM m{i})""" for i in range(6)) + "\nSELECT CAST(row AS int) AS row, CAST(col AS int) AS col, round(value, 2) AS value FROM p6")
+def smooth_six_passes(t):
+    field = _field(t)
+    for _ in range(6):
+        field = reach.smoothed(field)
+    return field.withColumn("value", F.round("value", 2))
+
+
+@query("""
+WITH q AS (SELECT list_sort(list(lat)) AS a, list_sort(list(lon)) AS o, count(*) AS n FROM {place}),
+v AS (SELECT a[least(n, floor(n * 0.05)::bigint + 1)] AS la, a[least(n, floor(n * 0.95)::bigint + 1)] AS lb, a[least(n, floor(n * 0.5)::bigint + 1)] AS mid, o[least(n, floor(n * 0.05)::bigint + 1)] AS oa, o[least(n, floor(n * 0.95)::bigint + 1)] AS ob FROM q)
+SELECT oa - 2700.0::double / (111000 * cos(radians(mid))) AS west, ob + 2700.0::double / (111000 * cos(radians(mid))) AS east, la - 2700.0::double / 111000 AS south, lb + 2700.0::double / 111000 AS north FROM v""")
+def padded_bounds(t):
+    return reach.padded_bounds(t("place"), 15)
+
+
+@query("SELECT stop_id AS station_id, pow((lon - 127.01::double) * cos(radians(37.51::double)), 2) + pow(lat - 37.51::double, 2) AS d2 FROM {stop} ORDER BY d2, stop_id LIMIT 300")
+def drawn_stations(t):
+    stations = t("stop").select(F.col("stop_id").alias("station_id"), "lat", "lon")
+    return reach.drawn_stations(stations, 37.51, 127.01).select("station_id", "d2")

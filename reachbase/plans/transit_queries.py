@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reachbase.functions import exprs
-from reachbase.operators import calibration, checks, graph, ordered, routing, spatial, speed
+from reachbase.operators import calibration, checks, graph, matrix, ordered, routing, spatial, speed
 from reachbase.plans.registry import query
 
 _SOUND = "sound AS (SELECT * FROM {speed_obs} WHERE kmh >= 5 AND kmh <= CASE WHEN meters < 500 THEN 60 WHEN meters < 1500 THEN 80 ELSE 110 END)"
@@ -106,10 +106,12 @@ def service_windows(t):
 
 
 @query("""
-SELECT trip_id, pos, CAST(sum(CASE WHEN pos = 1 THEN 0 ELSE floor(leg * 5 / (24 / CAST(3.6 AS double))) + 61 END) OVER (PARTITION BY trip_id ORDER BY pos) AS bigint) AS at FROM {trip_leg}""")
+WITH legs AS (SELECT *, stop_id % 9 = 0 AS pass_through FROM {trip_leg}),
+timed AS (SELECT *, CAST(sum(CASE WHEN pos = 1 THEN 0 ELSE floor(leg * 5 / (24 / CAST(3.6 AS double))) + CASE WHEN pass_through THEN 0 ELSE 61 END END) OVER (PARTITION BY trip_id ORDER BY pos) AS bigint) AS at FROM legs)
+SELECT trip_id, stop_id, row_number() OVER (PARTITION BY trip_id ORDER BY pos) AS place, timed."at" AS "at" FROM timed WHERE NOT pass_through""")
 def trip_running_time(t):
-    legs = t("trip_leg").select("trip_id", "pos", (F.col("leg") * 5).alias("meters"), F.lit(24).alias("kmh"))
-    return ordered.running_seconds(legs, 61).select("trip_id", "pos", "at")
+    legs = t("trip_leg").select("trip_id", "pos", "stop_id", (F.col("leg") * 5).alias("meters"), F.lit(24).alias("kmh"), (F.col("stop_id") % 9 == 0).alias("pass_through"))
+    return ordered.served_stops(ordered.running_seconds(legs, 61)).select("trip_id", "stop_id", "place", "at")
 
 
 @query(f"""
@@ -192,7 +194,7 @@ _CLUSTER_EDGES = f"e AS (SELECT a.dong_id AS a, b.dong_id AS b FROM {{dong}} a J
 WITH RECURSIVE {_CLUSTER_EDGES}, r AS (SELECT dong_id AS id, dong_id AS seen FROM {{dong}} UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a)
 SELECT id, min(seen) AS cluster FROM r GROUP BY id""")
 def cluster_stations(t):
-    return graph.clusters_by_name(t("dong").select(F.col("dong_id").alias("id"), F.col("gu").alias("name"), "lat", "lon"), 1500)
+    return spatial.clusters_by_name(t("dong").select(F.col("dong_id").alias("id"), F.col("gu").alias("name"), "lat", "lon"), 1500)
 
 
 @query(f"""
@@ -308,6 +310,16 @@ def raptor_3_rounds(t):
     return _arrivals(t, 3)
 
 
+@query(f"WITH {_NET}, {_FORWARD} SELECT count(*) AS checked, count(*) FILTER (WHERE b.t IS NULL OR b.t > a.t) AS slower FROM l2 a LEFT JOIN l3 b ON a.q = b.q AND a.stop_id = b.stop_id")
+def more_rounds_never_slower(t):
+    return matrix.slower_pairs(_arrivals(t, 2), _arrivals(t, 3))
+
+
+@query(f"WITH {_NET}, {_FORWARD} SELECT count(*) AS checked, 0::bigint AS differing FROM l2")
+def search_is_deterministic(t):
+    return matrix.differing(_arrivals(t, 2), _arrivals(t, 2))
+
+
 @query(f"""
 WITH {_NET}, ends AS (SELECT trip_id, max(off) AS last, max(pos) + min(pos) AS span FROM {{pattern_stop}} GROUP BY trip_id),
 ms AS (SELECT trip_id, span - pos AS pos, stop_id, last - off AS off FROM {{pattern_stop}} JOIN ends USING (trip_id)),
@@ -378,11 +390,32 @@ def error_signatures(t):
 
 
 @query("""
-WITH e AS (SELECT ours_sec - ext_sec AS error, type FROM {leg_obs}),
-g AS (SELECT type, grouping(type) AS overall, count(*) AS n, avg(error) AS bias, avg(abs(error)) AS mae, avg(CASE WHEN abs(error) <= 180 THEN 1.0::double ELSE 0.0::double END) AS within, list_sort(list(error))[count(*) // 2 + 1] AS median FROM e GROUP BY GROUPING SETS ((), (type)))
-SELECT type, CAST(overall AS int) AS overall, n, round(bias, 4) AS bias, round(mae, 4) AS mae, round(within, 4) AS within, median FROM g WHERE n >= 3""")
+WITH e AS (SELECT ours_sec - ext_sec AS error, (ours_sec - ext_sec) * 100.0::double / nullif(ext_sec, 0) AS rel, type, CASE WHEN part % 3 = 0 THEN 'measured' ELSE 'estimated' END AS src FROM {leg_obs}),
+u AS (SELECT NULL AS part, NULL AS value, error, rel FROM e UNION ALL SELECT 'type', type, error, rel FROM e UNION ALL SELECT 'src', src, error, rel FROM e),
+g AS (SELECT part, value, count(*) AS n, avg(error) AS bias, avg(rel) AS relative, avg(abs(error)) AS mae, avg(CASE WHEN abs(error) <= 180 THEN 1.0::double ELSE 0.0::double END) AS within, list_sort(list(error))[count(*) // 2 + 1] AS median FROM u GROUP BY part, value)
+SELECT part, value, n, round(bias, 4) AS bias, round(relative, 4) AS relative, round(mae, 4) AS mae, round(within, 4) AS within, median FROM g WHERE n >= 3""")
 def bias_report(t):
-    return calibration.bias_report(t("leg_obs").withColumn("error", F.col("ours_sec") - F.col("ext_sec")))
+    rows = t("leg_obs").withColumn("error", F.col("ours_sec") - F.col("ext_sec")).withColumn("src", F.when(F.col("part") % 3 == 0, "measured").otherwise("estimated"))
+    return calibration.bias_report(rows, ["type", "src"])
+
+
+_SIDES = """
+k AS (SELECT od_id, row_number() OVER (ORDER BY od_id) - 1 AS i FROM (SELECT DISTINCT od_id FROM {leg_obs})),
+r AS (SELECT i % 2 = 0 AS train, stops - 1 AS hops, ext_m * 3 / greatest(1, stops - 1) >= 1500 AS far, greatest(1.0::double, ours_sec - (stops - 1) * 58) * CASE WHEN ext_m * 3 / greatest(1, stops - 1) >= 1500 THEN 1.25::double ELSE 1.0::double END AS ride, ext_sec AS ext FROM {leg_obs} JOIN k USING (od_id))"""
+
+
+@query(f"""
+WITH {_SIDES},
+ff AS (SELECT round(0.40 + 0.05 * i, 2)::double AS f FROM range(53) x(i)),
+fg AS (SELECT f, round(avg(abs(ride / f + hops * 58 - ext)), 6) AS mae FROM r CROSS JOIN ff WHERE train AND far GROUP BY f),
+bf AS (SELECT f FROM fg ORDER BY mae, f LIMIT 1),
+dg AS (SELECT b, round(avg(abs(ride / CASE WHEN far THEN f ELSE 1.0::double END + hops * b - ext)), 6) AS mae FROM r CROSS JOIN bf CROSS JOIN range(181) x(b) WHERE train GROUP BY b),
+bd AS (SELECT b FROM dg ORDER BY mae, b LIMIT 1),
+c AS (SELECT CASE WHEN abs(b - 58) < 2 THEN 58 ELSE b END AS dwell, CASE WHEN abs(f - 1.25) < 0.05 THEN 1.25::double ELSE f END AS factor FROM bf CROSS JOIN bd),
+e AS (SELECT ride / CASE WHEN far THEN factor ELSE 1.0::double END + hops * dwell - ext AS e, dwell, factor FROM r CROSS JOIN c WHERE NOT train)
+SELECT true AS fitted, CAST(any_value(dwell) AS int) AS dwell, any_value(factor) AS factor, round(avg(e), 4) AS bias, round(avg(abs(e)), 4) AS mae, round(avg(CASE WHEN abs(e) <= 180 THEN 1.0::double ELSE 0.0::double END), 4) AS within FROM e""")
+def calibration_refit(t):
+    return calibration.refit(t("leg_obs").withColumn("ext_m", F.col("ext_m") * 3), 58, 1.25)
 
 
 @query("""
@@ -404,8 +437,9 @@ g AS (SELECT b AS value, round(avg(abs(ours_sec + b * (stops - 1) - ext_sec)), 6
 SELECT CAST(value AS bigint) AS value, mae FROM g""")
 def grid_calibration(t):
     train = calibration.split_holdout(t("leg_obs")).where("train")
-    grid = train.sparkSession.range(181).toDF("value")
-    return calibration.grid_search(train, grid, F.col("ours_sec") + F.col("value") * (F.col("stops") - 1) - F.col("ext_sec"))
+    rows = train.select("stops", (F.col("ours_sec") - F.col("ext_sec")).alias("off"))
+    grid = calibration.grid_search(rows, list(range(181)), ["stops", "off"], lambda b: F.col("off") + b * (F.col("stops") - 1))
+    return grid.select(F.col("value").cast("long").alias("value"), "mae")
 
 
 @query("""

@@ -31,7 +31,8 @@ FROM {orders}""",
     "deal": """
 SELECT l_partkey AS seq, CAST(l_suppkey % 25 AS int) AS sgg, l_suppkey AS umd, l_quantity * 1.5e0 AS area, CAST(floor(l_extendedprice / 1e1) AS int) AS amount,
        CASE WHEN l_returnflag = 'A' THEN 0 ELSE 20 + CAST(floor(l_discount * 1e3 + 5e-1) AS int) END AS monthly,
-       l_returnflag AS kind, CAST(year(l_shipdate) * 100 + month(l_shipdate) AS int) AS ym, CAST(l_linenumber % 3 AS int) AS file_no, l_orderkey AS ord
+       l_returnflag AS kind, CAST(year(l_shipdate) * 100 + month(l_shipdate) AS int) AS ym, CAST(l_linenumber % 3 AS int) AS file_no, l_orderkey AS ord, l_linenumber AS line_no,
+       CASE WHEN l_returnflag = 'A' AND l_linenumber % 2 = 0 THEN 'SALE' ELSE 'RENT' END AS trade
 FROM {lineitem}""",
     "dong": "SELECT s_suppkey AS dong_id, s_name AS name, n_name AS gu, lat, lon FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {stop} ON s_suppkey = stop_id",
     "speed_obs": "SELECT user_id AS route, CAST(event_id % 40 AS int) AS ord, CAST((event_id * 37) % 12000 AS int) AS meters, CAST(floor(value) AS int) % 115 AS kmh, event_type AS type, CAST(ts AS date) AS snapshot FROM {events}",

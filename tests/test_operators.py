@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reachbase.functions import exprs
 from reachbase.functions.medians import at_share, lower_middle, upper_middle
-from reachbase.operators import calibration, graph, housing, network, ordered, reach, spatial
+from reachbase.operators import calibration, checks, graph, housing, network, ordered, ranges, reach, spatial
 
 
 def one(spark, column):
@@ -74,7 +74,7 @@ def test_distance_joins_miss_nothing(spark):
     assert {(r["a"], r["b"]) for r in spatial.within(a, b, 400).collect()} == plain
     nearest = {x[0]: min(right, key=lambda y: meters(x[1:], y[1:]))[0] for x in left}
     assert {r["a"]: r["b"] for r in spatial.nearest_any(a, b).collect()} == nearest
-    assert {r["a"]: r["b"] for r in spatial.nearest_any(a, b, max_right=10).collect()} == nearest
+    assert {r["a"]: r["b"] for r in spatial.nearest_any(a, b, first=50.0).collect()} == nearest
     counts = {r["a"]: r["n"] for r in spatial.count_within(a, b, 400).collect()}
     assert counts == {x[0]: sum(p[0] == x[0] for p in plain) for x in left}
 
@@ -143,6 +143,59 @@ def test_holdout_is_every_second_key(spark):
 
 def test_search(spark):
     near = spark.createDataFrame([(1, 20), (2, 30), (3, 10), (4, 5)], "dong_id int, minutes int")
-    rooms = spark.createDataFrame([(1, "ONE", 9000, 60, 20), (2, "ONE", 5000, None, 15), (3, "ONE", None, 40, 12), (4, "ONE", 4000, 50, 9)], "dong_id int, room string, jeonse int, rent int, n int")
-    assert [r["dong_id"] for r in reach.first_five(reach.affordable(near, rooms, "ONE", "JEONSE", 0), [F.col("price")]).collect()] == [2, 1]
-    assert {r["dong_id"] for r in reach.affordable(near, rooms, "ONE", "WOLSE", 50).collect()} == {3}
+    prices = [(1, "ONE", 9000, 1000, 60, 20), (2, "ONE", 5000, None, None, 15), (3, "ONE", None, 1000, 40, 12), (4, "ONE", 4000, 1000, 50, 9), (5, "ONE", 1, 1000, 30, 99), (6, "ONE", None, None, 30, 99)]
+    rooms = spark.createDataFrame(prices, "dong_id int, room string, jeonse int, deposit int, rent int, n int")
+    near = near.union(spark.createDataFrame([(5, 61), (6, None)], "dong_id int, minutes int"))
+    assert [r["dong_id"] for r in reach.first_five(reach.affordable(near, rooms, "ONE", "JEONSE", 0, 60), [F.col("price")]).collect()] == [2, 1]
+    assert {r["dong_id"] for r in reach.affordable(near, rooms, "ONE", "WOLSE", 50, 60).collect()} == {3}
+
+
+def test_only_known_flat_neighbourhoods(spark):
+    near = spark.createDataFrame([(1, 20), (2, 20), (3, 20)], "dong_id int, minutes int")
+    rooms = spark.createDataFrame([(i, "ONE", 10, 1000, 40, 12) for i in (1, 2, 3)], "dong_id int, room string, jeonse int, deposit int, rent int, n int")
+    climbs = spark.createDataFrame([(1, 10), (2, 11), (3, None)], "dong_id int, climb int")
+    assert [(r["dong_id"], r["deposit"]) for r in reach.affordable(near, rooms, "ONE", "WOLSE", 0, 60, climbs).collect()] == [(1, 1000)]
+
+
+def test_building_summary_rules(spark):
+    """Equal months take the first contract, sales aren't long leases, and a rent is compared at the base deposit."""
+    rows = [("a", 1, 202401, 1, 30.0, 5000, 0, "RENT"), ("a", 2, 202402, 2, 0.0, 3000, 50, "RENT"), ("a", 3, 202402, 3, 40.0, 90000, 0, "SALE"), ("a", 4, 202401, 4, 35.0, 1000, 40, "RENT"), ("b", 5, 202301, 5, 20.0, 0, 0, "RENT")]
+    deals = spark.createDataFrame(rows, "seq string, umd int, ym int, ord int, area double, amount int, monthly int, trade string")
+    got = {r["seq"]: r.asDict() for r in housing.building_summary(deals, ["ord"]).collect()}
+    assert got["a"] == {"seq": "a", "umd": 2, "ym": 202402, "sale": 90000, "jeonse": 5000, "deposit": 1000, "monthly": 59, "area_min": 30.0, "area_max": 40.0, "deals": 4}
+    assert (got["b"]["jeonse"], got["b"]["deposit"], got["b"]["monthly"]) == (None, None, None)
+
+
+def test_nobody_dwells_at_a_shape_point(spark):
+    rows = [(1, 1, 0.0, 36.0, False), (1, 2, 100.0, 36.0, True), (1, 3, 100.0, 36.0, False)]
+    timed = ordered.running_seconds(spark.createDataFrame(rows, "trip_id int, pos int, meters double, kmh double, pass_through boolean"), 30)
+    assert [(r["place"], r["at"]) for r in ordered.served_stops(timed).orderBy("place").collect()] == [(1, 0), (2, 50)]
+
+
+def test_pairs_at_high_latitudes(spark):
+    """Near the pole a degree of longitude is a few metres."""
+    a = spark.createDataFrame([(1, 89.5, 10.0), (2, 70.0, 20.0)], "a int, a_lat double, a_lon double")
+    b = spark.createDataFrame([(1, 89.5, 60.0), (2, 70.0, 20.02), (3, 70.009, 20.0)], "b int, b_lat double, b_lon double")
+    plain = {(x["a"], y["b"]) for x in a.collect() for y in b.collect() if 2 * 6_371_008.8 * math.asin(math.sqrt(math.sin(math.radians(y["b_lat"] - x["a_lat"]) / 2) ** 2 + math.cos(math.radians(x["a_lat"])) * math.cos(math.radians(y["b_lat"])) * math.sin(math.radians(y["b_lon"] - x["a_lon"]) / 2) ** 2)) <= 50_000}
+    assert {(r["a"], r["b"]) for r in spatial.within(a, b, 50_000).collect()} == plain and (1, 1) in plain
+
+
+def test_places_by_ranges(spark):
+    rows = spark.createDataFrame([(i * 7 % 50, "x" if i % 3 else "y") for i in range(200)], "v int, kind string")
+    for within in (None, "kind"):
+        got = ranges.places(rows, ["v"], within).collect()
+        for key in ({r["kind"] for r in got} if within else [None]):
+            mine = sorted((r["place"], r["v"]) for r in got if key is None or r["kind"] == key)
+            assert [p for p, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for _, v in mine)
+
+
+def test_refit_needs_rows_on_both_sides(spark):
+    rows = spark.createDataFrame([(i, 3, 500, 420, 900.0) for i in range(60)], "od_id int, stops int, ours_sec int, ext_sec int, ext_m double")
+    got = calibration.refit(rows, 58, 1.25).first()
+    assert not got["fitted"] and (got["dwell"], got["factor"]) == (58, 1.25)
+    more = calibration.refit(rows.union(rows.withColumn("od_id", F.col("od_id") + 100)), 58, 1.25).first()
+    assert more["fitted"] and more["dwell"] == 18 and more["mae"] == 0
+
+
+def test_required_files():
+    assert checks.missing_files(["stops.txt", "routes.txt", "trips.txt", "stop_times.txt", "calendar.txt"]) == ["agency.txt", "frequencies.txt"]
