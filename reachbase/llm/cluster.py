@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,16 +17,30 @@ def durable(df: DataFrame) -> DataFrame:
     on one machine is a temporary folder taken.
     """
     _shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with _shuffles_dropped(df.sparkSession):
+        return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet below the shared checkpoint folder and read again."""
     path = f"{_shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile needs its shuffle files no longer; by default they stay until the driver collects garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 #: Bytes of texts that go to a Python worker at once.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"

@@ -67,7 +67,8 @@ def registers(hashes: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray:
     for i in range(count):
         least[i] = np.minimum.reduceat(high * multiply[i] + add[i], first)
     uniform = (least.astype(np.float64) + 1) / (2.0**32 + 1)
-    # Scaled so that registers of sets of one to about 10**9 elements lie between the ends.
+    # Scaled so that registers of sets of one to about 10**9 elements lie between the ends. The least values have 32 bits,
+    # so registers of sets far above 10**6 elements agree more often than their sets; verification sorts that out.
     value = np.floor(1 - np.log(-np.log1p(-uniform)) / math.log(SPACING)) + 30_000
     out[full] = np.clip(value, 0, TOP_REGISTER).astype(np.uint16).T
     return out
@@ -204,6 +205,35 @@ def _open_buckets(rest: DataFrame) -> DataFrame:
     return shape.groupBy("n", "n_core", "core", "s", "x").agg(F.min("band").alias("band"))
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each element of the sets: node, component, size, element."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("elements").to_pylist()]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        owner = pa.array(np.repeat(np.arange(len(sets)), sizes))
+        columns = [batch.column("node").take(owner), batch.column("component").take(owner), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "component", "size", "element"])
+
+
+def _may_link(sets: DataFrame, percent: int) -> DataFrame:
+    """The nodes of sets (node, component, elements) that can still have a link to another component.
+
+    In one order of all elements, the rarest first, two sets that are alike share an element among the first
+    size - ceil(percent / 100 * size) + 1 of each. A page that is a common frame around text of
+    its own has these for itself alone, and needs no comparison however many share its frame.
+    """
+    elements = sets.select("node", "component", "elements").mapInArrow(_unpacked, "node long, component long, size long, element long")
+    shared = elements.groupBy("element").agg(F.count("*").alias("f")).where("f > 1")
+    own = F.array_sort(F.collect_list(F.struct("f", "element")))
+    each = elements.join(shared, "element").groupBy("node", "component", "size").agg(own.alias("_e"))
+    # Elements that no other set has come first.
+    first = (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("_e"))).cast("int")
+    first_own = each.withColumn("_n", first).where("_n > 0").select("node", "component", F.explode(F.slice("_e", 1, F.col("_n"))).alias("_x")).select("node", "component", F.col("_x.element").alias("element"))
+    first_own = durable(first_own)
+    met = first_own.groupBy("element").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("element")
+    return first_own.join(met, "element", "left_semi").select("node").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Groups documents whose sets of k-word shingles have a resemblance of percent / 100 or more.
 
@@ -216,8 +246,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
        first, then the full sets), which is one pair for each member.
     3. Buckets whose members are still in different components are compared in blocks of
        members on full sets, so no link inside a bucket is lost, and no group's pairs are rows.
+       Members that by their rarest elements can't be alike to any in another component
+       (_may_link) don't take part.
 
-    docs: doc_id and text are used. Rows that share a doc_id count as one document with several
+    docs: doc_id and text are used; texts are read whole, however long. Rows that share a doc_id count as one document with several
     texts; a null doc_id gets the component of an equal set, or null, and then kept is true. An
     empty table gives an empty result.
     """
@@ -241,6 +273,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # What the hubs left apart. A hub has met all others of its bucket.
     part = F.coalesce("component", "node").alias("component")
     rest = inside.where("members > 2 and node <> hub").join(labels, "node", "left").select("band", inside["node"], part)
+    opened = rest.join(_open_buckets(rest).select("band"), "band", "left_semi").select("node", "component").distinct()
+    may_link = durable(_may_link(opened.join(full.select(F.col("doc_id").alias("node"), "elements"), "node"), percent))
+    rest = durable(rest.join(may_link, "node", "left_semi"))
     shape = _open_buckets(rest)
     open_rows = rest.join(shape.select("band", "n", "n_core", "core"), "band")
     # The component that the bucket's smallest ids have in common has its own blocks, which don't meet each other.

@@ -626,6 +626,18 @@ def test_buckets_with_open_components_are_compared(spark, monkeypatch):
     assert {i: got[i]["component_id"] for i in texts} == label
 
 
+def test_frames_around_own_texts_need_no_comparison(spark):
+    """Of pages with a common frame only those whose own parts are alike may link; all that are alike stay."""
+    rng = random.Random(2)
+    sets = {i: set(range(700)) | {10_000 + i * 1000 + j for j in range(300)} for i in range(30)}
+    sets[30] = set(range(700)) | {10_000 + j for j in range(290)} | {5, 6, 7, 90_001}
+    sets |= {40 + i: set(rng.sample(range(200_000, 200_060), 50)) for i in range(12)}
+    rows = [(i, i, np.array(sorted(s), np.int64).tobytes()) for i, s in sets.items()]
+    got = {r["node"] for r in near_dedup._may_link(spark.createDataFrame(rows, "node long, component long, elements binary"), 80).collect()}
+    alike = {x for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for x in (a, b)}
+    assert alike <= got and {0, 30} <= alike and not got & set(range(1, 30))
+
+
 def test_hashes_of_a_large_bucket_add_up(spark):
     """Two bands with the same two million nodes, of which all but one are in one component, and a closed band."""
     n = 2_000_000
