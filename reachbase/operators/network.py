@@ -10,9 +10,6 @@ from reachbase.functions.exprs import haversine
 from reachbase.functions.medians import upper_middle
 from reachbase.operators.ranges import places, running_sums
 
-#: Longest chain of stations that a line's group is traced in at once.
-MAX_LINE_EDGES = 100_000
-
 
 def chains(edges: DataFrame) -> DataFrame:
     """line, chain, seq, node: the undirected edges (line, a, b) of each line, traced once.
@@ -187,13 +184,16 @@ def thinned(features: DataFrame, width: float, height: float, most: int) -> Data
     return features.groupBy("view").applyInPandas(walk, f"view {kind['view']}, key {kind['key']}")
 
 
-def unwound(labels: DataFrame, query: object, node: object) -> list:
-    """The path to a node of labels (query, node, t, parent): one query's, a few dozen rows at most."""
-    rows = {r["node"]: r for r in labels.where((F.col("query") == query)).select("node", "t", "parent").toLocalIterator()}
+def unwound(parents: DataFrame, query: object, node: object, most: int = 100) -> list:
+    """The path to a stop of parents (query, stop_id, t, parent), seed first: one query's rows, as routing.explained gives them."""
+    own = parents.where(F.col("query") == query).select("stop_id", "t", "parent")
     path, at = [], node
-    while at is not None and at in rows:
-        path.append((at, rows[at]["t"]))
-        at = rows[at]["parent"]
+    while at is not None and len(path) < most:
+        row = own.where(F.col("stop_id") == at).first()
+        if row is None:
+            break
+        path.append((at, row["t"]))
+        at = row["parent"]
     return path[::-1]
 
 

@@ -105,6 +105,46 @@ def earliest_arrivals(seeds: DataFrame, stops: DataFrame, windows: DataFrame, tr
     return labels
 
 
+def explained(labels: DataFrame, seeds: DataFrame, stops: DataFrame, windows: DataFrame, transfers: DataFrame, board_slack: int = BOARD_SLACK) -> DataFrame:
+    """query, stop_id, t, parent, trip_id: from which stop each label was reached, on foot (null trip_id) or by a trip.
+
+    Derived from the labels themselves: a label's parent is the smallest stop, on foot first,
+    from which a walk or the next departure arrives exactly then. Seeds have no parent; nor has
+    a label whose parent was improved by the search's last round.
+    """
+    goals = labels.select("query", F.col("stop_id").alias("_goal"), F.col("t").alias("_t"))
+    rest = goals.join(seeds.select("query", F.col("stop_id").alias("_goal"), F.col("t").alias("_t")).distinct(), ["query", "_goal", "_t"], "left_anti")
+    step = labels.join(transfers, F.col("stop_id") == F.col("from_stop")).select("query", F.col("to_stop").alias("_goal"), (F.col("t") + F.col("sec")).alias("_t"), F.col("stop_id").alias("parent"), F.lit(None).cast("long").alias("trip_id"))
+    boards = labels.join(stops, "stop_id").join(windows, "trip_id")
+    start = earliest_start(F.col("first_start"), F.col("last_start"), F.col("headway"), F.col("t") + board_slack, F.col("off"))
+    boards = boards.select("query", "trip_id", F.col("stop_id").alias("parent"), F.col("pos").alias("_pos"), start.alias("_start")).where("_start IS NOT NULL")
+    later = stops.select("trip_id", F.col("stop_id").alias("_goal"), "pos", "off")
+    ride = boards.join(later, "trip_id").where("pos > _pos").select("query", "_goal", (F.col("_start") + F.col("off")).alias("_t"), "parent", "trip_id")
+    ways = step.unionByName(ride).join(rest, ["query", "_goal", "_t"])
+    best = ways.groupBy("query", "_goal", "_t").agg(F.min(F.struct(F.col("trip_id").isNotNull().alias("rides"), "parent", "trip_id")).alias("_w"))
+    return goals.join(best, ["query", "_goal", "_t"], "left").select("query", F.col("_goal").alias("stop_id"), F.col("_t").alias("t"), "_w.parent", "_w.trip_id")
+
+
+def mirrored_connections(connections: DataFrame) -> DataFrame:
+    """Connections (origin, dest, dep, arr) with time running backwards, for arriving by a time."""
+    return connections.select(F.col("dest").alias("origin"), F.col("origin").alias("dest"), (-F.col("arr")).alias("dep"), (-F.col("dep")).alias("arr"))
+
+
+def rail_matrix(stations: DataFrame, slots: DataFrame, connections: DataFrame, transfers: DataFrame) -> DataFrame:
+    """station, slot, node, sec: the rail time from all stations (node) at all slots (slot, arrive, seconds), both directions of time."""
+    out = None
+    for arrive in (False, True):
+        own = slots.where(F.col("arrive") == arrive)
+        sign = -1 if arrive else 1
+        # Slots are a timetable's, a few hundred.
+        seeds = stations.join(F.broadcast(own), F.lit(True)).select(F.struct(F.col("node").alias("station"), "slot", "seconds").alias("query"), "node", (sign * F.col("seconds")).alias("t"))
+        used = mirrored_connections(connections) if arrive else connections
+        walks = transfers if not arrive else transfers.select(F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), "sec")
+        best = rail_arrivals(seeds, cut_lineage(used), walks).select("query.station", "query.slot", "node", (F.col("t") - sign * F.col("query.seconds")).alias("sec"))
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def next_departures(asks: DataFrame, connections: DataFrame) -> DataFrame:
     """ask_id, dest, dep, arr: of asks (ask_id, origin, ready) the first connection (origin, dest, dep, arr) to each destination.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reachbase.functions import exprs
 from reachbase.functions.medians import at_share
-from reachbase.operators import network, routing, speed
+from reachbase.operators import build, network, routing, speed
 from reachbase.plans.registry import query
-from reachbase.plans.transit_queries import _BIN, _CURVES, _SOUND
+from reachbase.plans.transit_queries import _BIN, _CLUSTER_EDGES, _CURVES, _SOUND, _meters
 
 
 @query("""
@@ -144,3 +145,60 @@ def one_direction_platforms(t):
     line = (F.floor(F.col("trip_id") / 2) % 500).alias("line")
     sides = t("pattern_stop").groupBy("stop_id", line).agg(F.count_distinct(F.col("trip_id") % 2).alias("_d"), F.count("*").alias("visits"))
     return sides.where("_d < 2").select("stop_id", "line", "visits")
+
+
+_BUILT = f"""
+WITH RECURSIVE {_CLUSTER_EDGES}, r AS (SELECT dong_id AS id, dong_id AS seen FROM {{dong}} UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a),
+st AS (SELECT id, min(seen) AS station FROM r GROUP BY id),
+ls AS (SELECT t.route_id AS line, p.trip_id AS pattern_id, p.trip_id % 3 = 0 AS express, p.pos, p.stop_id AS node FROM {{pattern_stop}} p JOIN {{trip}} t USING (trip_id)),
+pf AS (SELECT station, line, avg(lat) AS lat, avg(lon) AS lon FROM (SELECT DISTINCT line, node FROM ls) x JOIN st ON st.id = node JOIN {{dong}} d ON d.dong_id = node GROUP BY station, line)"""
+
+
+def _built(t):
+    nodes = t("dong").select(F.col("dong_id").alias("id"), F.col("gu").alias("name"), "lat", "lon")
+    stops = t("pattern_stop").join(t("trip"), "trip_id").select(F.col("route_id").alias("line"), F.col("trip_id").alias("pattern_id"), (F.col("trip_id") % 3 == 0).alias("express"), "pos", F.col("stop_id").alias("node"))
+    return nodes, build.stations_of(nodes, 1500), stops
+
+
+@query(f"{_BUILT} SELECT station, line, round(lat, 9) AS lat, round(lon, 9) AS lon FROM pf")
+def network_platforms(t):
+    nodes, stations, stops = _built(t)
+    return build.platforms(stops, stations, nodes).select("station", "line", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+@query(f"""{_BUILT},
+h AS (SELECT line, station, lead(station) OVER (PARTITION BY pattern_id ORDER BY pos) AS nxt FROM ls JOIN st ON st.id = node WHERE NOT express)
+SELECT DISTINCT line, least(station, nxt) AS a, greatest(station, nxt) AS b FROM h WHERE nxt IS NOT NULL AND nxt <> station""")
+def network_tracks(t):
+    _, stations, stops = _built(t)
+    return build.track_edges(stops, stations)
+
+
+@query(f"""{_BUILT}
+SELECT a.station, a.line AS from_line, b.line AS to_line, CAST(greatest(60, floor(120 + {_meters('a.', 'b.')} / 1.2)) AS int) AS sec FROM pf a JOIN pf b ON a.station = b.station AND a.line <> b.line""")
+def network_transfers(t):
+    nodes, stations, stops = _built(t)
+    return build.station_transfers(build.platforms(stops, stations, nodes))
+
+
+@query()
+def terminal_runs(t):
+    """Ways between all ends of lines that branch: a tree of each nation's suppliers. Tests compare small lines with ways written by hand."""
+    placed = t("supplier").select(F.col("s_nationkey").alias("line"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("i"))
+    return build.terminal_runs(placed.where("i > 1").select("line", F.floor(F.col("i") / 2).cast("long").alias("a"), F.col("i").cast("long").alias("b")))
+
+
+@query("""
+WITH p AS (SELECT * FROM (VALUES (19800, 25200, 480), (25200, 32400, 300), (32400, 61200, 600)) x("start", "end", headway)),
+s AS (SELECT s_suppkey AS pattern_id, 1 + s_suppkey % 3 / 2.0::double AS factor, 1 + s_suppkey % 4 AS scale FROM {supplier})
+SELECT pattern_id, "start", "end", CAST(greatest(60, floor(headway * factor * scale)) AS int) AS headway FROM s CROSS JOIN p""")
+def service_headways(t):
+    k = F.col("s_suppkey")
+    services = t("supplier").select(k.alias("pattern_id"), (1 + k % 3 / 2).alias("factor"), (1 + k % 4).alias("scale"))
+    return build.service_trips(services, services.sparkSession.createDataFrame([(19800, 25200, 480), (25200, 32400, 300), (32400, 61200, 600)], "start int, end int, headway int"))
+
+
+@query("SELECT n_name || CASE WHEN n_nationkey % 4 = 0 THEN '?' ELSE '' END AS name, count(*) FILTER (WHERE s_suppkey IS NOT NULL AND n_nationkey % 4 > 0) AS n FROM nation LEFT JOIN {supplier} ON s_nationkey = n_nationkey GROUP BY n_name, n_nationkey")
+def network_coverage(t):
+    wanted = t("nation").select(F.concat("n_name", F.when(F.col("n_nationkey") % 4 == 0, "?").otherwise("")).alias("name"))
+    return build.covered_names(wanted, t("dong").select(F.col("gu").alias("name")))

@@ -345,6 +345,43 @@ def egress_argmin(t):
     return routing.egress(labels, access, labels.select("query", F.lit(31800).alias("cutoff")).distinct())
 
 
+@query(f"""
+WITH {_NET}, {_FORWARD}, seed AS ({_SEEDS.replace('{time}', '28800')}),
+goal AS (SELECT * FROM l3 WHERE NOT EXISTS (SELECT 1 FROM seed WHERE seed.q = l3.q AND seed.stop_id = l3.stop_id AND seed.t = l3.t)),
+way AS (
+  SELECT l.q, g AS stop_id, l.t + sec AS t, 0 AS rides, l.stop_id AS parent, CAST(NULL AS bigint) AS trip_id FROM l3 l JOIN tr ON f = l.stop_id
+  UNION ALL SELECT b.q, s.stop_id, b.start + s.off, 1, b.stop_id, b.trip_id
+  FROM (SELECT q, stop_id, trip_id, pos, first_start + CAST(ceil(greatest(0, t + 20 - off - first_start) / headway) AS bigint) * headway AS start, last_start FROM l3 JOIN {{pattern_stop}} USING (stop_id) JOIN baked USING (trip_id)) b
+  JOIN {{pattern_stop}} s ON s.trip_id = b.trip_id AND s.pos > b.pos WHERE b.start <= b.last_start),
+best AS (SELECT q, stop_id, t, parent, trip_id, row_number() OVER (PARTITION BY q, stop_id, t ORDER BY rides, parent, trip_id) AS place FROM way JOIN goal USING (q, stop_id, t))
+SELECT l.q AS query, l.stop_id, l.t, parent, trip_id FROM l3 l LEFT JOIN best b ON b.q = l.q AND b.stop_id = l.stop_id AND b.t = l.t AND b.place = 1""")
+def path_parents(t):
+    transfers = graph.cut_lineage(routing.walking_transfers(t("stop"), most=100_000))
+    return routing.explained(graph.cut_lineage(_arrivals(t, 3)), _seeds(t, 28800), t("pattern_stop"), _baked(t), transfers)
+
+
+@query()
+def dong_matrix(t):
+    """The matrix of one origin for each region: 20 slots, 5 samples, all rounds, all neighbourhoods; without SQL, tests compare it with a scalar search."""
+    near = spatial.within(spatial.points(t("dong"), "dong_id", "a"), spatial.points(t("stop"), "stop_id", "b"), 700)
+    walk = graph.cut_lineage(near.select(F.col("a").alias("dong_id"), F.col("b").alias("stop_id"), F.greatest(F.lit(10), F.floor(F.col("meters") * 1.4 / 1.1).cast("int")).alias("sec")))
+    origins = _seeds(t, 0).select(F.col("query").alias("origin"), F.col("stop_id").alias("dong_id"))
+    transfers = graph.cut_lineage(routing.walking_transfers(t("stop"), most=64))
+    slots = matrix.default_slots(transfers.sparkSession)
+    return matrix.dong_matrix(origins.join(walk, "dong_id").select("origin", "stop_id", "sec"), walk, t("pattern_stop"), _baked(t), transfers, slots, 50)
+
+
+@query()
+def rail_matrix(t):
+    """All nodes at four slots, both ways in time; a search until nothing improves has no SQL here, tests compare it with a scalar one."""
+    k = F.col("l_orderkey") % 80_000
+    connections = t("lineitem").select((F.col("l_suppkey") % 30).alias("origin"), (F.col("l_partkey") % 30).alias("dest"), k.alias("dep"), (k + 60 + F.col("l_quantity").cast("long") * 20).alias("arr")).where("origin <> dest")
+    nodes = t("supplier").select((F.col("s_suppkey") % 30).alias("node")).distinct()
+    walks = nodes.select(F.col("node").alias("from_node"), ((F.col("node") + 1) % 30).alias("to_node"), F.lit(180).cast("long").alias("sec"))
+    slots = nodes.sparkSession.createDataFrame([(0, False, 28_800), (1, False, 64_800), (2, True, 32_400), (3, True, 68_400)], "slot int, arrive boolean, seconds long")
+    return routing.rail_matrix(nodes, slots, connections, graph.cut_lineage(walks))
+
+
 @query("""
 WITH s AS (SELECT l_partkey % 40 AS origin, CAST(l_linenumber AS int) AS slot, l_suppkey AS dong_id, CAST(l_orderkey % 5 AS int) AS sample, min(CAST(floor(l_extendedprice / 10) AS bigint)) AS sec, max(CAST(l_quantity AS bigint) * 20) AS walk FROM {lineitem} GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY origin, slot, dong_id ORDER BY sec, sample) AS r, count(*) OVER (PARTITION BY origin, slot, dong_id) AS n FROM s),

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reachbase.functions.exprs import drawn_colour, mercator_y
+
 # Fixed values of the format: magic, version, flag of the walk plane, and what stands for out of reach.
 MAGIC, VERSION, HAS_WALK, UNREACHABLE = b"TRMX", 1, 1, 255
 
@@ -78,13 +80,19 @@ def features(rows: DataFrame, properties: list[str]) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
 
 
-def svg_dots(rows: DataFrame, box: tuple[float, float, float, float], width: int, colours: list[str]) -> DataFrame:
-    """A circle element for each point (lat, lon, minutes) in the box (south, west, north, east)."""
-    from reachbase.functions.exprs import mercator_y
+def band_features(cells: DataFrame, cell: float) -> DataFrame:
+    """GeoJSON features of cells (lat, lon of the lower corner, band): a square each, cell degrees wide; contours aren't traced."""
+    corner = lambda i, j: F.array(F.round(F.col("lon") + j * cell, 5), F.round(F.col("lat") + i * cell, 5))
+    ring = F.array(*[corner(i, j) for i, j in ((0, 0), (0, 1), (1, 1), (1, 0), (0, 0))])
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    return cells.select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(F.col("band").alias("minutes")).alias("properties"))).alias("value"))
+
 
+def svg_dots(rows: DataFrame, box: tuple[float, float, float, float], width: int) -> DataFrame:
+    """A circle element for each point (lat, lon, minutes) in the box (south, west, north, east), in the colour of its minutes."""
     south, west, north, east = box
     scale = width / (east - west)
     top = mercator_y(F.lit(north))
     x, y = (F.col("lon") - west) * scale, (top - mercator_y("lat")) * scale
-    colour = F.element_at(F.array(*[F.lit(c) for c in colours]), F.least(F.floor(F.col("minutes") / 10).cast("int") + 1, F.lit(len(colours))))
+    colour = drawn_colour("minutes")
     return rows.where((F.col("lat").between(south, north)) & (F.col("lon").between(west, east))).select(F.format_string('<circle cx="%.1f" cy="%.1f" r="3" fill="%s"/>', x, y, colour).alias("value"))

@@ -6,12 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reachbase.operators import matrix, routing
+from reachbase.operators import build, matrix, network, routing
 
 INF = 10**9
 
 
-def network(seed):
+def random_network(seed):
     rng = random.Random(seed)
     n = rng.randint(4, 9)
     stops, windows = [], []
@@ -62,7 +62,7 @@ def scalar(stops, windows, transfers, seeds, cutoff, rounds, board, arrive):
 
 @pytest.mark.parametrize(("seed", "mirror"), [(1, False), (2, False), (3, True), (4, True)])
 def test_rounds_equal_a_scalar_search(spark, seed, mirror):
-    n, stops, windows, transfers = network(seed)
+    n, stops, windows, transfers = random_network(seed)
     s = spark.createDataFrame(stops, "trip_id long, pos long, stop_id long, off long")
     w = spark.createDataFrame(windows, "trip_id long, first_start long, last_start long, headway long")
     if mirror:
@@ -113,3 +113,57 @@ def test_matrix_of_a_small_network(spark):
     assert got[0, 8] == got[1, 8] == (2, 1) and all(13 <= got[s, 7][0] <= 19 and got[s, 7][1] == 2 for s in (0, 1))
     assert matrix.default_slots(spark).count() == 20
     assert matrix.triangle_findings(spark.createDataFrame([(1, 2, 100), (2, 3, 100), (1, 3, 600)], "a int, b int, sec int")).count() == 1
+
+
+def scalar_rail(connections, walks, start, t):
+    best, open_ = {start: t}, {start}
+    while open_:
+        at = open_.pop()
+        steps = [(b, arr) for a, b, dep, arr in connections if a == at and dep >= best[at]] + [(b, best[at] + sec) for a, b, sec in walks if a == at]
+        for to, when in steps:
+            if when < best.get(to, INF):
+                best[to] = when
+                open_.add(to)
+    return best
+
+
+def test_rail_matrix_matches_a_scalar_search(spark):
+    """Later trains that arrive before earlier ones, and both ways in time."""
+    rng = random.Random(4)
+    c = sorted({(a, b, dep, dep + rng.randint(20, 900)) for a, b, dep in ((rng.randrange(8), rng.randrange(8), rng.randint(0, 4000)) for _ in range(150)) if a != b})
+    walks = [(1, 2, 70), (5, 1, 40)]
+    table = spark.createDataFrame(c, "origin int, dest int, dep int, arr int")
+    slots = spark.createDataFrame([(0, False, 500), (1, True, 3000)], "slot int, arrive boolean, seconds int")
+    got = {(r["station"], r["slot"], r["node"]): r["sec"] for r in routing.rail_matrix(spark.range(8).selectExpr("CAST(id AS int) AS node"), slots, table, spark.createDataFrame(walks, "from_node int, to_node int, sec int")).collect()}
+    plain = {(s, 0, n): t - 500 for s in range(8) for n, t in scalar_rail(c, walks, s, 500).items()}
+    turned = [(b, a, -arr, -dep) for a, b, dep, arr in c]
+    plain |= {(s, 1, n): t + 3000 for s in range(8) for n, t in scalar_rail(turned, [(b, a, sec) for a, b, sec in walks], s, -3000).items()}
+    assert got == plain
+
+
+def test_paths_lead_back_to_the_seed(spark):
+    for seed in range(3):
+        _, stops, windows, transfers = random_network(seed)
+        tables = [spark.createDataFrame(stops, "trip_id long, pos long, stop_id long, off long"), spark.createDataFrame(windows, "trip_id long, first_start long, last_start long, headway long"), spark.createDataFrame(transfers or [(0, 0, 1)], "from_stop long, to_stop long, sec long")]
+        seeds = spark.createDataFrame([(1, 0, 100)], "query long, stop_id long, t long")
+        labels = routing.earliest_arrivals(seeds, *tables, spark.createDataFrame([(1, 9000)], "query long, cutoff long"), rounds=20)
+        parents = routing.explained(labels, seeds, *tables)
+        rows = {r["stop_id"]: r for r in parents.collect()}
+        assert all(r["parent"] is not None or s == 0 for s, r in rows.items()) and len(rows) == labels.count()
+        for s in list(rows)[:3]:
+            path = network.unwound(parents, 1, s)
+            assert path[0] == (0, 100) and path[-1] == (s, rows[s]["t"]) and [t for _, t in path] == sorted(t for _, t in path)
+            for (a, ta), (b, tb) in zip(path, path[1:]):
+                trip = rows[b]["trip_id"]
+                if trip is None:
+                    assert any((x, y, tb - ta) == (a, b, sec) for x, y, sec in transfers)
+                else:
+                    assert any(t == trip and s2 == b for t, _, s2, _ in stops) and any(t == trip and s2 == a for t, _, s2, _ in stops)
+
+
+def test_ways_between_ends(spark):
+    edges = [("y", 1, 2), ("y", 2, 3), ("y", 2, 4), ("i", 1, 2), ("i", 2, 3), ("o", 1, 2), ("o", 2, 3), ("o", 3, 1)]
+    runs: dict = {}
+    for r in build.terminal_runs(spark.createDataFrame(edges, "line string, a long, b long")).orderBy("pos").collect():
+        runs.setdefault((r["line"], r["run_id"]), []).append(r["node"])
+    assert runs == {("y", "1-3"): [1, 2, 3], ("y", "1-4"): [1, 2, 4], ("y", "3-4"): [3, 2, 4]}

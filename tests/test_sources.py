@@ -1,10 +1,12 @@
+import json
 import struct
 import zipfile
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from reachbase.sources import files, matrix
+from reachbase.sources import files, matrix, sinks
 from reachbase.sources.osm_pbf import Extract
 from reachbase.sources.xlsx import Workbook
 from reachbase.streaming import snapshots
@@ -60,7 +62,7 @@ def test_matrix_files(spark, tmp_path):
     assert got == [("a.bin", 0, 1, 30, 5), ("a.bin", 1, 0, 254, 0)]
     points = spark.createDataFrame([(37.123456, 127.0, 12)], "lat double, lon double, minutes int")
     assert '"coordinates":[127.0,37.12346]' in matrix.features(points, ["minutes"]).first()["value"]
-    assert "circle" in matrix.svg_dots(points, (37.0, 126.0, 38.0, 128.0), 800, ["#fff", "#000"]).first()["value"]
+    assert "circle" in matrix.svg_dots(points, (37.0, 126.0, 38.0, 128.0), 800).first()["value"]
     slots = spark.createDataFrame([(1, "x"), (0, "y")], "slot int, label string")
     got = matrix.manifest(slots, slots.toDF("station_idx", "name"), slots.toDF("dong_idx", "name"), 120).first()["value"]
     assert got.startswith('{"version":2,"capMinutes":120,"slots":[{"slot":0,')
@@ -131,3 +133,66 @@ def test_snapshots_are_taken_once(spark, tmp_path):
     assert run() == {("r1", 1): (20, 1)}
     (folder / "20260901-0900.jsonl").write_text('{"id":"r1","s":[[1,300,30]]}\n')
     assert run() == run() == {("r1", 1): (30, 2)}
+
+
+def test_json_csv_and_metrics_are_added(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "k int, v string")
+    sinks.append_json(rows.limit(0), str(tmp_path / "j"))
+    assert not (tmp_path / "j").exists()
+    for _ in range(2):
+        sinks.append_json(rows, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    sinks.write_csv(rows, str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).first().asDict() == {"k": "1", "v": "a"}
+    for day in ("2024-01-01", "2024-02-01"):
+        sinks.append_metrics(rows, str(tmp_path / "m"), day)
+    assert sinks.recent_metrics(spark, str(tmp_path / "m"), "2024-01-15").count() == 1
+
+
+def test_cursors_move_with_what_came(spark):
+    cursors = spark.createDataFrame([("a", 5), ("b", 7)], "feed string, at int")
+    received = spark.createDataFrame([("a", 9), ("a", 6), ("c", 1), ("b", 3)], "feed string, at int")
+    assert {r["feed"]: r["at"] for r in sinks.advance_cursor(received, cursors, "feed", "at").collect()} == {"a": 9, "b": 7, "c": 1}
+    assert {r["feed"]: r["at"] for r in sinks.advance_cursor(received.limit(0), cursors, "feed", "at").collect()} == {"a": 5, "b": 7}
+
+
+def test_builds_when_the_content_changed(spark, tmp_path):
+    built = []
+    rows = spark.createDataFrame([(1,), (2,)], "k int")
+    state = str(tmp_path / "state")
+    assert sinks.when_changed(spark, rows, state, built.append) and not sinks.when_changed(spark, rows.orderBy(F.desc("k")), state, built.append)
+    assert sinks.when_changed(spark, rows.union(rows), state, built.append) and len(built) == 2
+
+
+def test_enriched_rows(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, name string, elev int")
+    more = spark.createDataFrame([(1, 10, 5.0)], "id int, elev int, climb double")
+    assert [tuple(r) for r in sinks.enriched(rows, more, "id").orderBy("id").collect()] == [(1, "a", 10, 5.0), (2, "b", 2, None)]
+
+
+def test_gml_is_read_back(spark, tmp_path):
+    nodes = spark.createDataFrame([(1, "x", "2", "강남", 37.5, 127.0), (2, "y", "2", 'a "b"', 37.6, 127.1)], "id int, label string, line_no string, station_name string, lat double, lon double")
+    edges = spark.createDataFrame([(1, 2, "2")], "source int, target int, line_no string")
+    text = "\n".join(r["value"] for r in sinks.gml_lines(nodes, edges).orderBy("place").collect())
+    (tmp_path / "g.gml").write_text(text)
+    got, links = files.read_gml(spark, str(tmp_path / "g.gml"))
+    assert {r["id"]: (r["station_name"], r["lat"], r["lon"]) for r in got.collect()} == {1: ("강남", 37.5, 127.0), 2: ('a "b"', 37.6, 127.1)} and links.count() == 1
+
+
+def test_publish_findings(spark):
+    axis = spark.createDataFrame([(0,), (1,), (3,)], "idx int")
+    sizes = spark.createDataFrame([(10,), (10,), (12,)], "bytes long")
+    assert sinks.publish_findings({"stations": 3, "dongs": 0}, axis, sizes, 1.0, 2.0) == ["dongs is empty", "the axis has gaps", "matrices differ in size", "the manifest is older than the matrices"]
+    assert sinks.publish_findings({"stations": 3}, axis.where("idx < 2"), sizes.limit(1), 2.0, 1.0) == []
+
+
+def test_walk_graph_file(spark, tmp_path):
+    content = sinks.encode_walk_graph(np.zeros((3, 2)), np.array([0, 2, 2, 3]), np.array([1, 2, 0]), np.array([5, 6, 7]))
+    (tmp_path / "w.bin").write_bytes(content)
+    assert sorted(map(tuple, sinks.read_walk_graph(spark, str(tmp_path / "w.bin")).collect())) == [(0, 1, 5), (0, 2, 6), (2, 0, 7)]
+
+
+def test_band_features(spark):
+    cells = spark.createDataFrame([(37.5, 127.0, 15)], "lat double, lon double, band int")
+    got = json.loads(matrix.band_features(cells, 0.01).first()["value"])
+    assert got["properties"] == {"minutes": 15} and got["geometry"]["coordinates"][0][2] == [127.01, 37.51]
