@@ -5,11 +5,15 @@ Modeling" (1998). N-grams are 64-bit hashes. A text's log probability is a sum w
 each n-gram and each history that the model knows: what the n-gram adds to the estimate of its
 shorter form, and the weight that its history leaves to that form. Distinct n-grams of each
 document, with their counts, meet those terms in one equi-join.
+
+There are two models, one for each half of the trusted documents, in the same tables: a key's
+lowest bit says whose it is. Each document is scored by the half that it isn't in, so no text
+meets a model that has learned it, and perplexities of all documents mean the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -17,11 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reachbase.llm.cluster import durable, stored
+from reachbase.llm.cluster import by_small_batches, durable, stored
 from reachbase.llm.textblock import TextBlock, blocks, mix
 
-#: Share of the trusted documents that the model is trained on, chosen by a hash of their ids; the others set the limits.
-TRAINING_SHARE = 0.5
 #: Rows of a table up to which it is broadcast; a larger one is joined by a shuffle.
 MAX_BROADCAST_ROWS = 3_000_000
 #: Quantile of a language's trusted perplexities up to which documents are kept.
@@ -34,16 +36,27 @@ _FOLD = np.uint64(0xD6E8FEB86659FD93)
 _KEYS = ("uni", "bi", "tri", "after_1", "after_2")
 
 
-def _grams(block: TextBlock) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Each word's document, and hashes of the n-grams that end in it and of the one and two words before it."""
+def _of_model(keys: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Keys of one of the two models: its number stands in the lowest bit."""
+    model = model.astype(np.uint64)
+    return (mix(keys ^ (model * _FOLD)) & np.uint64(0xFFFFFFFFFFFFFFFE)) | model
+
+
+#: The key of a text's start in either model.
+_STARTS = [int(x) for x in _of_model(np.array([_START, _START]), np.arange(2)).view(np.int64)]
+
+
+def _grams(block: TextBlock, model: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Each word's document, and keys of the n-grams that end in it and of the one and two words before it, for each document's model."""
     start, end, bounds = block.words()
     word = block.hashes(start, end)
     counts = np.diff(bounds)
     place = np.arange(len(word)) - np.repeat(bounds[:-1], counts)
     one = np.where(place > 0, np.roll(word, 1), _START)
     two = mix(np.where(place > 1, np.roll(word, 2), _START) * _FOLD + one)
+    of_word = np.repeat(model, counts)
     made = (word, mix(one * _FOLD + word), mix(two * _FOLD + word), one, two)
-    return np.repeat(np.arange(len(block)), counts), dict(zip(_KEYS, made, strict=True))
+    return np.repeat(np.arange(len(block)), counts), {k: _of_model(x, of_word) for k, x in zip(_KEYS, made, strict=True)}
 
 
 def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -54,19 +67,20 @@ def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatc
 def _each_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each word of the texts."""
     for batch in batches:
-        for _, block in blocks(batch.column("text"), lower=True):
-            _, grams = _grams(block)
+        models = batch.column("model").to_numpy(zero_copy_only=False)
+        for part, block in blocks(batch.column("text"), lower=True):
+            _, grams = _grams(block, models[part])
             yield from _sliced([pa.array(grams[k].view(np.int64)) for k in _KEYS], list(_KEYS))
 
 
 def _each_key(*kinds: tuple[str, bool]):
-    """For mapInArrow: a row for each document and distinct key, with how often it is an n-gram (n) and a history (h)."""
+    """For mapInArrow: a row for each row of the texts and distinct key, with how often it is an n-gram (n) and a history (h)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, models = batch.column("row"), batch.column("model").to_numpy(zero_copy_only=False)
             for part, block in blocks(batch.column("text"), lower=True):
-                doc, grams = _grams(block)
+                doc, grams = _grams(block, models[part])
                 if not len(doc):
                     continue
                 key = np.concatenate([grams[k] for k, _ in kinds])
@@ -77,13 +91,25 @@ def _each_key(*kinds: tuple[str, bool]):
                 first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
                 n, both = np.add.reduceat(gram, first), np.diff(np.append(first, len(key)))
                 found = [ids.take(pa.array(part.start + doc[first])), pa.array(key[first].view(np.int64)), pa.array(n.astype(np.int32)), pa.array((both - n).astype(np.int32))]
-                yield from _sliced(found, ["doc_id", "key", "n", "h"])
+                yield from _sliced(found, ["row", "key", "n", "h"])
 
     return rows
 
 
-def _keys(docs: DataFrame, *kinds: tuple[str, bool]) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_each_key(*kinds), "doc_id long, key long, n int, h int")
+def half_of(doc_id: Column) -> Column:
+    """0 or 1 by a hash of the id; a null id is in half 0."""
+    return F.coalesce(F.crc32(F.concat(F.lit("train"), doc_id.cast("string")).cast("binary")).bitwiseAND(F.lit(1)).cast("int"), F.lit(0))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """row (a hash of the next three), doc_id, lang, text, and the model that scores it, of which its half is no part."""
+    doc_id, lang = F.col("doc_id").cast("long"), F.col("lang").cast("string")
+    row = F.xxhash64(doc_id.isNull(), lang.isNull(), F.col("text").isNull(), doc_id, lang, "text")
+    return by_small_batches(docs).select(row.alias("row"), doc_id.alias("doc_id"), lang.alias("lang"), "text", (1 - half_of(doc_id)).alias("model"))
+
+
+def _keys(rows: DataFrame, *kinds: tuple[str, bool]) -> DataFrame:
+    return rows.select("row", "model", "text").mapInArrow(_each_key(*kinds), "row long, key long, n int, h int")
 
 
 def _small(table: DataFrame, rows: int | None = None) -> DataFrame:
@@ -92,117 +118,149 @@ def _small(table: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 class Model(NamedTuple):
-    """Terms of a log probability by n-gram hash: ``gain`` where the n-gram stands, ``left`` where it is a history.
+    """Terms of a log probability by key: ``gain`` where the n-gram stands, ``left`` where it is a history.
 
     words has one row for each word; grams may have two rows for a bigram, whose terms add up,
-    and has n_grams rows at most.
+    and has n_grams rows at most. unseen: what either half's model gives a word that it doesn't
+    know; null for a half without words.
     """
 
     words: DataFrame
     grams: DataFrame
     n_grams: int
-    unseen: float
+    unseen: tuple[float | None, float | None]
+
+
+Discounts = list[tuple[float, float, float]]
 
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """The discounts of n-grams seen once, twice and more often, from the counts of counts."""
-    got = counts.agg(*[F.coalesce(F.sum((F.col("n") == i).cast("long")), F.lit(0)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (got[f"n{i}"] for i in (1, 2, 3, 4))
-    if not (n1 and n2 and n3):
-        return 0.5, 0.75, 0.9  # too little text for the estimate
-    y = n1 / (n1 + 2 * n2)
-    found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(min(max(d, 0.05), i + 0.95) for i, d in enumerate(found))
+def _half(key: str) -> Column:
+    return F.col(key).bitwiseAND(F.lit(1)).cast("int")
 
 
-def _less(d: tuple[float, float, float]) -> Column:
+def discounts(counts: DataFrame, key: str) -> Discounts:
+    """For either half the discounts of n-grams seen once, twice and more often, from the counts of counts."""
+    got = {r["half"]: r for r in counts.groupBy(_half(key).alias("half")).agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()}
+
+    def of(half: int) -> tuple[float, float, float]:
+        n1, n2, n3, n4 = (got[half][f"n{i}"] if half in got else 0 for i in (1, 2, 3, 4))
+        if not (n1 and n2 and n3):
+            return 0.5, 0.75, 0.9  # too little text for the estimate
+        y = n1 / (n1 + 2 * n2)
+        found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+        return tuple(min(max(d, 0.05), i + 0.95) for i, d in enumerate(found))
+
+    return [of(0), of(1)]
+
+
+def _by_half(key: str, values: Sequence[float | None]) -> Column:
+    return F.when(_half(key) == 0, F.lit(values[0])).otherwise(F.lit(values[1])).cast("double")
+
+
+def _less(key: str, d: Discounts) -> Column:
     n = F.col("n")
-    return n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+    one, two, more = (_by_half(key, [half[i] for half in d]) for i in range(3))
+    return n - F.when(n == 1, one).when(n == 2, two).otherwise(more)
 
 
-def _histories(counts: DataFrame, history: str, d: tuple[float, float, float]) -> DataFrame:
+def _histories(counts: DataFrame, history: str, d: Discounts) -> DataFrame:
     """For each history: how often it was followed, and the share that the discounts free."""
-    freed = sum(F.sum(c.cast("long")) * x for c, x in zip((F.col("n") == 1, F.col("n") == 2, F.col("n") > 2), d, strict=True))
-    return counts.groupBy(history).agg(F.sum("n").alias("followed"), freed.alias("freed")).select(history, "followed", (F.col("freed") / F.col("followed")).alias("left"))
+    seen = [F.sum(c.cast("long")) for c in (F.col("n") == 1, F.col("n") == 2, F.col("n") > 2)]
+    sums = counts.groupBy(history).agg(F.sum("n").alias("followed"), *[c.alias(f"_n{i}") for i, c in enumerate(seen)])
+    freed = sum(F.col(f"_n{i}") * _by_half(history, [half[i] for half in d]) for i in range(3))
+    return sums.select(history, "followed", (freed / F.col("followed")).alias("left"))
 
 
 def train(docs: DataFrame) -> Model | None:
-    """The model of docs' texts. Trigrams are counted; bigrams and words by the words they continue."""
-    words = docs.select("text").mapInArrow(_each_word, ", ".join(f"{k} long" for k in _KEYS))
+    """The models of docs' texts, each document for its own half.
+
+    Trigrams are counted; bigrams and words by the words that they continue, but a bigram that
+    starts a text continues none and keeps its count.
+    """
+    rows = by_small_batches(docs).select("text", half_of(F.col("doc_id")).alias("model"))
+    words = rows.mapInArrow(_each_word, ", ".join(f"{k} long" for k in _KEYS))
     tri = stored(words.groupBy("tri", "after_2", "bi", "after_1", "uni").agg(F.count("*").alias("n")))
-    bi = stored(tri.groupBy("bi", "after_1", "uni").agg(F.count("*").alias("n")))
+    starts = F.col("after_1").isin(_STARTS)
+    bi = stored(tri.groupBy("bi", "after_1", "uni").agg(F.sum(F.when(starts, F.col("n")).otherwise(1)).alias("n")))
     uni = durable(bi.groupBy("uni").agg(F.count("*").alias("n")))
-    totals = uni.agg(F.count("*").alias("words"), F.sum("n").alias("total")).first()
-    if not totals["words"]:
+    totals = {r["half"]: r for r in uni.groupBy(_half("uni").alias("half")).agg(F.count("*").alias("words"), F.sum("n").alias("total")).collect()}
+    if not totals:
         return None
-    d3, d2, d1 = discounts(tri), discounts(bi), discounts(uni)
-    freed = uni.agg(F.sum(F.col("n") - _less(d1)).alias("freed")).first()["freed"] / totals["total"]
-    unseen = freed / (totals["words"] + 1)
-    p_uni = durable(uni.select("uni", (_less(d1) / totals["total"] + unseen).alias("p_uni")))
+    d3, d2, d1 = discounts(tri, "tri"), discounts(bi, "bi"), discounts(uni, "uni")
+    freed = {r["half"]: r["freed"] for r in uni.groupBy(_half("uni").alias("half")).agg(F.sum(F.col("n") - _less("uni", d1)).alias("freed")).collect()}
+    unseen = tuple(freed[h] / totals[h]["total"] / (totals[h]["words"] + 1) if h in totals else None for h in (0, 1))
+    total = _by_half("uni", [float(totals[h]["total"]) if h in totals else None for h in (0, 1)])
+    p_uni = durable(uni.select("uni", (_less("uni", d1) / total + _by_half("uni", unseen)).alias("p_uni")))
     left_1, left_2 = durable(_histories(bi, "after_1", d2)), _histories(tri, "after_2", d3)
-    own = _less(d2) / F.col("followed")
+    own = _less("bi", d2) / F.col("followed")
     joined = bi.join(_small(left_1), "after_1").join(_small(p_uni), "uni")
     p_bi = stored(joined.select("bi", (own + F.col("left") * F.col("p_uni")).alias("p_bi"), (F.col("left") * F.col("p_uni")).alias("_shorter")))
     shorter = F.col("left") * F.col("p_bi")
-    p_tri = tri.select("tri", "after_2", "bi", "n").join(left_2, "after_2").join(p_bi, "bi").select("tri", (_less(d3) / F.col("followed") + shorter).alias("p_tri"), shorter.alias("_shorter"))
+    p_tri = tri.select("tri", "after_2", "bi", "n").join(left_2, "after_2").join(p_bi, "bi").select("tri", (_less("tri", d3) / F.col("followed") + shorter).alias("p_tri"), shorter.alias("_shorter"))
     terms = [
-        p_uni.select(F.col("uni").alias("key"), F.log(F.col("p_uni") / unseen).alias("gain"), F.lit(0.0).alias("left")),
+        p_uni.select(F.col("uni").alias("key"), F.log(F.col("p_uni") / _by_half("uni", unseen)).alias("gain"), F.lit(0.0).alias("left")),
         left_1.select("after_1", F.lit(0.0), F.log("left")),
         p_bi.select(F.col("bi").alias("key"), F.log(F.col("p_bi") / F.col("_shorter")).alias("gain"), F.lit(0.0).alias("left")),
         left_2.select("after_2", F.lit(0.0), F.log("left")),
         p_tri.select("tri", F.log(F.col("p_tri") / F.col("_shorter")), F.lit(0.0)),
     ]
     of_words = durable(terms[0].union(terms[1]).groupBy("key").agg(F.sum("gain").alias("gain"), F.sum("left").alias("left")))
-    return Model(of_words, terms[2].union(terms[3]).union(terms[4]), tri.count() + 2 * bi.count() + 1, unseen)
+    return Model(of_words, terms[2].union(terms[3]).union(terms[4]), tri.count() + 2 * bi.count() + 2, unseen)
 
 
 def perplexities(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang (of several the last by name), n_words and perplexity (null without words or model), one row for each doc_id.
+    """doc_id, lang, n_words and perplexity (null without words or model) of every row of docs, by the half that it isn't in.
 
     Each table of terms is broadcast up to MAX_BROADCAST_ROWS rows; a larger one is met in a
     shuffled join. A key that many documents share has one row for each of them, which a skewed
-    join's splits spread.
+    join's splits spread. Rows that are equal in doc_id, lang and text are added up and divided
+    again by how many they are.
     """
-    none = F.lit(None).cast("string").alias("lang")
-    parts = [docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("_log"))]
-    words = _keys(docs, ("uni", False), ("after_1", True))
+    rows = _rows(docs)
+    none = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit(0).cast("long").alias("_copies")]
+    parts = [rows.select("row", "doc_id", "lang", F.lit(1).cast("long").alias("_copies"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("_log"))]
+    words = _keys(rows, ("uni", False), ("after_1", True))
     if model is None:
-        parts.append(words.select("doc_id", none, F.col("n").cast("long"), F.lit(0.0)))
+        parts.append(words.select("row", *none, F.col("n").cast("long"), F.lit(None).cast("double")))
     else:
         known = F.col("n") * F.coalesce("gain", F.lit(0.0)) + F.col("h") * F.coalesce("left", F.lit(0.0))
-        parts.append(words.join(_small(model.words), "key", "left").select("doc_id", none, F.col("n").cast("long"), known + F.col("n") * F.log(F.lit(model.unseen))))
-        grams = _keys(docs, ("bi", False), ("after_2", True), ("tri", False))
-        parts.append(grams.join(_small(model.grams, model.n_grams), "key").select("doc_id", none, F.lit(0).cast("long"), known))
-    rows = parts[0]
+        # Without a model of a half the logarithm is null, and not a number in the sum.
+        base = F.coalesce(F.log(_by_half("key", model.unseen)), F.lit(float("nan")))
+        parts.append(words.join(_small(model.words), "key", "left").select("row", *none, F.col("n").cast("long"), known + F.when(F.col("n") > 0, F.col("n") * base).otherwise(0.0)))
+        grams = _keys(rows, ("bi", False), ("after_2", True), ("tri", False))
+        parts.append(grams.join(_small(model.grams, model.n_grams), "key").select("row", *none, F.lit(0).cast("long"), known))
+    every = parts[0]
     for part in parts[1:]:
-        rows = rows.union(part)
-    sums = rows.groupBy("doc_id").agg(F.max("lang").alias("lang"), F.sum("n_words").alias("n_words"), F.sum("_log").alias("_log"))
-    mean = F.when(F.col("n_words") > 0, F.col("_log") / F.col("n_words")) if model else F.lit(None).cast("double")
-    return sums.select("doc_id", "lang", "n_words", F.round(F.exp(-mean), 4).alias("perplexity"))
+        every = every.union(part)
+    sums = every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("_copies").alias("_copies"), F.sum("n_words").alias("n_words"), F.sum("_log").alias("_log"))
+    mean = F.when((F.col("n_words") > 0) & ~F.isnan("_log"), F.col("_log") / F.col("n_words")) if model else F.lit(None).cast("double")
+    each = sums.select("doc_id", "lang", F.expr("n_words div _copies").alias("n_words"), F.round(F.exp(-mean), 4).alias("perplexity"), "_copies")
+    return each.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).drop("_", "_copies")
 
 
-def trusted_documents(labels: DataFrame) -> tuple[DataFrame, Column]:
-    """doc_id of trusted labels (quality 1), and whether it belongs to the TRAINING_SHARE that trains the model."""
-    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    draw = F.pmod(F.crc32(F.concat(F.lit("train"), F.col("doc_id").cast("string")).cast("binary")), F.lit(1_000_003))
-    return trusted, draw < int(TRAINING_SHARE * 1_000_003)
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """doc_id of trusted labels (quality 1)."""
+    return labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_words, perplexity, limit and kept for each doc_id of docs.
-
-    The model learns from TRAINING_SHARE of the trusted documents (labels with quality 1), so its
-    counts grow with the labels. The others' perplexities give each language its limit, their
-    quantile HIGH. A document is kept up to its language's limit (that of all languages where the
-    language has no trusted document), or if it has under MIN_WORDS words, or if nothing is
-    trusted at all. docs: doc_id, text, lang. Null texts count as empty; a null lang is one more
-    language; rows with one doc_id count as one document; an empty table gives an empty result.
+    """doc_id, lang, n_words, perplexity, limit and kept for each row of docs.
+
+    Two models learn from the halves of the trusted documents (labels with quality 1), so their
+    counts grow with the labels, and each document is scored by the half that it isn't in. The
+    trusted documents' perplexities give each language its limit, their quantile HIGH. A
+    document is kept up to its language's limit (that of all languages where the language has no
+    trusted document), or if it has under MIN_WORDS words, or if nothing is trusted at all.
+
+    docs: doc_id, text, lang. Null texts count as empty; very long ones are read whole; a null
+    lang is one more language; a null doc_id belongs to half 0 and is trusted by none; repeated
+    rows get a row each; extra columns are ignored; an empty table gives an empty result.
     """
-    trusted, training = trusted_documents(labels)
-    chosen = durable(trusted.where(training))
-    model = train(docs.join(_small(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id").cast("long") == F.col("_id"), "left_semi"))
+    trusted = durable(trusted_documents(labels))
+    own = F.col("doc_id").cast("long") == F.col("_id")
+    model = train(docs.select("doc_id", "text").join(_small(trusted.withColumnRenamed("doc_id", "_id")), own, "left_semi"))
     rated = durable(perplexities(docs, model))
-    held = rated.where(f"n_words >= {MIN_WORDS}").join(trusted.where(~training), "doc_id", "left_semi")
+    held = rated.where(f"n_words >= {MIN_WORDS} AND perplexity IS NOT NULL").join(_small(trusted), "doc_id", "left_semi")
     limit = F.percentile_approx("perplexity", HIGH, 1_000_000).alias("limit")
     by_lang = held.groupBy(F.col("lang").alias("_lang")).agg(limit)
     overall = held.agg(limit).first()["limit"]
