@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachbase.llm.cluster import by_small_batches, partitions
@@ -87,6 +87,32 @@ def fingerprints(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     return by_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string, n_distinct double")
 
 
+def merged_fingerprints(parts: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
+    """doc_id, fingerprint of documents that come in parts (doc_id, text), from the parts' sketches.
+
+    Each part's k smallest hashes go on, and of a document's the k smallest distinct ones stay,
+    which Spark finds with k rows of each task. Parts that overlap by words - 1 words give the
+    sketch of the whole text. Null texts count as empty; a document without words has an empty
+    fingerprint; null doc_ids are one document; an empty table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, block in blocks(batch.column("text")):
+                made = sketches(block, k, words)
+                owner = np.repeat(np.arange(part.start, part.stop), [len(s) for s in made])
+                hashes = np.concatenate([np.zeros(0, np.uint64), *made]) ^ np.uint64(1 << 63)  # signed numbers in the same order
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(hashes.view(np.int64))], ["doc_id", "hash"])
+
+    kind = dict(parts.dtypes)["doc_id"]
+    each = by_small_batches(parts).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, hash long").distinct()
+    least = each.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("hash"))).where(F.col("_place") <= k)
+    unsigned = F.lower(F.lpad(F.hex(F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    joined = least.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", unsigned.alias("h")))), lambda x: x["h"]), "").alias("fingerprint"))
+    found = joined.withColumnRenamed("doc_id", "_id")
+    return parts.select("doc_id").distinct().join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
+
+
 def _runs(docs: DataFrame) -> tuple[list, bool]:
     """The lowest doc_ids of ranges of about equal numbers of rows, one for each partition, and whether any is null.
 
@@ -131,13 +157,14 @@ def edit_with_following(docs: DataFrame, k: int = K, words: int = WORDS) -> Data
 
     In the edited text the last floor(n / 4) of n code points give way to the first as many (or
     all) of the next document by ascending doc_id (after the last: the first). Returns doc_id,
-    n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_distinct.
+    n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_distinct and
+    in_edited (the share of its shingles that the edited text has).
 
     docs: doc_id (a whole number) and text are used. Null texts count as empty; texts without
     words are alike (1). Null doc_ids come first; rows with equal doc_ids follow each other by
     their texts' CRC; a single row follows itself; an empty table gives an empty result.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, in_edited double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[_Held] = []
@@ -190,5 +217,6 @@ def _compared(rows: list[_Held], k: int, words: int) -> pa.RecordBatch:
         pa.array([resemblance(a.sketch, s, k) for (a, _), s in zip(pairs, made, strict=True)], pa.float64()),
         pa.array([resemblance(a.sketch, b.sketch, k) for a, b in pairs], pa.float64()),
         pa.array([distinct_count(a.sketch, k) for a, _ in pairs], pa.float64()),
+        pa.array([containment(a.sketch, s, k) for (a, _), s in zip(pairs, made, strict=True)], pa.float64()),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct"])
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct", "in_edited"])

@@ -22,6 +22,8 @@ DIMENSIONS, SEED = 1024, 4711
 #: Documents of a language that its prototype is learned from, about, and code points of all texts of one step.
 MAX_TRAINING_DOCUMENTS = 10_000
 STEP_CHARS = 1 << 19
+#: Languages that are learned, which bounds what is broadcast.
+MAX_LANGUAGES = 1_000
 #: Distinct letters of a step up to which trigrams are counted in a dense table.
 DENSE_LETTERS = 128
 _GAP = 0  # what isn't a letter, in any number
@@ -116,15 +118,15 @@ def learn(labelled: DataFrame, max_documents: int = MAX_TRAINING_DOCUMENTS) -> d
     """Prototypes by language from text and lang; rows without a lang are ignored.
 
     Of a language with more than max_documents rows about so many are taken, by a hash of their
-    texts. Each document's bundle is scaled to length 1. One vector for each language comes to
-    the driver; that number is bound by the languages there are.
+    texts; of more than MAX_LANGUAGES values, as a dirty column may have, the most frequent ones
+    are learned. Each document's bundle is scaled to length 1. One vector for each learned
+    language comes to the driver.
     """
     rows = labelled.where("lang is not null").select("lang", "text")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
-        return {}
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, max_documents / n)))])
-    chosen = rows.where("text is not null").where((F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(1_000_003)) / 1_000_003) < share[F.col("lang")])
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MAX_LANGUAGES)
+    share = F.least(F.lit(1.0), F.lit(float(max_documents)) / F.col("_n"))
+    draw = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(1_000_003)) / 1_000_003
+    chosen = rows.where("text is not null").join(F.broadcast(sizes), "lang").where(draw < share).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, sums = Codebook(), {}
@@ -150,7 +152,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, lang_pred and score (the cosine, 0 to 1) of every whole text.
 
     A null text, one without a letter, and any text when nothing was learned, is ``und`` with
-    score 0; equal cosines go to the first language by name. Only text is used.
+    score 0; equal cosines go to the first language by name. Only text is used; very long texts
+    are read whole; repeated rows get a row each; an empty table gives an empty result.
     """
     names = sorted(prototypes)
     matrix = np.stack([prototypes[x] / max(np.linalg.norm(prototypes[x]), 1e-9) for x in names]).astype(np.float32) if names else None

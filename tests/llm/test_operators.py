@@ -78,6 +78,41 @@ def test_fingerprints(odd_docs, no_docs):
     assert fingerprint.edit_with_following(no_docs).count() == 0
 
 
+def shingle_set(text, k=fingerprint.WORDS):
+    w = words(text)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+def test_fingerprints_estimate_the_shingle_sets(spark, sf_dir):
+    """Against plain sets of shingles: exact below K shingles, within five standard deviations above."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    got = by_id(fingerprint.edit_with_following(docs))
+    for a, b in zip(rows, rows[1:] + rows[:1]):
+        x, y = a["text"] or "", b["text"] or ""
+        cut = len(x) // 4
+        own, edited, after = shingle_set(x), shingle_set(x[: len(x) - cut] + y[:cut]), shingle_set(y)
+        r = got[a["doc_id"]]
+        assert len(r["fingerprint"]) == 16 * min(fingerprint.K, len(own)) and len(r["edited_fingerprint"]) == 16 * min(fingerprint.K, len(edited))
+        for other, column in ((edited, "near_edited"), (after, "near_next")):
+            plain = len(own & other) / len(own | other) if own | other else 1.0
+            slack = 0 if len(own | other) <= fingerprint.K else 5 * math.sqrt(plain * (1 - plain) / fingerprint.K) + 1e-9
+            assert abs(r[column] - plain) <= slack + 1e-12
+        if own:
+            assert abs(r["in_edited"] - len(own & edited) / len(own)) < 0.3
+            assert r["n_distinct"] == len(own) if len(own) < fingerprint.K else abs(r["n_distinct"] / len(own) - 1) < 0.5
+
+
+def test_fingerprints_of_parts_merge(spark):
+    rng = random.Random(11)
+    texts = {i: [rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(n)] for i, n in enumerate((0, 3, 40, 900, 3000))}
+    parts = [(i, " ".join(w[at : at + 54])) for i, w in texts.items() for at in range(0, max(1, len(w) - 4), 50)] + [(4, None)]
+    merged = {r["doc_id"]: r["fingerprint"] for r in fingerprint.merged_fingerprints(spark.createDataFrame(parts, "doc_id long, text string").repartition(4)).collect()}
+    whole = fingerprint.fingerprints(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string"))
+    assert merged == {r["doc_id"]: r["fingerprint"] for r in whole.collect()} and merged[0] == ""
+    assert fingerprint.merged_fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_single_document_follows_itself(odd_docs):
     one = fingerprint.edit_with_following(odd_docs.where("doc_id = 1")).first()
     assert one["near_next"] == 1 and one["n_chars"] == 65
@@ -502,6 +537,35 @@ def test_language_id(spark, odd_docs, no_docs, sf_dir):
     assert {r["lang_pred"] for r in language_id.predict_languages(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_predictions_match_plain_cosines(spark):
+    """Bundles added trigram by trigram, prototypes document by document, and the greatest cosine."""
+    rng = random.Random(13)
+    letters = {"xx": "aeioukst", "yy": "bdfgmnpr"}
+    rows = [(i, "".join(rng.choice(letters[lang] + "  ") for _ in range(80)), lang) for i, lang in enumerate(["xx", "yy"] * 20)] + [(90, "12 !", "xx"), (91, None, "yy"), (92, "Aeiou bdf", None)]
+    book = language_id.Codebook()
+
+    def bundle(text):
+        codes = [0] + [ord(c) if c.isalpha() else 0 for c in " ".join((text or "").lower().split())] + [0]
+        lead, tail = bool(text) and not text[0].isalpha(), bool(text) and not text[-1].isalpha()
+        codes = [0] * lead + codes + [0] * tail
+        return sum((np.roll(book.letter(a).astype(float), 2) * np.roll(book.letter(b).astype(float), 1) * book.letter(c) for a, b, c in zip(codes, codes[1:], codes[2:])), np.zeros(book.dimensions))
+
+    learned = {}
+    for i, text, lang in rows:
+        if lang and any(c.isalpha() for c in text or "") and zlib.crc32(str(i).encode()) % 4 != 2:
+            v = bundle(text)
+            learned[lang] = learned.get(lang, 0) + v / np.linalg.norm(v)
+    got = by_id(language_id.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)))
+    for i, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        v = bundle(text)
+        cosines = {lang: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for lang, p in learned.items()}
+        best = max(cosines, key=cosines.get)
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(max(0, cosines[best]), abs=2e-5)
+
+
 # 8
 
 
