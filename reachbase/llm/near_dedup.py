@@ -16,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachbase.llm.cluster import by_small_batches, durable
@@ -123,8 +123,8 @@ def _sketch(k: int, banding: Banding) -> Callable[[Iterator[pa.RecordBatch]], It
                 two = np.array([np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))) if len(s) else 0 for s in sets], np.uint64)
                 keys = pa.array(band_keys(rows, banding).ravel())
                 offsets = pa.array(np.arange(len(block) + 1, dtype=np.int32) * banding.bands)
-                columns = [ids.slice(part.start, part.stop - part.start), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(offsets, keys)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_1", "set_2", "bands"])
+                columns = [*(c.slice(part.start, part.stop - part.start) for c in (ids, batch.column("_text"))), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(offsets, keys)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_text", "n_shingles", "set_1", "set_2", "bands"])
 
     return run
 
@@ -234,6 +234,10 @@ def _may_link(sets: DataFrame, percent: int) -> DataFrame:
     return first_own.join(met, "element", "left_semi").select("node").distinct()
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.col("text").isNull(), "text").alias("_text")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Groups documents whose sets of k-word shingles have a resemblance of percent / 100 or more.
 
@@ -253,9 +257,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts; a null doc_id gets the component of an equal set, or null, and then kept is true. An
     empty table gives an empty result.
     """
+    return _grouped(docs, k, percent).drop("_text")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_duplicates() with a hash of each row's text."""
     banding = Banding.at(percent)
-    texts = by_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = durable(texts.mapInArrow(_sketch(k, banding), "doc_id long, n_shingles long, set_1 long, set_2 long, bands array<long>"))
+    texts = by_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(), "text")
+    sketched = durable(texts.mapInArrow(_sketch(k, banding), "doc_id long, _text long, n_shingles long, set_1 long, set_2 long, bands array<long>"))
     sets = durable(sketched.where("n_shingles > 0").groupBy("set_1", "set_2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
     banded = sets.where("node is not null").select("node", F.explode("bands").alias("band")).groupBy("band", "node").agg(F.lit(1).alias("_")).drop("_")
     buckets = durable(banded.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1"))
@@ -297,14 +306,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         known = labels.union(upper.select("_node", "_node")).distinct()
         labels = durable(known.join(upper, known["component"] == upper["_node"], "left").groupBy("node").agg(F.min(F.coalesce("_upper", "component")).alias("component")))
     named = sets.join(labels, "node", "left").select("set_1", "set_2", F.coalesce("component", "node").alias("component"))
-    joined = sketched.select("doc_id", "n_shingles", "set_1", "set_2").join(named, ["set_1", "set_2"], "left")
+    joined = sketched.select("doc_id", "_text", "n_shingles", "set_1", "set_2").join(named, ["set_1", "set_2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    found = joined.select("doc_id", "n_shingles", own.alias("component_id"))
+    found = joined.select("doc_id", "_text", "n_shingles", own.alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs' rows without those of a group's other documents; of rows with one doc_id all stay. Columns are unchanged."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    few = F.broadcast(gone) if (gone := durable(gone)).count() <= MAX_BROADCAST_IDS else gone
-    return docs.join(few, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """docs' rows without those of a group's other documents. Columns are unchanged, whatever their names.
+
+    Of rows with one doc_id each is kept or goes by its own text; equal rows share their fate.
+    Rows with a null doc_id, and null and empty texts, stay. An empty table gives an empty one.
+    """
+    gone = durable(_grouped(docs, k, percent).where("not kept").select("doc_id", "_text").distinct())
+    few = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(few, ["doc_id", "_text"], "left_anti").select("_row.*")

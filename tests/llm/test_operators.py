@@ -727,6 +727,13 @@ def test_near_duplicates_on_odd_rows(odd_docs, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
 
 
+def test_rows_of_one_id_are_dropped_by_their_texts(spark):
+    rows = [(1, BASE, "a"), (2, BASE.upper(), "b"), (2, "another text of its own with words enough", "c"), (None, BASE, "d"), (3, None, "e"), (4, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    left = near_dedup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and Counter(map(tuple, left.collect())) == Counter(r for r in rows if r[2] != "b")
+
+
 def test_likelihood_estimate():
     rng = np.random.default_rng(3)
     a = [rng.integers(0, 2**64 - 1, 900, dtype=np.uint64) for _ in range(20)]
