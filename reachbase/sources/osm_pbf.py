@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from reachbase.sources.remote import opened
+
 SCHEMA = "kind string, id long, lat double, lon double, tags map<string, string>, refs array<long>, members array<struct<kind: string, id: long, role: string>>"
 _KINDS = ("node", "way", "relation")
 
@@ -68,7 +70,7 @@ class ExtractReader(DataSourceReader):
     def partitions(self) -> list[Blobs]:
         """Reads the blobs' headers alone."""
         places = []
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             while head := f.read(4):
                 header = dict(_fields(f.read(struct.unpack(">I", head)[0])))
                 if header[1] == b"OSMData":
@@ -78,7 +80,7 @@ class ExtractReader(DataSourceReader):
         return [Blobs(self.path, places[i : i + n]) for i in range(0, len(places), n)] or [Blobs(self.path, [])]
 
     def read(self, partition: Blobs) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        with opened(partition.path) as f:
             for at, size in partition.places:
                 f.seek(at)
                 blob = dict(_fields(f.read(size)))

@@ -9,6 +9,8 @@ from xml.etree import ElementTree
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from reachbase.sources.remote import opened
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -30,12 +32,12 @@ class WorkbookReader(DataSourceReader):
 
     def partitions(self) -> list[Sheet]:
         """One for each sheet, in numeric order: a long table is split over sheets by its writer."""
-        with zipfile.ZipFile(self.path) as z:
+        with opened(self.path) as f, zipfile.ZipFile(f) as z:
             found = [(int(m[1]), m[0]) for n in z.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n))]
         return [Sheet(self.path, member, number) for number, member in sorted(found)]
 
     def read(self, partition: Sheet) -> Iterator[tuple]:
-        with zipfile.ZipFile(partition.path) as z:
+        with opened(partition.path) as whole, zipfile.ZipFile(whole) as z:
             shared: list[str] = []
             if "xl/sharedStrings.xml" in z.namelist():
                 with z.open("xl/sharedStrings.xml") as f:

@@ -75,7 +75,7 @@ def test_workbook(spark, tmp_path):
         for i in (2, 10):
             z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>{i}</v></c></row><row><c r="B2" t="inlineStr"><is><t>in</t></is></c><c r="AA2" t="s"><v>1</v></c></row></sheetData></worksheet>')
     spark.dataSource.register(Workbook)
-    rows = spark.read.format("workbook").load(str(tmp_path / "b.xlsx")).orderBy("sheet", "row").collect()
+    rows = spark.read.format("workbook").load(f"file://{tmp_path}/b.xlsx").orderBy("sheet", "row").collect()
     assert [(r["sheet"], r["row"]) for r in rows] == [(2, 0), (2, 1), (10, 0), (10, 1)]
     assert rows[2]["cells"] == ["name", "", "10"] and rows[1]["cells"][1] == "in" and rows[1]["cells"][26] == "ab"
 
