@@ -1,46 +1,27 @@
-"""What the operators ask of the session: a shared checkpoint folder and partition counts."""
+"""What the operators ask of the session: the shared checkpoint folder, small batches and partition counts."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reachbase.operators.graph import cut_lineage, shared_folder, shuffles_dropped
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, so that lost executors don't lose them.
 
-    The folder is that of ``spark.checkpoint.dir``. Only where it is unset and the session runs
-    on one machine is a temporary folder taken.
-    """
-    _shared_folder(df.sparkSession)
-    with _shuffles_dropped(df.sparkSession):
-        return df.checkpoint()
+def durable(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder, so that lost executors don't lose them."""
+    return cut_lineage(df)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet below the shared checkpoint folder and read again."""
-    path = f"{_shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    with _shuffles_dropped(df.sparkSession):
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    with shuffles_dropped(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-@contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """What is written meanwhile needs its shuffle files no longer; by default they stay until the driver collects garbage."""
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting, "false")
-    spark.conf.set(setting, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 #: Bytes of texts that go to a Python worker at once.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
@@ -57,17 +38,5 @@ def by_small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

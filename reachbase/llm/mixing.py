@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachbase.llm.cluster import durable, partitions
-from reachbase.llm.ordering import running_sums
+from reachbase.operators.ranges import running_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources that a broadcast may hold; more are joined by a shuffle.

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachbase.llm.cluster import by_small_batches, durable
-from reachbase.llm.graph import components
 from reachbase.llm.textblock import TextBlock, blocks, mix
+from reachbase.operators.graph import connected
 
 #: Bands are as many as it takes for a pair at the threshold to share none with this probability.
 MISS = 3e-6
@@ -277,7 +277,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     full = durable(chosen.mapInArrow(_full_sets(k, banding), "doc_id long, registers binary, elements binary"))
     sides = [full.select(F.col("doc_id").alias(s), F.col("registers").alias(f"registers_{s}"), F.col("elements").alias(f"elements_{s}")) for s in ("a", "b")]
     links = durable(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_verify(percent, banding.registers), "a long, b long"))
-    labels = components(links)
+    labels = connected(links)
 
     # What the hubs left apart. A hub has met all others of its bucket.
     part = F.coalesce("component", "node").alias("component")
@@ -302,7 +302,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     if more.limit(1).count():
         joined = more.join(labels, more["a"] == labels["node"], "left").select(F.coalesce("component", "a").alias("a"), "b")
         joined = joined.join(labels, joined["b"] == labels["node"], "left").select("a", F.coalesce("component", "b").alias("b"))
-        upper = components(joined).select(F.col("node").alias("_node"), F.col("component").alias("_upper"))
+        upper = connected(joined).select(F.col("node").alias("_node"), F.col("component").alias("_upper"))
         known = labels.union(upper.select("_node", "_node")).distinct()
         labels = durable(known.join(upper, known["component"] == upper["_node"], "left").groupBy("node").agg(F.min(F.coalesce("_upper", "component")).alias("component")))
     named = sets.join(labels, "node", "left").select("set_1", "set_2", F.coalesce("component", "node").alias("component"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reachbase.llm.ordering import running_sums
+from reachbase.operators.ranges import running_sums
 
 
 def stored_size(text: str = "text") -> Column:
