@@ -86,3 +86,42 @@ def covered_names(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """name, n: how many nodes (name) each expected name has; 0 where the network misses it."""
     counts = nodes.groupBy("name").agg(F.count("*").alias("_n"))
     return names.join(counts, "name", "left").select("name", F.coalesce("_n", F.lit(0)).alias("n"))
+
+
+# Boxes (south, west, north, east) that data must lie in.
+BOXES = {"country": (33.0, 124.0, 39.0, 132.0), "city": (37.4, 126.7, 37.75, 127.25)}
+
+
+def in_boxes(points: DataFrame, boxes: dict[str, tuple[float, float, float, float]] = BOXES) -> DataFrame:
+    """points (lat, lon) with a column for each box: whether they lie in it; null without coordinates."""
+    return points.select("*", *[(F.col("lat").between(s, n) & F.col("lon").between(w, e)).alias(f"in_{name}") for name, (s, w, n, e) in boxes.items()])
+
+
+def allowed_lines(routes: DataFrame, names: DataFrame) -> DataFrame:
+    """Routes (ref) that a list (ref, line) allows, with the line's name; the list is a dimension of some dozens."""
+    return routes.join(F.broadcast(names), "ref")
+
+
+def platform_pairs(platform_rows: DataFrame) -> DataFrame:
+    """station, a, b: all ordered pairs of a station's lines, a few each."""
+    a, b = platform_rows.select("station", F.col("line").alias("a")), platform_rows.select("station", F.col("line").alias("b"))
+    return a.join(b, "station").where("a <> b")
+
+
+def chain_sizes(stops: DataFrame) -> DataFrame:
+    """line, chains, longest, least of patterns (line, pattern_id, pos)."""
+    sizes = stops.groupBy("line", "pattern_id").agg(F.count("*").alias("_n"))
+    return sizes.groupBy("line").agg(F.count("*").alias("chains"), F.max("_n").alias("longest"), F.min("_n").alias("least"))
+
+
+def sorted_departures(connections: DataFrame) -> DataFrame:
+    """origin, dest, departures: a day's departures (origin, dest, dep, arr) between two platforms by time, the soonest arrival of equal ones."""
+    each = connections.groupBy("origin", "dest", "dep").agg(F.min("arr").alias("arr"))
+    return each.groupBy("origin", "dest").agg(F.array_sort(F.collect_list(F.struct("dep", "arr"))).alias("departures"))
+
+
+def detours(costs: DataFrame, points: DataFrame) -> DataFrame:
+    """start, node, ratio: how much longer the ways of costs (start, node, cost in metres) are than the straight lines between points (id, lat, lon)."""
+    a, b = points.toDF("start", "_la", "_lo"), points.toDF("node", "_lb", "_mb")
+    straight = haversine(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_mb"))
+    return costs.where("start <> node").join(a, "start").join(b, "node").select("start", "node", F.round(F.col("cost") / F.greatest(F.lit(1.0), straight), 4).alias("ratio"))

@@ -127,3 +127,14 @@ def effective_speeds(rows: DataFrame, by: list[str]) -> DataFrame:
 def worst(rows: DataFrame, error: str, ties: list[str], limit: int = 12) -> DataFrame:
     """The rows that are furthest off."""
     return rows.orderBy(F.abs(F.col(error)).desc(), *ties).limit(limit)
+
+
+def door_to_door(ods: DataFrame, budget: int) -> DataFrame:
+    """One row over ods (ours, ext in minutes): how well being within the budget agrees, and the errors.
+
+    precision: of those that ours calls within, the share that the outside does; recall the other way round.
+    """
+    ours, ext = F.col("ours") <= budget, F.col("ext") <= budget
+    both, mine, theirs = F.count_if(ours & ext), F.count_if(ours), F.count_if(ext)
+    error = F.col("ours") - F.col("ext")
+    return ods.agg(F.count("*").alias("n"), F.round(both / F.nullif(mine, F.lit(0)), 4).alias("precision"), F.round(both / F.nullif(theirs, F.lit(0)), 4).alias("recall"), F.round(F.avg(error), 4).alias("bias"), F.round(F.avg(F.abs(error)), 4).alias("mae"), upper_middle("ours - ext").alias("median"))

@@ -78,3 +78,14 @@ SELECT seq, ord, CASE WHEN amount >= 10000 THEN regexp_replace(printf('%.1f', fl
 FROM {deal}""".replace("{:,}", "{{:,}}"))
 def price_label_text(t):
     return t("deal").select("seq", "ord", price_label("amount").alias("label"))
+
+
+@query(f"""
+WITH {_ROOMS}, old AS (SELECT seq, room, count(*) AS n FROM rooms WHERE file_no = 0 GROUP BY seq, room), fresh AS (SELECT seq, room, count(*) AS n, {_RENT} AS m FROM rooms WHERE file_no = 1 GROUP BY seq, room),
+b AS (SELECT seq, array_to_string(list(room || ':' || CAST(n AS varchar) ORDER BY room), ',') AS rooms FROM old GROUP BY seq), f AS (SELECT seq, array_to_string(list(room || ':' || CAST(n AS varchar) ORDER BY room), ',') AS rooms FROM fresh GROUP BY seq)
+SELECT b.seq, coalesce(f.rooms, b.rooms) AS rooms, f.seq IS NOT NULL AS found FROM b LEFT JOIN f USING (seq)""")
+def repriced_buildings(t):
+    deals = t("deal")
+    rooms = housing.building_rooms(deals.where("file_no = 0")).groupBy("seq").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("room", F.struct("n", "m", "j").alias("price"))))).alias("rooms"))
+    got = housing.reprice(rooms, deals.where("file_no = 1"))
+    return got.select("seq", F.array_join(F.transform(F.array_sort(F.map_entries("rooms")), lambda e: F.concat_ws(":", e["key"], e["value"]["n"].cast("string"))), ",").alias("rooms"), "found")

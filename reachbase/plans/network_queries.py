@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reachbase.functions import exprs
 from reachbase.functions.medians import at_share
-from reachbase.operators import build, network, routing, speed
+from reachbase.operators import access, build, calibration, graph, network, routing, spatial, speed
 from reachbase.plans.registry import query
 from reachbase.plans.transit_queries import _BIN, _CLUSTER_EDGES, _CURVES, _SOUND, _meters
 
@@ -202,3 +202,65 @@ def service_headways(t):
 def network_coverage(t):
     wanted = t("nation").select(F.concat("n_name", F.when(F.col("n_nationkey") % 4 == 0, "?").otherwise("")).alias("name"))
     return build.covered_names(wanted, t("dong").select(F.col("gu").alias("name")))
+
+
+@query("""
+SELECT stop_id, lat BETWEEN 33.0::double AND 39.0::double AND lon BETWEEN 124.0::double AND 132.0::double AS in_country, lat BETWEEN 37.4::double AND 37.75::double AND lon BETWEEN 126.7::double AND 127.25::double AS in_city, lat BETWEEN 37.51::double AND 37.52::double AND lon BETWEEN 127.0::double AND 127.02::double AS in_block FROM {stop}""")
+def bounding_boxes(t):
+    return build.in_boxes(t("stop"), build.BOXES | {"block": (37.51, 127.0, 37.52, 127.02)}).drop("lat", "lon")
+
+
+@query("""
+SELECT trip_id, route_id AS ref, n_name AS line FROM {trip} JOIN nation ON n_nationkey = route_id WHERE n_nationkey % 3 > 0""")
+def allowed_refs(t):
+    names = t("nation").where("n_nationkey % 3 > 0").select(F.col("n_nationkey").alias("ref"), F.col("n_name").alias("line"))
+    return build.allowed_lines(t("trip").select("trip_id", F.col("route_id").alias("ref")), names)
+
+
+@query(f"{_BUILT} SELECT a.station, a.line AS a, b.line AS b FROM pf a JOIN pf b ON a.station = b.station AND a.line <> b.line")
+def platform_pairs(t):
+    nodes, stations, stops = _built(t)
+    return build.platform_pairs(build.platforms(stops, stations, nodes))
+
+
+@query("""
+WITH s AS (SELECT route_id AS line, trip_id, count(*) AS n FROM {pattern_stop} JOIN {trip} USING (trip_id) GROUP BY ALL)
+SELECT line, count(*) AS chains, max(n) AS longest, min(n) AS least FROM s GROUP BY line""")
+def chain_sizes(t):
+    return build.chain_sizes(t("pattern_stop").join(t("trip"), "trip_id").select(F.col("route_id").alias("line"), F.col("trip_id").alias("pattern_id"), "pos"))
+
+
+@query("""
+WITH c AS (SELECT l_suppkey % 40 AS origin, l_partkey % 40 AS dest, l_orderkey % 86400 AS dep, min(l_orderkey % 86400 + CAST(l_quantity AS bigint)) AS arr FROM {lineitem} GROUP BY 1, 2, 3)
+SELECT origin, dest, array_to_string(list(CAST(dep AS varchar) || '-' || CAST(arr AS varchar) ORDER BY dep), ',') AS departures FROM c GROUP BY origin, dest""")
+def sorted_departures(t):
+    k = F.col("l_orderkey") % 86400
+    c = t("lineitem").select((F.col("l_suppkey") % 40).alias("origin"), (F.col("l_partkey") % 40).alias("dest"), k.alias("dep"), (k + F.col("l_quantity").cast("long")).alias("arr"))
+    return build.sorted_departures(c).withColumn("departures", F.array_join(F.transform("departures", lambda x: F.concat_ws("-", x["dep"].cast("string"), x["arr"].cast("string"))), ","))
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT a.stop_id AS src, b.stop_id AS dst, CAST(floor({_meters('a.', 'b.')}) AS bigint) AS cost FROM {{stop}} a JOIN {{stop}} b ON a.stop_id <> b.stop_id AND abs(a.lat - b.lat) < 0.01 AND {_meters('a.', 'b.')} <= 400),
+r AS (SELECT stop_id AS start, stop_id AS node, CAST(0 AS bigint) AS cost FROM {{stop}} UNION SELECT r.start, e.dst, r.cost + e.cost FROM r JOIN e ON r.node = e.src WHERE r.cost + e.cost <= 990),
+c AS (SELECT start, node, min(cost) AS cost FROM r GROUP BY start, node)
+SELECT start, node, round(cost / greatest(1.0::double, {_meters('a.', 'b.')}), 4) AS ratio FROM c JOIN {{stop}} a ON a.stop_id = start JOIN {{stop}} b ON b.stop_id = node WHERE start <> node""")
+def walk_detours(t):
+    near = spatial.within(spatial.points(t("stop"), "stop_id", "a"), spatial.points(t("stop"), "stop_id", "b"), 400).where("a <> b")
+    edges = near.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.floor("meters").alias("cost"))
+    starts = t("stop").select(F.col("stop_id").alias("start"), F.col("stop_id").alias("node"), F.lit(0).cast("long").alias("cost"))
+    return build.detours(graph.costs_within(starts, graph.cut_lineage(edges), 990), t("stop").select("stop_id", "lat", "lon"))
+
+
+@query("""
+WITH w AS (SELECT trip_id, first_start, last_start, headway, (trip_id % 5000 * 31 + 77) & 67108863 AS phase FROM {pattern_window}),
+f AS (SELECT *, first_start + phase % headway AS f FROM w)
+SELECT trip_id, f AS first_start, CASE WHEN f > last_start THEN f ELSE f + (last_start - f) // headway * headway END AS last_start, headway FROM f""")
+def rephased_windows(t):
+    return access.rephased(t("pattern_window").withColumn("phase", F.col("trip_id") % 5000), 77)
+
+
+@query("""
+SELECT count(*) AS n, round(count(*) FILTER (WHERE ours <= 40 AND ext <= 40) / nullif(count(*) FILTER (WHERE ours <= 40), 0), 4) AS precision, round(count(*) FILTER (WHERE ours <= 40 AND ext <= 40) / nullif(count(*) FILTER (WHERE ext <= 40), 0), 4) AS recall,
+       round(avg(ours - ext), 4) AS bias, round(avg(abs(ours - ext)), 4) AS mae, list_sort(list(ours - ext))[count(*) // 2 + 1] AS median FROM {od}""")
+def door_to_door(t):
+    return calibration.door_to_door(t("od"), 40)

@@ -310,6 +310,12 @@ def raptor_3_rounds(t):
     return _arrivals(t, 3)
 
 
+@query(f"WITH {_NET}, {_FORWARD} SELECT q AS query, s_name AS name, stop_id, lat, lon, t - 28800 AS sec FROM l3 JOIN {{stop}} USING (stop_id) JOIN supplier ON s_suppkey = stop_id")
+def reach_dump(t):
+    names = t("stop").join(t("supplier").select(F.col("s_suppkey").alias("stop_id"), F.col("s_name").alias("name")), "stop_id")
+    return _arrivals(t, 3).join(names, "stop_id").select("query", "name", "stop_id", "lat", "lon", (F.col("t") - 28800).alias("sec"))
+
+
 @query(f"WITH {_NET}, {_FORWARD} SELECT count(*) AS checked, count(*) FILTER (WHERE b.t IS NULL OR b.t > a.t) AS slower FROM l2 a LEFT JOIN l3 b ON a.q = b.q AND a.stop_id = b.stop_id")
 def more_rounds_never_slower(t):
     return matrix.slower_pairs(_arrivals(t, 2), _arrivals(t, 3))

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from reachbase.sources import files, matrix, sinks
+from reachbase.sources import files, landed, matrix, sinks
 from reachbase.sources.osm_pbf import Extract
 from reachbase.sources.xlsx import Workbook
 from reachbase.streaming import snapshots
@@ -196,3 +196,22 @@ def test_band_features(spark):
     cells = spark.createDataFrame([(37.5, 127.0, 15)], "lat double, lon double, band int")
     got = json.loads(matrix.band_features(cells, 0.01).first()["value"])
     assert got["properties"] == {"minutes": 15} and got["geometry"]["coordinates"][0][2] == [127.01, 37.51]
+
+
+def test_landed_json(spark, tmp_path):
+    (tmp_path / "stops.jsonl").write_text('{"id": "r1", "stops": [{"stop": "s", "ord": 1, "lat": 37.5}]}\nnot json\n')
+    rows = landed.read_rows(spark, str(tmp_path / "stops.jsonl"), "city_stops").collect()
+    assert len(rows) == 1 and rows[0]["stops"][0]["lat"] == 37.5 and rows[0]["stops"][0]["dir"] is None
+    assert landed.read_rows(spark, str(tmp_path / "none.jsonl"), "fleet").count() == 0
+    (tmp_path / "od.json").write_text('{"slot": "출발 08:30",\n "ods": [{"origin": "a", "ours": 5}, {"origin": "b"}]}')
+    assert {r["origin"]: r["ours"] for r in landed.read_document(spark, str(tmp_path / "od.json"), "ods", "ods").collect()} == {"a": 5, "b": None}
+    (tmp_path / "cal.json").write_text('{"dwellSec": 61}')
+    got = landed.with_defaults(landed.read_document(spark, str(tmp_path / "cal.json"), "calibration"), landed.CALIBRATION).first()
+    assert (got["dwellSec"], got["detour"]) == (61, 1.07)
+    assert landed.with_defaults(landed.read_document(spark, str(tmp_path / "gone.json"), "calibration"), landed.CALIBRATION).first()["dwellSec"] == 58
+
+
+def test_complexes_document(spark):
+    rows = spark.createDataFrame([("b", 37.1234567, 127.0, 5), ("a", 37.0, 127.0, None)], "seq string, lat double, lon double, jeonse int")
+    got = json.loads(landed.complexes_json(rows).first()["value"])["complexes"]
+    assert [x["seq"] for x in got] == ["a", "b"] and got[1]["lat"] == 37.12346 and got[1]["jeonse"] == 5
