@@ -172,7 +172,7 @@ def smoothed(field: DataFrame) -> DataFrame:
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(4.0 if i == j == 0 else 1.0 if 0 in (i, j) else 0.5).alias("w")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     spread = field.withColumn("_o", F.explode(offsets)).select((F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"), (F.col("value") * F.col("_o.w")).alias("_v"))
     sums = spread.groupBy("row", "col").agg((F.sum("_v") / 10).alias("_m"), F.count("*").alias("_n"))
-    return field.join(sums, ["row", "col"]).select("row", "col", F.round(F.when(F.col("_n") == 9, F.col("_m")).otherwise(F.col("value")), 4).alias("value"))
+    return field.join(sums, ["row", "col"]).select("row", "col", F.when(F.col("_n") == 9, F.col("_m")).otherwise(F.col("value")).alias("value"))
 
 
 def core_bounds(points: DataFrame) -> DataFrame:

@@ -180,7 +180,7 @@ def raster_scatter_min(t):
 WITH {_RASTER}, m AS (SELECT a.row, a.col, a.value, count(*) AS n, sum(b.value * CASE WHEN a.row = b.row AND a.col = b.col THEN 4.0::double WHEN a.row = b.row OR a.col = b.col THEN 1.0::double ELSE 0.5::double END) / 10 AS mean FROM field a JOIN field b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY ALL)
 SELECT CAST(row AS int) AS row, CAST(col AS int) AS col, round(CASE WHEN n = 9 THEN mean ELSE value END, 4) AS value FROM m""")
 def smooth_pass(t):
-    return reach.smoothed(_field(t))
+    return reach.smoothed(_field(t)).withColumn("value", F.round("value", 4))
 
 
 @query("""
@@ -246,12 +246,12 @@ def band_of_cells(t):
 @query(f"""
 WITH {_RASTER}, p0 AS (SELECT row, col, value FROM field),
 """ + ",\n".join(f"""m{i} AS (SELECT a.row, a.col, a.value, count(*) AS n, sum(b.value * CASE WHEN a.row = b.row AND a.col = b.col THEN 4.0::double WHEN a.row = b.row OR a.col = b.col THEN 1.0::double ELSE 0.5::double END) / 10 AS mean FROM p{i} a JOIN p{i} b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL),
-p{i + 1} AS (SELECT row, col, round(CASE WHEN n = 9 THEN mean ELSE value END, 4) AS value FROM m{i})""" for i in range(6)) + "\nSELECT CAST(row AS int) AS row, CAST(col AS int) AS col, round(value, 2) AS value FROM p6")
+p{i + 1} AS (SELECT row, col, CASE WHEN n = 9 THEN mean ELSE value END AS value FROM m{i})""" for i in range(6)) + "\nSELECT CAST(row AS int) AS row, CAST(col AS int) AS col, round(value, 4) AS value FROM p6")
 def smooth_six_passes(t):
     field = _field(t)
     for _ in range(6):
         field = reach.smoothed(field)
-    return field.withColumn("value", F.round("value", 2))
+    return field.withColumn("value", F.round("value", 4))
 
 
 @query("""
