@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -340,6 +342,25 @@ def raptor_arrive_by(t):
     return routing.earliest_arrivals(seeds, graph.cut_lineage(stops), graph.cut_lineage(windows), transfers, cutoffs, 2, mirror=True)
 
 
+_BACK = re.sub(r"\b([lbvi]\d)\b", r"m\1", _rounds(3, "ms", "mw", "SELECT q, stop_id, -t AS t FROM goal", -28200, 0, 20))
+
+
+@query(f"""
+WITH {_NET}, {_FORWARD}, ends AS (SELECT trip_id, max(off) AS last, max(pos) + min(pos) AS span FROM {{pattern_stop}} GROUP BY trip_id),
+ms AS (SELECT trip_id, span - pos AS pos, stop_id, last - off AS off FROM {{pattern_stop}} JOIN ends USING (trip_id)),
+mw AS (SELECT trip_id, -(last_start + last) AS first_start, -(first_start + last) AS last_start, headway FROM baked JOIN ends USING (trip_id)),
+goal AS (SELECT q, stop_id, t FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY t DESC, stop_id) AS place FROM l3) WHERE place = 1), {_BACK},
+seed AS ({_SEEDS.replace('{time}', '28800')})
+SELECT count(*) AS checked, count(*) FILTER (WHERE b.t IS NULL) AS lost, count(*) FILTER (WHERE -b.t < 28800 - 60) AS earlier FROM seed s LEFT JOIN ml3 b ON b.q = s.q AND b.stop_id = s.stop_id""")
+def mirror_consistency(t):
+    labels = graph.cut_lineage(_arrivals(t, 3))
+    farthest = labels.groupBy("query").agg(F.max(F.struct("t", (-F.col("stop_id")).alias("s"))).alias("_f")).select("query", (-F.col("_f.s")).alias("stop_id"), (-F.col("_f.t")).alias("t"))
+    stops, windows = routing.mirrored(t("pattern_stop"), _baked(t))
+    transfers = graph.cut_lineage(routing.walking_transfers(t("stop"), most=100_000))
+    back = routing.earliest_arrivals(farthest, graph.cut_lineage(stops), graph.cut_lineage(windows), transfers, farthest.select("query", F.lit(-28200).alias("cutoff")), 3, mirror=True)
+    return matrix.mirror_findings(_seeds(t, 0).select("query", "stop_id", F.lit(28800).alias("depart")), back, 3 * routing.BOARD_SLACK)
+
+
 @query(f"""
 WITH {_NET}, {_FORWARD}, acc AS (SELECT d.dong_id, s.stop_id, CAST(greatest(10, floor({_meters('d.', 's.')} * 1.4 / 1.1)) AS int) AS sec FROM {{dong}} d JOIN {{stop}} s ON abs(d.lat - s.lat) < 0.01 AND {_meters('d.', 's.')} <= 700),
 tot AS (SELECT q, dong_id, t + sec AS t, sec AS walk, stop_id FROM l3 JOIN acc USING (stop_id) WHERE t + sec <= 31800)
