@@ -24,6 +24,11 @@ def is_walkable(tags: Column) -> Column:
     return F.coalesce(tags["highway"].isin(*WALKED), F.lit(False)) & ~F.coalesce(closed, F.lit(False))
 
 
+def walkable_filter() -> str:
+    """is_walkable() as the filter of a map server's query, so that less is landed; the predicate still decides."""
+    return f'["highway"~"^({"|".join(WALKED)})$"]["foot"!="no"]["access"!~"^(no|private)$"]'
+
+
 def walk_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """src, dst, meters, both ways, of walkable ways (id, tags, refs) over nodes (id, lat, lon); only nodes on such ways are read on."""
     steps = ways.where(is_walkable(F.col("tags"))).select("id", F.posexplode("refs").alias("pos", "node"))

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from reachbase.operators import access
@@ -26,3 +28,12 @@ def test_heights_take_the_lowest_probe(spark):
     heights = spark.createDataFrame([(i, j, float(i + j)) for i in range(370, 376) for j in range(1268, 1274)], "row long, col long, metres double")
     points = spark.createDataFrame([("p", 37.2, 127.0)], "a string, a_lat double, a_lon double")
     assert access.ground_heights(points, heights, 0.1).first()["metres"] == 371 + 1269
+
+
+def test_the_servers_filter_agrees_with_the_predicate(spark):
+    """Each clause of the filter, applied to tags as a server would, lets the same ways through."""
+    clauses = re.findall(r'\["(\w+)"(~|!=|!~)"([^"]*)"\]', access.walkable_filter())
+    rules = {"~": lambda v, x: v is not None and re.search(x, v), "!=": lambda v, x: v != x, "!~": lambda v, x: v is None or not re.search(x, v)}
+    tags = [{"highway": h} | ({"foot": f} if f else {}) | ({"access": a} if a else {}) for h in ("footway", "motorway", "primary_link", "primary_links") for f in (None, "no", "yes") for a in (None, "no", "private", "yes")]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "i int, tags map<string, string>").where(access.is_walkable(F.col("tags"))).collect()
+    assert {r["i"] for r in got} == {i for i, t in enumerate(tags) if all(rules[op](t.get(key), x) for key, op, x in clauses)}

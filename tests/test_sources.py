@@ -215,3 +215,20 @@ def test_complexes_document(spark):
     rows = spark.createDataFrame([("b", 37.1234567, 127.0, 5), ("a", 37.0, 127.0, None)], "seq string, lat double, lon double, jeonse int")
     got = json.loads(landed.complexes_json(rows).first()["value"])["complexes"]
     assert [x["seq"] for x in got] == ["a", "b"] and got[1]["lat"] == 37.12346 and got[1]["jeonse"] == 5
+
+
+def test_period_counts_of_a_stream(spark, tmp_path):
+    """The extension on a stream of files: counts by day and period equal a batch's."""
+    rows = spark.createDataFrame([("2024-01-01 06:00:00", "view"), ("2024-01-01 06:30:00", "view"), ("2024-01-01 08:00:00", "click"), ("2024-01-02 06:00:00", "view")], "at string, event_type string").select(F.to_timestamp("at").alias("ts"), "event_type")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    counted = snapshots.period_counts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    counted.writeStream.format("memory").queryName("periods").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    batch = snapshots.period_counts(rows)
+    assert sorted(map(str, spark.table("periods").collect())) == sorted(map(str, batch.collect())) and batch.count() == 3
+
+
+def test_fleets_are_refreshed_from_history(spark):
+    """Twice the vehicles in the morning's peak halve its headway; a type with few values has none."""
+    many = [("a", 20 if 420 <= minute < 540 else 10, minute) for minute in range(340, 1440, 2)]
+    got = snapshots.fleet_refresh(spark.createDataFrame([*many, ("b", 4, 500)], "type string, n int, at_minute int")).collect()
+    assert {r["period"]: r["factor"] for r in got if r["type"] == "a"} == {0: 1.0, 1: 0.5, 2: 1.0, 3: 1.0, 4: 1.0, 5: 1.0} and {r["type"] for r in got} == {"a"}
