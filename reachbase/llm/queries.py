@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachbase.llm import fingerprint, kneser_ney, language_id, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_fst, sharding, url_filter
+from reachbase.llm import (
+    collocations,
+    fingerprint,
+    kneser_ney,
+    language_id,
+    mixing,
+    near_dedup,
+    quality_rules,
+    secret_scan,
+    sentencepiece_fst,
+    sharding,
+    target_resampling,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +74,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; it imports this package
 
@@ -78,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_target_resampling": op11_target_resampling,
+    "op12_collocations": op12_collocations,
     "pipeline": pipeline,
 }
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -93,6 +116,52 @@ def _crc_table() -> str:
     return "[" + ", ".join(map(str, out)) + "]"
 
 
+def _resampling_sql() -> str:
+    """Weights as plain sums of gains; checksums are taken once for each distinct word."""
+    r = target_resampling
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda p: (strpos('0123456789ABCDEF', p[1]) - 1) * 16 + strpos('0123456789ABCDEF', p[2]) - 1)), lambda c, y: xor({_crc_table()}[(xor(c, y) & 255) + 1], c >> 8)))"
+    split = rf"regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {split} AS w FROM documents),
+source_word AS (SELECT row, unnest(w) AS x FROM d),
+target_word AS (SELECT unnest({split}) AS x FROM benchmark),
+bucket_of AS (SELECT x, ({crc} % {r.BUCKETS})::bigint AS bucket FROM (SELECT x FROM source_word UNION SELECT x FROM target_word)),
+s AS (SELECT bucket, count(*) AS s FROM source_word JOIN bucket_of USING (x) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM target_word JOIN bucket_of USING (x) GROUP BY bucket),
+every AS (SELECT b AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t, (SELECT count(*) FROM source_word) AS all_s, (SELECT count(*) FROM target_word) AS all_t FROM range({r.BUCKETS}) r(b) LEFT JOIN s ON s.bucket = b LEFT JOIN t ON t.bucket = b),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1)::double * (all_s + {r.BUCKETS})::double) / ((s + 1)::double * (all_t + {r.BUCKETS})::double)))::bigint AS gain FROM every),
+summed AS (SELECT row, count(*) AS n, sum(gain)::bigint AS total FROM source_word JOIN bucket_of USING (x) JOIN gain USING (bucket) GROUP BY row),
+weighed AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight,
+         ('0x' || substr(sha256('{r.SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint AS h FROM d LEFT JOIN summed USING (row)),
+scored AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint AS score FROM weighed),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, weight, n_features) AS place, n_features, weight, score, count(*) OVER () AS able FROM scored WHERE n_features >= {r.MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= able * {r.PERCENT} // 100 THEN place END AS rank FROM ranked
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_features < {r.MIN_WORDS}"""
+
+
+def _collocations_sql() -> str:
+    """All phrases counted at once."""
+    c = collocations
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS phrase FROM piece, range(1, len(w) - {k - 2}) r(i)" for k in range(1, c.LONGEST + 1))
+    return rf"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LETTERS}), '[.,;:!?
+-]')) AS piece FROM documents),
+piece AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM texts),
+found AS (SELECT lang, k, phrase, count(*) AS a FROM ({grams}) GROUP BY ALL HAVING count(*) >= {c.LEAST}),
+totals AS (SELECT lang, sum(len(w))::bigint AS n FROM piece GROUP BY lang),
+candidate AS (SELECT *, string_split(phrase, ' ') AS v FROM found WHERE k > 1),
+cut AS (SELECT lang, k, phrase, a, c, array_to_string(v[1:c], ' ') AS x, array_to_string(v[c + 1:k], ' ') AS y FROM candidate, range(1, k) q(c)),
+rated AS (
+  SELECT cut.lang, cut.phrase, cut.a, l.a AS l, r.a AS r, c, (2000000::hugeint * cut.a // (l.a + r.a))::bigint AS score
+  FROM cut JOIN found l ON l.lang = cut.lang AND l.phrase = x JOIN found r ON r.lang = cut.lang AND r.phrase = y),
+weakest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inner_part AS (SELECT lang, array_to_string(v[i:i + m - 1], ' ') AS phrase, a FROM candidate, range(2, k) q(m), range(1, k - m + 2) p(i)),
+kept AS (SELECT * FROM weakest w WHERE NOT EXISTS (SELECT 1 FROM inner_part i WHERE i.lang = w.lang AND i.phrase = w.phrase AND 100 * i.a >= {c.ABSORBED} * w.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {c.TOP}"""
+
+
 def _quality_sql() -> str:
     """The rules in long form: a row for each document and bin of its histograms."""
     q = quality_rules
@@ -216,4 +285,6 @@ WITH RECURSIVE split AS (
 SELECT doc_id, n AS n_shingles, min(seen) AS component_id, min(seen) = doc_id AS kept FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id, n
 """,
     "op10_quality_rules": _quality_sql(),
+    "op11_target_resampling": _resampling_sql(),
+    "op12_collocations": _collocations_sql(),
 }

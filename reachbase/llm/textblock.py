@@ -57,9 +57,12 @@ class TextBlock:
     def __len__(self) -> int:
         return len(self.doc_start)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end of each run of ``[^\\x20\\x09-\\x0D]``, and the first word of each document (one more at the end)."""
-        word = ~_SPACE[self.data]
+    def words(self, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each run of ``[^\\x20\\x09-\\x0D]``, and the first word of each document (one more at the end).
+
+        apart: of each byte value, whether it stands between words; only ASCII may.
+        """
+        word = ~apart[self.data]
         full = self.doc_end > self.doc_start
         first, last = self.doc_start[full], self.doc_end[full] - 1
         at = word.copy()
@@ -120,6 +123,22 @@ class TextBlock:
         return windows(self.hashes(start, end), bounds, k)
 
 
+def numbered(block: TextBlock, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Of each byte range the number of its bytes among the distinct ones, and these. No hash stands for them."""
+    joined, offsets = gathered(block.data, start, end)
+    found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ranges behind one another, and where each one starts (one more at the end)."""
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    at = np.arange(offsets[-1])
+    at += np.repeat(start - offsets[:-1], end - start)
+    return data[at], offsets
+
+
 def windows(word: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(bounds)
     made = np.where(count >= k, count - k + 1, np.minimum(count, 1))
@@ -142,7 +161,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, block_bytes:
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         if chunk.null_count:
             chunk = chunk.fill_null("")
-        wide = pa.types.is_large_string(chunk.type)
+        wide = pa.types.is_large_string(chunk.type) or pa.types.is_large_binary(chunk.type)
         n = len(chunk)
         if not n:
             continue

@@ -12,7 +12,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     got = QUERIES[name](spark, sf_dir)
     columns = sorted(got.columns)
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
     known = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in known.description]
