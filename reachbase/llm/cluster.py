@@ -14,9 +14,20 @@ def durable(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's path below the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder that folder() has named, through the file system that it is in."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet below the shared checkpoint folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, "stored")
     with shuffles_dropped(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

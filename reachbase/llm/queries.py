@@ -19,6 +19,7 @@ from reachbase.llm import (
     sharding,
     target_resampling,
     url_filter,
+    web_archive,
 )
 
 
@@ -82,6 +83,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_archive.archived_pages(_table(spark, sf_dir, "pages")).drop("url", "date")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; it imports this package
 
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_target_resampling": op11_target_resampling,
     "op12_collocations": op12_collocations,
+    "op13_web_archive": op13_web_archive,
     "pipeline": pipeline,
 }
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -146,7 +152,8 @@ def _collocations_sql() -> str:
     grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS phrase FROM piece, range(1, len(w) - {k - 2}) r(i)" for k in range(1, c.LONGEST + 1))
     return rf"""
 WITH texts AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LETTERS}), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 piece AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM texts),
 found AS (SELECT lang, k, phrase, count(*) AS a FROM ({grams}) GROUP BY ALL HAVING count(*) >= {c.LEAST}),
 totals AS (SELECT lang, sum(len(w))::bigint AS n FROM piece GROUP BY lang),
@@ -287,4 +294,9 @@ SELECT doc_id, n AS n_shingles, min(seen) AS component_id, min(seen) = doc_id AS
     "op10_quality_rules": _quality_sql(),
     "op11_target_resampling": _resampling_sql(),
     "op12_collocations": _collocations_sql(),
+    "op13_web_archive": f"""
+WITH payload AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+placed AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) > 1 AND payload_bytes >= {web_archive.MIN_SHARED_BYTES} AS again, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM payload)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM placed
+""",
 }
