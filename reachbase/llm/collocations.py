@@ -6,6 +6,8 @@ holds what isn't proposed although all its shorter parts are: all other words, a
 phrases whose first words and whose last words are both proposed. One pass over all texts counts
 both. A border phrase that turns out to be frequent may have frequent extensions that weren't
 counted, so it is proposed too, and another pass counts what that brings in, until none fails.
+That pass takes phrases that weren't counted for frequent until they are, so it also counts the
+extensions of what it counts, and no third one is needed.
 
 Tasks know the proposals by a bitset of bounded size (key_filter). A phrase that it wrongly
 takes for proposed is counted in vain; counts are of the phrases themselves, never of hashes.
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,14 +27,14 @@ from pyspark.sql import functions as F
 from reachbase.llm import key_filter
 from reachbase.llm.cluster import by_small_batches, durable
 from reachbase.llm.key_filter import KeyFilter
-from reachbase.llm.textblock import TextBlock, blocks, gathered, mix, numbered
+from reachbase.llm.textblock import NumberedWords, TextBlock, blocks, mix
 
 #: Longest phrase in words, least count of a phrase, results for each language.
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: Share in percent of a phrase's count from which a longer phrase stands for it.
 ABSORBED = 80
 #: One in so many documents is in the sample; the threshold there is lowered to this share of what a frequent phrase should have.
-SAMPLE_ONE_IN, LOWERED = 8, 0.5
+SAMPLE_ONE_IN, LOWERED = 8, 0.8
 #: Bytes of text that are counted together before their phrases are handed on.
 COUNTED_BYTES = 4 << 20
 
@@ -48,73 +51,66 @@ class _Phrases:
 
     def __init__(self, block: TextBlock, langs: pa.Array):
         """langs: the language of each document."""
-        start, end, bounds = block.words(_APART)
-        self.count = len(start)
-        of_doc = np.repeat(np.arange(len(block)), np.diff(bounds))
+        words = NumberedWords(block, _APART)
+        self.word, self.distinct = words.ids, words.distinct
+        self.count = len(self.word)
+        of_doc = np.repeat(np.arange(len(block), dtype=np.int32), np.diff(words.bounds))
         broken = np.zeros(len(block.data) + 1, np.int32)
         np.cumsum(_BREAK[block.data], out=broken[1:])
-        piece = broken[start]
+        piece = broken[words.start]
         #: Whether the next word stands in the same piece.
         self.linked = np.zeros(self.count, bool)
         self.linked[:-1] = (piece[1:] == piece[:-1]) & (of_doc[1:] == of_doc[:-1])
         found = langs.dictionary_encode()
-        self.langs, self.lang_of = found.dictionary, found.indices.to_numpy()[of_doc].astype(np.int64)
-        word, distinct = numbered(block, start, end)
-        # Words with a space behind each, so that a phrase is one range of bytes.
-        joined, offsets = gathered(block.data, start, end)
-        self.offsets = offsets + np.arange(len(offsets))
-        self.joined = np.full(len(joined) + self.count, 0x20, np.uint8)
-        self.joined[np.arange(len(joined)) + np.repeat(np.arange(self.count), end - start)] = joined
-        width = max(len(distinct), 1)
-        #: The number of each position's phrase of the present length, the distinct ones' first positions, keys and last words.
-        self.at = np.arange(self.count)
-        self.ids, keys = _dense(self.lang_of * width + word)
-        self.word_hash = _hashes(distinct)
-        self.word = word
+        self.langs, self.lang_of = found.dictionary, found.indices.to_numpy()[of_doc]
+        width = max(len(self.distinct), 1)
+        #: Where phrases of the present length stand and the number of each; the distinct ones' keys.
+        self.at = np.arange(self.count, dtype=np.int32)
+        self.ids, keys = _dense(self.lang_of.astype(np.int64) * width + self.word)
+        self.word_hash = _hashes(self.distinct)
         self.keys = mix(self.word_hash[keys % width] ^ mix(_hashes(self.langs.cast(pa.large_binary()))[keys // width]))
 
     def firsts(self) -> np.ndarray:
         """The first position of each distinct phrase of the present length."""
-        out = np.zeros(len(self.keys), np.int64)
+        out = np.zeros(len(self.keys), np.int32)
         out[self.ids[::-1]] = self.at[::-1]
         return out
 
     def lengthened(self, k: int, passed: np.ndarray) -> None:
         """Goes from k to k + 1 words where both parts passed; passed is by number of phrase."""
-        ok = np.zeros(self.count + 1, bool)
-        of = np.zeros(self.count + 1, np.int64)
-        ok[self.at] = passed[self.ids]
-        of[self.at] = self.ids
-        longer = self.at[ok[self.at] & ok[self.at + 1] & self.linked[np.minimum(self.at + k - 1, self.count - 1)]]
+        of = np.full(self.count + 1, -1, np.int32)
+        ok = passed[self.ids]
+        of[self.at[ok]] = self.ids[ok]
+        start = self.at[ok]
+        longer = start[(of[start + 1] >= 0) & self.linked[np.minimum(start + (k - 1), self.count - 1)]]
         width = max(len(self.keys), 1)
-        self.ids, pairs = _dense(of[longer] * width + of[longer + 1])
         before, self.at = self.keys, longer
-        first = np.zeros(len(pairs), np.int64)
-        first[self.ids[::-1]] = longer[::-1]
-        self.keys = mix(before[pairs // width] * _FOLD + self.word_hash[self.word[first + k]])
+        self.ids, pairs = _dense(of[longer].astype(np.int64) * width + of[longer + 1])
+        self.keys = before[pairs // width]  # those of the first words, for firsts()
+        self.keys = mix(self.keys * _FOLD + self.word_hash[self.word[self.firsts() + k]])
 
     def rows(self, k: int, chosen: np.ndarray) -> pa.RecordBatch:
         """lang, k, phrase and count of the chosen distinct phrases."""
         first = self.firsts()[chosen]
-        data, offsets = gathered(self.joined, self.offsets[first], self.offsets[first + k] - 1)
-        phrases = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        words = [self.distinct.take(pa.array(self.word[first + j])) for j in range(k)]
+        phrases = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())) if k > 1 else words[0]
         counts = np.bincount(self.ids, minlength=len(self.keys))[chosen]
         return _rows(self.langs.take(pa.array(self.lang_of[first])), k, phrases, counts)
 
     def totals(self) -> pa.RecordBatch:
         """The number of words of each language, as the count of the phrase without words."""
         counts = np.bincount(self.lang_of, minlength=len(self.langs))
-        return _rows(self.langs, 0, pa.array([""] * len(self.langs)), counts)
+        return _rows(self.langs, 0, pa.array([b""] * len(self.langs), pa.large_binary()), counts)
 
 
 def _rows(langs: pa.Array, k: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(counts), k, np.int32)), phrases.cast(pa.string()), pa.array(counts.astype(np.int64))], ["lang", "k", "phrase", "n"])
+    return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(counts), k, np.int32)), phrases.cast(pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))], ["lang", "k", "phrase", "n"])
 
 
 def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers from 0 for equal keys, and the distinct keys."""
     found = pa.array(keys).dictionary_encode()
-    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
+    return found.indices.to_numpy(), found.dictionary.to_numpy()
 
 
 def _hashes(texts: pa.Array) -> np.ndarray:
@@ -130,7 +126,8 @@ def _count_batches(longest: int, new: Broadcast | None, old: Broadcast | None):
     """For mapInArrow over lang and text: how often phrases of up to longest words stand in each few MB of text.
 
     Without filters all are counted; with new alone, all words and the phrases whose two parts
-    new has; with old as well, only those that old kept from being counted.
+    new has. With old as well, only phrases are counted that old kept from being counted, and
+    only if each of the two parts is in new or is itself one of them: nothing is left to count then.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +145,8 @@ def _count_batches(longest: int, new: Broadcast | None, old: Broadcast | None):
                     if k == longest:
                         break
                     passed = np.ones(len(phrases.keys), bool) if new is None else new.value.has(phrases.keys)
+                    if old is not None:
+                        passed |= ~known
                     before = np.zeros(len(passed), bool) if old is None else known & old.value.has(phrases.keys)
                     # A longer phrase was counted if both its parts had been, and were proposed.
                     spread = np.zeros(phrases.count + 1, bool)
@@ -213,17 +212,13 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     bits = key_filter.bits_for(proposed.count())
     known = key_filter.of_keys(proposed, "key", bits)
     texts = texts.select("lang", "text")
-    now = context.broadcast(known)
-    found = durable(_counted(texts, longest, now).where((F.col("n") >= least) | (F.col("k") == 0)))
-    fresh = found
-    while True:
-        failed = durable(_missed(fresh, longest, now))
-        if not failed.limit(1).count():
-            return found
-        known = known.joined(key_filter.of_keys(failed, "key", bits))
-        before, now = now, context.broadcast(known)
-        fresh = durable(_counted(texts, longest, now, before).where(F.col("n") >= least))
-        found = found.unionAll(fresh)
+    first = context.broadcast(known)
+    found = durable(_counted(texts, longest, first).where((F.col("n") >= least) | (F.col("k") == 0)))
+    failed = durable(_missed(found, longest, first))
+    if not failed.limit(1).count():
+        return found
+    second = context.broadcast(known.joined(key_filter.of_keys(failed, "key", bits)))
+    return found.unionAll(durable(_counted(texts, longest, second, first).where(F.col("n") >= least)))
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachbase.llm.cluster import by_small_batches, durable
-from reachbase.llm.textblock import TextBlock, blocks, numbered
+from reachbase.llm.textblock import NumberedWords, TextBlock, blocks
 from reachbase.operators.ranges import places
 
 BUCKETS = 10_000
@@ -36,10 +36,9 @@ _APART[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = False
 
 def bucketed(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each word of a lower-cased block, and the first word of each document (one more at the end)."""
-    start, end, bounds = block.words(_APART)
-    ids, distinct = numbered(block, start, end)
-    of_distinct = np.fromiter((zlib.crc32(w) % BUCKETS for w in distinct.to_pylist()), np.int64, len(distinct))
-    return of_distinct[ids], bounds
+    words = NumberedWords(block, _APART)
+    of_distinct = np.fromiter((zlib.crc32(w) % BUCKETS for w in words.distinct.to_pylist()), np.int64, len(words.distinct))
+    return of_distinct[words.ids], words.bounds
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -123,20 +123,18 @@ class TextBlock:
         return windows(self.hashes(start, end), bounds, k)
 
 
-def numbered(block: TextBlock, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Of each byte range the number of its bytes among the distinct ones, and these. No hash stands for them."""
-    joined, offsets = gathered(block.data, start, end)
-    found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
-    return found.indices.to_numpy(), found.dictionary
-
-
-def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all ranges behind one another, and where each one starts (one more at the end)."""
-    offsets = np.zeros(len(start) + 1, np.int64)
-    np.cumsum(end - start, out=offsets[1:])
-    at = np.arange(offsets[-1])
-    at += np.repeat(start - offsets[:-1], end - start)
-    return data[at], offsets
+class NumberedWords:
+    """A block's words, with a number for each distinct one. No hash stands for a word."""
+
+    def __init__(self, block: TextBlock, apart: np.ndarray):
+        """apart: as for TextBlock.words()."""
+        self.start, self.end, self.bounds = block.words(apart)
+        offsets = np.zeros(len(self.start) + 1, np.int64)
+        np.cumsum(self.end - self.start, out=offsets[1:])
+        joined = block.data[~apart[block.data]]  # words are all that isn't apart
+        found = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        #: Each word's number, and the distinct words by number.
+        self.ids, self.distinct = found.indices.to_numpy(), found.dictionary
 
 
 def windows(word: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
