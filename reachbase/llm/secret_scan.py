@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
@@ -53,9 +54,8 @@ for _i, _row in enumerate([way for row in _ROWS for way in (row, row[::-1])]):
         _STEPS.setdefault(_pair, []).append(_i)
 _MONTH, _DAY, _YEAR = "(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])", r"(?:19|20)\d\d"
 _DATES = [re.compile(x, re.ASCII) for x in (_YEAR, f"{_YEAR}[-/.]?{_MONTH}", f"{_YEAR}[-/.]?{_MONTH}[-/.]?{_DAY}", f"{_DAY}[-/.]?{_MONTH}[-/.]?{_YEAR}", rf"{_DAY}[-/.]?{_MONTH}[-/.]?\d\d")]
-# Classes of characters in the shapes that people give values: words (also capital or camel case) and numbers, joined by
-# separators, between symbols. Any other order of classes is one of all characters of these classes.
-_PLAIN = re.compile(r"[s-]*d*(?:UU+|U?l*)(?:Ull+)*d*(?:-(?:d+|UU+|U?l+)(?:Ull+)*d*)*[s-]*")
+# Classes of letters in the shapes that people give words: capital or camel case, without the numbers on either side.
+_FIRST_SHAPE, _LATER_SHAPE, _AFTER_NUMBER = (re.compile(x + r"(?:Ull+)*") for x in ("(?:UU+|U?l*)", "(?:UU+|U?l+)", ""))
 _LEET = str.maketrans("013457@$!", "oleastasi")
 
 
@@ -69,13 +69,40 @@ def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33)
 
 
+class _ByCharacter(dict):
+    """For str.translate: what a function says of each character, asked once for each."""
+
+    def __init__(self, of: Callable[[str], str]):
+        self.of = of
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = self.of(chr(code))
+        return out
+
+
+_SHAPES = _ByCharacter(lambda c: "d" if c.isdigit() else "U" if c.isupper() else "l" if c.isalpha() else "-" if c in "-_./:@" else "s")
+_SMALL = _ByCharacter(lambda c: c.lower() if len(c.lower()) == 1 else c)
+
+
 def _shape(value: str) -> str:
-    return "".join("d" if c.isdigit() else "U" if c.isupper() else "l" if c.isalpha() else "-" if c in "-_./:@" else "s" for c in value)
+    return value.translate(_SHAPES)
 
 
-def _classes(value: str, shape: str) -> list[int]:
-    """Each character's class as a bit: digits, small letters, capitals, anything else."""
-    return [1 if c.isdigit() else 2 if c.isascii() and k == "l" else 4 if c.isascii() and k == "U" else 8 for c, k in zip(value, shape, strict=True)]
+def _is_plain(shape: str) -> bool:
+    """Whether a value has a shape that people choose, in time that grows with its length.
+
+    That is words and numbers, numbers on either side of words too, joined by single separators,
+    between symbols. Any other order of classes is one of all characters of these classes.
+    """
+    first, *others = shape.strip("s-").split("-")
+    if not _FIRST_SHAPE.fullmatch(first.strip("d")):
+        return False
+    return all(x and (_AFTER_NUMBER if x[0] == "d" else _LATER_SHAPE).fullmatch(x.strip("d")) for x in others)
+
+
+def _class(c: str, kind: str) -> int:
+    """A character's class as a bit: digits, small letters, capitals, anything else."""
+    return 1 if c.isdigit() else 2 if c.isascii() and kind == "l" else 4 if c.isascii() and kind == "U" else 8
 
 
 #: What a character costs that is tried out from all characters of some classes.
@@ -112,6 +139,24 @@ class _Repeats:
         self.open: dict[int, list[int]] = {}
         self.costs: dict[int, float] = {}
 
+    def without(self, goal: float) -> tuple[int, int]:
+        """The middle of a long stretch, from start to end, where a split that costs less than goal needs no borders.
+
+        Such a split has few parts, as each costs log10(2) or more. What of them lies inside
+        the stretch may as well lie near its start, where it reads the same, with two or three
+        units for each but the longest repeat, which costs no more.
+        """
+        edge = math.ceil(goal / math.log10(2)) * 3 * MAX_UNIT
+        return self.start + edge, self.end - edge
+
+    def multiple_of(self, other: _Repeats, value: str, cost: Callable[[str], float]) -> bool:
+        """Whether arcs of the other's shorter unit over the same stretch never cost more than this one's."""
+        times, rest = divmod(self.unit, other.unit)
+        if times < 2 or rest or self.start < other.start or self.end > other.end:
+            return False
+        units = ((value[s : s + self.unit], value[s : s + other.unit]) for s in range(self.start, min(self.start + self.unit, self.end - self.unit + 1)))
+        return all(cost(long) >= cost(short) + math.log10(times) for long, short in units)
+
     def into(self, end: int, best: list[float], value: str, cost: Callable[[str], float]) -> float:
         """The least cost of an arc that ends here, to which all shorter ends have been asked for before."""
         start, place = end - self.least, end % self.unit
@@ -161,22 +206,33 @@ class Guesser:
     def _least(self, value: str, goal: float) -> float:
         n = len(value)
         shape = _shape(value)
-        plain = _PLAIN.fullmatch(shape) is not None
-        classes = _classes(value, shape)
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        plain = _is_plain(shape)
+        low = value.translate(_SMALL)
         leet = low.translate(_LEET)
-        repeats = sorted((_Repeats(*x) for x in _repetitions(value)), key=lambda r: r.start)
+        repeats: list[_Repeats] = []
+        for r in sorted((_Repeats(*x) for x in _repetitions(value)), key=lambda r: (r.start, r.unit)):
+            if not any(r.multiple_of(other, value, self.cost) for other in repeats[-MAX_UNIT:]):
+                repeats.append(r)
+        middles = sorted(m for r in repeats if n > 2 * MAX_UNIT and goal < math.inf and (m := r.without(goal))[0] < m[1])
+        waiting = iter([*repeats, None])
+        upcoming = next(waiting)
         active: list[_Repeats] = []
         best = [0.0] + [math.inf] * n
-        pieces: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # dates by end: start and cost
+        pieces: dict[int, list[tuple[int, float]]] = {}  # dates by end: start and cost
         tried = [math.inf] * 16  # by classes: the cost of a split that ends in a span that is tried out
         along: dict[int, int] = {}
-        reach = max(self.longest, _LONGEST_WALK, 10)
+        reach = max(self.longest, _LONGEST_WALK, 10, 3 * MAX_UNIT)
         last_known = 0.0  # the least cost of a split that ends here with something known
-        for end in range(1, n + 1):
+        end = seen_from = 0
+        while end < n:
+            end += 1
+            while middles and middles[0][0] < end:
+                if (to := middles.pop(0)[1]) > end:
+                    end = seen_from = to
+                    tried, along, last_known = [math.inf] * 16, {}, math.inf
             for date in _DATES:
                 if m := date.match(value, end - 1):
-                    pieces[m.end()].append((end - 1, math.log10(200) if m.end() - end < 4 else math.log10(365 * 200)))
+                    pieces.setdefault(m.end(), []).append((end - 1, math.log10(200) if m.end() - end < 4 else math.log10(365 * 200)))
             known = math.inf
             for start in range(max(0, end - self.longest), end - 1):
                 if (low[start:end] in self.rank or leet[start:end] in self.rank) and (own := self.word_cost(value[start:end])) is not None:
@@ -185,22 +241,24 @@ class Guesser:
             along = {row: along.get(row, 1) + 1 for row in steps}
             for length in range(3, max(along.values(), default=1) + 1):
                 known = min(known, best[end - length] + math.log10(50 * length) + _capitals_cost(value[end - length : end]))
-            for start, own in pieces[end]:
+            for start, own in pieces.pop(end, ()):
                 known = min(known, best[start] + own)
-            while repeats and repeats[0].start < end:
-                active.append(repeats.pop(0))
+            while upcoming and upcoming.start < end:
+                active.append(upcoming)
+                upcoming = next(waiting)
             active = [r for r in active if r.end >= end]
             for r in active:
                 known = min(known, r.into(end, best, value, self.cost))
             if plain:  # each character from its own class
                 best[end] = min(known, best[end - 1] + _brute(value[end - 1]))
             else:  # all characters of a span from all of its classes; it follows what is known
-                own = classes[end - 1]
+                own = _class(value[end - 1], shape[end - 1])
                 for s in range(16):
                     tried[s] = min(tried[s], last_known) + _TRIED[s] if s & own else math.inf
                 best[end] = min(known, *tried)
             last_known = known
-            if best[end] >= goal and not any(r.end > end for r in active) and min(best[max(0, end - reach) : end + 1]) >= goal:
+            # An arc that is still to come starts within reach, or is a repeat that has cost as much one unit earlier.
+            if best[end] >= goal and end - seen_from >= reach and min(best[end - reach : end + 1]) >= goal:
                 return goal
         return best[n]
 
@@ -233,14 +291,19 @@ def corpus_words(docs: DataFrame, most: int = MAX_WORDS) -> list[str]:
 
 def scan(text: str, guesser: Guesser = LISTED) -> list[Span]:
     """All spans of a text, by start and kind, in code points. Method spans are those whose value no base span covers whole; they may overlap base spans."""
-    base = [Span("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-    base += [Span("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    base += [Span("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    more = []
-    for m in CONTEXT.finditer(text):
-        if not any(s.start <= m.start(1) and m.end(1) <= s.end for s in base) and guesser.reaches(m[1], MIN_COST):
-            more.append(Span("guess", m.start(), m.end()))
-    return sorted(base + more, key=lambda s: (s.start, KINDS.index(s.kind)))
+    kinds = [
+        [Span("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8],
+        [Span("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16],
+        [Span("hex", m.start(), m.end()) for m in HEX.finditer(text)],
+    ]
+    starts = [[s.start for s in spans] for spans in kinds]
+
+    def covered(start: int, end: int) -> bool:
+        """Spans of a kind don't overlap, so the last one that starts in time is the one to look at."""
+        return any((at := bisect_right(own, start)) and end <= spans[at - 1].end for own, spans in zip(starts, kinds, strict=True))
+
+    more = [Span("guess", m.start(), m.end()) for m in CONTEXT.finditer(text) if not covered(m.start(1), m.end(1)) and guesser.reaches(m[1], MIN_COST)]
+    return sorted([*(s for spans in kinds for s in spans), *more], key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
 def _joined(spans: list[Span]) -> str:

@@ -7,6 +7,8 @@ import random
 import re
 import string
 import struct
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -248,10 +250,24 @@ def test_hex_run_over_a_block_border(spark):
     assert [got[i]["n_hex"] for i in range(4)] == [1, 0, 0, 1]
 
 
+#: Shapes as one pattern, which takes long for long values.
+PLAIN_SHAPE = re.compile(r"[s-]*d*(?:UU+|U?l*)(?:Ull+)*d*(?:-(?:d+|UU+|U?l+)(?:Ull+)*d*)*[s-]*")
+
+
+def test_shapes_equal_the_pattern():
+    for n in range(8):
+        for shape in map("".join, itertools.product("dUl-s", repeat=n)):
+            assert secret_scan._is_plain(shape) == (PLAIN_SHAPE.fullmatch(shape) is not None), shape
+    rng = random.Random(6)
+    for _ in range(20_000):
+        shape = "".join(rng.choices("dUl-s", rng.choice([(1, 1, 1, 1, 1), (6, 1, 9, 2, 0), (1, 5, 9, 1, 0)]), k=rng.randint(8, 18)))
+        assert secret_scan._is_plain(shape) == (PLAIN_SHAPE.fullmatch(shape) is not None), shape
+
+
 def plain_guess_cost(v, guesser):
     """All splits into arcs, each tried on its own, by the rules alone."""
     shape = secret_scan._shape(v)
-    whole = secret_scan._PLAIN.fullmatch(shape) is not None
+    whole = PLAIN_SHAPE.fullmatch(shape) is not None
     rows = [way for row in secret_scan._ROWS for way in (row, row[::-1])]
 
     def arcs(piece):
@@ -320,6 +336,38 @@ def test_long_values_are_masked_whole():
             assert spans == [("guess", 2, 2 + len(lead) + size)] and secret_scan.mask(text, spans) == "é [guess] end"
 
 
+def test_long_values_take_little_time():
+    rng = random.Random(2)
+    n = 1_000_000
+    values = {
+        "1" * n: False, "-" * n: False, "a" * n: False, "abc123" * (n // 6): False, "1" * n + "x!": False, "-" * n + "Z": False, "1" * (n // 2) + "2" * (n // 2): True, "1" * 9_000 + "2" * n: False,
+        "".join(rng.choices("0123456789", k=n)): True, "".join(rng.choices(string.ascii_letters, k=n)): True, "".join(rng.choices("abcXYZ0189-_.", k=n)): True,
+        "1" * n + "".join(rng.choices(string.ascii_letters + string.digits, k=20)): True, "password" * (n // 8) + "!" * 9_000: False, "ab1" * n + "Zx9Qk2Lp0w": True,
+    }
+    for value, secret in values.items():
+        began = time.process_time()
+        assert secret_scan.LISTED.reaches(value, 12.0) == secret, value[:20]
+        assert time.process_time() - began < 1.5, value[:20]
+
+
+def test_the_middle_of_long_repeats_needs_no_borders():
+    rng = random.Random(21)
+    cost = secret_scan.Guesser()
+    for _ in range(12):
+        parts = [rng.choice(["ab", "1", "xyz", "q7", "password", "aab"]) * rng.choice([1, 3, 9_000]) + rng.choice(["", "a", "Q", "12", "!"]) for _ in range(rng.randint(1, 3))]
+        value = "".join(parts)[:14_000]
+        least = cost._least(value, math.inf)
+        for goal in (5.0, 8.0, 12.0):
+            assert abs(least - goal) < 1e-9 or cost.reaches(value, goal) == (least >= goal), (value[:20], len(value), least, goal)
+
+
+def test_many_base_spans_in_one_text():
+    text = "token=abcd1234\n" * 40_000
+    began = time.process_time()
+    assert len(secret_scan.scan(text)) == 40_000
+    assert time.process_time() - began < 5
+
+
 def test_values_longer_than_their_base_span():
     for text, spans, masked in (
         ("password=Tr0ubadour9&3x!yzQ#Wv7 end", "assign:0:20,guess:0:31", "[assign] end"),
@@ -537,6 +585,37 @@ def test_language_id(spark, odd_docs, no_docs, sf_dir):
     assert {r["lang_pred"] for r in language_id.predict_languages(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_wide_alphabets_take_bounded_memory(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200_000))
+    tracemalloc.start()
+    made, some = language_id.bundles([text, "a b"], language_id.Codebook())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert some.all() and peak < 130e6  # the vectors of its 200,000 distinct trigrams would take 800 MB
+    # Windows of places and runs of trigrams make no difference.
+    texts = [text[:3_000], "", "ab cd" * 50, text[3_000:3_500] + " x1y"]
+    whole = language_id.bundles(texts, language_id.Codebook())[0]
+    for name, value in (("PLACES_AT_ONCE", 97), ("VECTORS_AT_ONCE", 5), ("LETTERS_HELD", 50)):
+        monkeypatch.setattr(language_id, name, value)
+    assert np.array_equal(whole, language_id.bundles(texts, language_id.Codebook())[0])
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than one block: each document finds its own, whatever the blocks."""
+    rng = random.Random(11)
+    rows = [(2 * i, " ".join("".join(rng.choices(string.ascii_lowercase, k=7)) for _ in range(12)), f"l{i:03d}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = None
+    for block in (1_000, 70):
+        monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", block)
+        prototypes = language_id.learn(docs)
+        assert prototypes.count() == 300
+        got = sorted(map(tuple, language_id.identify(docs, prototypes).collect()))
+        assert [r[1] for r in got] == [r[2] for r in rows] and got == (want or got)
+        want = got
+
+
 def test_predictions_match_plain_cosines(spark):
     """Bundles added trigram by trigram, prototypes document by document, and the greatest cosine."""
     rng = random.Random(13)
