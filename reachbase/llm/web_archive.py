@@ -19,6 +19,7 @@ import io
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from typing import BinaryIO, NamedTuple
 
 import numpy as np
@@ -60,7 +61,7 @@ class ArcRecord(NamedTuple):
 def opened(content: bytes) -> BinaryIO:
     """The bytes of a file, unpacked while they are read if they are gzipped (in one member or a member for each record)."""
     raw = io.BytesIO(content)
-    return gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if content[:2] == b"\x1f\x8b" else raw
 
 
 def _fields(line: bytes, version: int, name: str, offset: int) -> list[str]:
@@ -77,10 +78,11 @@ def arc_records(stream: BinaryIO, name: str) -> Iterator[ArcRecord]:
     A record that ends before its declared length is marked as truncated. A line that isn't a
     header of the file's version is an error that names the file and the place.
     """
-    version = None
+    version, end = None, 0
     while True:
-        offset = stream.tell()
+        offset = end
         line = stream.readline()
+        end += len(line)
         if not line:
             return
         if not line.strip(b"\r\n"):
@@ -97,6 +99,7 @@ def arc_records(stream: BinaryIO, name: str) -> Iterator[ArcRecord]:
         else:
             length = _fields(line, version, name, offset)[-1]
             content = stream.read(int(length))
+        end += len(content)
         fields = _fields(line, version, name, offset)
         yield ArcRecord(offset, *fields[:4], fields[4] if version == 2 else None, content, len(content) < int(length))
 
@@ -113,7 +116,8 @@ def record_id(name: str, offset: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{offset}')}>"
 
 
-class Converted(NamedTuple):
+@dataclass(frozen=True)
+class Converted:
     """What a WARC record says of an ARC record. payload is what follows the HTTP head, or all."""
 
     record_id: str
@@ -124,10 +128,16 @@ class Converted(NamedTuple):
     mime: str
     head: bytes
     payload: bytes
-    digest: str
-    page_id: int | None
     truncated: bool
 
+    @property
+    def digest(self) -> str:
+        return hashlib.sha256(self.payload).hexdigest()
+
+    @property
+    def page_id(self) -> int | None:
+        return _page_id(self.head)
+
 
 def _header(head: bytes, name: str) -> str | None:
     found = re.search(rb"(?mi)^" + re.escape(name.encode()) + rb":[ \t]*([^\r\n]*)", head)
@@ -151,7 +161,7 @@ def converted(record: ArcRecord, name: str) -> Converted:
     kind = "warcinfo" if record.url.startswith("filedesc:") else "response" if answer else "resource"
     head, payload = split_http(record.content) if kind == "response" else (b"", record.content)
     mime = {"warcinfo": "text/plain", "response": HTTP_RESPONSE}.get(kind, record.mime)
-    return Converted(record_id(name, record.offset), kind, record.url, iso_date(record.date), record.ip, mime, head, payload, hashlib.sha256(payload).hexdigest(), _page_id(head), record.truncated)
+    return Converted(record_id(name, record.offset), kind, record.url, iso_date(record.date), record.ip, mime, head, payload, record.truncated)
 
 
 def warc_record(fields: Iterable[tuple[str, str | None]], block: bytes) -> bytes:
@@ -227,8 +237,8 @@ _VALUE = pa.schema([("value", pa.binary())])
 
 
 def _sink(records: DataFrame, path: str, between: str) -> None:
-    """Writes the column value, whatever bytes it holds, with ``between`` behind each; a file for each task."""
-    records.select(F.col("value").cast("string")).write.option("lineSep", between).option("compression", "gzip").text(path)
+    """Writes the column value, whatever bytes it holds, with ``between`` behind each; a file for each task, packed fast."""
+    records.select(F.col("value").cast("string")).write.option("lineSep", between).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -280,8 +290,8 @@ def _converted_files(batches: Iterator[pa.RecordBatch]) -> Iterator[Converted]:
                 yield converted(record, name)
 
 
-_HEADS = pa.schema([("record_id", pa.string()), ("key", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("digest", pa.string()), ("page_id", pa.int64())])
-_HEADS_SQL = "record_id string, key long, url string, date string, digest string, page_id long"
+_HEADS = pa.schema([("record_id", pa.string()), ("key", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("ip", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("head", pa.binary())])
+_HEADS_SQL = "record_id string, key long, url string, date string, ip string, digest string, page_id long, head binary"
 
 
 def _key(record_id: str) -> int:
@@ -296,9 +306,9 @@ def _may_repeat(c: Converted) -> bool:
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What tells whether an answer repeats another one; no payloads."""
-    rows = ((c.record_id, _key(c.record_id), c.url, c.date, c.digest, c.page_id) for c in _converted_files(batches) if _may_repeat(c))
-    return _batched(rows, _HEADS, 2)
+    """Of answers that may repeat others all but their payloads."""
+    rows = ((c.record_id, _key(c.record_id), c.url, c.date, c.ip, c.digest, c.page_id, c.head) for c in _converted_files(batches) if _may_repeat(c))
+    return _batched(rows, _HEADS, 7)
 
 
 def _passing(known: Broadcast):
@@ -311,35 +321,33 @@ def _passing(known: Broadcast):
     return run
 
 
-_RECORDS = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("date", pa.string()), ("ip", pa.string()), ("digest", pa.string()), ("head", pa.binary()), ("value", pa.binary())])
-_RECORDS_SQL = "record_id string, url string, date string, ip string, digest string, head binary, value binary"
+_DOUBTED = pa.schema([("record_id", pa.string()), ("value", pa.binary())])
 
 
-def _parted(repeats: Broadcast, doubted: Broadcast, wanted: str):
-    """The records that are surely whole, surely revisits (without their payloads), or either.
+def _parted(repeats: Broadcast, doubted: Broadcast, surely: bool):
+    """The whole records of those that are surely no revisits, or those that may be either (record_id, value).
 
     repeats has the keys of all revisits and, by its nature, of some others, which doubted has.
     """
 
-    def part_of(c: Converted) -> str:
-        key = np.array([_key(c.record_id)]).view(np.uint64)
-        if not _may_repeat(c) or not repeats.value.has(key)[0]:
-            return "whole"
-        return "either" if doubted.value.has(key)[0] else "revisit"
+    def may_be_revisit(c: Converted) -> bool:
+        return _may_repeat(c) and bool(repeats.value.has(_as_key(c))[0])
+
+    def _as_key(c: Converted) -> np.ndarray:
+        return np.array([_key(c.record_id)]).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (c for c in _converted_files(batches) if part_of(c) == wanted)
-        if wanted == "whole":
-            return _batched(((response_record(c),) for c in found), _VALUE, 0)
-        return _batched(((c.record_id, c.url, c.date, c.ip, c.digest, c.head, None if wanted == "revisit" else response_record(c)) for c in found), _RECORDS, 6)
+        if surely:
+            return _batched(((response_record(c),) for c in _converted_files(batches) if not may_be_revisit(c)), _VALUE, 0)
+        found = (c for c in _converted_files(batches) if may_be_revisit(c) and doubted.value.has(_as_key(c))[0])
+        return _batched(((c.record_id, response_record(c)) for c in found), _DOUBTED, 1)
 
     return run
 
 
-def _as_written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Revisits of those rows that have a first record, the others whole."""
+def _as_revisits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from _batched(((revisit_record(row) if row["first_id"] else row["value"],) for row in batch.to_pylist()), _VALUE, 0)
+        yield from _batched(((revisit_record(row),) for row in batch.to_pylist()), _VALUE, 0)
 
 
 def _filter(keys: DataFrame) -> Broadcast:
@@ -353,23 +361,23 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     (those without an id last, then by date and record id) is whole, the others are revisits of it.
     Truncated records stay and say so. Without files no records are written.
 
-    Narrow rows move to find the revisits; payloads don't. Tasks know the revisits' ids by a bitset
-    of bounded size, and those ids that it wrongly has by another. Only records that both have,
-    about one in a hundred, move whole to be told apart.
+    Rows without payloads move to find and to write the revisits. Tasks know the revisits' ids by a
+    bitset of bounded size, and those ids that it wrongly has by another. Only records that both
+    have, about one in a hundred of those with repeated payloads, move whole to be told apart.
     """
     files = _files(spark, arc_path)
     heads = durable(files.mapInArrow(_heads, _HEADS_SQL))
     order = F.struct(F.col("page_id").isNull(), "page_id", "date", "record_id", "url")
     groups = heads.groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
     first = groups.select("digest", F.col("first.record_id").alias("first_id"), F.col("first.date").alias("first_date"), F.col("first.url").alias("first_url"))
-    again = durable(heads.select("record_id", "key", "digest").join(first, "digest").where("record_id <> first_id").drop("digest"))
+    again = durable(heads.join(first, "digest").where("record_id <> first_id"))
     repeats = _filter(again)
     passing = heads.select("key").mapInArrow(_passing(repeats), "key long")
     doubted = _filter(durable(passing.join(again.select("key"), "key", "left_anti")))
-    revisits = files.mapInArrow(_parted(repeats, doubted, "revisit"), _RECORDS_SQL).join(again.drop("key"), "record_id")
-    either = files.mapInArrow(_parted(repeats, doubted, "either"), _RECORDS_SQL).join(again.drop("key"), "record_id", "left")
-    moved = revisits.unionByName(either).mapInArrow(_as_written, "value binary")
-    _sink(files.mapInArrow(_parted(repeats, doubted, "whole"), "value binary").unionAll(moved), warc_path, "\r\n\r\n")
+    either = files.mapInArrow(_parted(repeats, doubted, False), "record_id string, value binary")
+    whole = files.mapInArrow(_parted(repeats, doubted, True), "value binary")
+    told = either.join(again.select("record_id"), "record_id", "left_anti").select("value")
+    _sink(whole.unionAll(again.mapInArrow(_as_revisits, "value binary")).unionAll(told), warc_path, "\r\n\r\n")
 
 
 _READ = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_id", pa.string()), ("sound", pa.bool_())])
