@@ -50,34 +50,6 @@ def overlap_scale(runs: DataFrame) -> DataFrame:
     return hop.join(shared, ["_a", "_b"]).groupBy("run_id").agg(F.max("_n").alias("scale"))
 
 
-def service_set(patterns: DataFrame) -> DataFrame:
-    """line, express, pattern_id, dir of the patterns (line, express, pattern_id, stops) that a line needs.
-
-    The longest first; dir is 0 along the longest pattern's order and 1 against it. A pattern is
-    taken if it has a stop pair, in order, that none of its direction has yet, or if it exactly
-    reverses a taken one. A group is one line's patterns, a hundred at most.
-    """
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = sorted(zip(rows.pattern_id, rows.stops, strict=True), key=lambda p: (-len(p[1]), p[0]))
-        place = {s: i for i, s in enumerate(ordered[0][1])}
-        covered: tuple[set, set] = (set(), set())
-        taken: set[tuple] = set()
-        out = []
-        for pid, stops in ordered:
-            known = [place[s] for s in stops if s in place]
-            side = int(len(known) > 1 and sum(b < a for a, b in zip(known, known[1:], strict=False)) * 2 > len(known) - 1)
-            hops = set(zip(stops, stops[1:], strict=False))
-            if hops - covered[side] or tuple(reversed(stops)) in taken:
-                covered[side].update(hops)
-                taken.add(tuple(stops))
-                out.append((rows.line.iloc[0], bool(rows.express.iloc[0]), pid, side))
-        return pd.DataFrame(out, columns=["line", "express", "pattern_id", "dir"])
-
-    kind = dict(patterns.dtypes)
-    return patterns.groupBy("line", "express").applyInPandas(choose, f"line {kind['line']}, express boolean, pattern_id {kind['pattern_id']}, dir int")
-
-
 def is_express(name: Column) -> Column:
     return (F.contains(name, F.lit("급행")) | F.contains(name, F.lit("특급"))) & ~F.contains(name, F.lit("광역급행철도"))
 

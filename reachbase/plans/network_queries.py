@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reachbase.functions import exprs
 from reachbase.functions.medians import at_share
-from reachbase.operators import access, build, calibration, graph, network, routing, spatial, speed
+from reachbase.operators import access, build, calibration, graph, network, routing, service, spatial, speed
 from reachbase.plans.registry import query
 from reachbase.plans.transit_queries import _BIN, _CLUSTER_EDGES, _CURVES, _SOUND, _meters
 
@@ -264,3 +264,59 @@ SELECT count(*) AS n, round(count(*) FILTER (WHERE ours <= 40 AND ext <= 40) / n
        round(avg(ours - ext), 4) AS bias, round(avg(abs(ours - ext)), 4) AS mae, list_sort(list(ours - ext))[count(*) // 2 + 1] AS median FROM {od}""")
 def door_to_door(t):
     return calibration.door_to_door(t("od"), 40)
+
+
+_SERVED = """
+WITH RECURSIVE ps AS (SELECT * FROM {line_pattern}),
+hub AS (SELECT DISTINCT pattern_id AS a, min(pattern_id) OVER (PARTITION BY line, express, node) AS b FROM ps),
+link AS (SELECT a, b FROM hub WHERE a <> b UNION SELECT b, a FROM hub WHERE a <> b),
+reached AS (SELECT DISTINCT pattern_id AS p, pattern_id AS seen FROM ps UNION SELECT r.p, l.b FROM reached r JOIN link l ON r.seen = l.a),
+comp AS (SELECT p AS pattern_id, min(seen) AS c FROM reached GROUP BY p),
+pat AS (SELECT line, express, c, pattern_id, count(*) AS n, list(node ORDER BY pos) AS seq FROM ps JOIN comp USING (pattern_id) GROUP BY ALL),
+ranked AS (SELECT *, list_reverse(seq) AS back, row_number() OVER (PARTITION BY c ORDER BY n DESC, pattern_id) AS rk FROM pat),
+ref AS (SELECT c, node, min(pos) AS place FROM ps JOIN ranked USING (pattern_id) WHERE rk = 1 GROUP BY c, node),
+known AS (SELECT pattern_id, ps.pos, place, lag(place) OVER (PARTITION BY pattern_id ORDER BY ps.pos) AS before FROM ps JOIN comp USING (pattern_id) JOIN ref USING (c, node)),
+vote AS (SELECT pattern_id, count(*) FILTER (WHERE place < before) > count(*) FILTER (WHERE place > before) AS against FROM known GROUP BY pattern_id),
+led AS (SELECT r.*, first_value(against) OVER w AS d0, first_value(seq) OVER w AS lead_seq, row_number() OVER w AS nth
+  FROM ranked r LEFT JOIN vote USING (pattern_id) WINDOW w AS (PARTITION BY c, least(seq, back) ORDER BY rk)),
+placed AS (SELECT line, express, c, pattern_id, seq, back, rk, CASE WHEN nth = 1 OR seq = lead_seq AND seq <> back THEN coalesce(d0, false)::int ELSE 1 - coalesce(d0, false)::int END AS dir FROM led),
+first_at AS (SELECT DISTINCT arg_min(pattern_id, rk) AS pattern_id FROM ps JOIN placed USING (pattern_id) GROUP BY c, dir, node),
+k0 AS (SELECT * FROM placed WHERE pattern_id IN (FROM first_at)),
+k1 AS (SELECT * FROM k0 UNION ALL SELECT * FROM placed p WHERE dir = 0 AND pattern_id NOT IN (FROM first_at) AND EXISTS (SELECT 1 FROM k0 WHERE k0.c = p.c AND k0.dir = 1 AND k0.seq = p.back)),
+served AS (SELECT * FROM k1 UNION ALL SELECT * FROM placed p WHERE dir = 1 AND pattern_id NOT IN (FROM first_at) AND EXISTS (SELECT 1 FROM k1 WHERE k1.c = p.c AND k1.dir = 0 AND k1.seq = p.back))"""
+
+
+@query(f"{_SERVED} SELECT line, express, pattern_id, dir FROM served")
+def service_set(t):
+    return service.service_set(t("line_pattern"))
+
+
+def _rail(t):
+    platforms = t("stop").select(F.col("stop_id").alias("node"), "lat", "lon")
+    pairs = t("line_pattern").where("express").select("pattern_id", "pos", "node")
+    hop = pairs.withColumn("_to", F.lead("node").over(Window.partitionBy("pattern_id").orderBy("pos"))).where("_to IS NOT NULL")
+    measured = hop.select(F.least("node", "_to").alias("a"), F.greatest("node", "_to").alias("b")).distinct().withColumn("meters", (500 + F.col("a") * 7 + F.col("b") * 3).cast("double"))
+    lines = t("line_pattern").where("line % 5 = 0").select("line").distinct().withColumn("factor", 1 + F.col("line") % 4 / 2)
+    # The weekday's periods and headways.
+    periods = platforms.sparkSession.createDataFrame([(19800, 25200, 360), (25200, 32400, 180), (32400, 61200, 360), (61200, 72000, 240), (72000, 82800, 300), (82800, 88800, 600)], "start int, end int, headway int")
+    return service.rail_trips(t("line_pattern"), platforms, measured, lines, periods)
+
+
+@query(f"""{_SERVED},
+run AS (SELECT ps.pattern_id, s.dir, ps.pos, ps.node, lag(ps.node) OVER (PARTITION BY ps.pattern_id ORDER BY ps.pos) AS prev FROM ps JOIN served s USING (pattern_id)),
+ehop AS (SELECT node AS x, lead(node) OVER (PARTITION BY pattern_id ORDER BY pos) AS y FROM ps WHERE express),
+measured AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b, (500 + least(x, y) * 7 + greatest(x, y) * 3)::double AS meters FROM ehop WHERE y IS NOT NULL),
+hop AS (SELECT run.*, CASE WHEN prev IS NULL THEN NULL ELSE coalesce(m.meters, {_meters('x.', 'z.')}) END AS m FROM run
+  LEFT JOIN measured m ON m.a = least(node, prev) AND m.b = greatest(node, prev) JOIN {{stop}} x ON x.stop_id = node LEFT JOIN {{stop}} z ON z.stop_id = prev)
+SELECT pattern_id, dir, pos, node, CAST(sum(CASE WHEN m IS NULL THEN 0 ELSE greatest(30, floor(m / (CASE WHEN m < 1500 THEN 32.0::double ELSE 50.0::double END / 3.6::double))) + 10 END) OVER (PARTITION BY pattern_id ORDER BY pos) AS bigint) AS "at" FROM hop""")
+def rail_stop_times(t):
+    return _rail(t)[0]
+
+
+@query(f"""{_SERVED},
+visit AS (SELECT pattern_id, dir, node FROM ps JOIN served USING (pattern_id)), shared AS (SELECT node, dir, count(*) AS k FROM visit GROUP BY node, dir),
+scaled AS (SELECT pattern_id, list_sort(list(k))[count(*) // 2 + 1] AS scale FROM visit JOIN shared USING (node, dir) GROUP BY pattern_id),
+p AS (SELECT * FROM (VALUES (19800, 25200, 360), (25200, 32400, 180), (32400, 61200, 360), (61200, 72000, 240), (72000, 82800, 300), (82800, 88800, 600)) x("start", "end", headway))
+SELECT pattern_id, "start", "end", CAST(greatest(60, floor(headway * CASE WHEN line % 5 = 0 THEN 1 + line % 4 / 2.0::double ELSE 1 END * scale)) AS int) AS headway FROM served JOIN scaled USING (pattern_id) CROSS JOIN p""")
+def rail_windows(t):
+    return _rail(t)[1]

@@ -28,6 +28,11 @@ FROM {orders}""",
 SELECT o_orderkey AS trip_id, o_orderkey % 20 AS route_id, o_orderpriority AS route_type,
        CASE o_orderstatus WHEN 'F' THEN 'WD' WHEN 'O' THEN 'SA' ELSE 'DAILY' END AS service
 FROM {orders}""",
+    # A line's patterns: each trip's stops, and for some trips the way back.
+    "line_pattern": """
+SELECT trip_id * 2 AS pattern_id, trip_id % 1500 AS line, trip_id % 4 = 0 AS express, pos, stop_id AS node FROM {pattern_stop}
+UNION ALL
+SELECT trip_id * 2 + 1, trip_id % 1500, trip_id % 4 = 0, 1 + count(*) OVER (PARTITION BY trip_id) - pos, stop_id FROM {pattern_stop} WHERE trip_id % 3 > 0""",
     "deal": """
 SELECT l_partkey AS seq, CAST(l_suppkey % 25 AS int) AS sgg, l_suppkey AS umd, l_quantity * 1.5e0 AS area, CAST(floor(l_extendedprice / 1e1) AS int) AS amount,
        CASE WHEN l_returnflag = 'A' THEN 0 ELSE 20 + CAST(floor(l_discount * 1e3 + 5e-1) AS int) END AS monthly,

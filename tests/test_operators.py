@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reachbase.functions import exprs
 from reachbase.functions.medians import at_share, lower_middle, upper_middle
-from reachbase.operators import calibration, checks, graph, housing, network, ordered, ranges, reach, spatial
+from reachbase.operators import calibration, checks, graph, housing, network, ordered, ranges, reach, service, spatial
 
 
 def one(spark, column):
@@ -108,15 +108,91 @@ def test_turnaround(spark):
     assert got[1] == (5, True) and got[2][1] is False
 
 
-def test_chains_and_services(spark):
+def test_chains(spark):
     edges = spark.createDataFrame([("L", a, b) for a, b in ((1, 2), (2, 3), (3, 4), (3, 9))], "line string, a long, b long")
     got = {}
     for r in network.chains(edges).orderBy("chain", "seq").collect():
         got.setdefault(r["chain"], []).append(r["node"])
     assert sum(len(c) - 1 for c in got.values()) == 4 and got[0] == [1, 2, 3, 4]
-    patterns = spark.createDataFrame([("L", False, 1, [1, 2, 3, 4]), ("L", False, 2, [4, 3, 2, 1]), ("L", False, 3, [2, 3]), ("L", False, 4, [2, 3, 9])], "line string, express boolean, pattern_id int, stops array<int>")
-    chosen = {r["pattern_id"]: r["dir"] for r in network.service_set(patterns).collect()}
-    assert chosen == {1: 0, 2: 1, 4: 0}
+
+
+def plain_service_set(patterns):
+    """The rules walked pattern by pattern; patterns: pattern_id -> stops of one line and kind."""
+    out, left = {}, dict(patterns)
+    while left:
+        component, grown = {min(left)}, True
+        while grown:
+            nodes = {n for p in component for n in left[p]}
+            more = {p for p in left if nodes & set(left[p])} | component
+            grown, component = more != component, more
+        ordered = sorted(component, key=lambda p: (-len(left[p]), p))
+        place = {}
+        for i, n in enumerate(left[ordered[0]]):
+            place.setdefault(n, i)
+        placed = []
+        for p in ordered:
+            stops = left[p]
+            twin = next((d for q, d in placed if left[q] == stops[::-1]), None)
+            known = [place[n] for n in stops if n in place]
+            steps = [(b > a) - (b < a) for a, b in zip(known, known[1:], strict=False)]
+            placed.append((p, 1 - twin if twin is not None else int(steps.count(-1) > steps.count(1))))
+        kept = {}
+        for side in (0, 1):
+            covered = set()
+            for p, d in placed:
+                if d == side and not set(left[p]) <= covered:
+                    covered |= set(left[p])
+                    kept[p] = d
+        for side in (0, 1):
+            for p, d in placed:
+                if d == side and p not in kept and any(e != d and left[q] == left[p][::-1] for q, e in kept.items()):
+                    kept[p] = d
+        out |= kept
+        left = {p: s for p, s in left.items() if p not in component}
+    return out
+
+
+def pattern_rows(spark, patterns, line="L", express=False):
+    rows = [(line, express, p, i + 1, n) for p, stops in patterns.items() for i, n in enumerate(stops)]
+    return spark.createDataFrame(rows, "line string, express boolean, pattern_id long, pos int, node long")
+
+
+def test_service_set(spark):
+    # One line in two parts; b2 turns b round, and skip adds nothing.
+    patterns = {1: [1, 2, 3, 4, 5], 2: [5, 4, 3, 2, 1], 3: [7, 8, 9], 4: [9, 8, 7], 5: [1, 3, 5]}
+    got = {r["pattern_id"]: r["dir"] for r in service.service_set(pattern_rows(spark, patterns)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1} == plain_service_set(patterns)
+    rng = random.Random(17)
+    rows, want = None, {}
+    for line in range(12):
+        some = {}
+        for p in range(rng.randint(1, 9)):
+            stops = [rng.randrange(line % 4 * 3 + 6) for _ in range(rng.randint(1, 6))]
+            some[line * 100 + p] = stops
+            if rng.random() < 0.5:
+                some[line * 100 + 50 + p] = rng.choice([stops[::-1], stops, stops[1:] or stops])
+        own = pattern_rows(spark, some, f"L{line}", line % 2 == 0)
+        rows = own if rows is None else rows.union(own)
+        want |= plain_service_set(some)
+    assert {r["pattern_id"]: r["dir"] for r in service.service_set(rows).collect()} == want
+
+
+def test_rail_trips(spark):
+    patterns = {1: [1, 2, 3], 2: [3, 2, 1], 3: [2, 3], 4: [1, 2, 4]}
+    platforms = spark.createDataFrame([(i, 37.5 + i / 100, 127.0) for i in range(1, 5)], "node long, lat double, lon double")
+    measured = spark.createDataFrame([(1, 2, 1000.0)], "a long, b long, meters double")
+    lines = spark.createDataFrame([("L", 2.0)], "line string, factor double")
+    periods = spark.createDataFrame([(0, 3600, 100), (3600, 7200, 20)], "start int, end int, headway int")
+    times, windows = service.rail_trips(pattern_rows(spark, patterns), platforms, measured, lines, periods)
+    got = {(r["pattern_id"], r["pos"]): r["at"] for r in times.collect()}
+    first = 10 + int(1000 / (32 / 3.6))
+    straight = 6_371_000 * math.radians(0.01)
+    second = 10 + int(straight / (32 / 3.6))
+    assert set(got) == {(p, i) for p in (1, 2, 4) for i in (1, 2, 3)}
+    assert got[1, 1] == 0 and got[1, 2] == first and got[1, 3] == pytest.approx(first + second, abs=2)
+    assert got[2, 3] - got[2, 2] == first
+    # Stops 1 and 2 have two patterns in direction 0, the others one; the middle of (2, 2, 1) is 2.
+    assert sorted((r["pattern_id"], r["start"], r["headway"]) for r in windows.collect()) == [(1, 0, 400), (1, 3600, 80), (2, 0, 200), (2, 3600, 60), (4, 0, 400), (4, 3600, 80)]
 
 
 def test_train_runs(spark):
