@@ -21,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachbase.llm import key_filter
 from reachbase.llm.cluster import by_small_batches, durable
 from reachbase.llm.key_filter import KeyFilter
 from reachbase.llm.textblock import NumberedWords, TextBlock, blocks, mix
+from reachbase.operators.ranges import places
 
 #: Longest phrase in words, least count of a phrase, results for each language.
 LONGEST, LEAST, TOP = 4, 30, 2000
@@ -36,7 +37,7 @@ ABSORBED = 80
 #: One in so many documents is in the sample; the threshold there is lowered to this share of what a frequent phrase should have.
 SAMPLE_ONE_IN, LOWERED = 8, 0.8
 #: Bytes of text that are counted together before their phrases are handed on.
-COUNTED_BYTES = 4 << 20
+COUNTED_BYTES = 2 << 20
 
 _SCHEMA = "lang string, k int, phrase string, n long"
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
@@ -245,8 +246,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     inner = F.expr("flatten(transform(sequence(2, k - 1), m -> transform(sequence(1, k - m + 1), i -> array_join(slice(words, i, m), ' '))))")
     around = candidates.where("k > 2").select("lang", F.explode(inner).alias("phrase"), F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = scored.join(around, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer").cast("decimal(20,0)") < ABSORBED * F.col("a").cast("decimal(20,0)")))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    # Each task keeps its own first ones before they move.
-    ranked = kept.select("lang", "phrase", "a", "w.l", "w.r", "w.score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    ordered = kept.select("lang", "phrase", "a", "w.l", "w.r", "w.score", (-F.col("w.score")).alias("_score"), (-F.col("a")).alias("_a"))
+    # By ranges, as one language may have a third of all phrases.
+    ranked = places(ordered, ["_score", "_a", "phrase"], within="lang").where(F.col("place") < top)
     totals = found.where("k = 0").select("lang", "n")
-    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(totals, "lang").select("lang", (F.col("place") + 1).alias("rank"), "phrase", "a", "l", "r", "n", "score")
