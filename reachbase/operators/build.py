@@ -125,3 +125,13 @@ def detours(costs: DataFrame, points: DataFrame) -> DataFrame:
     a, b = points.toDF("start", "_la", "_lo"), points.toDF("node", "_lb", "_mb")
     straight = haversine(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_mb"))
     return costs.where("start <> node").join(a, "start").join(b, "node").select("start", "node", F.round(F.col("cost") / F.greatest(F.lit(1.0), straight), 4).alias("ratio"))
+
+
+def same_names(nodes: DataFrame) -> DataFrame:
+    """name, n, meters: names that several nodes (id, name, lat, lon) have, and how far the farthest stands from the one with the smallest id.
+
+    Each node meets its name's first one alone, so a frequent name makes no pairs.
+    """
+    first = nodes.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("id", "lat", "lon")).alias("_f")).where("n > 1")
+    far = haversine(F.col("_f.lat"), F.col("_f.lon"), F.col("lat"), F.col("lon"))
+    return nodes.join(first, "name").groupBy("name", "n").agg(F.round(F.max(far), 3).alias("meters"))

@@ -87,15 +87,19 @@ def leg_matches(asks: DataFrame, stop_times: DataFrame) -> DataFrame:
     """For asks (ask_id, from_stop, to_stop, want): the trip (trip_id, pos, stop_id, off) that fits best.
 
     For each boarding the first alighting after it; least off in stops by more than one, then by
-    how many, then in time. A fit that is off by more than max(2, want / 2) is none.
+    how many, then in time. A fit that is off by more than max(2, want / 2) is none. Asks of one
+    pair of stops share its search, and of its rides with equally many stops only the quickest
+    meets them, so neither a busy stop nor a popular pair multiplies the other.
     """
+    asked = asks.select("from_stop", "to_stop").distinct()
     a = stop_times.select("trip_id", F.col("pos").alias("_i"), F.col("stop_id").alias("from_stop"), F.col("off").alias("_dep"))
     b = stop_times.select("trip_id", F.col("pos").alias("_j"), F.col("stop_id").alias("to_stop"), F.col("off").alias("_arr"))
-    pairs = asks.join(a, "from_stop").join(b, ["trip_id", "to_stop"]).where("_j > _i")
-    first = pairs.groupBy("ask_id", "want", "trip_id", "_i").agg(F.min(F.struct("_j", (F.col("_arr") - F.col("_dep")).alias("sec"))).alias("_b"))
-    off = F.abs(F.col("_b._j") - F.col("_i") - F.col("want"))
-    best = F.min(F.struct((off > 1).alias("far"), off.alias("off"), F.col("_b.sec").alias("sec"), "trip_id"))
-    chosen = first.groupBy("ask_id", "want").agg(best.alias("_c")).where(F.col("_c.off") <= F.greatest(F.lit(2), F.floor(F.col("want") / 2)))
+    boardings = a.join(asked, "from_stop")
+    first = boardings.join(b, ["trip_id", "to_stop"]).where("_j > _i").groupBy("from_stop", "to_stop", "trip_id", "_i").agg(F.min(F.struct("_j", (F.col("_arr") - F.col("_dep")).alias("sec"))).alias("_b"))
+    quickest = first.groupBy("from_stop", "to_stop", (F.col("_b._j") - F.col("_i")).alias("_stops")).agg(F.min(F.struct(F.col("_b.sec").alias("sec"), "trip_id")).alias("_q"))
+    off = F.abs(F.col("_stops") - F.col("want"))
+    best = F.min(F.struct((off > 1).alias("far"), off.alias("off"), F.col("_q.sec").alias("sec"), F.col("_q.trip_id").alias("trip_id")))
+    chosen = asks.join(quickest, ["from_stop", "to_stop"]).groupBy("ask_id", "want").agg(best.alias("_c")).where(F.col("_c.off") <= F.greatest(F.lit(2), F.floor(F.col("want") / 2)))
     return chosen.select("ask_id", "want", F.col("_c.trip_id").alias("trip_id"), F.col("_c.off").alias("off_by"), F.col("_c.sec").alias("sec"))
 
 

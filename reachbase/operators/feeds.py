@@ -102,9 +102,14 @@ def departing(slot: Column) -> Column:
     return F.startswith(slot, F.lit(DEPART_WORD))
 
 
-def from_cache(rows: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the cache's columns, one entry for each key, and ``cached``: whether there is one; the others are asked for anew."""
-    one = cache.dropDuplicates(keys).withColumn("_hit", F.lit(True))
+def from_cache(rows: DataFrame, cache: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
+    """rows with the cache's columns and ``cached``: whether there is an entry; the others are asked for anew.
+
+    Of a key's entries the one with the greatest ``newest`` counts, or else the greatest by all its columns.
+    """
+    others = [c for c in cache.columns if c not in keys]
+    order = F.struct(*([newest] if newest else []), *[c for c in others if c != newest], F.lit(True).alias("_hit"))
+    one = cache.groupBy(*keys).agg(F.max(order).alias("_e")).select(*keys, *[f"_e.{c}" for c in others], "_e._hit")
     return rows.join(one, keys, "left").withColumn("cached", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 

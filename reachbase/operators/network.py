@@ -84,8 +84,14 @@ def _prefixes(full: DataFrame, name: str, least: int) -> DataFrame:
     return full.select("*", lengths).withColumn("_start", F.substring(name, F.lit(1), F.col("_n"))).drop("_n")
 
 
-def unique_prefix(short: DataFrame, full: DataFrame, least: int = 5) -> DataFrame:
-    """name, station_id of short names (name) that start exactly one full name (station_id, full_name)."""
+def unique_prefix(short: DataFrame, full: DataFrame, least: int = 5, aliases: DataFrame | None = None) -> DataFrame:
+    """name, station_id of short names (name) that start exactly one full name (station_id, full_name).
+
+    aliases (name, station_id) say whose a name is, whatever it starts.
+    """
+    if aliases is not None:
+        listed = short.join(aliases.select("name", "station_id"), "name")
+        return listed.select("name", "station_id").unionByName(unique_prefix(short.join(aliases, "name", "left_anti"), full, least))
     starts = _prefixes(full.select("station_id", "full_name"), "full_name", least).groupBy("_start").agg(F.count("*").alias("_n"), F.min("station_id").alias("station_id")).where("_n = 1")
     return short.join(starts, F.col("name") == F.col("_start")).select("name", "station_id")
 
@@ -121,8 +127,6 @@ def first_wins(rows: DataFrame, keys: list[str], ordinal: str, last: bool = Fals
 def csr_offsets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, degree, first: how many edges (src) a node has and how many stand before them, over ranges of nodes."""
     degree = nodes.join(edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")), "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
-    from reachbase.operators.graph import cut_lineage
-
     return running_sums(degree, ["node"], {"first": "degree"}).select("node", "degree", "first")
 
 
@@ -156,19 +160,6 @@ def thinned(features: DataFrame, width: float, height: float, most: int) -> Data
     return features.groupBy("view").applyInPandas(walk, f"view {kind['view']}, key {kind['key']}")
 
 
-def unwound(parents: DataFrame, query: object, node: object, most: int = 100) -> list:
-    """The path to a stop of parents (query, stop_id, t, parent), seed first: one query's rows, as routing.explained gives them."""
-    own = parents.where(F.col("query") == query).select("stop_id", "t", "parent")
-    path, at = [], node
-    while at is not None and len(path) < most:
-        row = own.where(F.col("stop_id") == at).first()
-        if row is None:
-            break
-        path.append((at, row["t"]))
-        at = row["parent"]
-    return path[::-1]
-
-
 def inferred_lines(edges: DataFrame, lines: DataFrame) -> DataFrame:
     """a, b, line of edges (a, b) whose ends share exactly one line by lines (node, line)."""
     known = lines.select("node", "line").distinct()

@@ -185,3 +185,10 @@ def prefix_search(names: DataFrame, needle: str, limit: int = 120) -> DataFrame:
     hit = names.where(F.instr(F.lower("name"), needle.lower()) > 0).withColumn("prefix", F.startswith(F.lower("name"), F.lit(needle.lower())))
     total = hit.agg(F.count("*").alias("matches"))
     return hit.orderBy(F.col("prefix").desc(), "key").limit(limit).join(F.broadcast(total), F.lit(True))
+
+
+def amenities_by_name(places: DataFrame, amenities: DataFrame) -> DataFrame:
+    """places (district, name) with the columns of amenities (key ``district|name``); null where none is known."""
+    district, name = F.substring_index("key", "|", 1), F.expr("substring(key, instr(key, '|') + 1)")
+    keyed = amenities.withColumn("district", district).withColumn("name", name).drop("key")
+    return places.join(keyed, ["district", "name"], "left")

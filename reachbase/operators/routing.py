@@ -62,22 +62,34 @@ def walked(improved: DataFrame, transfers: DataFrame, cutoffs: DataFrame) -> Dat
     return step.join(cutoffs, "query").where("t <= cutoff").select("query", "stop_id", "t")
 
 
-def ridden(labels: DataFrame, stops: DataFrame, windows: DataFrame, cutoffs: DataFrame, board_slack: int, arrive_slack: int) -> DataFrame:
-    """The least arrival of one ride more at each stop: query, stop_id, t.
+def boardable(stops: DataFrame, windows: DataFrame) -> DataFrame:
+    """stop_id, trip_id, pos, off and the trip's windows: where and when each pattern can be boarded."""
+    return stops.join(windows.select("trip_id", "first_start", "last_start", "headway"), "trip_id").select("stop_id", "trip_id", "pos", "off", "first_start", "last_start", "headway")
+
+
+def _falling(boards: Column) -> Column:
+    """Of boardings (pos, start) by pos those that catch an earlier departure than all before them: few, however long the trip."""
+    none = F.filter(boards, lambda b: F.lit(False))
+    later = lambda kept, b: F.when((F.size(kept) == 0) | (b["start"] < F.element_at(kept, -1)["start"]), F.concat(kept, F.array(b))).otherwise(kept)
+    return F.aggregate(F.array_sort(boards), none, later)
+
+
+def ridden(labels: DataFrame, visits: DataFrame, stops: DataFrame, cutoffs: DataFrame, board_slack: int, arrive_slack: int) -> DataFrame:
+    """The least arrival of one ride more at each stop: query, stop_id, t. visits: boardable() of the stops.
 
     Only the positions of patterns that a query has reached are boarded; every later position
     sees the least departure of those before it.
     """
-    boards = labels.join(stops, "stop_id").join(windows, "trip_id")
+    boards = labels.join(visits, "stop_id")
     start = earliest_start(F.col("first_start"), F.col("last_start"), F.col("headway"), F.col("t") + board_slack, F.col("off"))
     boards = boards.join(cutoffs, "query").select("query", "trip_id", "pos", "off", "cutoff", start.alias("start"))
     # Whoever boards after the cutoff arrives after it too. A ride holds a place for each stop of its trip at most.
     boards = boards.where("start IS NOT NULL AND start + off <= cutoff")
-    rides = boards.groupBy("query", "trip_id").agg(F.collect_list(F.struct("pos", "start")).alias("_boards"))
-    before = F.array_min(F.transform(F.filter("_boards", lambda b: b["pos"] < F.col("pos")), lambda b: b["start"]))
-    visits = rides.join(stops, "trip_id").withColumn("_run", before)
-    arrive = visits.where("_run IS NOT NULL").select("query", "stop_id", (F.col("_run") + F.col("off") + arrive_slack).alias("t"))
-    return arrive.join(cutoffs, "query").where("t <= cutoff").groupBy("query", "stop_id").agg(F.min("t").alias("t"))
+    rides = boards.groupBy("query", "trip_id").agg(F.collect_list(F.struct("pos", "start")).alias("_all"), F.max("cutoff").alias("cutoff"))
+    rides = rides.withColumn("_boards", _falling(F.col("_all"))).drop("_all")
+    before = F.try_element_at(F.filter("_boards", lambda b: b["pos"] < F.col("pos")), F.lit(-1))["start"]
+    arrive = rides.join(stops, "trip_id").select("query", "stop_id", "cutoff", (before + F.col("off") + arrive_slack).alias("t"))
+    return arrive.where("t <= cutoff").groupBy("query", "stop_id").agg(F.min("t").alias("t"))
 
 
 def earliest_arrivals(seeds: DataFrame, stops: DataFrame, windows: DataFrame, transfers: DataFrame, cutoffs: DataFrame, rounds: int = ROUNDS, mirror: bool = False, checkpoint: bool = True) -> DataFrame:
@@ -86,22 +98,24 @@ def earliest_arrivals(seeds: DataFrame, stops: DataFrame, windows: DataFrame, tr
     windows: baked, last departure included. With mirror, the tables are mirrored ones, times
     are negative and the slack stands at alighting. A round boards only where the round before
     improved a label: what was boarded earlier has been ridden. It ends early when no ride
-    improves anything. Queries are independent; all steps are keyed by query first.
+    improves anything. Queries are independent; all steps are keyed by query first. A round is
+    written once; its rides are shuffled once and read twice, for the stops and the walks from them.
     """
     board, arrive = (0, BOARD_SLACK) if mirror else (BOARD_SLACK, 0)
     settle = cut_lineage if checkpoint else lambda df: df
+    visits = settle(boardable(stops, windows))
     start = _least(seeds.select("query", "stop_id", "t"))
     labels = fresh = settle(_least(start, walked(start, transfers, cutoffs)))
     for _ in range(rounds):
-        ride = ridden(fresh, stops, windows, cutoffs, board, arrive)
+        ride = ridden(fresh, visits, stops, cutoffs, board, arrive)
         known = labels.withColumnRenamed("t", "_t")
-        improved = settle(ride.join(known, ["query", "stop_id"], "left").where("_t IS NULL OR t < _t").select("query", "stop_id", "t"))
-        if checkpoint and not improved.limit(1).count():
-            break
+        improved = ride.join(known, ["query", "stop_id"], "left").where("_t IS NULL OR t < _t").select("query", "stop_id", "t")
         offer = _least(improved, walked(improved, transfers, cutoffs)).withColumnRenamed("t", "_offer")
         both = labels.join(offer, ["query", "stop_id"], "full")
         settled = settle(both.select("query", "stop_id", F.least("t", "_offer").alias("t"), (F.col("t").isNull() | (F.col("_offer") < F.col("t"))).alias("_new")))
         labels, fresh = settled.select("query", "stop_id", "t"), settled.where("_new").select("query", "stop_id", "t")
+        if checkpoint and not fresh.limit(1).count():
+            break
     return labels
 
 
@@ -125,6 +139,24 @@ def explained(labels: DataFrame, seeds: DataFrame, stops: DataFrame, windows: Da
     return goals.join(best, ["query", "_goal", "_t"], "left").select("query", F.col("_goal").alias("stop_id"), F.col("_t").alias("t"), "_w.parent", "_w.trip_id")
 
 
+def paths(parents: DataFrame) -> DataFrame:
+    """query, stop_id, legs: the whole way to every label of parents (query, stop_id, t, parent, trip_id), as explained() gives them.
+
+    legs are structs of stop_id, t and trip_id (null on foot), the seed first. Each round doubles
+    the ways: a label takes over the way and the parent of where its own way starts, so the
+    number of rounds is the logarithm of the longest way's legs.
+    """
+    kinds = dict(parents.dtypes)
+    own = F.array(F.struct("stop_id", "t", "trip_id"))
+    ways = cut_lineage(parents.select("query", "stop_id", own.alias("legs"), F.col("parent").alias("_from")))
+    while ways.where("_from IS NOT NULL").limit(1).count():
+        before = ways.select("query", F.col("stop_id").alias("_from"), F.col("legs").alias("_legs"), F.col("_from").alias("_next"))
+        none = F.array().cast(f"array<struct<stop_id: {kinds['stop_id']}, t: {kinds['t']}, trip_id: {kinds['trip_id']}>>")
+        joined = ways.join(before, ["query", "_from"], "left")
+        ways = cut_lineage(joined.select("query", "stop_id", F.concat(F.coalesce("_legs", none), "legs").alias("legs"), F.col("_next").alias("_from")))
+    return ways.select("query", "stop_id", "legs")
+
+
 def mirrored_connections(connections: DataFrame) -> DataFrame:
     """Connections (origin, dest, dep, arr) with time running backwards, for arriving by a time."""
     return connections.select(F.col("dest").alias("origin"), F.col("origin").alias("dest"), (-F.col("arr")).alias("dep"), (-F.col("dep")).alias("arr"))

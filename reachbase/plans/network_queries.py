@@ -181,11 +181,36 @@ def network_transfers(t):
     return build.station_transfers(build.platforms(stops, stations, nodes))
 
 
-@query()
+# Lines of eight suppliers: six in a row, and a branch of two from the fourth.
+_BRANCHED = """
+sup AS (SELECT s_suppkey AS node, s_suppkey // 8 AS line, s_suppkey % 8 AS j FROM {supplier}),
+edge AS (SELECT line, node - CASE WHEN j = 6 THEN 3 ELSE 1 END AS a, node AS b FROM sup WHERE j > 0)"""
+
+
+def _branched(t):
+    i = F.col("s_suppkey")
+    rows = t("supplier").select(F.floor(i / 8).cast("long").alias("line"), (i % 8).alias("j"), F.col("s_suppkey").alias("b")).where("j > 0")
+    return rows.select("line", (F.col("b") - F.when(F.col("j") == 6, 3).otherwise(1)).alias("a"), "b")
+
+
+@query(f"""
+WITH RECURSIVE {_BRANCHED},
+near AS (SELECT line, a AS x, b AS y FROM edge UNION SELECT line, b, a FROM edge),
+fin AS (SELECT line, x FROM near GROUP BY line, x HAVING count(*) = 1), many AS (SELECT line FROM fin GROUP BY line HAVING count(*) > 2),
+way AS (SELECT line, x AS start, [x] AS path FROM fin JOIN many USING (line) UNION ALL SELECT w.line, w.start, list_append(path, n.y) FROM way w JOIN near n ON n.line = w.line AND n.x = path[-1] WHERE NOT list_contains(path, n.y)),
+run AS (SELECT w.line, CAST(start AS varchar) || '-' || CAST(path[-1] AS varchar) AS run_id, path FROM way w JOIN fin f ON f.line = w.line AND f.x = path[-1] WHERE path[-1] > start)
+SELECT line, run_id, CAST(unnest(range(len(path))) AS int) AS pos, unnest(path) AS node FROM run""")
 def terminal_runs(t):
-    """Ways between all ends of lines that branch: a tree of each nation's suppliers. Tests compare small lines with ways written by hand."""
-    placed = t("supplier").select(F.col("s_nationkey").alias("line"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("i"))
-    return build.terminal_runs(placed.where("i > 1").select("line", F.floor(F.col("i") / 2).cast("long").alias("a"), F.col("i").cast("long").alias("b")))
+    """Ways between all ends of lines that branch; a line's ends are few and its length bounded, so the ways grow with the lines."""
+    return build.terminal_runs(_branched(t))
+
+
+@query(f"""
+WITH {_BRANCHED}, used AS (SELECT line, max(j) AS far FROM sup GROUP BY line)
+SELECT line, 0 AS chain, CAST(j AS int) AS seq, node FROM sup JOIN used USING (line) WHERE j <= 5 AND far > 0
+UNION ALL SELECT line, 1, CAST(CASE j WHEN 3 THEN 0 ELSE j - 5 END AS int), node FROM sup JOIN used USING (line) WHERE j IN (3, 6, 7) AND far > 5""")
+def line_chains(t):
+    return network.chains(_branched(t))
 
 
 @query("""

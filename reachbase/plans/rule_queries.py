@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reachbase.functions import exprs
-from reachbase.operators import access, calibration, checks, matrix, network
+from reachbase.operators import access, build, calibration, checks, feeds, matrix, network, reach
 from reachbase.plans.registry import query
 from reachbase.plans.transit_queries import _meters
 from reachbase.sources import files
@@ -141,3 +141,133 @@ def scalar_rules(t):
         k, exprs.ramp_index(k % 130, F.lit(60), 7).alias("ramp"), exprs.slot_label(k % 2 == 0, s).alias("slot"), exprs.slot_floor(k % 60).alias("half"), F.round(exprs.mercator_y(lat), 8).alias("north"),
         exprs.coordinate_key(lat, lon).alias("cell"), exprs.line_factor(line).alias("factor"), exprs.type_speed(kind).alias("kmh"), exprs.is_pass_through(name).alias("shape_only"), exprs.period_label(k % 7).alias("period"),
     )
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '출발 08:00' WHEN o_orderkey % 3 = 0 THEN '도착 09:00' ELSE '' END AS slot FROM {orders})
+SELECT o_orderkey, starts_with(slot, '출발') AS departs FROM o""")
+def departing_slots(t):
+    k = F.col("o_orderkey")
+    slot = F.when(k % 2 == 0, "출발 08:00").when(k % 3 == 0, "도착 09:00").otherwise("")
+    return t("orders").select(k, feeds.departing(slot).alias("departs"))
+
+
+@query(r"""
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' (' || p_brand || ')' WHEN p_partkey % 3 = 1 THEN '(' || p_brand || ') ' || p_name ELSE p_name END AS v FROM {part})
+SELECT p_partkey, trim(regexp_replace(v, '^([^(]+)\(.*$', '\1')) AS name FROM p""")
+def names_without_notes(t):
+    k, name, brand = F.col("p_partkey"), F.col("p_name"), F.col("p_brand")
+    v = F.when(k % 3 == 0, F.concat(name, F.lit(" ("), brand, F.lit(")"))).when(k % 3 == 1, F.concat(F.lit("("), brand, F.lit(") "), name)).otherwise(name)
+    return t("part").select(k, exprs.strip_parenthetical(v).alias("name"))
+
+
+@query(r"""
+WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '역' WHEN s_suppkey % 3 = 1 THEN s_name || '역(' || s_suppkey || ')' ELSE s_name || ' · 역' END AS v FROM {supplier}),
+k AS (SELECT s_suppkey, regexp_replace(regexp_replace(v, '\([^)]*\)', '', 'g'), '[\s.·,\-]', '', 'g') AS k FROM s)
+SELECT s_suppkey, CASE WHEN length(k) > 2 THEN regexp_replace(k, '역$', '') ELSE k END AS name_key FROM k""")
+def station_keys(t):
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    v = F.when(k % 3 == 0, "역").when(k % 3 == 1, F.concat(name, F.lit("역("), k.cast("string"), F.lit(")"))).otherwise(F.concat(name, F.lit(" · 역")))
+    return t("supplier").select(k, exprs.station_name_key(v).alias("name_key"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'none' ELSE ' ' || (o_orderkey // 1000) || ',' || lpad(CAST(o_orderkey % 1000 AS varchar), 3, '0') || ' ' END AS v FROM {orders})
+SELECT o_orderkey, coalesce(try_cast(trim(replace(v, ',', '')) AS int), 0) AS amount FROM o""")
+def money_texts(t):
+    k = F.col("o_orderkey")
+    v = F.when(k % 7 == 0, "none").otherwise(F.concat(F.lit(" "), F.floor(k / 1000).cast("string"), F.lit(","), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" ")))
+    return t("orders").select(k, exprs.money(v).alias("amount"))
+
+
+@query("""
+SELECT DISTINCT CAST(o_orderdate AS date) AS day, array_to_string(list_transform(range(1, 5), lambda i: strftime(CAST(o_orderdate AS date) - to_months(CAST(i AS int)), '%Y%m')), ',') AS months FROM {orders}""")
+def months_back(t):
+    day = F.to_date("o_orderdate")
+    return t("orders").select(day.alias("day"), F.array_join(exprs.recent_months(day, 4), ",").alias("months")).distinct()
+
+
+@query("""
+WITH l AS (SELECT l_returnflag, CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE l_extendedprice / 10 END AS road, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_extendedprice / 12 + l_quantity END AS straight FROM {lineitem})
+SELECT l_returnflag, round(sum(CASE WHEN road > 0 AND (straight IS NULL OR road >= straight) THEN road WHEN straight IS NULL THEN 400 ELSE greatest(30, straight * 1.01::double) END), 2) AS meters, count(*) AS n FROM l GROUP BY 1""")
+def segment_lengths(t):
+    price = F.col("l_extendedprice")
+    road = F.when(F.col("l_orderkey") % 5 == 0, 0.0).otherwise(price / 10)
+    straight = F.when(F.col("l_partkey") % 7 != 0, price / 12 + F.col("l_quantity"))
+    return t("lineitem").groupBy("l_returnflag").agg(F.round(F.sum(exprs.segment_meters(road, straight, 1.01)), 2).alias("meters"), F.count("*").alias("n"))
+
+
+@query("""
+WITH t AS (SELECT l_suppkey % 30 AS x, l_partkey % 30 AS y, min(CAST(l_extendedprice AS bigint)) AS sec FROM {lineitem} WHERE l_suppkey % 30 <> l_partkey % 30 GROUP BY 1, 2)
+SELECT p.x AS a, p.y AS b, q.y AS c FROM t p JOIN t q ON q.x = p.y JOIN t d ON d.x = p.x AND d.y = q.y WHERE d.sec > p.sec + q.sec + 300""")
+def triangle_check(t):
+    a, b = F.col("l_suppkey") % 30, F.col("l_partkey") % 30
+    times = t("lineitem").where(a != b).groupBy(a.alias("a"), b.alias("b")).agg(F.min(F.col("l_extendedprice").cast("long")).alias("sec"))
+    return matrix.triangle_findings(times)
+
+
+_THINNED = "shown AS (SELECT c_custkey // 50 AS view, c_custkey AS key, c_custkey * 53 % 101 AS x, c_custkey * 29 % 103 AS y, c_custkey * 7919 % 1000 AS priority FROM {customer})"
+
+
+@query(f"""
+WITH RECURSIVE {_THINNED}, f AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY priority DESC, key) AS rn FROM shown),
+s AS (
+  SELECT DISTINCT view, CAST(0 AS bigint) AS rn, CAST([] AS STRUCT(key bigint, x bigint, y bigint)[]) AS kept FROM f
+  UNION ALL
+  SELECT s.view, f.rn, CASE WHEN len(kept) < 12 AND len(list_filter(kept, lambda k: abs(k.x - f.x) < 20 AND abs(k.y - f.y) < 15)) = 0 THEN list_append(kept, {{{{'key': f.key, 'x': f.x, 'y': f.y}}}}) ELSE kept END
+  FROM s JOIN f ON f.view = s.view AND f.rn = s.rn + 1),
+done AS (SELECT view, arg_max(kept, rn) AS kept FROM s GROUP BY view)
+SELECT view, unnest(kept).key AS key FROM done""")
+def thinned_markers(t):
+    """What each view shows is one group by its nature: a screen's markers."""
+    k = F.col("c_custkey")
+    shown = t("customer").select(F.floor(k / 50).cast("long").alias("view"), k.alias("key"), (k * 53 % 101).alias("x"), (k * 29 % 103).alias("y"), (k * 7919 % 1000).alias("priority"))
+    return network.thinned(shown, 20, 15, 12)
+
+
+@query("""
+WITH a AS (SELECT n_name AS gu, s_name AS name, n AS shops FROM {amenity} JOIN {supplier} ON s_suppkey = dong_id JOIN {nation} ON n_nationkey = s_nationkey WHERE code = 'BUILDING' AND s_suppkey % 4 > 0)
+SELECT dong_id, d.gu AS district, d.name, shops FROM {dong} d LEFT JOIN a ON a.gu = d.gu AND a.name = d.name""")
+def amenities_by_name(t):
+    d = t("dong").select("dong_id", F.col("gu").alias("district"), "name")
+    known = t("amenity").where("code = 'BUILDING'").join(d, "dong_id").where("dong_id % 4 > 0")
+    return reach.amenities_by_name(d, known.select(F.concat_ws("|", "district", "name").alias("key"), F.col("n").alias("shops")))
+
+
+@query(f"""
+WITH f AS (SELECT gu AS name, count(*) AS n, min(dong_id) AS first FROM {{dong}} GROUP BY gu HAVING count(*) > 1)
+SELECT f.name, n, round(max({_meters('a.', 'b.')}), 3) AS meters FROM f JOIN {{dong}} a ON a.dong_id = f.first JOIN {{dong}} b ON b.gu = f.name GROUP BY f.name, n""")
+def same_name_stations(t):
+    return build.same_names(t("dong").select(F.col("dong_id").alias("id"), F.col("gu").alias("name"), "lat", "lon"))
+
+
+@query("""
+WITH a AS (SELECT c_name AS name, c_custkey + 1000000 AS station_id FROM {customer} WHERE c_custkey % 50 = 0),
+f AS (SELECT DISTINCT CASE WHEN c_custkey % 50 = 0 THEN c_name ELSE substr(c_name, 1, CASE WHEN c_custkey % 3 = 0 THEN 17 ELSE 18 END) END AS ask FROM {customer}),
+m AS (SELECT ask, count(*) AS n, min(c_custkey) AS station_id FROM f JOIN (SELECT c_custkey, c_name FROM {customer}) c ON starts_with(c.c_name, ask) WHERE ask NOT IN (SELECT name FROM a) GROUP BY ask)
+SELECT ask AS name, station_id FROM m WHERE n = 1 UNION ALL SELECT name, station_id FROM a JOIN f ON ask = name""")
+def aliased_prefixes(t):
+    c, k = t("customer"), F.col("c_custkey")
+    short = c.select(F.when(k % 50 == 0, F.col("c_name")).otherwise(F.substring("c_name", F.lit(1), F.when(k % 3 == 0, 17).otherwise(18))).alias("name")).distinct()
+    aliases = c.where(k % 50 == 0).select(F.col("c_name").alias("name"), (k + 1_000_000).alias("station_id"))
+    return network.unique_prefix(short, c.select(k.alias("station_id"), F.col("c_name").alias("full_name")), aliases=aliases)
+
+
+@query(f"""
+WITH seen AS (SELECT trip_id % 20 AS line, trip_id % 500 AS train, trip_id % 2 AS dir, p.stop_id AS station, (first_start + trip_id * 977 % 70000 + off) % 86400 AS "at", lat, lon FROM {{pattern_stop}} p JOIN {{pattern_window}} USING (trip_id) JOIN {{stop}} USING (stop_id)),
+late AS (SELECT * REPLACE (CASE WHEN "at" < 14400 THEN "at" + 86400 ELSE "at" END AS "at") FROM seen),
+gap AS (SELECT *, CASE WHEN "at" - lag("at") OVER w > 3600 THEN 1 ELSE 0 END AS g FROM late WINDOW w AS (PARTITION BY line, train, dir ORDER BY "at", station)),
+cut AS (SELECT *, sum(g) OVER (PARTITION BY line, train, dir ORDER BY "at", station) AS run FROM gap),
+hop AS (SELECT line, train, dir, run, station, "at", lag("at") OVER w AS zat, lat, lon, lag(lat) OVER w AS zlat, lag(lon) OVER w AS zlon FROM cut WINDOW w AS (PARTITION BY line, train, dir, run ORDER BY "at", station)),
+bad AS (SELECT *, coalesce({_meters('z', '')} > ("at" - zat) * (150.0::double / 3.6::double), false) AS b, min("at") OVER (PARTITION BY line, train, dir, run) AS s FROM hop),
+runs AS (SELECT line, s, string_agg(CAST(station AS varchar) || ':' || CAST("at" - s AS varchar), ',' ORDER BY "at", station) AS stops FROM bad GROUP BY line, train, dir, run, s HAVING count(*) > 1 AND NOT bool_or(b))
+SELECT line, stops, string_agg(DISTINCT CAST(s AS varchar), ',' ORDER BY CAST(s AS varchar)) AS starts FROM runs GROUP BY line, stops""")
+def timetable_patterns(t):
+    k = F.col("trip_id")
+    rows = t("pattern_stop").join(t("pattern_window"), "trip_id").join(t("stop"), "stop_id")
+    at = (F.col("first_start") + k * 977 % 70_000 + F.col("off")) % 86_400
+    each = network.train_runs(rows.select((k % 20).alias("line"), (k % 500).alias("train"), (k % 2).alias("dir"), F.col("stop_id").alias("station"), at.alias("at"), "lat", "lon"))
+    stop = F.concat_ws(":", F.col("station").cast("string"), F.col("off").cast("string"))
+    whole = each.groupBy("line", "signature").agg(F.array_sort(F.collect_list(F.struct("pos", stop.alias("s")))).alias("_s"), F.first("starts").alias("_t"))
+    starts = F.array_join(F.array_sort(F.transform("_t", lambda x: x.cast("string"))), ",")
+    return whole.select("line", F.array_join(F.transform("_s", lambda x: x["s"]), ",").alias("stops"), starts.alias("starts"))

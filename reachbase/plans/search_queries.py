@@ -9,6 +9,7 @@ from reachbase.functions.medians import upper_middle
 from reachbase.operators import housing, reach
 from reachbase.plans.housing_queries import _RENT, _ROOMS, _upper
 from reachbase.plans.registry import query
+from reachbase.sources import files
 
 BUDGET, WALK_CAP, PRICE_CAP = 60, 15, 9000
 _DISTANCE, _PRESENCE = ["MACHINERY"], ["FURNITURE"]
@@ -139,6 +140,16 @@ def name_normalise(t):
     return t("documents").select("doc_id", exprs.stop_name_key("text").alias("name_key"))
 
 
+@query("""
+WITH x AS (SELECT page_id, '<item><id>' || page_id || '</id>' || '<url> ' || replace(coalesce(url, ''), '&', '&amp;') || ' </url></item><item><id>n' || coalesce(strlen(html), 0) || '</id></item>' AS body FROM {pages}),
+i AS (SELECT page_id, unnest(regexp_extract_all(body, '(?s)<item>(.*?)</item>', 1)) AS item FROM x),
+v AS (SELECT page_id, trim(regexp_extract(item, '(?s)<id>(.*?)</id>', 1)) AS id, trim(regexp_extract(item, '(?s)<url>(.*?)</url>', 1)) AS url FROM i)
+SELECT page_id, id, replace(replace(replace(replace(replace(replace(url, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&') AS url FROM v""")
+def landed_items(t):
+    item = F.concat(F.lit("<item><id>"), F.col("page_id").cast("string"), F.lit("</id><url> "), F.replace(F.coalesce("url", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit(" </url></item><item><id>n"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("string"), F.lit("</id></item>"))
+    return files.xml_items(t("pages").select("page_id", item.alias("body")), "body", "item", ["id", "url"], keep=["page_id"])
+
+
 @query("""
 WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, '<li>([^<]*(?:<[^/l][^>]*>[^<]*</a>)?)</li>', 1)) AS item FROM {pages})
 SELECT page_id, replace(replace(replace(replace(replace(replace(item, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&') AS item, count(*) AS n FROM i GROUP BY 1, 2""")

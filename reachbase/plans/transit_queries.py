@@ -383,30 +383,149 @@ way AS (
 best AS (SELECT q, stop_id, t, parent, trip_id, row_number() OVER (PARTITION BY q, stop_id, t ORDER BY rides, parent, trip_id) AS place FROM way JOIN goal USING (q, stop_id, t))
 SELECT l.q AS query, l.stop_id, l.t, parent, trip_id FROM l3 l LEFT JOIN best b ON b.q = l.q AND b.stop_id = l.stop_id AND b.t = l.t AND b.place = 1""")
 def path_parents(t):
+    return path_parents_of(t)
+
+
+@query(f"""
+WITH RECURSIVE {_NET}, {_FORWARD}, seed AS ({_SEEDS.replace('{time}', '28800')}),
+goal AS (SELECT * FROM l3 WHERE NOT EXISTS (SELECT 1 FROM seed WHERE seed.q = l3.q AND seed.stop_id = l3.stop_id AND seed.t = l3.t)),
+way AS (
+  SELECT l.q, g AS stop_id, l.t + sec AS t, 0 AS rides, l.stop_id AS parent, CAST(NULL AS bigint) AS trip_id FROM l3 l JOIN tr ON f = l.stop_id
+  UNION ALL SELECT b.q, s.stop_id, b.start + s.off, 1, b.stop_id, b.trip_id
+  FROM (SELECT q, stop_id, trip_id, pos, first_start + CAST(ceil(greatest(0, t + 20 - off - first_start) / headway) AS bigint) * headway AS start, last_start FROM l3 JOIN {{pattern_stop}} USING (stop_id) JOIN baked USING (trip_id)) b
+  JOIN {{pattern_stop}} s ON s.trip_id = b.trip_id AND s.pos > b.pos WHERE b.start <= b.last_start),
+best AS (SELECT q, stop_id, t, parent, trip_id, row_number() OVER (PARTITION BY q, stop_id, t ORDER BY rides, parent, trip_id) AS place FROM way JOIN goal USING (q, stop_id, t)),
+par AS MATERIALIZED (SELECT l.q, l.stop_id, l.t, parent, trip_id FROM l3 l LEFT JOIN best b ON b.q = l.q AND b.stop_id = l.stop_id AND b.t = l.t AND b.place = 1),
+up AS (SELECT q, stop_id AS goal, 0 AS back, stop_id, t, trip_id, parent FROM par UNION ALL SELECT up.q, up.goal, up.back + 1, par.stop_id, par.t, par.trip_id, par.parent FROM up JOIN par ON par.q = up.q AND par.stop_id = up.parent)
+SELECT q AS query, goal, CAST(max(back) OVER (PARTITION BY q, goal) - back AS int) AS leg, stop_id, t, trip_id FROM up""")
+def path_legs(t):
+    """Every label's whole way, a row for each leg."""
+    ways = routing.paths(path_parents_of(t))
+    return ways.select("query", F.col("stop_id").alias("goal"), F.posexplode("legs").alias("leg", "_l")).select("query", "goal", "leg", "_l.stop_id", "_l.t", "_l.trip_id")
+
+
+def path_parents_of(t):
     transfers = graph.cut_lineage(routing.walking_transfers(t("stop"), most=100_000))
     return routing.explained(graph.cut_lineage(_arrivals(t, 3)), _seeds(t, 28800), t("pattern_stop"), _baked(t), transfers)
 
 
-@query()
-def dong_matrix(t):
-    """The matrix of one origin for each region: 20 slots, 5 samples, all rounds, all neighbourhoods; without SQL, tests compare it with a scalar search."""
+def _matrix_sql(origins: str, slots: str, samples: int, cap: int) -> str:
+    """The matrix by keyed recursion: a label's key is a query and a stop, and each step is a round from the labels that the last one improved.
+
+    origins: a subquery of (origin, dong_id); slots: one of (slot, arrive, seconds). Networks of both
+    directions of time stand in the same tables, told apart by d.
+    """
+    return f"""
+WITH RECURSIVE {_BAKED},
+tr AS (SELECT f, g, sec FROM (
+  SELECT a.stop_id AS f, b.stop_id AS g, CAST(greatest(30, floor({_meters('a.', 'b.')} * 1.4 / 1.1)) AS int) AS sec, row_number() OVER (PARTITION BY a.stop_id ORDER BY {_meters('a.', 'b.')}, b.stop_id) AS k
+  FROM {{stop}} a JOIN {{stop}} b ON a.stop_id <> b.stop_id AND abs(a.lat - b.lat) < 0.01 AND {_meters('a.', 'b.')} <= 400) WHERE k <= 64),
+acc AS (
+  SELECT d.dong_id, s.stop_id, CAST(greatest(10, floor({_meters('d.', 's.')} * 1.4 / 1.1)) AS int) AS sec
+  FROM {{dong}} d JOIN {{stop}} s ON abs(d.lat - s.lat) < 0.01 AND {_meters('d.', 's.')} <= 700),
+ends AS (SELECT trip_id, max(off) AS last, max(pos) + min(pos) AS span FROM {{pattern_stop}} GROUP BY trip_id),
+st AS (SELECT false AS d, trip_id, pos, stop_id, off FROM {{pattern_stop}} UNION ALL SELECT true, trip_id, span - pos, stop_id, last - off FROM {{pattern_stop}} JOIN ends USING (trip_id)),
+wi AS (SELECT false AS d, trip_id, first_start, last_start, headway FROM baked UNION ALL SELECT true, trip_id, -(last_start + last), -(first_start + last), headway FROM baked JOIN ends USING (trip_id)),
+asked AS (SELECT DISTINCT o.origin, o.dong_id, s.slot, s.arrive AS d, i AS sample, CASE WHEN s.arrive THEN -s.seconds ELSE s.seconds END + i * 360 AS base FROM ({origins}) o CROSS JOIN ({slots}) s CROSS JOIN range({samples}) r(i)),
+qs AS (SELECT *, row_number() OVER () AS q, base + {cap * 60} AS cutoff FROM asked),
+s0 AS (SELECT q, d, stop_id, min(base + sec) AS t, any_value(cutoff) AS cutoff FROM qs JOIN acc USING (dong_id) GROUP BY q, d, stop_id),
+l0 AS (SELECT q, d, stop_id, min(t) AS t, any_value(cutoff) AS cutoff FROM (SELECT * FROM s0 UNION ALL SELECT q, d, g, t + sec, cutoff FROM s0 JOIN tr ON f = stop_id WHERE t + sec <= cutoff) GROUP BY q, d, stop_id),
+lab(q, stop_id, t, d, cutoff, round) USING KEY (q, stop_id) AS (
+  SELECT q, stop_id, t, d, cutoff, 0 AS round FROM l0
+  UNION
+  (WITH boards AS (
+    SELECT q, d, trip_id, pos, round, cutoff, min(start) AS start FROM (
+      SELECT l.q, l.d, s.trip_id, s.pos, s.off, l.round, l.cutoff, last_start, first_start + CAST(ceil(greatest(0, l.t + CASE WHEN l.d THEN 0 ELSE 20 END - s.off - first_start) / headway) AS bigint) * headway AS start
+      FROM lab l JOIN st s ON s.d = l.d AND s.stop_id = l.stop_id JOIN wi w ON w.d = l.d AND w.trip_id = s.trip_id WHERE l.round < 6)
+    WHERE start <= last_start GROUP BY ALL),
+  rides AS (
+    SELECT k.q, k.d, s.stop_id, k.round, k.cutoff, s.off + CASE WHEN k.d THEN 20 ELSE 0 END + min(start) OVER (PARTITION BY k.q, s.trip_id ORDER BY s.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t
+    FROM (SELECT DISTINCT q, d, trip_id, round, cutoff FROM boards) k JOIN st s ON s.d = k.d AND s.trip_id = k.trip_id LEFT JOIN boards b ON b.q = k.q AND b.trip_id = s.trip_id AND b.pos = s.pos),
+  better AS (
+    SELECT r.* FROM (SELECT q, d, stop_id, round, cutoff, min(t) AS t FROM rides WHERE t <= cutoff GROUP BY ALL) r LEFT JOIN recurring.lab k ON k.q = r.q AND k.stop_id = r.stop_id WHERE k.t IS NULL OR r.t < k.t),
+  offer AS (
+    SELECT q, stop_id, d, cutoff, round, min(t) AS t FROM (
+      SELECT q, stop_id, t, d, cutoff, round FROM better UNION ALL SELECT q, g, t + sec, d, cutoff, round FROM better JOIN tr ON f = stop_id WHERE t + sec <= cutoff) GROUP BY ALL)
+  SELECT o.q, o.stop_id, o.t, o.d, o.cutoff, o.round + 1 FROM offer o LEFT JOIN recurring.lab k ON k.q = o.q AND k.stop_id = o.stop_id WHERE k.t IS NULL OR o.t < k.t)),
+reached AS (
+  SELECT q, dong_id, min(lab.t + sec) AS t, arg_min(sec, (lab.t + sec) * 100000 + sec) AS walk FROM lab JOIN acc USING (stop_id) WHERE lab.t + sec <= cutoff GROUP BY q, dong_id),
+timed AS (SELECT origin, slot, sample, reached.dong_id, reached.t - base AS sec, walk FROM reached JOIN qs USING (q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY origin, slot, dong_id ORDER BY sec, sample) AS r, count(*) OVER (PARTITION BY origin, slot, dong_id) AS n FROM timed),
+m AS (SELECT *, CAST((sec + 30) // 60 AS int) AS minutes FROM r WHERE n * 2 > {samples} AND r = least({(samples - 1) // 2 + 1}, n))
+SELECT origin, slot, dong_id, CASE WHEN minutes < {cap} THEN minutes END AS minutes, CASE WHEN minutes < {cap} THEN CAST(least(254, greatest(0, (walk + 30) // 60)) AS int) END AS walk FROM m"""
+
+
+_DAY_SLOTS = """
+SELECT CAST(row_number() OVER (ORDER BY arrive DESC, seconds) - 1 AS int) AS slot, arrive, seconds
+FROM (SELECT true AS arrive, 25200 + 1800 * i AS seconds FROM range(7) x(i) UNION ALL SELECT false, 61200 + 1800 * i FROM range(13) x(i))"""
+_TWO_SLOTS = "SELECT * FROM (VALUES (0, true, 32400), (1, false, 64800)) x(slot, arrive, seconds)"
+
+
+def _matrix(t, origins, slots, samples: int, cap: int):
     near = spatial.within(spatial.points(t("dong"), "dong_id", "a"), spatial.points(t("stop"), "stop_id", "b"), 700)
     walk = graph.cut_lineage(near.select(F.col("a").alias("dong_id"), F.col("b").alias("stop_id"), F.greatest(F.lit(10), F.floor(F.col("meters") * 1.4 / 1.1).cast("int")).alias("sec")))
-    origins = _seeds(t, 0).select(F.col("query").alias("origin"), F.col("stop_id").alias("dong_id"))
     transfers = graph.cut_lineage(routing.walking_transfers(t("stop"), most=64))
-    slots = matrix.default_slots(transfers.sparkSession)
-    return matrix.dong_matrix(origins.join(walk, "dong_id").select("origin", "stop_id", "sec"), walk, t("pattern_stop"), _baked(t), transfers, slots, 50)
+    return matrix.dong_matrix(origins.join(walk, "dong_id").select("origin", "stop_id", "sec"), walk, t("pattern_stop"), _baked(t), transfers, slots, cap, samples)
 
 
-@query()
-def rail_matrix(t):
-    """All nodes at four slots, both ways in time; a search until nothing improves has no SQL here, tests compare it with a scalar one."""
+@query(_matrix_sql("SELECT CAST(n_regionkey AS bigint) AS origin, min(s_suppkey) AS dong_id FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey", _DAY_SLOTS, 5, 50))
+def dong_matrix(t):
+    """One origin for each region: 20 slots, 5 samples, six rounds, all neighbourhoods within 50 minutes."""
+    origins = _seeds(t, 0).select(F.col("query").alias("origin"), F.col("stop_id").alias("dong_id"))
+    return _matrix(t, origins, matrix.default_slots(t("dong").sparkSession), 5, 50)
+
+
+@query(_matrix_sql("SELECT dong_id AS origin, dong_id FROM {dong}", _TWO_SLOTS, 3, 120))
+def dong_matrix_all_origins(t):
+    """Every neighbourhood as an origin, arriving and departing, 3 samples, six rounds, within two hours."""
+    slots = t("dong").sparkSession.createDataFrame([(0, True, 32_400), (1, False, 64_800)], "slot int, arrive boolean, seconds int")
+    return _matrix(t, t("dong").select(F.col("dong_id").alias("origin"), "dong_id"), slots, 3, 120)
+
+
+def _rail_connections(t, stations: int):
     k = F.col("l_orderkey") % 80_000
-    connections = t("lineitem").select((F.col("l_suppkey") % 30).alias("origin"), (F.col("l_partkey") % 30).alias("dest"), k.alias("dep"), (k + 60 + F.col("l_quantity").cast("long") * 20).alias("arr")).where("origin <> dest")
-    nodes = t("supplier").select((F.col("s_suppkey") % 30).alias("node")).distinct()
-    walks = nodes.select(F.col("node").alias("from_node"), ((F.col("node") + 1) % 30).alias("to_node"), F.lit(180).cast("long").alias("sec"))
+    connections = t("lineitem").select((F.col("l_suppkey") % stations).alias("origin"), (F.col("l_partkey") % stations).alias("dest"), k.alias("dep"), (k + 60 + F.col("l_quantity").cast("long") * 20).alias("arr")).where("origin <> dest")
+    nodes = t("supplier").select((F.col("s_suppkey") % stations).alias("node")).distinct()
+    walks = nodes.select(F.col("node").alias("from_node"), ((F.col("node") + 1) % stations).alias("to_node"), F.lit(180).cast("long").alias("sec"))
+    return nodes, connections, graph.cut_lineage(walks)
+
+
+def _rail_sql(slots: str, stations: int) -> str:
+    """The fixpoint by keyed recursion: a step rides and walks from the labels that the last one improved."""
+    return f"""
+WITH RECURSIVE c0 AS (SELECT l_suppkey % {stations} AS x, l_partkey % {stations} AS y, l_orderkey % 80000 AS dep, l_orderkey % 80000 + 60 + CAST(l_quantity AS bigint) * 20 AS arr FROM {{lineitem}}),
+c AS (SELECT DISTINCT false AS d, x, y, dep, arr FROM c0 WHERE x <> y UNION ALL SELECT DISTINCT true, y, x, -arr, -dep FROM c0 WHERE x <> y),
+node AS (SELECT DISTINCT s_suppkey % {stations} AS node FROM {{supplier}}),
+w AS (SELECT false AS d, node AS x, (node + 1) % {stations} AS y FROM node UNION ALL SELECT true, (node + 1) % {stations}, node FROM node),
+qs AS (SELECT row_number() OVER () AS q, node AS station, slot, arrive AS d, seconds FROM node CROSS JOIN ({slots}) s),
+lab(q, node, t, d) USING KEY (q, node) AS (
+  SELECT q, station, CAST(CASE WHEN d THEN -seconds ELSE seconds END AS bigint), d FROM qs
+  UNION
+  SELECT o.q, o.node, o.t, o.d FROM (
+    SELECT q, node, d, min(t) AS t FROM (
+      SELECT l.q, c.y AS node, l.d, c.arr AS t FROM lab l JOIN c ON c.d = l.d AND c.x = l.node AND c.dep >= l.t UNION ALL SELECT l.q, w.y, l.d, l.t + 180 FROM lab l JOIN w ON w.d = l.d AND w.x = l.node) GROUP BY ALL) o
+  LEFT JOIN recurring.lab k ON k.q = o.q AND k.node = o.node WHERE k.t IS NULL OR o.t < k.t)
+SELECT station, slot, node, t - CASE WHEN d THEN -seconds ELSE seconds END AS sec FROM lab JOIN (SELECT q, station, slot, seconds FROM qs) USING (q)"""
+
+
+@query(_rail_sql("SELECT * FROM (VALUES (0, false, 28800), (1, false, 64800), (2, true, 32400), (3, true, 68400)) x(slot, arrive, seconds)", 30))
+def rail_matrix(t):
+    """All nodes at four slots, both ways in time, until nothing improves."""
+    nodes, connections, walks = _rail_connections(t, 30)
     slots = nodes.sparkSession.createDataFrame([(0, False, 28_800), (1, False, 64_800), (2, True, 32_400), (3, True, 68_400)], "slot int, arrive boolean, seconds long")
-    return routing.rail_matrix(nodes, slots, connections, graph.cut_lineage(walks))
+    return routing.rail_matrix(nodes, slots, connections, walks)
+
+
+_TEN_MINUTES = "SELECT CAST(i AS int) AS slot, i % 2 = 1 AS arrive, 18000 + i // 2 * 600 AS seconds FROM range(232) r(i)"
+
+
+@query(_rail_sql(_TEN_MINUTES, 25))
+def rail_matrix_all_slots(t):
+    """All nodes at each of 232 slots: every ten minutes of the day, departing and arriving."""
+    nodes, connections, walks = _rail_connections(t, 25)
+    i = F.col("id")
+    slots = nodes.sparkSession.range(232).select(i.cast("int").alias("slot"), (i % 2 == 1).alias("arrive"), (18_000 + F.floor(i / 2) * 600).alias("seconds"))
+    return routing.rail_matrix(nodes, slots, connections, walks)
 
 
 @query("""

@@ -55,9 +55,12 @@ SELECT l_orderkey AS od_id, CAST(1 + floor(l_quantity / 5) AS int) AS stops, l_e
 FROM {lineitem}""",
     # What reaches a neighbourhood: a stand-in for the routed matrix where a query is about searching it.
     "reach": """
-SELECT c_custkey % 50 AS origin, CAST(c_custkey % 20 AS int) AS slot, s_suppkey AS dong_id, CAST((c_custkey * 7 + s_suppkey * 13) % 150 AS int) AS minutes, CAST((c_custkey + s_suppkey * 3) % 20 AS int) AS walk
-FROM (SELECT min(c_custkey) AS c_custkey FROM {customer} GROUP BY c_custkey % 50, c_custkey % 20) c JOIN {supplier} ON true""",
-    "amenity": "SELECT s_suppkey AS dong_id, c_mktsegment AS code, CAST(count(*) AS int) AS n FROM {customer} JOIN {supplier} ON s_nationkey = c_nationkey WHERE (c_custkey + s_suppkey) % 3 > 0 GROUP BY s_suppkey, c_mktsegment",
+SELECT l_partkey % 50 AS origin, CAST(l_orderkey % 20 AS int) AS slot, l_suppkey AS dong_id, CAST(min(l_orderkey * 7 % 150) AS int) AS minutes, CAST(min(l_partkey * 3 % 20) AS int) AS walk
+FROM {lineitem} GROUP BY l_partkey % 50, l_orderkey % 20, l_suppkey""",
+    "amenity": """
+SELECT s_suppkey AS dong_id, code, CAST(sum(k) AS int) AS n
+FROM (SELECT c_nationkey, c_mktsegment AS code, c_custkey % 3 AS r, count(*) AS k FROM {customer} GROUP BY c_nationkey, c_mktsegment, c_custkey % 3) c
+JOIN {supplier} ON s_nationkey = c_nationkey WHERE (r + s_suppkey) % 3 > 0 GROUP BY s_suppkey, code""",
 }
 _NAME = re.compile(r"\{(\w+)\}")
 

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import math
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from reachbase.functions.exprs import unescape_xml
+
+
 GTFS_SCHEMAS = {
     "agency": "agency_id string, agency_name string, agency_url string, agency_timezone string",
     "stops": "stop_id string, stop_name string, stop_lat double, stop_lon double, location_type int, parent_station string",
@@ -123,25 +127,30 @@ def decode_entities(text):
 
 
 def read_legacy_csv(spark: SparkSession, path: str, schema: str, encoding: str = "cp949") -> DataFrame:
-    """CSV files in an encoding that Spark's reader doesn't take, each decoded whole in its task."""
+    """CSV files in an encoding that Spark's reader doesn't take, each decoded whole in its task.
+
+    Quoted cells may hold line ends. Empty cells, missing ones and those of another type are null;
+    rows whose first cell is the first column's name are headers and go.
+    """
+
+    kinds = [c.strip().split(None, 1) for c in schema.split(",")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
-            yield pd.DataFrame({"value": [b.decode(encoding, "replace") for b in files["content"]]})
-
-    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "value string")
-    lines = text.select(F.explode(F.split("value", r"\r?\n")).alias("value")).where("value <> ''")
-    names = [c.strip().split()[0] for c in schema.split(",")]
-    parsed = lines.select(F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
-    return parsed.where(F.coalesce(F.col(names[0]).cast("string"), F.lit("")) != F.lit(names[0]))
+            for content in files["content"]:
+                reader = csv.reader(io.StringIO(content.decode(encoding, "replace"), newline=""))
+                while part := list(itertools.islice(reader, 10_000)):
+                    yield pd.DataFrame({"cells": [[x or None for x in row] for row in part if row]})
 
+    cells = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "cells array<string>")
+    parsed = cells.where(F.coalesce(F.trim(F.get("cells", F.lit(0))), F.lit("")) != kinds[0][0])
+    return parsed.select(*[F.get("cells", F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(kinds)])
 
-def xml_items(raw: DataFrame, column: str, item: str, tags: list[str]) -> DataFrame:
-    """One row for each ``<item>`` of landed XML bodies, a string column for each tag, empty where missing."""
-    from reachbase.functions.exprs import unescape_xml
 
-    each = raw.select(F.explode(F.regexp_extract_all(column, F.lit(rf"(?s)<{item}>(.*?)</{item}>"), 1)).alias("_x"))
-    return each.select(*[unescape_xml(F.trim(F.regexp_extract("_x", rf"(?s)<{t}>(.*?)</{t}>", 1))).alias(t) for t in tags])
+def xml_items(raw: DataFrame, column: str, item: str, tags: list[str], keep: Sequence[str] = ()) -> DataFrame:
+    """One row for each ``<item>`` of landed XML bodies: the columns to keep, and a string column for each tag, empty where missing."""
+    each = raw.select(*keep, F.explode(F.regexp_extract_all(column, F.lit(rf"(?s)<{item}>(.*?)</{item}>"), 1)).alias("_x"))
+    return each.select(*keep, *[unescape_xml(F.trim(F.regexp_extract("_x", rf"(?s)<{t}>(.*?)</{t}>", 1))).alias(t) for t in tags])
 
 
 def request_plan(*dimensions: DataFrame) -> DataFrame:

@@ -50,6 +50,36 @@ def keep_history(rows: DataFrame, table: str, checkpoint: str, refresh: Callable
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def flushed_cache(replies: DataFrame, cache: str, keys: list[str], newest: str, checkpoint: str, at_least_once: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Takes landed replies in bounded micro-batches and flushes each into a keyed cache before the next one begins.
+
+    replies: a file stream with ``maxFilesPerTrigger``, so a batch is what may be lost, and redone,
+    when the work stops. A batch's replies are one version of the cache, in a folder of its
+    own that a repeated batch replaces; the stream's own checkpoint, written after the batch, is
+    the cursor. So a run that stops between two batches, or inside one, goes on where it was,
+    without a lost or doubled key. at_least_once is called with the batch's number after its flush.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        latest_per_key(df, keys, newest).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(cache)
+        if at_least_once:
+            at_least_once(number)
+
+    return replies.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_per_key(rows: DataFrame, keys: list[str], newest: str) -> DataFrame:
+    """One row for each key: that with the greatest ``newest``, and of equal ones the greatest by its other columns."""
+    others = [c for c in rows.columns if c not in (*keys, newest)]
+    return rows.groupBy(*keys).agg(F.max(F.struct(newest, *others)).alias("_l")).select(*keys, "_l.*")
+
+
+def read_cache(spark: SparkSession, cache: str, keys: list[str], newest: str) -> DataFrame:
+    """The cache as it stands after its last flush: of each key the newest reply, later batches first among equal times."""
+    rows = spark.read.parquet(cache)
+    return latest_per_key(rows.withColumn("_at", F.struct(newest, "batch")), keys, "_at").drop("_at", "batch")
+
+
 def speed_refresh(history: DataFrame) -> DataFrame:
     return segment_medians(history)
 

@@ -38,5 +38,5 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_queries_without_sql_are_named():
-    """Searches until nothing improves, and walks of trees; tests/test_routing.py has plain versions."""
-    assert set(QUERIES) - set(ORACLE_SQL) == {"dong_matrix", "rail_matrix", "terminal_runs"} and set(ORACLE_SQL) <= set(QUERIES)
+    """Every query has SQL."""
+    assert set(QUERIES) - set(ORACLE_SQL) == set() and set(ORACLE_SQL) <= set(QUERIES)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reachbase.operators import build, matrix, network, routing
+from reachbase.operators import build, matrix, routing
 
 INF = 10**9
 
@@ -150,8 +150,9 @@ def test_paths_lead_back_to_the_seed(spark):
         parents = routing.explained(labels, seeds, *tables)
         rows = {r["stop_id"]: r for r in parents.collect()}
         assert all(r["parent"] is not None or s == 0 for s, r in rows.items()) and len(rows) == labels.count()
-        for s in list(rows)[:3]:
-            path = network.unwound(parents, 1, s)
+        ways = {r["stop_id"]: [(x["stop_id"], x["t"]) for x in r["legs"]] for r in routing.paths(parents).collect()}
+        assert set(ways) == set(rows)
+        for s, path in ways.items():
             assert path[0] == (0, 100) and path[-1] == (s, rows[s]["t"]) and [t for _, t in path] == sorted(t for _, t in path)
             for (a, ta), (b, tb) in zip(path, path[1:]):
                 trip = rows[b]["trip_id"]
