@@ -75,7 +75,11 @@ def decode(fingerprint: str) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
-    """doc_id, fingerprint (hex of the sorted hashes) and n_distinct of every document; a null text counts as empty."""
+    """doc_id, fingerprint (hex of the sorted hashes) and n_distinct of every document.
+
+    A null text counts as empty; very long ones count whole; repeated rows get a row each; extra
+    columns are ignored; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,43 +117,52 @@ def merged_fingerprints(parts: DataFrame, k: int = K, words: int = WORDS) -> Dat
     return parts.select("doc_id").distinct().join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
 
 
-def _runs(docs: DataFrame) -> tuple[list, bool]:
-    """The lowest doc_ids of ranges of about equal numbers of rows, one for each partition, and whether any is null.
+#: The order of documents: null doc_ids first, then by doc_id, of equal ones by their texts' CRC, of equal ones by their place in docs.
+_ORDER = ("_some", "_id", "_crc", "_place")
+_ORDER_TYPE = np.dtype([("some", "i1"), ("id", "i8"), ("crc", "i8"), ("place", "i8")])
+
+
+def _ordered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the columns of the order. No two rows are equal in it, so no number of equal ids or texts ends in one range."""
+    number = F.col("doc_id").cast("long")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return docs.select("doc_id", "text", number.isNotNull().cast("tinyint").alias("_some"), F.coalesce(number, F.lit(0)).alias("_id"), crc.alias("_crc"), F.monotonically_increasing_id().alias("_place"))
+
+
+def _runs(rows: DataFrame) -> np.ndarray:
+    """The first rows, in the order, of ranges of about equal numbers of rows, one for each partition.
 
     What comes to the driver are these bounds, as many as partitions, whatever the number of rows.
     """
-    n = partitions(docs.sparkSession)
-    ids = docs.select("doc_id").repartitionByRange(n, "doc_id")
-    ranges = ids.groupBy(F.spark_partition_id().alias("_p")).agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("none")).collect()
-    return sorted({r["low"] for r in ranges if r["low"] is not None}), any(r["none"] for r in ranges)
+    ranges = rows.select(*_ORDER).repartitionByRange(partitions(rows.sparkSession), *_ORDER)
+    lows = ranges.groupBy(F.spark_partition_id().alias("_p")).agg(F.min(F.struct(*_ORDER)).alias("low")).collect()
+    return np.array(sorted(tuple(r["low"]) for r in lows), _ORDER_TYPE)
 
 
 def _dealt_in_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, text, _run and _next, each run in one partition, sorted by doc_id.
+    """doc_id, text, _run and _next, each run in one partition, in the order.
 
-    After its own rows, a run has the next run's first rows (_next is true), the last run the
-    first rows of all: so each row's successor stands behind it, and every text moves once.
-    Null doc_ids come first; rows with equal doc_ids are in one run, by their texts' CRC.
+    After its own rows, a run has the next run's first row (_next is true), the last run the
+    first of all: so each row's successor stands behind it, and every text moves once but for
+    one row of each run. docs must have its rows in the same partitions whenever it is read, as files do.
     """
-    lows, none = _runs(docs)
-    bounds = np.array(lows, np.int64)
-    runs = max(1, len(lows))
+    rows = _ordered(docs)
+    bounds = _runs(rows)
+    runs = max(1, len(bounds))
 
     @F.pandas_udf("int")
-    def run_of(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(bounds, ids.fillna(np.iinfo(np.int64).min).astype(np.int64), side="right") - 1
-        return pd.Series(np.maximum(at, 0).astype(np.int32))
+    def place_of(some: pd.Series, number: pd.Series, crc: pd.Series, place: pd.Series) -> pd.Series:
+        keys = np.empty(len(some), _ORDER_TYPE)
+        keys["some"], keys["id"], keys["crc"], keys["place"] = some, number, crc, place
+        at = np.maximum(np.searchsorted(bounds, keys, side="right") - 1, 0)
+        return pd.Series((2 * at + (keys == bounds[at])).astype(np.int32))
 
-    key = F.col("doc_id")
-    first = F.array(*[F.lit(x) for x in lows]) if lows else F.array(F.lit(0).cast("long"))
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    own = docs.select("doc_id", "text", run_of(key.cast("long")).alias("_run")).withColumn("_crc", crc)
-    leads = F.when(F.col("_run") == 0, key.isNull() if none else key == first[0]).otherwise(key == first[F.col("_run")])
+    own = rows.withColumn("_at", place_of(*_ORDER)).withColumn("_run", F.shiftright("_at", 1))
     here = F.struct(F.col("_run").alias("run"), F.lit(False).alias("next"))
     back = F.struct(F.pmod(F.col("_run") - 1, F.lit(runs)).alias("run"), F.lit(True).alias("next"))
-    twice = own.withColumn("_to", F.explode(F.when(leads, F.array(here, back)).otherwise(F.array(here))))
-    dealt = twice.select("doc_id", "text", "_crc", F.col("_to.run").alias("_run"), F.col("_to.next").alias("_next"))
-    return dealt.repartitionById(runs, F.col("_run")).sortWithinPartitions("_run", "_next", "doc_id", "_crc").drop("_crc")
+    twice = own.withColumn("_to", F.explode(F.when(F.col("_at") % 2 == 1, F.array(here, back)).otherwise(F.array(here))))
+    dealt = twice.select("doc_id", "text", *_ORDER, F.col("_to.run").alias("_run"), F.col("_to.next").alias("_next"))
+    return dealt.repartitionById(runs, F.col("_run")).sortWithinPartitions("_run", "_next", *_ORDER).drop(*_ORDER)
 
 
 def edit_with_following(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
@@ -162,7 +175,8 @@ def edit_with_following(docs: DataFrame, k: int = K, words: int = WORDS) -> Data
 
     docs: doc_id (a whole number) and text are used. Null texts count as empty; texts without
     words are alike (1). Null doc_ids come first; rows with equal doc_ids follow each other by
-    their texts' CRC; a single row follows itself; an empty table gives an empty result.
+    their texts' CRC; a single row follows itself; an empty table gives an empty result. docs must
+    have its rows in the same partitions whenever it is read, as files do; if not, it is an error.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, in_edited double"
 
@@ -176,9 +190,10 @@ def edit_with_following(docs: DataFrame, k: int = K, words: int = WORDS) -> Data
                 rows = held + rows
                 yield _compared(rows, k, words)
                 held = [rows[-1].copied()] if n else held
+        if held and not held[0].follows:
+            raise ValueError("the rows of docs changed places while they were read; write them first")
 
-    out = _dealt_in_runs(by_small_batches(docs)).mapInArrow(run, schema)
-    return out
+    return _dealt_in_runs(by_small_batches(docs)).mapInArrow(run, schema)
 
 
 class _Held:

@@ -80,6 +80,27 @@ def test_fingerprints(odd_docs, no_docs):
     assert fingerprint.edit_with_following(no_docs).count() == 0
 
 
+def test_rows_with_one_id_are_spread(spark):
+    """A third of all rows without an id, a third with one id and text: no partition holds much more than another."""
+    rows = [(None, f"text {i} of none") for i in range(900)] + [(7, "always the same text here") for _ in range(900)] + [(i, f"own {i} text") for i in range(100, 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        dealt = fingerprint._dealt_in_runs(docs)
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert dealt.where("_next").count() == 8 and sum(sizes) == 2708 and max(sizes) < 2 * 2708 / 8
+        got = fingerprint.edit_with_following(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].encode())))
+    want = Counter()
+    for (i, a), (_, b) in zip(order, order[1:] + order[:1]):
+        cut = len(a) // 4
+        want[i, hashlib.sha256((a[: len(a) - cut] + b[:cut]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
 def shingle_set(text, k=fingerprint.WORDS):
     w = words(text)
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
