@@ -102,3 +102,12 @@ def service_windows(routes: DataFrame, factors: DataFrame) -> DataFrame:
     done = merged.groupBy("route_id", "_g").agg(F.min("_a").alias("window_from"), F.max("_b").alias("window_to"), F.first("_h").alias("headway")).drop("_g")
     whole = routes.join(done.select("route_id").distinct(), "route_id", "left_anti").select("route_id", F.col("start_min").cast("long").alias("window_from"), F.col("end_min").cast("long").alias("window_to"), F.col("headway").cast("int").alias("headway"))
     return done.unionByName(whole)
+
+
+def renumbered(rows: DataFrame, key: str, order: str, value: str, least: int = 2) -> DataFrame:
+    """Rows without those that repeat the value before them, numbered anew from 1; keys with fewer than ``least`` rows left go."""
+    along = Window.partitionBy(key).orderBy(order)
+    last = F.lag(value).over(along)
+    kept = rows.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("_last") != F.col(value))).drop("_last")
+    counted = kept.withColumn(order, F.row_number().over(along)).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    return counted.where(F.col("_n") >= least).drop("_n")

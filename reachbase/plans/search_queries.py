@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reachbase.functions import exprs
 from reachbase.functions.medians import upper_middle
-from reachbase.operators import housing, reach
+from reachbase.operators import graph, housing, outline, reach
 from reachbase.plans.housing_queries import _RENT, _ROOMS, _upper
 from reachbase.plans.registry import query
 from reachbase.sources import files
@@ -277,3 +277,19 @@ def padded_bounds(t):
 def drawn_stations(t):
     stations = t("stop").select(F.col("stop_id").alias("station_id"), "lat", "lon")
     return reach.drawn_stations(stations, 37.51, 127.01).select("station_id", "d2")
+
+
+@query(f"""
+WITH RECURSIVE {_RASTER}, cell AS (SELECT CAST(floor(value / 15) AS int) AS band, row, col FROM field),
+side AS (SELECT band, col + u AS x, row + v AS y, col + k AS kx, row + l AS ky, flat, d FROM cell CROSS JOIN (VALUES (0, 0, 0, 0, true, 0), (1, 0, 1, 0, false, 1), (1, 1, 0, 1, true, 2), (0, 1, 0, 0, false, 3)) s(u, v, k, l, flat, d)),
+edge AS (SELECT band, x, y, d FROM side QUALIFY count(*) OVER (PARTITION BY band, kx, ky, flat) = 1),
+ends AS (SELECT *, x + CASE d WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS ex, y + CASE d WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS ey FROM edge),
+nxt AS MATERIALIZED (SELECT e.band, e.x, e.y, e.d, o.x AS nx, o.y AS ny, o.d AS nd FROM ends e JOIN edge o ON o.band = e.band AND o.x = e.ex AND o.y = e.ey QUALIFY row_number() OVER (PARTITION BY e.band, e.x, e.y, e.d ORDER BY (e.d + 5 - o.d) % 4) = 1),
+walk AS (SELECT band, x AS sx, y AS sy, d AS sd, x, y, d FROM edge UNION SELECT w.band, w.sx, w.sy, w.sd, nx, ny, nd FROM walk w JOIN nxt n ON n.band = w.band AND n.x = w.x AND n.y = w.y AND n.d = w.d),
+ring AS (SELECT band, sx, sy, sd, min([x, y, d]) AS ring FROM walk GROUP BY ALL),
+turn AS (SELECT n.band, r.ring, n.x, n.y, n.nx, n.ny, n.d <> n.nd AS turns FROM nxt n JOIN ring r ON r.band = n.band AND r.sx = n.x AND r.sy = n.y AND r.sd = n.d)
+SELECT band, array_to_string(ring, ',') AS ring, count(*) FILTER (WHERE turns) AS corners, CAST(sum(x * ny - nx * y) / 2 AS bigint) AS area FROM turn GROUP BY band, ring""")
+def band_outlines(t):
+    """Rings around the cells of each band of 15 minutes, with their corners and areas; holes are negative."""
+    cells = _field(t).select(F.floor(F.col("value") / 15).cast("int").alias("band"), "row", "col")
+    return outline.ring_areas(outline.rings(graph.cut_lineage(cells)))
