@@ -72,6 +72,11 @@ def best_of(grid: DataFrame) -> DataFrame:
 LONG_M, DEAD_SECONDS, DEAD_FACTOR = 1500.0, 2, 0.05
 #: Rows that a fit needs on either side, and long ones that the factor needs.
 MIN_SIDE, MIN_LONG = 50, 20
+# The grids that are searched, factors of long segments and seconds at a stop.
+FACTORS = [round(0.40 + 0.05 * i, 2) for i in range(53)]
+DWELLS = list(range(181))
+#: Metres from which a leg tells a ratio of distances, ratios that it takes, and by how much a ratio must move to count.
+RATIO_M, MIN_RATIOS, DEAD_RATIO = 300, 30, 0.01
 
 
 def refit(rows: DataFrame, dwell: int, factor: float) -> DataFrame:
@@ -91,11 +96,10 @@ def refit(rows: DataFrame, dwell: int, factor: float) -> DataFrame:
     best_factor, best_dwell = factor, dwell
     by = ["hops", "long", "ride", "ext"]
     if fitted and sizes["long"] >= MIN_LONG:
-        grid = [round(0.40 + 0.05 * i, 2) for i in range(53)]
-        best_factor = best_of(grid_search(split.where("train AND long"), grid, by, lambda f: F.col("ride") / f + F.col("hops") * dwell - F.col("ext"))).first()["value"]
+        best_factor = best_of(grid_search(split.where("train AND long"), FACTORS, by, lambda f: F.col("ride") / f + F.col("hops") * dwell - F.col("ext"))).first()["value"]
     slowed = F.col("ride") / F.when(F.col("long"), best_factor).otherwise(1.0)
     if fitted:
-        best_dwell = best_of(grid_search(split.where("train"), list(range(181)), by, lambda b: slowed + F.col("hops") * b - F.col("ext"))).first()["value"]
+        best_dwell = best_of(grid_search(split.where("train"), DWELLS, by, lambda b: slowed + F.col("hops") * b - F.col("ext"))).first()["value"]
         best_dwell = dwell if abs(best_dwell - dwell) < DEAD_SECONDS else best_dwell
         best_factor = factor if abs(best_factor - factor) < DEAD_FACTOR else best_factor
     slowed = F.col("ride") / F.when(F.col("long"), best_factor).otherwise(1.0)
@@ -104,6 +108,21 @@ def refit(rows: DataFrame, dwell: int, factor: float) -> DataFrame:
     return held.select(F.lit(fitted).alias("fitted"), F.lit(int(best_dwell)).alias("dwell"), F.lit(float(best_factor)).alias("factor"), "bias", "mae", "within")
 
 
+def refit_ratios(rows: DataFrame, ratio: float, regional_ratio: float, regional_types: list[str]) -> DataFrame:
+    """One row: ratio and regional_ratio, measured on legs (type, ours_m, ext_m) as the middle of outside over own metres.
+
+    Ratios are measured, not fitted, so no half is held out. The ratio of all legs stays as it is
+    where it would move by less than DEAD_RATIO; the one of regional types, on whose straight
+    lines everything there rests, always follows. Too few legs change nothing.
+    """
+    legs = rows.where(F.col("ours_m") > RATIO_M).select((F.col("ext_m") / F.col("ours_m")).alias("_r"), F.coalesce(F.col("type").isin(regional_types), F.lit(False)).alias("_g"))
+    got = legs.agg(F.count("*").alias("_n"), F.round(at_share("_r", 0.5), 3).alias("_all"))
+    own = legs.where("_g").agg(F.count("*").alias("_m"), F.round(at_share("_r", 0.5), 3).alias("_regional"))
+    moved = (F.col("_n") >= MIN_RATIOS) & (F.abs(F.col("_all") - ratio) >= DEAD_RATIO)
+    both = got.crossJoin(F.broadcast(own))  # one row each
+    return both.select(F.when(moved, F.col("_all")).otherwise(ratio).alias("ratio"), F.when(F.col("_m") >= MIN_RATIOS, F.col("_regional")).otherwise(regional_ratio).alias("regional_ratio"))
+
+
 def detour_ratio(rows: DataFrame, by: list[str], least: int = 30, default: float = 1.07) -> DataFrame:
     """The middle of outside over own metres for legs above 300 m, to three decimals; default where they are few."""
     legs = rows.where("ours_m > 300").withColumn("_r", F.col("ext_m") / F.col("ours_m"))

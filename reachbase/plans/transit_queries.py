@@ -409,8 +409,8 @@ def path_parents_of(t):
     return routing.explained(graph.cut_lineage(_arrivals(t, 3)), _seeds(t, 28800), t("pattern_stop"), _baked(t), transfers)
 
 
-def _matrix_sql(origins: str, slots: str, samples: int, cap: int) -> str:
-    """The matrix by keyed recursion: a label's key is a query and a stop, and each step is a round from the labels that the last one improved.
+def _search_sql(origins: str, slots: str, samples: int, cap: int, rounds: int = 6) -> str:
+    """Searches by keyed recursion: a label's key is a query and a stop, and each step is a round from the labels that the last one improved.
 
     origins: a subquery of (origin, dong_id); slots: one of (slot, arrive, seconds). Networks of both
     directions of time stand in the same tables, told apart by d.
@@ -436,7 +436,7 @@ lab(q, stop_id, t, d, cutoff, round) USING KEY (q, stop_id) AS (
   (WITH boards AS (
     SELECT q, d, trip_id, pos, round, cutoff, min(start) AS start FROM (
       SELECT l.q, l.d, s.trip_id, s.pos, s.off, l.round, l.cutoff, last_start, first_start + CAST(ceil(greatest(0, l.t + CASE WHEN l.d THEN 0 ELSE 20 END - s.off - first_start) / headway) AS bigint) * headway AS start
-      FROM lab l JOIN st s ON s.d = l.d AND s.stop_id = l.stop_id JOIN wi w ON w.d = l.d AND w.trip_id = s.trip_id WHERE l.round < 6)
+      FROM lab l JOIN st s ON s.d = l.d AND s.stop_id = l.stop_id JOIN wi w ON w.d = l.d AND w.trip_id = s.trip_id WHERE l.round < {rounds})
     WHERE start <= last_start GROUP BY ALL),
   rides AS (
     SELECT k.q, k.d, s.stop_id, k.round, k.cutoff, s.off + CASE WHEN k.d THEN 20 ELSE 0 END + min(start) OVER (PARTITION BY k.q, s.trip_id ORDER BY s.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t
@@ -446,7 +446,12 @@ lab(q, stop_id, t, d, cutoff, round) USING KEY (q, stop_id) AS (
   offer AS (
     SELECT q, stop_id, d, cutoff, round, min(t) AS t FROM (
       SELECT q, stop_id, t, d, cutoff, round FROM better UNION ALL SELECT q, g, t + sec, d, cutoff, round FROM better JOIN tr ON f = stop_id WHERE t + sec <= cutoff) GROUP BY ALL)
-  SELECT o.q, o.stop_id, o.t, o.d, o.cutoff, o.round + 1 FROM offer o LEFT JOIN recurring.lab k ON k.q = o.q AND k.stop_id = o.stop_id WHERE k.t IS NULL OR o.t < k.t)),
+  SELECT o.q, o.stop_id, o.t, o.d, o.cutoff, o.round + 1 FROM offer o LEFT JOIN recurring.lab k ON k.q = o.q AND k.stop_id = o.stop_id WHERE k.t IS NULL OR o.t < k.t))"""
+
+
+def _matrix_sql(origins: str, slots: str, samples: int, cap: int) -> str:
+    """The matrix of searches in six rounds."""
+    return f"""{_search_sql(origins, slots, samples, cap)},
 reached AS (
   SELECT q, dong_id, min(lab.t + sec) AS t, arg_min(sec, (lab.t + sec) * 100000 + sec) AS walk FROM lab JOIN acc USING (stop_id) WHERE lab.t + sec <= cutoff GROUP BY q, dong_id),
 timed AS (SELECT origin, slot, sample, reached.dong_id, reached.t - base AS sec, walk FROM reached JOIN qs USING (q)),
@@ -461,9 +466,13 @@ FROM (SELECT true AS arrive, 25200 + 1800 * i AS seconds FROM range(7) x(i) UNIO
 _TWO_SLOTS = "SELECT * FROM (VALUES (0, true, 32400), (1, false, 64800)) x(slot, arrive, seconds)"
 
 
-def _matrix(t, origins, slots, samples: int, cap: int):
+def _walks(t):
     near = spatial.within(spatial.points(t("dong"), "dong_id", "a"), spatial.points(t("stop"), "stop_id", "b"), 700)
-    walk = graph.cut_lineage(near.select(F.col("a").alias("dong_id"), F.col("b").alias("stop_id"), F.greatest(F.lit(10), F.floor(F.col("meters") * 1.4 / 1.1).cast("int")).alias("sec")))
+    return graph.cut_lineage(near.select(F.col("a").alias("dong_id"), F.col("b").alias("stop_id"), F.greatest(F.lit(10), F.floor(F.col("meters") * 1.4 / 1.1).cast("int")).alias("sec")))
+
+
+def _matrix(t, origins, slots, samples: int, cap: int):
+    walk = _walks(t)
     transfers = graph.cut_lineage(routing.walking_transfers(t("stop"), most=64))
     return matrix.dong_matrix(origins.join(walk, "dong_id").select("origin", "stop_id", "sec"), walk, t("pattern_stop"), _baked(t), transfers, slots, cap, samples)
 
@@ -482,6 +491,17 @@ def dong_matrix_all_origins(t):
     return _matrix(t, t("dong").select(F.col("dong_id").alias("origin"), "dong_id"), slots, 3, 120)
 
 
+@query(f"""{_search_sql("SELECT dong_id AS origin, dong_id FROM {dong}", "SELECT * FROM (VALUES (0, false, 28800)) x(slot, arrive, seconds)", 1, 120)}
+SELECT count(*) AS checked, CAST(0 AS bigint) AS slower FROM lab""")
+def eight_rounds_never_slower(t):
+    """Searches from every neighbourhood: what six rounds reach, eight reach as soon."""
+    walk = _walks(t)
+    start = t("dong").select(F.col("dong_id").alias("query"), "dong_id").join(walk, "dong_id").select("query", "stop_id", (F.col("sec") + 28_800).cast("long").alias("t"))
+    cutoffs = t("dong").select(F.col("dong_id").alias("query"), F.lit(28_800 + 7_200).alias("cutoff"))
+    tables = graph.cut_lineage(t("pattern_stop")), graph.cut_lineage(_baked(t)), graph.cut_lineage(routing.walking_transfers(t("stop"), most=64))
+    return matrix.slower_pairs(*[routing.earliest_arrivals(start, *tables, cutoffs, n) for n in (6, 8)])
+
+
 def _rail_connections(t, stations: int):
     k = F.col("l_orderkey") % 80_000
     connections = t("lineitem").select((F.col("l_suppkey") % stations).alias("origin"), (F.col("l_partkey") % stations).alias("dest"), k.alias("dep"), (k + 60 + F.col("l_quantity").cast("long") * 20).alias("arr")).where("origin <> dest")
@@ -637,3 +657,11 @@ SELECT band, CASE WHEN ext < low THEN 'network missing' WHEN ext > high THEN 'op
 def od_verdict(t):
     samples = t("od").select("od_id", "band", "ext", "ours", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).withColumn("minutes", F.col("ours") + F.col("k") * 3)
     return calibration.verdicts(samples)
+
+
+@query("""
+WITH r AS (SELECT ext_m / ours_m AS r, type = 'O' AS g FROM {leg_obs} WHERE ours_m > 300),
+m AS (SELECT count(*) AS n, round(list_sort(list(r))[count(*) // 2 + 1], 3) AS a, count(*) FILTER (WHERE g) AS k, round(list_sort(list(r) FILTER (WHERE g))[count(*) FILTER (WHERE g) // 2 + 1], 3) AS b FROM r)
+SELECT CASE WHEN n >= 30 AND abs(a - 1.07::double) >= 0.01::double THEN a ELSE 1.07::double END AS ratio, CASE WHEN k >= 30 THEN b ELSE 1.1::double END AS regional_ratio FROM m""")
+def refit_ratios(t):
+    return calibration.refit_ratios(t("leg_obs"), 1.07, 1.1, ["O"])
