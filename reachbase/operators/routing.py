@@ -85,7 +85,9 @@ def ridden(labels: DataFrame, visits: DataFrame, stops: DataFrame, cutoffs: Data
     boards = boards.join(cutoffs, "query").select("query", "trip_id", "pos", "off", "cutoff", start.alias("start"))
     # Whoever boards after the cutoff arrives after it too. A ride holds a place for each stop of its trip at most.
     boards = boards.where("start IS NOT NULL AND start + off <= cutoff")
-    rides = boards.groupBy("query", "trip_id").agg(F.collect_list(F.struct("pos", "start")).alias("_all"), F.max("cutoff").alias("cutoff"))
+    # Few bytes but much work: dealt by trip once, for the grouping and for the join with the trip's stops, in as many parts as there are.
+    count = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rides = boards.repartition(count, "trip_id").groupBy("query", "trip_id").agg(F.collect_list(F.struct("pos", "start")).alias("_all"), F.max("cutoff").alias("cutoff"))
     rides = rides.withColumn("_boards", _falling(F.col("_all"))).drop("_all")
     before = F.try_element_at(F.filter("_boards", lambda b: b["pos"] < F.col("pos")), F.lit(-1))["start"]
     arrive = rides.join(stops, "trip_id").select("query", "stop_id", "cutoff", (before + F.col("off") + arrive_slack).alias("t"))
@@ -98,8 +100,8 @@ def earliest_arrivals(seeds: DataFrame, stops: DataFrame, windows: DataFrame, tr
     windows: baked, last departure included. With mirror, the tables are mirrored ones, times
     are negative and the slack stands at alighting. A round boards only where the round before
     improved a label: what was boarded earlier has been ridden. It ends early when no ride
-    improves anything. Queries are independent; all steps are keyed by query first. A round is
-    written once; its rides are shuffled once and read twice, for the stops and the walks from them.
+    improves anything. Queries are independent; all steps are keyed by query first. What a
+    round's rides improve is written before the walks from there, which read it twice.
     """
     board, arrive = (0, BOARD_SLACK) if mirror else (BOARD_SLACK, 0)
     settle = cut_lineage if checkpoint else lambda df: df
@@ -109,13 +111,13 @@ def earliest_arrivals(seeds: DataFrame, stops: DataFrame, windows: DataFrame, tr
     for _ in range(rounds):
         ride = ridden(fresh, visits, stops, cutoffs, board, arrive)
         known = labels.withColumnRenamed("t", "_t")
-        improved = ride.join(known, ["query", "stop_id"], "left").where("_t IS NULL OR t < _t").select("query", "stop_id", "t")
+        improved = settle(ride.join(known, ["query", "stop_id"], "left").where("_t IS NULL OR t < _t").select("query", "stop_id", "t"))
+        if checkpoint and not improved.limit(1).count():
+            break
         offer = _least(improved, walked(improved, transfers, cutoffs)).withColumnRenamed("t", "_offer")
         both = labels.join(offer, ["query", "stop_id"], "full")
         settled = settle(both.select("query", "stop_id", F.least("t", "_offer").alias("t"), (F.col("t").isNull() | (F.col("_offer") < F.col("t"))).alias("_new")))
         labels, fresh = settled.select("query", "stop_id", "t"), settled.where("_new").select("query", "stop_id", "t")
-        if checkpoint and not fresh.limit(1).count():
-            break
     return labels
 
 
@@ -191,19 +193,39 @@ def next_departures(asks: DataFrame, connections: DataFrame) -> DataFrame:
     return found.select("ask_id", "dest", "_next.dep", "_next.arr")
 
 
+def _hourly(connections: DataFrame) -> DataFrame:
+    """origin, dest, hour, departures and later: of each hour its departures (dep, arr) and the least arrival of all later hours' ones.
+
+    Hours without departures up to the last one with some have a row too, so a time finds its
+    first arrival in one row: among the hour's departures from then on, and later. A later
+    train may arrive before an earlier one.
+    """
+    each = connections.groupBy("origin", "dest", "dep").agg(F.min("arr").alias("arr"))
+    hours = each.groupBy("origin", "dest", F.floor(F.col("dep") / 3600).alias("hour")).agg(F.array_sort(F.collect_list(F.struct("dep", "arr"))).alias("departures"), F.min("arr").alias("_least"))
+    pair = Window.partitionBy("origin", "dest").orderBy("hour")
+    after = Window.partitionBy("origin", "dest").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    low = hours.agg(F.min("hour").alias("_low"))  # one row
+    spans = hours.withColumn("later", F.min("_least").over(after)).withColumn("_before", F.lag("hour").over(pair)).crossJoin(F.broadcast(low))
+    filled = spans.withColumn("_h", F.explode(F.sequence(F.coalesce(F.col("_before") + 1, "_low"), "hour")))
+    own = F.col("_h") == F.col("hour")
+    none = F.filter("departures", lambda x: F.lit(False))
+    return filled.select("origin", "dest", F.col("_h").alias("hour"), F.when(own, F.col("departures")).otherwise(none).alias("departures"), F.when(own, F.col("later")).otherwise(F.least("later", "_least")).alias("later"))
+
+
 def rail_arrivals(seeds: DataFrame, connections: DataFrame, transfers: DataFrame) -> DataFrame:
     """query, node, t: the least time at every node, riding connections and walking transfers until nothing improves.
 
-    The departures between two nodes stand in one row (a day's, some hundreds), so a frontier
-    row meets each destination once. A later train may arrive before an earlier one.
+    The departures between two nodes stand in a row for each hour, so a frontier row meets each
+    destination once, and of its departures those of an hour.
     """
     best = cut_lineage(seeds.groupBy("query", "node").agg(F.min("t").alias("t")))
-    each = connections.groupBy("origin", "dest", "dep").agg(F.min("arr").alias("arr"))
-    day = cut_lineage(each.groupBy("origin", "dest").agg(F.array_sort(F.collect_list(F.struct("dep", "arr"))).alias("_day")))
+    hourly = cut_lineage(_hourly(connections))
+    low = hourly.agg(F.min("hour")).first()[0]
     frontier = best
     while frontier.limit(1).count():
-        least = F.array_min(F.transform(F.filter("_day", lambda x: x["dep"] >= F.col("t")), lambda x: x["arr"]))
-        ride = frontier.join(day, F.col("node") == F.col("origin")).select("query", F.col("dest").alias("node"), least.alias("t")).where("t IS NOT NULL")
+        at = frontier.withColumn("hour", F.greatest(F.floor(F.col("t") / 3600), F.lit(low).cast("long")))
+        soon = F.array_min(F.transform(F.filter("departures", lambda x: x["dep"] >= F.col("t")), lambda x: x["arr"]))
+        ride = at.withColumnRenamed("node", "origin").join(hourly, ["origin", "hour"]).select("query", F.col("dest").alias("node"), F.least(soon, "later").alias("t")).where("t IS NOT NULL")
         walk = frontier.join(transfers, F.col("node") == F.col("from_node")).select("query", F.col("to_node").alias("node"), (F.col("t") + F.col("sec")).alias("t"))
         offer = ride.unionByName(walk).groupBy("query", "node").agg(F.min("t").alias("_offer"))
         both = cut_lineage(best.join(offer, ["query", "node"], "full").select("query", "node", F.least("t", "_offer").alias("t"), (F.col("t").isNull() | (F.col("_offer") < F.col("t"))).alias("_new")))
