@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachbase.functions.exprs import clock_or, coordinate_key, day_fraction_seconds, longest_prefix, route_type_name, split_route_name
+from reachbase.functions.exprs import clock_or, coordinate_key, day_fraction_seconds, headway_of, longest_prefix, route_type_name, split_route_name
 
 #: Prefixes that a region puts before the numbers of a city's routes.
 REGION_PREFIXES = ("GGGB", "GICB")
@@ -152,6 +152,55 @@ def two_laps(stops: DataFrame, found: DataFrame) -> DataFrame:
     return inside.select("trip_id", "stop_id", (F.col("pos") - F.col("lap_from") + 1).alias("_at"), size.alias("_size"), lap).select("trip_id", (F.col("_at") + F.col("_lap") * F.col("_size")).alias("pos"), "stop_id")
 
 
+# What village buses are called, what their ids start with, and the box of a station's place.
+VILLAGE_TYPE, VILLAGE_PREFIX = "마을버스", "GGB"
+VILLAGE_BOX = (32.0, 124.0, 40.0, 132.0)
+
+
+def four_digits(text: Column) -> Column:
+    """The digits of a clock's text where there are four, else null: 06:00 is 0600."""
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    return F.when(F.length(digits) == 4, digits)
+
+
+def village_routes(routes: DataFrame, stations: DataFrame, sequence: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Village buses of a workbook in the common shape, and their stops.
+
+    routes: row (its place in the sheet), id, no, gov, start, goal, up_first, up_last, down_first,
+    down_last, week, weekend, all texts as cells have them; of rows with one id the first counts.
+    stations: row, id, name, lat, lon as texts; the last row of an id counts, and those without a
+    place in VILLAGE_BOX are unknown. sequence: route, ord (text), stop. known: ids that another
+    feed has already. Rows without ids or numbers, as headers are, go; so do routes with fewer
+    than two known stops.
+
+    Returns id, no, type, city, from_name, to_name, first_at, last_at, headway, weekend_headway;
+    and route_id, ord, stop_id, name, lat, lon.
+    """
+    number = lambda c, kind: F.trim(F.col(c)).try_cast(kind)
+    south, west, north, east = VILLAGE_BOX
+    filled = F.coalesce("id", F.lit("")) != ""
+    placed = stations.where(filled).withColumn("_lat", number("lat", "double")).withColumn("_lon", number("lon", "double"))
+    inside = placed.where((F.col("_lat") > south) & (F.col("_lat") < north) & (F.col("_lon") > west) & (F.col("_lon") < east))
+    latest = inside.groupBy("id").agg(F.max(F.struct("row", "name", "_lat", "_lon")).alias("_s"))
+    table = latest.select(F.col("id").alias("stop"), F.coalesce(F.nullif(F.col("_s.name"), F.lit("")), "id").alias("name"), F.col("_s._lat").alias("lat"), F.col("_s._lon").alias("lon"))
+
+    first = routes.where(filled).groupBy("id").agg(F.min(F.struct("row", *[c for c in routes.columns if c not in ("row", "id")])).alias("_r")).select("id", "_r.*")
+    unknown = first.join(known.select(F.expr(f"substring(id, {len(VILLAGE_PREFIX) + 1})").alias("id")).distinct(), "id", "left_anti")
+    own = sequence.withColumn("ord", number("ord", "int")).where(F.col("ord").isNotNull()).select(F.col("route").alias("id"), "ord", "stop")
+    stops = own.join(unknown.select("id"), "id", "left_semi").join(table, "stop")
+    ends = stops.groupBy("id").agg(F.count("*").alias("_n"), F.min(F.struct("ord", "stop", "name")).alias("_a"), F.max(F.struct("ord", "stop", "name")).alias("_b")).where("_n > 1")
+
+    given = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other)
+    prefixed = F.concat(F.lit(VILLAGE_PREFIX), "id")
+    week = headway_of("week")
+    shaped = unknown.join(ends, "id").select(
+        prefixed.alias("id"), given("no", F.col("id")).alias("no"), F.lit(VILLAGE_TYPE).alias("type"), F.col("gov").alias("city"), given("start", F.col("_a.name")).alias("from_name"), given("goal", F.col("_b.name")).alias("to_name"),
+        F.coalesce(four_digits(F.col("up_first")), four_digits(F.col("down_first"))).alias("first_at"), F.coalesce(four_digits(F.col("up_last")), four_digits(F.col("down_last"))).alias("last_at"), week.alias("headway"), F.coalesce(headway_of("weekend"), week).alias("weekend_headway"),
+    )
+    kept = stops.join(ends.select("id"), "id", "left_semi")
+    return shaped, kept.select(prefixed.alias("route_id"), "ord", F.concat(F.lit(VILLAGE_PREFIX), "stop").alias("stop_id"), "name", "lat", "lon")
+
+
 def one_shape(*sources: DataFrame) -> DataFrame:
     """All rows of sources that have the same columns in any order."""
     return reduce(DataFrame.unionByName, sources)

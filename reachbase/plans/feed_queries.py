@@ -241,3 +241,41 @@ def route_and_trip_errors(t):
     services = t("orders").where("o_orderstatus IN ('F', 'O')").select(F.col("o_orderstatus").alias("service")).distinct()
     return checks.route_findings(t("supplier").select((s % 50).alias("route_id"), (s % 16).cast("int").alias("route_type")), trips, services).select("rule", "key")
 
+
+
+_VILLAGE = """
+WITH st AS (SELECT stop_id AS id, CASE WHEN stop_id % 3 = 0 THEN '' ELSE s_name END AS name, lat, lon FROM {stop} JOIN {supplier} ON s_suppkey = stop_id WHERE stop_id % 11 > 0),
+sq AS (SELECT trip_id AS route, pos, stop_id AS stop FROM {pattern_stop} WHERE trip_id % 10 < 3),
+ro AS (SELECT o_orderkey AS id, o_orderkey % 5 AS k, o_orderpriority AS gov FROM {orders} WHERE o_orderkey % 10 < 3 AND o_orderkey % 70 > 0),
+seen AS (SELECT route AS id, pos, stop, coalesce(nullif(name, ''), CAST(stop AS varchar)) AS name, lat, lon FROM sq JOIN st ON st.id = stop JOIN ro ON ro.id = route),
+ends AS (SELECT id, arg_min(name, pos) AS a, arg_max(name, pos) AS b FROM seen GROUP BY id HAVING count(*) > 1)"""
+
+
+def _village(t):
+    k = F.col("o_orderkey")
+    stations = t("stop").join(t("supplier"), F.col("s_suppkey") == F.col("stop_id")).where("stop_id % 11 > 0")
+    name = F.when(F.col("stop_id") % 3 == 0, "").otherwise(F.col("s_name"))
+    cells = stations.select(F.col("stop_id").alias("row"), F.col("stop_id").cast("string").alias("id"), name.alias("name"), F.col("lat").cast("string").alias("lat"), F.col("lon").cast("string").alias("lon"))
+    # An older row of each station, and one out of the box.
+    older = cells.withColumn("row", F.lit(-1).cast("long")).withColumn("name", F.lit("old"))
+    sequence = t("pattern_stop").where("trip_id % 10 < 3").select(F.col("trip_id").cast("string").alias("route"), F.col("pos").cast("string").alias("ord"), F.col("stop_id").cast("string").alias("stop"))
+    routes = t("orders").where("o_orderkey % 10 < 3").select(
+        k.alias("row"), k.cast("string").alias("id"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("N"), (k % 5).cast("string"))).alias("no"), F.col("o_orderpriority").alias("gov"), F.when(k % 5 == 1, "start").otherwise("").alias("start"), F.lit("").alias("goal"),
+        F.when(k % 5 == 2, "").otherwise("06:00").alias("up_first"), F.lit("23:10").alias("up_last"), F.lit("0530").alias("down_first"), F.lit("").alias("down_last"), F.concat((k % 5 + 10).cast("string"), F.lit("~20")).alias("week"), F.when(k % 5 == 3, "30").otherwise("-").alias("weekend"),
+    )
+    header = routes.limit(1).select(*[F.lit(0).cast("long").alias(c) if c == "row" else F.lit("").alias(c) for c in routes.columns])
+    known = t("orders").where("o_orderkey % 70 = 0").select(F.concat(F.lit("GGB"), k.cast("string")).alias("id"))
+    return feeds.village_routes(routes.unionByName(header), cells.unionByName(older), sequence, known)
+
+
+@query(f"""{_VILLAGE}
+SELECT 'GGB' || ro.id AS id, CASE WHEN k = 0 THEN CAST(ro.id AS varchar) ELSE 'N' || k END AS no, '마을버스' AS type, gov AS city, CASE WHEN k = 1 THEN 'start' ELSE a END AS from_name, b AS to_name,
+       CASE WHEN k = 2 THEN '0530' ELSE '0600' END AS first_at, '2310' AS last_at, CAST(round_even((k + 30) / 2.0::double, 0) AS int) AS headway, CASE WHEN k = 3 THEN 30 ELSE CAST(round_even((k + 30) / 2.0::double, 0) AS int) END AS weekend_headway
+FROM ro JOIN ends USING (id)""")
+def village_routes(t):
+    return _village(t)[0]
+
+
+@query(f"""{_VILLAGE} SELECT 'GGB' || id AS route_id, CAST(pos AS int) AS ord, 'GGB' || stop AS stop_id, name, lat, lon FROM seen JOIN ends USING (id)""")
+def village_stops(t):
+    return _village(t)[1]
