@@ -118,5 +118,5 @@ def test_no_documents(spark, no_docs):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
     assert set(ORACLE_SQL) <= set(QUERIES)
