@@ -78,6 +78,8 @@ def test_workbook(spark, tmp_path):
     rows = spark.read.format("workbook").load(f"file://{tmp_path}/b.xlsx").orderBy("sheet", "row").collect()
     assert [(r["sheet"], r["row"]) for r in rows] == [(2, 0), (2, 1), (10, 0), (10, 1)]
     assert rows[2]["cells"] == ["name", "", "10"] and rows[1]["cells"][1] == "in" and rows[1]["cells"][26] == "ab"
+    one_each = spark.read.format("workbook").option("sheetsPerPartition", "1").load(f"file://{tmp_path}/b.xlsx")
+    assert one_each.rdd.getNumPartitions() == 2 and one_each.orderBy("sheet", "row").collect() == rows
 
 
 def _varint(n):
