@@ -275,3 +275,20 @@ def test_refit_needs_rows_on_both_sides(spark):
 
 def test_required_files():
     assert checks.missing_files(["stops.txt", "routes.txt", "trips.txt", "stop_times.txt", "calendar.txt"]) == ["agency.txt", "frequencies.txt"]
+
+
+def test_counting_meets_each_position_once(spark, monkeypatch):
+    places = [(37.5 + i / 1000, 127.0) for i in range(3)]
+    a = spark.createDataFrame([(i, *places[i % 3]) for i in range(60)] + [(60, None, None)], "a int, a_lat double, a_lon double")
+    b = spark.createDataFrame([(i, *places[i % 2]) for i in range(50)], "b int, b_lat double, b_lon double")
+    sizes, inner = [], spatial.within
+
+    def counted(*args, **more):
+        found = inner(*args, **more)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(spatial, "within", counted)
+    got = {r["a"]: r["n"] for r in spatial.count_within(a, b, 120).collect()}
+    assert got == {i: (50 if i % 3 < 2 else 25) for i in range(60)} | {60: 0}
+    assert sizes == [5]
