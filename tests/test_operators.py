@@ -292,3 +292,11 @@ def test_counting_meets_each_position_once(spark, monkeypatch):
     got = {r["a"]: r["n"] for r in spatial.count_within(a, b, 120).collect()}
     assert got == {i: (50 if i % 3 < 2 else 25) for i in range(60)} | {60: 0}
     assert sizes == [5]
+
+
+def test_equally_near_rows_tie_to_the_smallest(spark):
+    # In line with the point, on both sides: the distances differ in their last bits only.
+    a = spark.createDataFrame([(i, 37.5 + i * 0.0007, 127.0 + i * 0.0011) for i in range(40)], "a int, a_lat double, a_lon double")
+    b = a.selectExpr("100 - a AS b", "a_lat - 0.0004 AS b_lat", "a_lon AS b_lon").union(a.selectExpr("200 - a", "a_lat + 0.0004", "a_lon"))
+    got = {r["a"]: (r["b"], round(r["meters"], 3)) for r in spatial.nearest(a, b, 60).collect()}
+    assert got == {i: (100 - i, 44.478) for i in range(40)}
