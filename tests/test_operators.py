@@ -300,3 +300,18 @@ def test_equally_near_rows_tie_to_the_smallest(spark):
     b = a.selectExpr("100 - a AS b", "a_lat - 0.0004 AS b_lat", "a_lon AS b_lon").union(a.selectExpr("200 - a", "a_lat + 0.0004", "a_lon"))
     got = {r["a"]: (r["b"], round(r["meters"], 3)) for r in spatial.nearest(a, b, 60).collect()}
     assert got == {i: (100 - i, 44.478) for i in range(40)}
+
+
+def test_nearest_at_any_distance_meets_each_position_once(spark, monkeypatch):
+    a = spark.createDataFrame([(i, 37.5, 127.0) for i in range(40)], "a int, a_lat double, a_lon double")
+    b = spark.createDataFrame([(i, 37.501 + i % 2, 127.0) for i in range(30)], "b int, b_lat double, b_lon double")
+    sizes, inner = [], spatial.within
+
+    def counted(*args, **more):
+        found = inner(*args, **more)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(spatial, "within", counted)
+    assert {r["a"]: r["b"] for r in spatial.nearest_any(a, b).collect()} == {i: 0 for i in range(40)}
+    assert sizes == [1]
