@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reachbase.operators import build, matrix, routing
+from reachbase.operators import build, matrix, routing, spatial
 
 INF = 10**9
 
@@ -168,3 +168,36 @@ def test_ways_between_ends(spark):
     for r in build.terminal_runs(spark.createDataFrame(edges, "line string, a long, b long")).orderBy("pos").collect():
         runs.setdefault((r["line"], r["run_id"]), []).append(r["node"])
     assert runs == {("y", "1-3"): [1, 2, 3], ("y", "1-4"): [1, 2, 4], ("y", "3-4"): [3, 2, 4]}
+
+
+def test_nearest_transfers_of_crowded_places(spark, monkeypatch):
+    rng = random.Random(8)
+    places = [(37.5 + rng.random() / 400, 127.0 + rng.random() / 400) for _ in range(12)]
+    where = {i: rng.choice(places) for i in range(150)}
+    stops = spark.createDataFrame([(i, *p) for i, p in where.items()], "stop_id int, lat double, lon double")
+    sizes, inner = [], routing.nearest_k
+
+    def counted(pairs, k):
+        sizes.append(pairs.count())
+        return inner(pairs, k)
+
+    monkeypatch.setattr(routing, "nearest_k", counted)
+    got = {}
+    for r in routing.walking_transfers(stops, 200, 5).collect():
+        got.setdefault(r["from_stop"], set()).add(r["to_stop"])
+    monkeypatch.undo()
+    near = {(r["a"], r["b"]): r["meters"] for r in spatial.within(spatial.points(stops, "stop_id", "a"), spatial.points(stops, "stop_id", "b"), 200).collect()}
+    assert got == {i: set(sorted((j for a, j in near if a == i and j != i), key=lambda j: (near[i, j], j))[:5]) for i in where}
+    assert sizes[0] < len(near) / 10
+
+
+def test_walks_between_places_equal_those_between_stops(spark):
+    rng = random.Random(9)
+    places = [(37.5 + rng.random() / 200, 127.0 + rng.random() / 200) for _ in range(10)]
+    stops = spark.createDataFrame([(i, *rng.choice(places)) for i in range(60)], "stop_id int, lat double, lon double")
+    labels = spark.createDataFrame([(q, i, rng.randint(0, 300)) for q in (1, 2) for i in rng.sample(range(60), 20)], "query int, stop_id int, t int")
+    cutoffs = spark.createDataFrame([(1, 400), (2, 700)], "query int, cutoff int")
+    by_place = routing.walks(stops)
+    rows = lambda transfers: {tuple(r) for r in routing._least(labels, routing.walked(labels, transfers, cutoffs)).select("query", "stop_id", "t").collect()}
+    assert rows(by_place) == rows(routing.walking_transfers(stops, most=1000))
+    assert by_place.hops.count() <= 100
