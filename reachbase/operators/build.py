@@ -121,10 +121,13 @@ def sorted_departures(connections: DataFrame) -> DataFrame:
 
 
 def detours(costs: DataFrame, points: DataFrame) -> DataFrame:
-    """start, node, ratio: how much longer the ways of costs (start, node, cost in metres) are than the straight lines between points (id, lat, lon)."""
+    """start, node, ratio: how much longer the ways of costs (start, node, cost in metres) are than the straight lines between points (id, lat, lon).
+
+    Points may stand for several in one place: a way from one to itself has cost 0 and ratio 0.
+    """
     a, b = points.toDF("start", "_la", "_lo"), points.toDF("node", "_lb", "_mb")
     straight = haversine(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_mb"))
-    return costs.where("start <> node").join(a, "start").join(b, "node").select("start", "node", F.round(F.col("cost") / F.greatest(F.lit(1.0), straight), 4).alias("ratio"))
+    return costs.join(a, "start").join(b, "node").select("start", "node", F.round(F.col("cost") / F.greatest(F.lit(1.0), straight), 4).alias("ratio"))
 
 
 def same_names(nodes: DataFrame) -> DataFrame:

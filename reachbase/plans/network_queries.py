@@ -9,7 +9,7 @@ from reachbase.functions import exprs
 from reachbase.functions.medians import at_share
 from reachbase.operators import access, build, calibration, graph, network, routing, service, spatial, speed
 from reachbase.plans.registry import query
-from reachbase.plans.transit_queries import _BIN, _CLUSTER_EDGES, _CURVES, _SOUND, _meters
+from reachbase.plans.transit_queries import _BIN, _CLUSTER_EDGES, _CURVES, _SOUND, _meters, walked_costs
 
 
 @query("""
@@ -270,10 +270,8 @@ r AS (SELECT stop_id AS start, stop_id AS node, CAST(0 AS bigint) AS cost FROM {
 c AS (SELECT start, node, min(cost) AS cost FROM r GROUP BY start, node)
 SELECT start, node, round(cost / greatest(1.0::double, {_meters('a.', 'b.')}), 4) AS ratio FROM c JOIN {{stop}} a ON a.stop_id = start JOIN {{stop}} b ON b.stop_id = node WHERE start <> node""")
 def walk_detours(t):
-    near = spatial.within(spatial.points(t("stop"), "stop_id", "a"), spatial.points(t("stop"), "stop_id", "b"), 400).where("a <> b")
-    edges = near.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.floor("meters").alias("cost"))
-    starts = t("stop").select(F.col("stop_id").alias("start"), F.col("stop_id").alias("node"), F.lit(0).cast("long").alias("cost"))
-    return build.detours(graph.costs_within(starts, graph.cut_lineage(edges), 990), t("stop").select("stop_id", "lat", "lon"))
+    at, costs = walked_costs(t)
+    return spatial.spread(build.detours(costs, at.where("stop_id = spot").select("stop_id", "lat", "lon")), at, "start", "node").where("start <> node")
 
 
 @query("""
