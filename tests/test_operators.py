@@ -315,3 +315,21 @@ def test_nearest_at_any_distance_meets_each_position_once(spark, monkeypatch):
     monkeypatch.setattr(spatial, "within", counted)
     assert {r["a"]: r["b"] for r in spatial.nearest_any(a, b).collect()} == {i: 0 for i in range(40)}
     assert sizes == [1]
+
+
+def test_clusters_meet_each_place_of_a_name_once(spark, monkeypatch):
+    where = [(37.5, 127.0), (37.501, 127.0), (37.6, 127.0)]
+    rows = [(i, "xy"[i % 2], *where[i % 3]) for i in range(60)] + [(60, None, 37.5, 127.0), (61, "x", None, None), (62, "x", None, None)]
+    nodes = spark.createDataFrame(rows, "id int, name string, lat double, lon double")
+    sizes, inner = [], spatial.within
+
+    def counted(*args, **more):
+        found = inner(*args, **more)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(spatial, "within", counted)
+    got = {r["id"]: r["cluster"] for r in spatial.clusters_by_name(nodes, 200).collect()}
+    first = {("x", True): 0, ("y", True): 1, ("x", False): 2, ("y", False): 5}
+    assert got == {i: first["xy"[i % 2], i % 3 < 2] for i in range(60)} | {60: 60, 61: 61, 62: 62}
+    assert sizes == [10]
