@@ -1,4 +1,8 @@
-"""Which patterns of a line run, in which direction, and their trips with times and headways."""
+"""Which patterns of a line run, in which direction, and their trips with times and headways.
+
+Sides that grow with the patterns carry a merge hint: Spark takes their size from packed files, a
+fraction of what their rows take, and would send them whole through the driver.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ def pattern_components(stops: DataFrame) -> DataFrame:
     """
     at = stops.select("line", "express", "pattern_id", "node").distinct()
     hub = at.groupBy("line", "express", "node").agg(F.min("pattern_id").alias("b"))
-    edges = at.join(hub, ["line", "express", "node"]).select(F.col("pattern_id").alias("a"), "b").distinct()
+    edges = at.join(hub.hint("merge"), ["line", "express", "node"]).select(F.col("pattern_id").alias("a"), "b").distinct()
     return connected(edges).select(F.col("node").alias("pattern_id"), "component")
 
 
@@ -32,29 +36,29 @@ def service_set(stops: DataFrame) -> DataFrame:
     and the exact reverses of those that stay in the other direction.
     """
     along = Window.partitionBy("pattern_id").orderBy("pos")
-    rows = cut_lineage(stops.select("line", "express", "pattern_id", "pos", "node").join(pattern_components(stops), "pattern_id"))
+    rows = cut_lineage(stops.select("line", "express", "pattern_id", "pos", "node").join(pattern_components(stops).hint("merge"), "pattern_id"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda s: s["node"])
     patterns = rows.groupBy("line", "express", "component", "pattern_id").agg(F.count("*").alias("_n"), ids.alias("_stops"))
     text = lambda stops: F.array_join(F.transform(stops, lambda x: x.cast("string")), " ")
     patterns = patterns.withColumn("_seq", text(F.col("_stops"))).withColumn("_back", text(F.reverse("_stops"))).drop("_stops").withColumn("_rank", F.struct(-F.col("_n"), F.col("pattern_id")))
 
     reference = patterns.groupBy("component").agg(F.min("_rank").alias("_first")).select("component", F.col("_first.pattern_id").alias("pattern_id"))
-    places = rows.join(reference, ["component", "pattern_id"]).groupBy("component", "node").agg(F.min("pos").alias("_at"))
-    steps = rows.join(places, ["component", "node"]).withColumn("_step", F.signum(F.col("_at") - F.lag("_at").over(along)))
+    places = rows.join(reference.hint("merge"), ["component", "pattern_id"]).groupBy("component", "node").agg(F.min("pos").alias("_at"))
+    steps = rows.join(places.hint("merge"), ["component", "node"]).withColumn("_step", F.signum(F.col("_at") - F.lag("_at").over(along)))
     votes = steps.groupBy("pattern_id").agg((F.coalesce(F.sum("_step"), F.lit(0)) < 0).alias("_against"))
-    voted = patterns.join(votes, "pattern_id", "left").withColumn("_pair", F.least("_seq", "_back"))
+    voted = patterns.join(votes.hint("merge"), "pattern_id", "left").withColumn("_pair", F.least("_seq", "_back"))
 
     leader = F.min(F.struct("_rank", "_seq", F.coalesce("_against", F.lit(False)).alias("_against"))).alias("_lead")
-    led = voted.join(voted.groupBy("component", "_pair").agg(leader), ["component", "_pair"])
+    led = voted.join(voted.groupBy("component", "_pair").agg(leader).hint("merge"), ["component", "_pair"])
     same = (F.col("pattern_id") == F.col("_lead._rank.pattern_id")) | ((F.col("_seq") == F.col("_lead._seq")) & (F.col("_seq") != F.col("_back")))
     placed = cut_lineage(led.select("line", "express", "component", "pattern_id", "_seq", "_back", "_rank", (F.col("_lead._against") == same).cast("int").alias("dir")))
 
-    at = rows.select("pattern_id", "node").join(placed.select("component", "pattern_id", "dir", "_rank"), "pattern_id")
+    at = rows.select("pattern_id", "node").join(placed.select("component", "pattern_id", "dir", "_rank").hint("merge"), "pattern_id")
     covering = at.groupBy("component", "dir", "node").agg(F.min("_rank").alias("_first")).select(F.col("_first.pattern_id").alias("pattern_id")).distinct()
-    kept = placed.join(covering, "pattern_id", "left_semi")
+    kept = placed.join(covering.hint("merge"), "pattern_id", "left_semi")
     for side in (0, 1):  # what the first round adds can have reverses in the second
         others = kept.where(F.col("dir") != side).select("component", F.col("_seq").alias("_back")).distinct()
-        kept = kept.unionByName(placed.where(F.col("dir") == side).join(kept.select("pattern_id"), "pattern_id", "left_anti").join(others, ["component", "_back"], "left_semi").select(*kept.columns))
+        kept = kept.unionByName(placed.where(F.col("dir") == side).join(kept.select("pattern_id").hint("merge"), "pattern_id", "left_anti").join(others.hint("merge"), ["component", "_back"], "left_semi").select(*kept.columns))
     return kept.select("line", "express", "pattern_id", "dir")
 
 
@@ -68,7 +72,7 @@ def rail_stop_times(served: DataFrame, platforms: DataFrame, measured: DataFrame
     placed = served.select("pattern_id", "dir", "pos", "node").join(platforms.select("node", "lat", "lon"), "node")
     hops = placed.withColumns({f"_{c}": F.lag(c).over(along) for c in ("node", "lat", "lon")})
     edge = measured.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "meters")
-    known = hops.withColumn("_a", F.least("node", "_node")).withColumn("_b", F.greatest("node", "_node")).join(edge, ["_a", "_b"], "left")
+    known = hops.withColumn("_a", F.least("node", "_node")).withColumn("_b", F.greatest("node", "_node")).join(edge.hint("merge"), ["_a", "_b"], "left")
     straight = haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
     seconds = F.when(F.col("_node").isNull(), 0).otherwise(rail_seconds(F.coalesce("meters", straight)))
     return known.withColumn("_s", seconds).select("pattern_id", "dir", "pos", "node", F.sum("_s").over(along).cast("long").alias("at"))
@@ -80,7 +84,7 @@ def service_scale(served: DataFrame) -> DataFrame:
     Repeated stops of a pattern count each time.
     """
     shared = served.groupBy("node", "dir").agg(F.count("*").alias("_n"))
-    return served.join(shared, ["node", "dir"]).groupBy("pattern_id").agg(upper_middle("_n").alias("scale"))
+    return served.join(shared.hint("merge"), ["node", "dir"]).groupBy("pattern_id").agg(upper_middle("_n").alias("scale"))
 
 
 def rail_windows(served: DataFrame, lines: DataFrame, periods: DataFrame) -> DataFrame:
@@ -90,7 +94,7 @@ def rail_windows(served: DataFrame, lines: DataFrame, periods: DataFrame) -> Dat
     scale, since the line's trains are dealt to its patterns; it is a minute at least.
     """
     of_line = served.select("line", "pattern_id").distinct().join(lines, "line", "left")
-    services = of_line.join(service_scale(served), "pattern_id").select("pattern_id", F.coalesce("factor", F.lit(1.0)).alias("factor"), "scale")
+    services = of_line.join(service_scale(served).hint("merge"), "pattern_id").select("pattern_id", F.coalesce("factor", F.lit(1.0)).alias("factor"), "scale")
     each = services.crossJoin(F.broadcast(periods))  # half a dozen periods
     return each.select("pattern_id", "start", "end", F.greatest(F.lit(60), F.floor(F.col("headway") * F.col("factor") * F.col("scale"))).cast("int").alias("headway"))
 
@@ -98,5 +102,5 @@ def rail_windows(served: DataFrame, lines: DataFrame, periods: DataFrame) -> Dat
 def rail_trips(stops: DataFrame, platforms: DataFrame, measured: DataFrame, lines: DataFrame, periods: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stop times and windows of the trips that lines' patterns (line, express, pattern_id, pos, node) need, by service_set()."""
     chosen = cut_lineage(service_set(stops))
-    served = cut_lineage(stops.join(chosen.select("pattern_id", "dir"), "pattern_id"))
+    served = cut_lineage(stops.join(chosen.select("pattern_id", "dir").hint("merge"), "pattern_id"))
     return rail_stop_times(served, platforms, measured), rail_windows(served, lines, periods)

@@ -333,3 +333,10 @@ def test_clusters_meet_each_place_of_a_name_once(spark, monkeypatch):
     first = {("x", True): 0, ("y", True): 1, ("x", False): 2, ("y", False): 5}
     assert got == {i: first["xy"[i % 2], i % 3 < 2] for i in range(60)} | {60: 60, 61: 61, 62: 62}
     assert sizes == [10]
+
+
+def test_service_set_sends_no_patterns_through_the_driver(spark):
+    rows = [(1, False, 10 * p + d, k, k if d == 0 else 9 - k) for p in (1, 2) for d in (0, 1) for k in range(10)]
+    chosen = service.service_set(spark.createDataFrame(rows, "line int, express boolean, pattern_id int, pos int, node int"))
+    assert "Broadcast" not in chosen._jdf.queryExecution().executedPlan().toString()
+    assert {(r["pattern_id"], r["dir"]) for r in chosen.collect()} == {(10, 0), (11, 1), (20, 0), (21, 1)}
