@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reachbase.operators.graph import cut_lineage
 from reachbase.operators.ordered import implied_speeds
-from reachbase.operators.ranges import places
+from reachbase.operators.ranges import dealt, places
 
 
 def _finding(rows: DataFrame, severity: str, rule: str, key: str) -> DataFrame:
@@ -103,12 +103,16 @@ def leg_matches(asks: DataFrame, stop_times: DataFrame) -> DataFrame:
     return chosen.select("ask_id", "want", F.col("_c.trip_id").alias("trip_id"), F.col("_c.off").alias("off_by"), F.col("_c.sec").alias("sec"))
 
 
-def plausibility(stops: DataFrame, stop_times: DataFrame, windows: DataFrame) -> DataFrame:
-    """Warnings: hops (trip_id, pos, stop_id, off) out of 3 to 90 km/h or far without time, headways over four hours, unused stops."""
-    hops = implied_speeds(stop_times.join(stops.select("stop_id", "lat", "lon"), "stop_id")).where("finding IS NOT NULL")
+def plausibility(stops: DataFrame, stop_times: DataFrame, windows: DataFrame, parts: int | None = None) -> DataFrame:
+    """Warnings: hops (trip_id, pos, stop_id, off) out of 3 to 90 km/h or far without time, headways over four hours, unused stops.
+
+    parts: in how many parts stop times are dealt by stop, and hops by trip.
+    """
+    placed = dealt(stop_times, parts, "stop_id").join(stops.select("stop_id", "lat", "lon"), "stop_id")
+    hops = implied_speeds(placed, parts).where("finding IS NOT NULL")
     odd = hops.select(F.lit("warning").alias("severity"), F.col("finding").alias("rule"), F.col("trip_id").cast("string").alias("key"))
     rare = _finding(windows.where("headway > 14400"), "warning", "headway over four hours", "trip_id")
-    return odd.unionByName(rare).unionByName(_finding(stops.join(stop_times, "stop_id", "left_anti"), "warning", "unused stop", "stop_id"))
+    return odd.unionByName(rare).unionByName(_finding(stops.join(stop_times.select("stop_id").distinct(), "stop_id", "left_anti"), "warning", "unused stop", "stop_id"))
 
 
 def axis_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:

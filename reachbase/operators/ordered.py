@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachbase.functions.exprs import PERIODS, haversine
+from reachbase.operators.ranges import dealt
 
 
 def running_seconds(segments: DataFrame, dwell: int) -> DataFrame:
@@ -25,11 +26,14 @@ def served_stops(timed: DataFrame) -> DataFrame:
     return timed.where(~F.coalesce("pass_through", F.lit(False))).withColumn("place", F.row_number().over(order))
 
 
-def implied_speeds(stops: DataFrame) -> DataFrame:
-    """Speed of each hop of (trip_id, pos, off, lat, lon), and whether it is out of 3 to 90 km/h or stands still too far."""
+def implied_speeds(stops: DataFrame, parts: int | None = None) -> DataFrame:
+    """Speed of each hop of (trip_id, pos, off, lat, lon), and whether it is out of 3 to 90 km/h or stands still too far.
+
+    parts: in how many parts the rows are dealt by trip.
+    """
     order = Window.partitionBy("trip_id").orderBy("pos")
     lag = {f"_{c}": F.lag(c).over(order) for c in ("lat", "lon", "off")}
-    hop = stops.withColumns(lag).where("_off IS NOT NULL")
+    hop = dealt(stops.select("trip_id", "pos", "off", "lat", "lon"), parts, "trip_id").withColumns(lag).where("_off IS NOT NULL")
     hop = hop.withColumn("meters", haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).withColumn("seconds", F.col("off") - F.col("_off"))
     hop = hop.withColumn("kmh", F.when(F.col("seconds") > 0, F.col("meters") / F.col("seconds") * 3.6))
     odd = F.when((F.col("seconds") <= 0) & (F.col("meters") > 100), "no time").when(F.col("kmh") > 90, "too fast").when(F.col("kmh") < 3, "too slow")

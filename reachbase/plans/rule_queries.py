@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reachbase.functions import exprs
 from reachbase.operators import access, build, calibration, checks, feeds, matrix, network, reach
+from reachbase.operators.ranges import dealt, parts_for
 from reachbase.plans.registry import query
 from reachbase.plans.transit_queries import _meters
 from reachbase.sources import files
@@ -21,7 +22,7 @@ f AS (SELECT CASE WHEN seconds <= 0 AND meters > 100 THEN 'no time' WHEN seconds
   UNION ALL SELECT 'unused stop', CAST(stop_id AS varchar) FROM {{stop}} WHERE stop_id NOT IN (SELECT stop_id FROM {{pattern_stop}}))
 SELECT 'warning' AS severity, rule, key, count(*) AS n FROM f WHERE rule IS NOT NULL GROUP BY rule, key""")
 def gtfs_plausibility(t):
-    return checks.plausibility(t("stop"), t("pattern_stop"), t("pattern_window")).groupBy("severity", "rule", "key").agg(F.count("*").alias("n"))
+    return checks.plausibility(t("stop"), t("pattern_stop"), t("pattern_window"), parts_for(t("lineitem"))).groupBy("severity", "rule", "key").agg(F.count("*").alias("n"))
 
 
 @query("""
