@@ -16,23 +16,28 @@ def _finding(rows: DataFrame, severity: str, rule: str, key: str) -> DataFrame:
     return rows.select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
 
 
-def timetable_errors(stops: DataFrame, trips: DataFrame, stop_times: DataFrame, windows: DataFrame) -> DataFrame:
-    """Missing references, trips without times or windows, single-stop trips, times that go backwards, bad windows, doubled ids."""
+def timetable_errors(stops: DataFrame, trips: DataFrame, stop_times: DataFrame, windows: DataFrame, parts: int | None = None) -> DataFrame:
+    """Missing references, trips without times or windows, single-stop trips, times that go backwards, bad windows, doubled ids.
+
+    Times are narrowed to a row for each trip and the stops' ids before they meet anything.
+    parts: in how many parts times are dealt by trip.
+    """
     order = Window.partitionBy("trip_id").orderBy("pos")
-    back = stop_times.withColumn("_d", F.col("off") - F.lag("off").over(order)).where("_d < 0")
-    counts = stop_times.groupBy("trip_id").agg(F.count("*").alias("_n"))
+    steps = dealt(stop_times, parts, "trip_id").withColumn("_d", F.col("off") - F.lag("off").over(order))
+    timed = steps.groupBy("trip_id").agg(F.count("*").alias("_n"), F.count_if(F.col("_d") < 0).alias("_back"))
+    used = stop_times.select("stop_id").distinct()
     out = [
-        _finding(stop_times.join(stops, "stop_id", "left_anti").select("stop_id").distinct(), "error", "unknown stop", "stop_id"),
-        _finding(stop_times.join(trips, "trip_id", "left_anti").select("trip_id").distinct(), "error", "unknown trip", "trip_id"),
-        _finding(trips.join(stop_times, "trip_id", "left_anti"), "error", "trip without times", "trip_id"),
+        _finding(used.join(stops, "stop_id", "left_anti"), "error", "unknown stop", "stop_id"),
+        _finding(timed.join(trips, "trip_id", "left_anti"), "error", "unknown trip", "trip_id"),
+        _finding(trips.join(timed, "trip_id", "left_anti"), "error", "trip without times", "trip_id"),
         _finding(trips.join(windows, "trip_id", "left_anti"), "error", "trip without windows", "trip_id"),
-        _finding(counts.where("_n < 2"), "error", "single stop", "trip_id"),
-        _finding(back.select("trip_id").distinct(), "error", "time goes backwards", "trip_id"),
+        _finding(timed.where("_n < 2"), "error", "single stop", "trip_id"),
+        _finding(timed.where("_back > 0"), "error", "time goes backwards", "trip_id"),
         _finding(windows.where("last_start < first_start OR headway <= 0"), "error", "bad window", "trip_id"),
         _finding(stops.groupBy("stop_id").count().where("count > 1"), "error", "doubled stop", "stop_id"),
         _finding(stops.where("lat NOT BETWEEN 33 AND 39 OR lon NOT BETWEEN 124 AND 132"), "error", "coordinate out of range", "stop_id"),
         _finding(windows.where("headway > 14400"), "warning", "headway over four hours", "trip_id"),
-        _finding(stops.join(stop_times, "stop_id", "left_anti"), "warning", "unused stop", "stop_id"),
+        _finding(stops.join(used, "stop_id", "left_anti"), "warning", "unused stop", "stop_id"),
     ]
     whole = out[0]
     for x in out[1:]:
