@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reachbase.functions.exprs import haversine
 from reachbase.functions.medians import upper_middle
-from reachbase.operators.ranges import places, running_sums
+from reachbase.operators.ranges import dealt, places, running_sums
 
 
 def chains(edges: DataFrame) -> DataFrame:
@@ -42,12 +42,16 @@ def chains(edges: DataFrame) -> DataFrame:
     return edges.select("line", "a", "b").groupBy("line").applyInPandas(trace, f"line {kind['line']}, chain int, seq int, node {kind['a']}")
 
 
-def overlap_scale(runs: DataFrame) -> DataFrame:
-    """run_id, scale of runs (run_id, pos, node): the most runs that share one of its edges."""
+def overlap_scale(runs: DataFrame, parts: int | None = None) -> DataFrame:
+    """run_id, scale of runs (run_id, pos, node): the most runs that share one of its edges.
+
+    parts: in how many parts rows are dealt by run, then by edge.
+    """
     along = Window.partitionBy("run_id").orderBy("pos")
-    hop = runs.withColumn("_to", F.lead("node").over(along)).where("_to IS NOT NULL").select("run_id", F.least("node", "_to").alias("_a"), F.greatest("node", "_to").alias("_b")).distinct()
+    hop = dealt(runs, parts, "run_id").withColumn("_to", F.lead("node").over(along)).where("_to IS NOT NULL").select("run_id", F.least("node", "_to").alias("_a"), F.greatest("node", "_to").alias("_b")).distinct()
+    hop = dealt(hop, parts, "_a", "_b")
     shared = hop.groupBy("_a", "_b").agg(F.count("*").alias("_n"))
-    return hop.join(shared, ["_a", "_b"]).groupBy("run_id").agg(F.max("_n").alias("scale"))
+    return dealt(hop.join(shared, ["_a", "_b"]).select("run_id", "_n"), parts, "run_id").groupBy("run_id").agg(F.max("_n").alias("scale"))
 
 
 def is_express(name: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reachbase.functions import exprs
 from reachbase.functions.medians import at_share
 from reachbase.operators import access, build, calibration, graph, network, routing, service, spatial, speed
+from reachbase.operators.ranges import parts_for
 from reachbase.plans.registry import query
 from reachbase.plans.transit_queries import _BIN, _CLUSTER_EDGES, _CURVES, _SOUND, _meters, walked_costs
 
@@ -17,7 +18,7 @@ WITH h AS (SELECT trip_id, stop_id AS a, lead(stop_id) OVER (PARTITION BY trip_i
 e AS (SELECT DISTINCT trip_id, least(a, b) AS a, greatest(a, b) AS b FROM h WHERE b IS NOT NULL), n AS (SELECT a, b, count(*) AS n FROM e GROUP BY a, b)
 SELECT trip_id AS run_id, max(n) AS scale FROM e JOIN n USING (a, b) GROUP BY trip_id""")
 def run_scale(t):
-    return network.overlap_scale(t("pattern_stop").select(F.col("trip_id").alias("run_id"), "pos", F.col("stop_id").alias("node")))
+    return network.overlap_scale(t("pattern_stop").select(F.col("trip_id").alias("run_id"), "pos", F.col("stop_id").alias("node")), parts_for(t("lineitem")))
 
 
 @query("""
