@@ -58,23 +58,27 @@ def is_express(name: Column) -> Column:
     return (F.contains(name, F.lit("급행")) | F.contains(name, F.lit("특급"))) & ~F.contains(name, F.lit("광역급행철도"))
 
 
-def train_runs(rows: DataFrame, max_gap: int = 3600, top_kmh: float = 150.0) -> DataFrame:
+def train_runs(rows: DataFrame, max_gap: int = 3600, top_kmh: float = 150.0, parts: int | None = None) -> DataFrame:
     """Patterns of a timetable (line, train, dir, station, at in s, lat, lon): run_id, pos, station, off and their departures.
 
     An inference from a description: rows of one train in one direction, times before 04:00 on
     the next day, sorted by time and cut where more than max_gap passes; runs faster than
     top_kmh go; equal stations with equal offsets make one pattern with a window for each start.
-    Returns line, signature, pos, station, off, starts.
+    Returns line, signature, pos, station, off, starts. A train's rows are sorted once, and those
+    after a run's first hop that is too fast aren't collected. parts: in how many parts rows are dealt by train.
     """
     at = F.when(F.col("at") < 4 * 3600, F.col("at") + 86_400).otherwise(F.col("at"))
     train = Window.partitionBy("line", "train", "dir").orderBy("at", "station")
-    timed = rows.withColumn("at", at)
-    cut = timed.withColumn("_gap", F.coalesce((F.col("at") - F.lag("at").over(train) > max_gap).cast("int"), F.lit(0))).withColumn("_run", F.sum("_gap").over(train))
-    run = Window.partitionBy("line", "train", "dir", "_run").orderBy("at", "station")
-    hop = haversine(F.lag("lat").over(run), F.lag("lon").over(run), F.col("lat"), F.col("lon"))
-    seconds = F.col("at") - F.lag("at").over(run)
-    checked = cut.withColumn("_bad", F.coalesce((hop > seconds * (top_kmh / 3.6)).cast("int"), F.lit(0)))
-    whole = checked.groupBy("line", "train", "dir", "_run").agg(F.array_sort(F.collect_list(F.struct("at", "station"))).alias("_s"), F.max("_bad").alias("_b")).where("_b = 0 AND size(_s) > 1")
+    timed = dealt(rows.withColumn("at", at), parts, "line", "train", "dir")
+    seconds = F.col("at") - F.lag("at").over(train)
+    hop = haversine(F.lag("lat").over(train), F.lag("lon").over(train), F.col("lat"), F.col("lon"))
+    # A run's first row comes after a gap, or has none before it: no hop leads to it.
+    fast = F.coalesce((seconds <= max_gap) & (hop > seconds * (top_kmh / 3.6)), F.lit(False))
+    checked = timed.select("line", "train", "dir", "at", "station", F.coalesce((seconds > max_gap).cast("int"), F.lit(0)).alias("_gap"), fast.alias("_fast")).withColumn("_run", F.sum("_gap").over(train))
+    last_fast = F.max(F.when(F.col("_fast"), F.col("_run"))).over(train)
+    sound = checked.withColumn("_bad", F.coalesce(last_fast == F.col("_run"), F.lit(False))).where("NOT _bad OR _fast")
+    stop = F.when(~F.col("_bad"), F.struct("at", "station"))
+    whole = sound.groupBy("line", "train", "dir", "_run").agg(F.array_sort(F.collect_list(stop)).alias("_s"), F.max("_bad").alias("_b")).where("NOT _b AND size(_s) > 1")
     start = F.col("_s")[0]["at"]
     stops = F.transform("_s", lambda s: F.struct(s["station"].alias("station"), (s["at"] - F.col("_s")[0]["at"]).alias("off")))
     patterns = whole.select("line", start.alias("_start"), stops.alias("_stops")).groupBy("line", "_stops").agg(F.array_sort(F.collect_set("_start")).alias("starts"))

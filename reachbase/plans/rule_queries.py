@@ -265,9 +265,10 @@ runs AS (SELECT line, s, string_agg(CAST(station AS varchar) || ':' || CAST("at"
 SELECT line, stops, string_agg(DISTINCT CAST(s AS varchar), ',' ORDER BY CAST(s AS varchar)) AS starts FROM runs GROUP BY line, stops""")
 def timetable_patterns(t):
     k = F.col("trip_id")
-    rows = t("pattern_stop").join(t("pattern_window"), "trip_id").join(t("stop"), "stop_id")
+    parts = parts_for(t("lineitem"))
+    rows = dealt(t("pattern_stop").join(t("pattern_window"), "trip_id").select("trip_id", "first_start", "off", "stop_id"), parts, "stop_id").join(t("stop"), "stop_id")
     at = (F.col("first_start") + k * 977 % 70_000 + F.col("off")) % 86_400
-    each = network.train_runs(rows.select((k % 20).alias("line"), (k % 500).alias("train"), (k % 2).alias("dir"), F.col("stop_id").alias("station"), at.alias("at"), "lat", "lon"))
+    each = network.train_runs(rows.select((k % 20).alias("line"), (k % 500).alias("train"), (k % 2).alias("dir"), F.col("stop_id").alias("station"), at.alias("at"), "lat", "lon"), parts=parts)
     stop = F.concat_ws(":", F.col("station").cast("string"), F.col("off").cast("string"))
     whole = each.groupBy("line", "signature").agg(F.array_sort(F.collect_list(F.struct("pos", stop.alias("s")))).alias("_s"), F.first("starts").alias("_t"))
     starts = F.array_join(F.array_sort(F.transform("_t", lambda x: x.cast("string"))), ",")
