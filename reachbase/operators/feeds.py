@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachbase.functions.exprs import clock_or, coordinate_key, day_fraction_seconds, headway_of, longest_prefix, route_type_name, split_route_name
+from reachbase.operators.ranges import dealt
 
 #: Prefixes that a region puts before the numbers of a city's routes.
 REGION_PREFIXES = ("GGGB", "GICB")
@@ -64,11 +65,15 @@ def split_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.where(named), edges.where(~named)
 
 
-def clean_feed(stops: DataFrame, stop_times: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stops that aren't stations (location_type 1), windows that run, and times of trips with such a window and two stops at least."""
+def clean_feed(stops: DataFrame, stop_times: DataFrame, windows: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stops that aren't stations (location_type 1), windows that run, and times of trips with such a window and two stops at least.
+
+    parts: in how many parts times are dealt by stop, then by trip.
+    """
     running = windows.where("last_start > first_start AND headway > 0")
     own = stops.where(F.coalesce("location_type", F.lit(0)) != 1)
-    times = stop_times.join(own.select("stop_id"), "stop_id", "left_semi").join(running.select("trip_id").distinct(), "trip_id", "left_semi")
+    at_own = dealt(stop_times, parts, "stop_id").join(own.select("stop_id"), "stop_id", "left_semi")
+    times = dealt(at_own, parts, "trip_id").join(dealt(running.select("trip_id"), parts, "trip_id").distinct(), "trip_id", "left_semi")
     long = times.groupBy("trip_id").agg(F.count("*").alias("_n")).where("_n >= 2")
     return own, times.join(long, "trip_id", "left_semi"), running.join(long, "trip_id", "left_semi")
 

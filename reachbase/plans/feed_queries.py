@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reachbase.functions import exprs
 from reachbase.operators import checks, feeds, ordered
+from reachbase.operators.ranges import parts_for
 from reachbase.plans.registry import query
 
 _KIND = "CASE CAST({c} AS varchar) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in exprs.ROUTE_TYPES.items()) + " ELSE '일반버스' END"
@@ -84,7 +85,7 @@ SELECT 'stops' AS what, count(*) AS n FROM s UNION ALL SELECT 'times', count(*)
 def clean_feed(t):
     stops = t("stop").withColumn("location_type", F.when(F.col("stop_id") % 10 == 0, 1))
     windows = t("pattern_window").withColumn("headway", F.when(F.col("headway") > 300, F.col("headway")).otherwise(0))
-    return feeds.one_shape(*[x.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, x in zip(("stops", "times", "windows"), feeds.clean_feed(stops, t("pattern_stop"), windows), strict=True)])
+    return feeds.one_shape(*[x.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, x in zip(("stops", "times", "windows"), feeds.clean_feed(stops, t("pattern_stop"), windows, parts_for(t("lineitem"))), strict=True)])
 
 
 _LINES = {"1호선": "1", "분당선": "B", "경의선": "K", "수인분당선": "B"}
