@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachbase.functions.exprs import PERIODS, haversine
@@ -92,20 +92,31 @@ def service_windows(routes: DataFrame, factors: DataFrame) -> DataFrame:
     """
     edges = sorted({a for a, _ in PERIODS} | {a + 1440 for a, _ in PERIODS})
     inner = F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda c: (c > F.col("start_min")) & (c < F.col("end_min")))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.col("start_min").cast("long"), F.col("end_min").cast("long")), inner)))
-    pieces = routes.withColumn("_cuts", cuts).select("*", F.posexplode(F.slice("_cuts", 1, F.size("_cuts") - 1)).alias("_i", "_a")).withColumn("_b", F.element_at("_cuts", F.col("_i") + 2))
-    minute = F.col("_a") % 1440
-    period = F.lit(None).cast("int")
-    for i, (a, b) in reversed(list(enumerate(PERIODS))):
-        period = F.when((minute >= a) & (minute < b), i).otherwise(period)
-    priced = pieces.withColumn("_p", period).join(factors.select(F.col("type").alias("_t"), F.col("period").alias("_q"), "factor"), (F.col("type") == F.col("_t")) & (F.col("_p") == F.col("_q")), "left")
-    priced = priced.withColumn("_h", F.greatest(F.lit(60), F.floor(F.col("headway") * F.coalesce("factor", F.lit(1.0)) + 0.5).cast("int"))).where("(_b - _a) * 60 >= _h")
-    along = Window.partitionBy("route_id").orderBy("_a")
-    step = F.coalesce((F.col("_h") != F.lag("_h").over(along)).cast("int"), F.lit(0))
-    merged = priced.withColumn("_s", step).withColumn("_g", F.sum("_s").over(along))
-    done = merged.groupBy("route_id", "_g").agg(F.min("_a").alias("window_from"), F.max("_b").alias("window_to"), F.first("_h").alias("headway")).drop("_g")
-    whole = routes.join(done.select("route_id").distinct(), "route_id", "left_anti").select("route_id", F.col("start_min").cast("long").alias("window_from"), F.col("end_min").cast("long").alias("window_to"), F.col("headway").cast("int").alias("headway"))
-    return done.unionByName(whole)
+    start, end = F.col("start_min").cast("long"), F.col("end_min").cast("long")
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(start, end), inner)))
+    # A day has two dozen pieces at most: they stay in its row, which nothing deals or sorts. Types are a dimension.
+    by_type = factors.where("period IS NOT NULL").groupBy(F.col("type").alias("_t")).agg(F.map_from_entries(F.collect_list(F.struct("period", "factor"))).alias("_factors"))
+    days = routes.join(F.broadcast(by_type), F.col("type") == F.col("_t"), "left").withColumn("_cuts", cuts)
+
+    def piece(a: Column, b: Column) -> Column:
+        minute = a % 1440
+        factor = F.lit(None).cast("double")
+        for i, (low, high) in reversed(list(enumerate(PERIODS))):
+            factor = F.when((minute >= low) & (minute < high), F.col("_factors")[i]).otherwise(factor)
+        seconds = F.greatest(F.lit(60), F.floor(F.col("headway") * F.coalesce(factor, F.lit(1.0)) + 0.5).cast("int"))
+        return F.struct(a.alias("window_from"), b.alias("window_to"), seconds.alias("headway"))
+
+    def merged(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["window_from"].alias("window_from"), x["window_to"].alias("window_to"), x["headway"].alias("headway"))
+        return F.when(last["headway"] == x["headway"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    rest = F.size("_cuts") - 1
+    pieces = F.zip_with(F.slice("_cuts", 1, rest), F.slice("_cuts", 2, rest), piece)
+    kept = days.select("*", F.filter(pieces, lambda p: (p["window_to"] - p["window_from"]) * 60 >= p["headway"]).alias("_kept"))
+    whole = F.array(F.struct(start.alias("window_from"), end.alias("window_to"), F.col("headway").cast("int").alias("headway")))
+    windows = F.when(F.size("_kept") > 0, F.aggregate("_kept", F.filter("_kept", lambda p: F.lit(False)), merged)).otherwise(whole)
+    return kept.select("route_id", F.explode(windows).alias("_w")).select("route_id", "_w.window_from", "_w.window_to", "_w.headway")
 
 
 def renumbered(rows: DataFrame, key: str, order: str, value: str, least: int = 2) -> DataFrame:
