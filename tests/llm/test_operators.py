@@ -210,6 +210,20 @@ def test_shuffled_terms_equal_broadcast_terms(spark, odd_docs, monkeypatch):
     assert by_id(kneser_ney.classify(odd_docs, labels)) == small and any(r["perplexity"] for r in small.values())
 
 
+def test_passes_and_their_number_change_no_score(spark, monkeypatch):
+    """A pass keeps a share of the n-grams; the whole model in one pass gives the same scores, common words or not."""
+    rng = random.Random(3)
+    vocabulary = [a + b for a in "abcdefgh" for b in "klmno"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))), rng.choice("xy")) for i in range(80)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 80, 2)], "doc_id long, quality int")
+    whole = by_id(kneser_ney.classify(docs, labels))
+    for name, value in (("WORDS_PER_PASS", 1), ("MAX_COMMON_WORDS", 30), ("PASSES", 3), ("COUNT_PASSES", 2)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    cut = by_id(kneser_ney.classify(docs, labels))
+    for i, r in whole.items():
+        assert (cut[i]["n_words"], cut[i]["kept"]) == (r["n_words"], r["kept"]) and cut[i]["perplexity"] == pytest.approx(r["perplexity"], rel=1e-6)
+
+
 def test_no_document_meets_a_model_that_has_learned_it(spark):
     """A text that stands once in the trusted half is as new to its score as any other."""
     rng = random.Random(7)
