@@ -33,9 +33,9 @@ from reachbase.operators.graph import shuffles_dropped
 #: Rows of a table up to which it is broadcast; a larger one is joined by a shuffle.
 MAX_BROADCAST_ROWS = 3_000_000
 #: Words, the most frequent ones, whose terms all tasks hold; terms of other words are dealt out with the n-grams.
-MAX_COMMON_WORDS = 1_000_000
+MAX_COMMON_WORDS = 200_000
 #: Most passes, and words for each, over all texts (scores) and over the trusted ones (counts).
-PASSES, COUNT_PASSES, WORDS_PER_PASS = 7, 3, 3_000_000
+PASSES, COUNT_PASSES, WORDS_PER_PASS = 12, 4, 3_000_000
 #: Words of a pass whose terms all tasks hold as histories; for more words there are more passes.
 MAX_HISTORIES = 4_000_000
 #: Quantile of a language's trusted perplexities up to which documents are kept.
