@@ -6,6 +6,11 @@ fraction of what their rows take, and would send them whole through the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,15 +19,79 @@ from reachbase.functions.medians import upper_middle
 from reachbase.operators.graph import connected, cut_lineage
 
 
+#: Rows that a task links at once.
+LINK_ROWS = 1_000_000
+
+
+def _ranks(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Each value's place among the distinct ones in their order, and these."""
+    coded = column.combine_chunks().dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return place[coded.indices.to_numpy()], coded.dictionary.take(order)
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """Of rows sorted by line and kind each pattern with the smallest that it is joined with here, and each stop of the first and the last line, which others may have rows of."""
+    pattern, ids = _ranks(table.column("pattern_id"))
+    (line, _), (kind, _), (stop, _) = (_ranks(table.column(c)) for c in ("line", "express", "node"))
+    line = line * 2 + kind
+    _, first, node = np.unique(line * (stop.max() + 1) + stop, return_index=True, return_inverse=True)
+    label, before = np.arange(len(ids)), None
+    while before is None or (label != before).any():
+        before, least = label, np.full(len(first), len(ids))
+        np.minimum.at(least, node, label[pattern])
+        label = label.copy()
+        np.minimum.at(label, pattern, least[node])
+        label = label[label]
+    ends = first[np.isin(line[first], line[[0, -1]])]
+    own = pa.table({"pattern_id": ids, "b": ids.take(pa.array(label))})
+    shared = table.select(["line", "express", "node"]).take(pa.array(ends)).append_column("b", ids.take(pa.array(label[pattern[ends]])))
+    return pa.concat_tables([own, shared], promote_options="default").select(["pattern_id", "line", "express", "node", "b"])
+
+
+def _linking(rows: int) -> Callable:
+    """For mapInArrow: what _linked makes of so many rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield from _linked(pa.Table.from_batches(held)).to_batches(65_536)
+                held, n = [], 0
+        if n:
+            yield from _linked(pa.Table.from_batches(held)).to_batches(65_536)
+
+    return run
+
+
 def pattern_components(stops: DataFrame) -> DataFrame:
     """pattern_id, component (its smallest pattern): the patterns of a line and kind that stops (line, express, pattern_id, node) join.
 
-    A stop links its patterns with the smallest of them, so a stop of many patterns makes no pairs.
+    Tasks link the patterns of the lines dealt to them by ranges, LINK_ROWS rows at a time, so rounds over
+    all are left for lines of which several have rows. There a stop links its patterns, and a
+    pattern what it was linked with, with the smallest of them, so a stop of many patterns makes no pairs.
+    Up to LINK_ROWS such links are followed in one task.
     """
-    at = stops.select("line", "express", "pattern_id", "node").distinct()
-    hub = at.groupBy("line", "express", "node").agg(F.min("pattern_id").alias("b"))
-    edges = at.join(hub.hint("merge"), ["line", "express", "node"]).select(F.col("pattern_id").alias("a"), "b").distinct()
-    return connected(edges).select(F.col("node").alias("pattern_id"), "component")
+    at = stops.select("line", "express", "pattern_id", "node").dropna()
+    types = dict(at.dtypes) | {"b": dict(at.dtypes)["pattern_id"]}
+    count = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = at.repartitionByRange(count, "line", "express", "pattern_id").sortWithinPartitions("line", "express", "pattern_id")
+    parts = cut_lineage(ranged.mapInArrow(_linking(LINK_ROWS), ", ".join(f"{c} {types[c]}" for c in ("pattern_id", "line", "express", "node", "b"))))
+    own = parts.where("pattern_id IS NOT NULL").groupBy("pattern_id").agg(F.min("b").alias("b"), F.collect_set("b").alias("_all"))
+    between = parts.where("pattern_id IS NULL").groupBy("line", "express", "node").agg(F.min("b").alias("b"), F.collect_set("b").alias("_all"))
+    edges = own.select("b", "_all").union(between.select("b", "_all")).where(F.size("_all") > 1).select(F.explode("_all").alias("a"), "b").distinct()
+    edges = cut_lineage(edges)
+    if edges.count() <= LINK_ROWS:
+        one = edges.select(F.col("a").alias("pattern_id"), F.lit(0).alias("line"), F.lit(False).alias("express"), F.col("b").alias("node")).coalesce(1)
+        joined = one.mapInArrow(_linking(LINK_ROWS + 1), f"pattern_id {types['b']}, line int, express boolean, node {types['b']}, b {types['b']}").where("pattern_id IS NOT NULL")
+        joined = joined.select(F.col("pattern_id").alias("b"), F.col("b").alias("_joined"))
+    else:
+        joined = connected(edges).select(F.col("node").alias("b"), F.col("component").alias("_joined"))
+    return own.join(joined.hint("merge"), "b", "left").select("pattern_id", F.coalesce("_joined", "b").alias("component"))
 
 
 def service_set(stops: DataFrame) -> DataFrame:
@@ -36,7 +105,8 @@ def service_set(stops: DataFrame) -> DataFrame:
     and the exact reverses of those that stay in the other direction.
     """
     along = Window.partitionBy("pattern_id").orderBy("pos")
-    rows = cut_lineage(stops.select("line", "express", "pattern_id", "pos", "node").join(pattern_components(stops).hint("merge"), "pattern_id"))
+    stops = cut_lineage(stops.select("line", "express", "pattern_id", "pos", "node"))
+    rows = cut_lineage(stops.join(pattern_components(stops).hint("merge"), "pattern_id"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda s: s["node"])
     patterns = rows.groupBy("line", "express", "component", "pattern_id").agg(F.count("*").alias("_n"), ids.alias("_stops"))
     text = lambda stops: F.array_join(F.transform(stops, lambda x: x.cast("string")), " ")
@@ -54,7 +124,7 @@ def service_set(stops: DataFrame) -> DataFrame:
     placed = cut_lineage(led.select("line", "express", "component", "pattern_id", "_seq", "_back", "_rank", (F.col("_lead._against") == same).cast("int").alias("dir")))
 
     at = rows.select("pattern_id", "node").join(placed.select("component", "pattern_id", "dir", "_rank").hint("merge"), "pattern_id")
-    covering = at.groupBy("component", "dir", "node").agg(F.min("_rank").alias("_first")).select(F.col("_first.pattern_id").alias("pattern_id")).distinct()
+    covering = cut_lineage(at.groupBy("component", "dir", "node").agg(F.min("_rank").alias("_first")).select(F.col("_first.pattern_id").alias("pattern_id")).distinct())
     kept = placed.join(covering.hint("merge"), "pattern_id", "left_semi")
     for side in (0, 1):  # what the first round adds can have reverses in the second
         others = kept.where(F.col("dir") != side).select("component", F.col("_seq").alias("_back")).distinct()
